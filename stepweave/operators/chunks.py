@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.session import broadcast_if_small, checkpoint
+from stepweave.session import materialize
 
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 256
@@ -39,7 +39,7 @@ def chunked(df: DataFrame, keys: Sequence[str], at: str, rows: int | None = None
 
     Only keys with more than ``rows`` rows are split, at approximate quantiles, so a
     burst or an outlier in time does not unbalance the chunks.  The split points are
-    checkpointed: approximate quantiles may differ between two evaluations, and all
+    written out: approximate quantiles may differ between two evaluations, and all
     uses of a chunk number must agree.
     """
     rows = rows or ROWS_PER_CHUNK
@@ -48,7 +48,7 @@ def chunked(df: DataFrame, keys: Sequence[str], at: str, rows: int | None = None
     if sizes.isEmpty():
         return Chunked(df.withColumn("chunk", F.lit(0)), keys, None)
 
-    hot = broadcast_if_small(checkpoint(sizes))
+    hot = materialize(sizes)
     fractions = F.array(*[F.lit(i / MAX_CHUNKS) for i in range(1, MAX_CHUNKS)])
     quantiles = (
         df.select(*keys, at).join(hot, keys)
@@ -56,7 +56,7 @@ def chunked(df: DataFrame, keys: Sequence[str], at: str, rows: int | None = None
         .agg(F.percentile_approx(at, fractions, 10_000).alias("_q"), F.max("_n").alias("_n"))
     )
     wanted = F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_n") / F.lit(rows))).cast("int")
-    splits = checkpoint(
+    splits = materialize(
         quantiles.withColumn("_m", wanted)
         .withColumn("_splits", F.expr(
             f"array_distinct(transform(sequence(1, greatest(_m - 1, 1)),"
@@ -64,7 +64,7 @@ def chunked(df: DataFrame, keys: Sequence[str], at: str, rows: int | None = None
         .select(*keys, "_splits")
     )
     frame = (
-        df.join(broadcast_if_small(splits), keys, "left")
+        df.join(splits, keys, "left")
         .withColumn("chunk", F.expr(f"coalesce(size(filter(_splits, s -> s <= {at})), 0)"))
         .drop("_splits")
     )

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from stepweave.functions.labels import namespace_op, percent
 from stepweave.operators.chunks import chunked, previous_row
 from stepweave.operators.intervals import join_overlapping, union_overlaps
-from stepweave.operators.nesting import event_parents, is_module_event
-from stepweave.operators.trace_dims import clipped_in_steps, device_steps, step_summary, steps, threads
+from stepweave.operators.nesting import is_module_event
+from stepweave.operators.trace_dims import clipped_in_steps
+from stepweave.plans.tables import TraceTables
 from stepweave.schema import DEVICE_CATS, THREAD_KEY
 
 def _zero() -> Column:
@@ -28,9 +29,9 @@ def top(df: DataFrame, group: Sequence[str], by: Sequence[Column], k: int, out:
         out, F.col(out).cast("bigint"))
 
 
-def primary_stream_ops(events: DataFrame, thread_table: DataFrame) -> DataFrame:
-    primary = thread_table.filter("is_primary_stream").select(*THREAD_KEY)
-    return events.filter((F.col("ph") == "X") & F.col("cat").isin(*DEVICE_CATS)).join(
+def primary_stream_ops(t: TraceTables) -> DataFrame:
+    primary = t.threads.filter("is_primary_stream").select(*THREAD_KEY)
+    return t.events.filter((F.col("ph") == "X") & F.col("cat").isin(*DEVICE_CATS)).join(
         primary, list(THREAD_KEY), "left_semi").withColumn("dur_ns", F.coalesce("dur_ns", _zero()))
 
 
@@ -38,16 +39,15 @@ def _per_step(total: Column, n_steps: Column) -> Column:
     return total.cast("double") / F.greatest(n_steps, F.lit(1))
 
 
-def device_timeline(events: DataFrame, thread_table: DataFrame | None = None) -> DataFrame:
+def device_timeline(t: TraceTables) -> DataFrame:
     """Per trace: kernel time and count per step, mean device step, utilization in percent."""
-    thread_table = threads(events) if thread_table is None else thread_table
-    marks = device_steps(events, thread_table)
-    ops = clipped_in_steps(primary_stream_ops(events, thread_table), marks)
+    marks = t.device_steps
+    ops = clipped_in_steps(primary_stream_ops(t), marks)
     active = ops.groupBy("trace_id").agg(
         F.sum("clipped_ns").alias("_active"), F.count(F.lit(1)).alias("_n"))
     step = marks.groupBy("trace_id").agg(
         F.sum("dur_ns").alias("_d"), F.count(F.lit(1)).alias("n_device_steps"))
-    out = active.join(step_summary(events), "trace_id").join(step, "trace_id", "left")
+    out = active.join(t.summary, "trace_id").join(step, "trace_id", "left")
     kernel_ns = _per_step(F.col("_active"), F.col("n_steps"))
     step_ns = F.coalesce(F.col("_d").cast("double") / F.col("n_device_steps"), F.lit(0.0))
     return out.select(
@@ -57,26 +57,24 @@ def device_timeline(events: DataFrame, thread_table: DataFrame | None = None) ->
         F.coalesce("n_device_steps", _zero()).alias("n_device_steps"))
 
 
-def top_kernels(events: DataFrame, thread_table: DataFrame | None = None, k: int = 30) -> DataFrame:
+def top_kernels(t: TraceTables, k: int = 30) -> DataFrame:
     """Kernels of the primary stream by time per step, cut to the device steps."""
-    thread_table = threads(events) if thread_table is None else thread_table
-    ops = primary_stream_ops(events, thread_table).select(
+    ops = primary_stream_ops(t).select(
         "trace_id", "idx", "name", "ts_ns", "dur_ns")
-    ops = clipped_in_steps(ops, device_steps(events, thread_table))
+    ops = clipped_in_steps(ops, t.device_steps)
     by_name = ops.groupBy("trace_id", "name").agg(
         F.sum("clipped_ns").alias("_ns"), F.count(F.lit(1)).alias("_n"))
     n = F.greatest(F.col("n_steps"), F.lit(1))
-    rows = by_name.join(step_summary(events), "trace_id").select(
+    rows = by_name.join(t.summary, "trace_id").select(
         "trace_id", "name", _per_step(F.col("_ns"), F.col("n_steps")).alias("dur_ns"),
         F.when(F.col("_n") >= n, F.expr("_n div greatest(n_steps, 1)")).otherwise(F.col("_n")).alias("n_calls"),
         F.col("_ns"))
     return top(rows, ["trace_id"], [F.col("_ns").desc(), F.col("name")], k).drop("_ns")
 
 
-def kernel_gaps(events: DataFrame, thread_table: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+def kernel_gaps(t: TraceTables, rows: int | None = None) -> DataFrame:
     """Idle time before each operation of the primary stream (end of the row just before it)."""
-    thread_table = threads(events) if thread_table is None else thread_table
-    ops = primary_stream_ops(events, thread_table).select(
+    ops = primary_stream_ops(t).select(
         *THREAD_KEY, "idx", "name", "ts_ns", "dur_ns")
     c = chunked(ops, THREAD_KEY, "ts_ns", rows)
     frame = previous_row(c, ["ts_ns", "idx"], ["ts_ns", "dur_ns", "name"], "before").frame
@@ -106,22 +104,20 @@ def last_host_ops(events: DataFrame) -> DataFrame:
 
 
 def kernel_host_modules(
-    events: DataFrame, thread_table: DataFrame | None = None, parents: DataFrame | None = None
+    t: TraceTables,
 ) -> DataFrame:
     """Time of each primary-stream kernel by the module that launched it."""
-    thread_table = threads(events) if thread_table is None else thread_table
-    parents = event_parents(events) if parents is None else parents
-    modules = events.filter(is_module_event()).select(
+    modules = t.events.filter(is_module_event()).select(
         "trace_id", F.col("idx").alias("module_idx"),
         F.replace(F.col("name"), F.lit("nn.Module: "), F.lit("")).alias("module"))
     launched = (
-        last_host_ops(events)
-        .join(parents.select("trace_id", "idx", "module_idx"), ["trace_id", "idx"])
+        last_host_ops(t.events)
+        .join(t.parents.select("trace_id", "idx", "module_idx"), ["trace_id", "idx"])
         .join(modules, ["trace_id", "module_idx"])
         .select("trace_id", "external_id", "module")
     )
     # Sum per external id first: the join then sees one row per (id, kernel name).
-    kernels = primary_stream_ops(events, thread_table).groupBy("trace_id", "external_id", "name").agg(
+    kernels = primary_stream_ops(t).groupBy("trace_id", "external_id", "name").agg(
         F.sum("dur_ns").alias("dur_ns"))
     return kernels.join(launched, ["trace_id", "external_id"]).groupBy("trace_id", "name", "module").agg(
         F.sum("dur_ns").alias("dur_ns"))
@@ -134,9 +130,9 @@ def hot_kernel_modules(top_table: DataFrame, host_modules: DataFrame) -> DataFra
     return joined.withColumn("module_rank", F.row_number().over(w).cast("bigint"))
 
 
-def device_host_totals(events: DataFrame) -> DataFrame:
+def device_host_totals(t: TraceTables) -> DataFrame:
     """Host and device time per step: in total, by category and by operation name."""
-    ops = events.filter(F.col("cat").isin(*DEVICE_CATS, "cpu_op")).select(
+    ops = t.events.filter(F.col("cat").isin(*DEVICE_CATS, "cpu_op")).select(
         "trace_id", "cat", "name", F.coalesce("dur_ns", _zero()).alias("dur_ns"),
         F.when(F.col("cat") == "cpu_op", "host").otherwise("device").alias("side"))
     fine = ops.groupBy("trace_id", "side", "cat", "name").agg(F.sum("dur_ns").alias("dur_ns"))
@@ -145,7 +141,7 @@ def device_host_totals(events: DataFrame) -> DataFrame:
         "trace_id", "side", "cat", "name",
     ).agg(F.sum("dur_ns").alias("_ns"))
     grain = F.when(F.col("name").isNotNull(), "name").when(F.col("cat").isNotNull(), "cat").otherwise("total")
-    return sets.join(step_summary(events).select("trace_id", "n_steps"), "trace_id").select(
+    return sets.join(t.summary.select("trace_id", "n_steps"), "trace_id").select(
         "trace_id", "side", grain.alias("grain"), F.coalesce("name", "cat").alias("key"),
         F.col("_ns").alias("total_ns"), _per_step(F.col("_ns"), F.col("n_steps")).alias("dur_ns")
     ).filter(~((F.col("grain") == "cat") & (F.col("side") == "host")))
@@ -156,10 +152,10 @@ def top_device_host_ops(totals: DataFrame, k: int = 20) -> DataFrame:
                [F.col("total_ns").desc(), F.col("key")], k)
 
 
-def _overlap_classes(events: DataFrame, thread_table: DataFrame) -> DataFrame:
+def _overlap_classes(t: TraceTables) -> DataFrame:
     """Operations that take part in the overlap analysis, with the class of their stream."""
-    kinds = thread_table.filter("stream_kind is not null").select(*THREAD_KEY, "stream_kind")
-    ops = events.filter((F.col("ph") == "X") & F.col("cat").isin(*DEVICE_CATS)).join(kinds, list(THREAD_KEY))
+    kinds = t.threads.filter("stream_kind is not null").select(*THREAD_KEY, "stream_kind")
+    ops = t.events.filter((F.col("ph") == "X") & F.col("cat").isin(*DEVICE_CATS)).join(kinds, list(THREAD_KEY))
     wanted = (
         (F.col("stream_kind") == "compute")
         | ((F.col("stream_kind") == "comm") & (F.col("cat") == "kernel"))
@@ -169,29 +165,28 @@ def _overlap_classes(events: DataFrame, thread_table: DataFrame) -> DataFrame:
         (F.col("ts_ns") + F.col("dur_ns")).alias("op_end"))
 
 
-def overlap_windows(events: DataFrame, thread_table: DataFrame) -> DataFrame:
+def overlap_windows(t: TraceTables) -> DataFrame:
     """Host steps; device steps for traces that have no host step."""
-    host = steps(events).select("trace_id", "step_no", F.col("ts_ns").alias("step_start"), F.col("end_ns").alias("step_end"))
-    device = device_steps(events, thread_table).select(
+    host = t.steps.select("trace_id", "step_no", F.col("ts_ns").alias("step_start"), F.col("end_ns").alias("step_end"))
+    device = t.device_steps.select(
         "trace_id", "step_no", F.col("ts_ns").alias("step_start"), F.col("end_ns").alias("step_end"))
     return host.unionByName(device.join(host.select("trace_id").distinct(), "trace_id", "left_anti"))
 
 
-def _ops_in_steps(events: DataFrame, thread_table: DataFrame, windows: DataFrame) -> DataFrame:
+def _ops_in_steps(t: TraceTables, windows: DataFrame) -> DataFrame:
     pairs = join_overlapping(
-        _overlap_classes(events, thread_table), windows.filter("step_end > step_start"), ["trace_id"],
+        _overlap_classes(t), windows.filter("step_end > step_start"), ["trace_id"],
         "op_start", "op_end", "step_start", "step_end", closed=False)
     return pairs.withColumns({
         "op_start": F.greatest("op_start", "step_start"), "op_end": F.least("op_end", "step_end")}
     ).filter("op_end > op_start")
 
 
-def overlap_by_step(events: DataFrame, thread_table: DataFrame | None = None, rows: int | None = None) -> DataFrame:
+def overlap_by_step(t: TraceTables, rows: int | None = None) -> DataFrame:
     """Per step: compute, collective and copy time, and how much of the last two compute hides."""
-    thread_table = threads(events) if thread_table is None else thread_table
-    windows = overlap_windows(events, thread_table)
+    windows = overlap_windows(t)
     swept = union_overlaps(
-        _ops_in_steps(events, thread_table, windows), ["trace_id", "step_no"], "op_start", "op_end",
+        _ops_in_steps(t, windows), ["trace_id", "step_no"], "op_start", "op_end",
         "stream_kind", ["compute", "comm", "memcpy"], "compute", rows)
     zero = lambda c: F.coalesce(c, _zero()).alias(c)
     return windows.join(swept, ["trace_id", "step_no"], "left").select(
@@ -220,11 +215,10 @@ def comm_compute_overlap(per_step: DataFrame, thread_table: DataFrame) -> DataFr
         "memcpy_exposed_pct_of_step": share("memcpy_exposed_ns", "step_ns")})
 
 
-def top_comm_kernels(events: DataFrame, thread_table: DataFrame | None = None, k: int = 15) -> DataFrame:
-    thread_table = threads(events) if thread_table is None else thread_table
-    windows = overlap_windows(events, thread_table)
+def top_comm_kernels(t: TraceTables, k: int = 15) -> DataFrame:
+    windows = overlap_windows(t)
     n = windows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_n"))
-    ns = _ops_in_steps(events, thread_table, windows).filter("stream_kind = 'comm'").groupBy("trace_id", "name").agg(
+    ns = _ops_in_steps(t, windows).filter("stream_kind = 'comm'").groupBy("trace_id", "name").agg(
         F.sum(F.col("op_end") - F.col("op_start")).alias("_ns"))
     rows = ns.join(n, "trace_id").select(
         "trace_id", "name", "_ns", (F.col("_ns").cast("double") / F.col("_n")).alias("dur_ns"))

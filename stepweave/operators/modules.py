@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from stepweave.functions.labels import percent, thread_tag
 from stepweave.operators.device import top
-from stepweave.operators.nesting import event_parents, is_module_event
-from stepweave.operators.trace_dims import clipped_in_steps, step_summary, steps, threads
+from stepweave.operators.nesting import is_module_event
+from stepweave.operators.trace_dims import clipped_in_steps
+from stepweave.plans.tables import TraceTables
 from stepweave.schema import DEVICE_CATS, THREAD_KEY
-from stepweave.session import checkpoint
+from stepweave.session import materialize
 
 def _zero() -> Column:
     return F.lit(0).cast("bigint")
 
 
-def module_calls(events: DataFrame, thread_table: DataFrame, parents: DataFrame) -> DataFrame:
+def module_calls(t: TraceTables) -> DataFrame:
     """Module events of the CPU process with clipped time, parent module name and thread role."""
-    mods = events.filter(is_module_event()).select(*THREAD_KEY, "idx", "name", "ts_ns", "dur_ns")
-    mods = mods.join(thread_table.filter("role is not null").select(*THREAD_KEY, "role"), list(THREAD_KEY))
-    mods = mods.join(parents.select("trace_id", "idx", "module_idx"), ["trace_id", "idx"], "left")
+    mods = t.events.filter(is_module_event()).select(*THREAD_KEY, "idx", "name", "ts_ns", "dur_ns")
+    mods = mods.join(t.threads.filter("role is not null").select(*THREAD_KEY, "role"), list(THREAD_KEY))
+    mods = mods.join(t.parents.select("trace_id", "idx", "module_idx"), ["trace_id", "idx"], "left")
     names = mods.select("trace_id", F.col("idx").alias("module_idx"), F.col("name").alias("parent_name"))
-    return clipped_in_steps(mods.join(names, ["trace_id", "module_idx"], "left"), steps(events))
+    return clipped_in_steps(mods.join(names, ["trace_id", "module_idx"], "left"), t.steps)
 
 
 def module_times(calls: DataFrame, summary: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def name_depths(table: DataFrame) -> DataFrame:
     Works by doubling: each round looks twice as far up.  A table of names is small next to
     the events it comes from; names still unresolved after 2^rounds > name count are cyclic.
     """
-    table = checkpoint(table)
+    table = materialize(table)
     up = table.select("trace_id", "name", F.when(F.col("parent") != "ROOT", F.col("parent")).alias("up"),
                       F.lit(0).cast("bigint").alias("depth"))
     up = up.withColumn("depth", F.when(F.col("up").isNotNull(), F.lit(1).cast("bigint")).otherwise(F.col("depth")))
@@ -66,7 +67,7 @@ def name_depths(table: DataFrame) -> DataFrame:
     reach = 1
     while reach <= most and not up.filter("up is not null").isEmpty():
         nxt = up.select("trace_id", F.col("name").alias("up"), F.col("up").alias("_up2"), F.col("depth").alias("_d2"))
-        up = checkpoint(up.join(nxt, ["trace_id", "up"], "left").select(
+        up = materialize(up.join(nxt, ["trace_id", "up"], "left").select(
             "trace_id", "name", F.col("_up2").alias("up"),
             (F.col("depth") + F.coalesce("_d2", _zero())).alias("depth")))
         reach *= 2
@@ -92,12 +93,11 @@ def module_role_counts(calls: DataFrame) -> DataFrame:
         F.count_if(F.col("role") == "worker_thread").alias("n_worker_calls"))
 
 
-def worker_threads(events: DataFrame, thread_table: DataFrame | None = None) -> DataFrame:
+def worker_threads(t: TraceTables) -> DataFrame:
     """Worker and autograd threads by total time, with the names of their modules."""
-    thread_table = threads(events) if thread_table is None else thread_table
-    workers = thread_table.filter(F.col("role").isin("worker_thread", "autograd_thread"))
+    workers = t.threads.filter(F.col("role").isin("worker_thread", "autograd_thread"))
     names = (
-        events.filter(is_module_event())
+        t.events.filter(is_module_event())
         .select(*THREAD_KEY, F.replace(F.col("name"), F.lit("nn.Module: "), F.lit("")).alias("m")).distinct()
         .groupBy(*THREAD_KEY).agg(F.array_join(F.array_sort(F.collect_set("m")), "; ").alias("modules"),
                                   F.count(F.lit(1)).alias("n_modules"))
@@ -113,12 +113,10 @@ def worker_threads(events: DataFrame, thread_table: DataFrame | None = None) ->
 _THREADING = ("threading.py", "concurrent/futures")
 
 
-def worker_functions(events: DataFrame, thread_table: DataFrame | None = None,
-                     longest: int = 10, shown: int = 5) -> DataFrame:
+def worker_functions(t: TraceTables, longest: int = 10, shown: int = 5) -> DataFrame:
     """Python functions among the longest events of each worker thread."""
-    thread_table = threads(events) if thread_table is None else thread_table
-    workers = thread_table.filter(F.col("role").isin("worker_thread", "autograd_thread")).select(*THREAD_KEY)
-    long_ones = events.filter((F.col("ph") == "X") & (F.col("dur_ns") > 1_000_000)).select(
+    workers = t.threads.filter(F.col("role").isin("worker_thread", "autograd_thread")).select(*THREAD_KEY)
+    long_ones = t.events.filter((F.col("ph") == "X") & (F.col("dur_ns") > 1_000_000)).select(
         *THREAD_KEY, "idx", "cat", "name", "dur_ns").join(workers, list(THREAD_KEY), "left_semi")
     order = [F.col("dur_ns").desc(), F.col("idx")]
     first = top(long_ones, THREAD_KEY, order, longest, "_r").filter(
@@ -128,23 +126,19 @@ def worker_functions(events: DataFrame, thread_table: DataFrame | None = None,
     return top(first, THREAD_KEY, order, shown).select(*THREAD_KEY, "rank", "name", "dur_ns")
 
 
-def thread_timelines(events: DataFrame, thread_table: DataFrame | None = None,
-                     parents: DataFrame | None = None) -> DataFrame:
+def thread_timelines(t: TraceTables) -> DataFrame:
     """Longest events of each lane: main thread, primary stream, busy streams, workers."""
-    thread_table = threads(events) if thread_table is None else thread_table
-    parents = event_parents(events) if parents is None else parents
-    t = thread_table
-    worker = t.role.isin("worker_thread", "autograd_thread")
-    lane = F.struct(F.col("kind"), F.col("k"))
+    th = t.threads
+    worker = th.role.isin("worker_thread", "autograd_thread")
     pick = lambda cond, kind, k: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k")))
-    lanes = t.withColumn("_lanes", F.array_compact(F.array(
-        pick(t.is_reported_main, "main_thread", 20),
-        pick(t.is_primary_stream, "gpu_primary_stream", 20),
-        pick(~t.is_primary_stream & (t.stream_ops >= 10), "gpu_stream", 10),
+    lanes = th.withColumn("_lanes", F.array_compact(F.array(
+        pick(th.is_reported_main, "main_thread", 20),
+        pick(th.is_primary_stream, "gpu_primary_stream", 20),
+        pick(~th.is_primary_stream & (th.stream_ops >= 10), "gpu_stream", 10),
         pick(worker, "worker", 10),
     ))).select(*THREAD_KEY, "role", F.explode("_lanes").alias("_l")).select(
         *THREAD_KEY, "role", F.col("_l.kind").alias("lane_kind"), F.col("_l.k").alias("_k"))
-    spans = events.filter(F.col("ph") == "X").select(
+    spans = t.events.filter(F.col("ph") == "X").select(
         *THREAD_KEY, "idx", "cat", "name", "ts_ns", F.coalesce("dur_ns", _zero()).alias("dur_ns"))
     long_enough = F.col("dur_ns") > 500_000
     wanted = (
@@ -157,7 +151,7 @@ def thread_timelines(events: DataFrame, thread_table: DataFrame | None = None,
     lane_key = [*THREAD_KEY, "lane_kind"]
     totals = rows.groupBy(*lane_key).agg(F.count(F.lit(1)).alias("total_events"))
     best = top(rows, lane_key, [F.col("dur_ns").desc(), F.col("ts_ns"), F.col("idx")], 20).filter("rank <= _k")
-    best = best.join(parents.select("trace_id", "idx", "parent_idx"), ["trace_id", "idx"], "left")
+    best = best.join(t.parents.select("trace_id", "idx", "parent_idx"), ["trace_id", "idx"], "left")
     is_top = F.when(F.col("lane_kind") == "main_thread",
                     F.col("parent_idx").isNull() | (F.col("dur_ns") > 10_000_000))
     return best.join(totals, lane_key).select(

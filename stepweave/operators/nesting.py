@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stepweave.operators.chunks import Chunked, chunked
 from stepweave.schema import MODULE_PREFIX, THREAD_KEY
-from stepweave.session import checkpoint
+from stepweave.session import materialize
 
 FILE_ORDER = ("ts_ns", "idx")                 # start time, ties by file position
 OUTER_FIRST = ("ts_ns", "_minus_dur", "idx")  # start time, longer event first
@@ -137,15 +137,15 @@ def _follow_anchors(scanned: DataFrame, keys: list[str]) -> DataFrame:
     Only events that cross a chunk border are anchors, so the table that is looped over is
     small.  Each round doubles the distance looked ahead.
     """
-    scanned = checkpoint(scanned)
+    scanned = materialize(scanned)
     anchors = scanned.filter("_anchor is not null").select(*keys, F.col("_anchor").alias("idx")).distinct()
-    links = checkpoint(
+    links = materialize(
         scanned.join(anchors, [*keys, "idx"], "left_semi").select(*keys, "idx", "tag_idx", "_anchor"))
     while not links.filter("_anchor is not null").isEmpty():
         nxt = links.select(
             *keys, F.col("idx").alias("_anchor"),
             F.col("tag_idx").alias("_next_tag"), F.col("_anchor").alias("_next_anchor"))
-        links = checkpoint(
+        links = materialize(
             links.join(nxt, [*keys, "_anchor"], "left")
             .select(*keys, "idx", F.coalesce("tag_idx", "_next_tag").alias("tag_idx"),
                     F.col("_next_anchor").alias("_anchor")))

@@ -134,7 +134,7 @@ def clipped_in_steps(events: DataFrame, all_steps: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     dur = F.coalesce("dur_ns", zero)
     end = F.least(F.col("ts_ns") + dur, F.col("step_end"))
-    inside = F.coalesce(F.greatest(zero, end - F.col("ts_ns")), zero)
+    inside = F.when(F.col("step_end").isNull(), zero).otherwise(F.greatest(zero, end - F.col("ts_ns")))
     placed = step_at_start(events, all_steps)
     return placed.withColumn("clipped_ns", F.when(F.col("has_steps"), inside).otherwise(dur)).drop("has_steps")
 

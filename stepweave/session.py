@@ -1,40 +1,38 @@
-"""Session helpers: where checkpoints go, and how large a broadcast side may be."""
+"""Session helpers: where intermediate tables go."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` on reliable storage.
-
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
-    single-machine session without that setting gets a scratch folder of its own.
+    Only a single-machine session without that setting gets a scratch folder of its own.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured:
-            sc.setCheckpointDir(configured)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-        else:
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` when it holds at most ``rows`` rows, otherwise leave it to AQE.
-
-    Use it on tables that were just checkpointed, so that counting is a cheap read.
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-stepweave-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    This cuts the lineage on reliable storage, so a lost executor costs one task and not
+    the history of the table.  It also tells Catalyst the true size: a small table is
+    broadcast in later joins and a large one is not, without any hint.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    path = f"{shared_folder(df.sparkSession)}/stepweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spark_session(app: str = "stepweave", **conf: str) -> SparkSession:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from stepweave.functions import labels
 from stepweave.operators import device, intervals, modules, nesting, trace_dims
+from stepweave.plans.tables import TraceTables
+from stepweave.session import materialize
 from workload.oracle import with_ctes
 from workload.views import spark_view
 
@@ -17,9 +19,20 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+_LANDED: dict[tuple[str, str], TraceTables] = {}
+
+
+def trace_tables(spark: SparkSession, sf_dir: str) -> TraceTables:
+    """The driver's tables as one landed event table; written once per session and scale."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LANDED:
+        _LANDED[key] = TraceTables(materialize(spark_view(spark, sf_dir, "trace_event", stacks=True)))
+    return _LANDED[key]
+
+
 def query(name: str, sql: str | None = None, stacks: bool = False):
-    def add(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, sf: fn(spark_view(spark, sf, "trace_event", stacks))
+    def add(fn: Callable[[TraceTables], DataFrame]):
+        QUERIES[name] = lambda spark, sf: fn(trace_tables(spark, sf))
         if sql:
             ORACLES[name] = with_ctes(sql, stacks)
         return fn
@@ -29,29 +42,29 @@ def query(name: str, sql: str | None = None, stacks: bool = False):
 # ---------------------------------------------------------------- dimensions and expressions
 
 @query("s02_thread_names", "SELECT trace_id, pid, tid, thread_name FROM o_name")
-def _(ev):
-    return trace_dims.thread_names(ev)
+def _(t):
+    return trace_dims.thread_names(t.events)
 
 
 @query("s02_process_labels", "SELECT trace_id, pid, label, first_idx FROM o_label")
-def _(ev):
-    return trace_dims.process_labels(ev)
+def _(t):
+    return trace_dims.process_labels(t.events)
 
 
 @query("f01_trace_kind", """
 SELECT trace_id, CASE WHEN bool_or(coalesce(cat = 'fwdbwd' OR (cat IN ('cpu_op', 'python_function')
   AND lower(name) LIKE '%backward%'), false)) THEN 'training' ELSE 'inference' END AS kind FROM trace_event GROUP BY 1
 """)
-def _(ev):
-    return trace_dims.trace_kind(ev)
+def _(t):
+    return trace_dims.trace_kind(t.events)
 
 
 @query("f02_enhanced", """
 SELECT trace_id, bool_or(coalesce(ph = 'M' AND name = 'thread_name' AND arg_name LIKE '%Code Location%', false)) AS has_code_location,
   bool_or(coalesce(cat = 'kernel' AND stack_traces IS NOT NULL, false)) AS has_stack_traces FROM trace_event GROUP BY 1
 """, stacks=True)
-def _(ev):
-    return trace_dims.enhanced_flags(ev)
+def _(t):
+    return trace_dims.enhanced_flags(t.events)
 
 
 @query("f03_phase_label", """
@@ -60,17 +73,17 @@ SELECT name, count(*) AS n, CASE WHEN lower(name) LIKE '%optimize%' THEN 'optimi
   WHEN regexp_matches(lower(name), '(^|[^a-z])forward([^a-z]|$)') THEN 'forward' END AS phase
 FROM trace_event GROUP BY name
 """)
-def _(ev):
-    return ev.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn(
+def _(t):
+    return t.events.groupBy("name").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "phase", labels.phase_of_label(F.col("name")))
 
 
 @query("f04_backward_stack", """
-SELECT trace_id, idx, coalesce(len(list_filter(stack_traces, x -> contains(x, 'ackward') OR contains(x, 'Gradient'))) > 0, false)
+SELECT trace_id, idx, coalesce(len(list_filter(stack_traces, lambda x: contains(x, 'ackward') OR contains(x, 'Gradient'))) > 0, false)
   AS is_backward FROM trace_event WHERE cat = 'kernel'
 """, stacks=True)
-def _(ev):
-    return ev.filter("cat = 'kernel'").select(
+def _(t):
+    return t.events.filter("cat = 'kernel'").select(
         "trace_id", "idx", labels.is_backward_stack(F.col("stack_traces")).alias("is_backward"))
 
 
@@ -82,8 +95,8 @@ SELECT name, n, runtime_name, regexp_replace(regexp_replace(runtime_name, '_[0-9
 FROM (SELECT name, count(*) AS n, regexp_replace(replace(name, 'nn.Module: ', ''), ', callsite: [0-9]+', '') AS runtime_name
       FROM trace_event WHERE name LIKE 'nn.Module:%' GROUP BY name) x
 """)
-def _(ev):
-    return ev.filter(F.col("name").startswith("nn.Module:")).groupBy("name").agg(
+def _(t):
+    return t.events.filter(F.col("name").startswith("nn.Module:")).groupBy("name").agg(
         F.count(F.lit(1)).alias("n")).select("name", "n", labels.runtime_module(F.col("name")).alias("r")).select(
         "name", "n", "r.*")
 
@@ -91,8 +104,8 @@ def _(ev):
 @query("f06_module_label", """
 SELECT trace_id, idx, regexp_replace(substr(name, 12), ', callsite.*', '') AS label FROM trace_event WHERE name LIKE 'nn.Module:%'
 """)
-def _(ev):
-    return ev.select("trace_id", "idx", labels.module_label(F.col("name")).alias("label")).filter("label is not null")
+def _(t):
+    return t.events.select("trace_id", "idx", labels.module_label(F.col("name")).alias("label")).filter("label is not null")
 
 
 @query("f07_wrapper_name", """
@@ -100,8 +113,8 @@ SELECT label, count(*) AS n, (label LIKE 'Sync%' OR label LIKE 'Dense%' OR label
 FROM (SELECT regexp_replace(substr(name, 12), ', callsite.*', '') AS label FROM trace_event WHERE name LIKE 'nn.Module:%') x
 GROUP BY label
 """)
-def _(ev):
-    lab = ev.select(labels.module_label(F.col("name")).alias("label")).filter("label is not null")
+def _(t):
+    lab = t.events.select(labels.module_label(F.col("name")).alias("label")).filter("label is not null")
     return lab.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "is_wrapper", labels.is_wrapper(F.col("label")))
 
@@ -113,9 +126,9 @@ SELECT dur_ns, n, CASE WHEN us >= 1e6 THEN printf('%.3f s', us / 1e6) WHEN us >=
   ELSE printf('%.1f us', us) END AS swimlane_text
 FROM (SELECT dur_ns, count(*) AS n, CAST(dur_ns AS DOUBLE) / 1e6 AS us FROM trace_event WHERE dur_ns IS NOT NULL GROUP BY 1) x
 """)
-def _(ev):
+def _(t):
     us = F.col("dur_ns").cast("double") / 1e6  # the view's times, scaled down to reach all three units
-    return ev.filter("dur_ns is not null").groupBy("dur_ns").agg(F.count(F.lit(1)).alias("n")).select(
+    return t.events.filter("dur_ns is not null").groupBy("dur_ns").agg(F.count(F.lit(1)).alias("n")).select(
         "dur_ns", "n", labels.duration_text(us).alias("report_text"),
         labels.duration_text(us, labels.SWIMLANE_DIGITS).alias("swimlane_text"))
 
@@ -125,9 +138,9 @@ SELECT trace_id, cat, CASE WHEN host > 0 THEN CAST(ns AS DOUBLE) / CAST(host AS
   SELECT trace_id, cat, CAST(sum(coalesce(dur_ns, 0)) AS BIGINT) AS ns,
     CAST(sum(CASE WHEN pid = '0' THEN coalesce(dur_ns, 0) ELSE 0 END) AS BIGINT) AS host FROM trace_event GROUP BY 1, 2) x
 """)
-def _(ev):
+def _(t):
     dur = F.coalesce("dur_ns", F.lit(0).cast("bigint"))
-    g = ev.groupBy("trace_id", "cat").agg(
+    g = t.events.groupBy("trace_id", "cat").agg(
         F.sum(dur).alias("ns"), F.sum(F.when(F.col("pid") == "0", dur).otherwise(0)).alias("host"))
     return g.select("trace_id", "cat", labels.percent(F.col("ns"), F.col("host")).alias("pct"))
 
@@ -135,13 +148,13 @@ def _(ev):
 # ---------------------------------------------------------------- steps and threads
 
 @query("t01_steps", "SELECT * FROM o_step")
-def _(ev):
-    return trace_dims.steps(ev)
+def _(t):
+    return trace_dims.steps(t.events)
 
 
 @query("t01_step_summary", "SELECT * FROM o_sum")
-def _(ev):
-    return trace_dims.step_summary(ev)
+def _(t):
+    return trace_dims.step_summary(t.events)
 
 
 @query("t02_clip_to_step", """
@@ -149,8 +162,8 @@ SELECT e.trace_id, e.idx, s.step_no, greatest(0, least(e.ts_ns + e.dur_ns, s.end
 FROM trace_event e JOIN o_step s ON s.trace_id = e.trace_id AND s.ts_ns <= e.ts_ns AND e.ts_ns < s.end_ns
 WHERE e.ph = 'X'
 """)
-def _(ev):
-    got = trace_dims.clipped_in_steps(ev.filter("ph = 'X'"), trace_dims.steps(ev))
+def _(t):
+    got = trace_dims.clipped_in_steps(t.events.filter("ph = 'X'"), t.steps)
     return got.filter("step_no is not null").select("trace_id", "idx", "step_no", "clipped_ns")
 
 
@@ -158,16 +171,16 @@ def _(ev):
 SELECT e.trace_id, e.idx, (SELECT min(s.step_no) FROM o_step s WHERE s.trace_id = e.trace_id AND s.ts_ns <= e.ts_ns
   AND e.ts_ns < s.end_ns) AS step_no FROM trace_event e
 """)
-def _(ev):
-    return trace_dims.step_at_start(ev, trace_dims.steps(ev)).select("trace_id", "idx", "step_no")
+def _(t):
+    return trace_dims.step_at_start(t.events, t.steps).select("trace_id", "idx", "step_no")
 
 
 @query("t05_choose_step", """
 SELECT trace_id, step_no, step_name, ts_ns, end_ns, dur_ns FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY dur_ns, step_no) AS r,
   count(*) OVER (PARTITION BY trace_id) AS n FROM o_step) x WHERE r = n // 2 + 1
 """)
-def _(ev):
-    return trace_dims.choose_step(trace_dims.steps(ev))
+def _(t):
+    return trace_dims.choose_step(t.steps)
 
 
 @query("t04_window_filter", """
@@ -176,10 +189,10 @@ FROM trace_event e JOIN o_step s ON s.trace_id = e.trace_id AND s.step_no = 3
 WHERE e.ph = 'X' AND e.ts_ns + e.dur_ns > s.ts_ns AND e.ts_ns < s.end_ns
   AND least(e.ts_ns + e.dur_ns, s.end_ns) > greatest(e.ts_ns, s.ts_ns)
 """)
-def _(ev):
-    window = trace_dims.choose_step(trace_dims.steps(ev), 3).select(
+def _(t):
+    window = trace_dims.choose_step(t.steps, 3).select(
         "trace_id", F.col("ts_ns").alias("w_start"), F.col("end_ns").alias("w_end"))
-    cut = intervals.clip_to_window(ev.filter("ph = 'X'").join(window, "trace_id"), F.col("w_start"), F.col("w_end"))
+    cut = intervals.clip_to_window(t.events.filter("ph = 'X'").join(window, "trace_id"), F.col("w_start"), F.col("w_end"))
     return cut.select("trace_id", "idx", "ts_ns", "dur_ns")
 
 
@@ -188,23 +201,23 @@ SELECT e.trace_id, e.idx, s.step_no, greatest(0, least(e.ts_ns + e.dur_ns, s.end
 FROM trace_event e JOIN o_step s ON s.trace_id = e.trace_id AND e.ts_ns <= s.end_ns AND e.ts_ns + e.dur_ns >= s.ts_ns
 WHERE e.ph = 'X' AND e.cat = 'kernel'
 """)
-def _(ev):
-    spans = ev.filter("ph = 'X' AND cat = 'kernel'").select(
+def _(t):
+    spans = t.events.filter("ph = 'X' AND cat = 'kernel'").select(
         "trace_id", "idx", F.col("ts_ns").alias("a"), (F.col("ts_ns") + F.col("dur_ns")).alias("b"))
-    windows = trace_dims.steps(ev).select("trace_id", "step_no", F.col("ts_ns").alias("c"), F.col("end_ns").alias("d"))
+    windows = t.steps.select("trace_id", "step_no", F.col("ts_ns").alias("c"), F.col("end_ns").alias("d"))
     pairs = intervals.join_overlapping(spans, windows, ["trace_id"], "a", "b", "c", "d", closed=True)
     return pairs.select("trace_id", "idx", "step_no", intervals.overlap_length(
         F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("overlap_ns"))
 
 
 @query("t21_device_steps", "SELECT * FROM o_dstep")
-def _(ev):
-    return trace_dims.device_steps(ev, trace_dims.threads(ev))
+def _(t):
+    return trace_dims.device_steps(t.events, t.threads)
 
 
 @query("a01_threads", "SELECT * FROM o_thread")
-def _(ev):
-    return trace_dims.threads(ev)
+def _(t):
+    return trace_dims.threads(t.events)
 
 
 @query("a02_step_decomposition", """
@@ -219,27 +232,27 @@ SELECT *, step_dur_ns - forward_backward_dur_ns - optimize_dur_ns AS other_dur_n
  FROM trace_event e JOIN o_thread t ON e.trace_id = t.trace_id AND e.pid = t.pid AND e.tid = t.tid AND t.is_reported_main
  WHERE cat = 'python_function' GROUP BY 1) x
 """)
-def _(ev):
-    return trace_dims.step_decomposition(ev, trace_dims.threads(ev))
+def _(t):
+    return trace_dims.step_decomposition(t.events, t.threads)
 
 
 # ---------------------------------------------------------------- nesting
 
 @query("t07_parent", "SELECT trace_id, idx, parent_idx FROM o_parent")
-def _(ev):
-    return nesting.event_parents(ev).select("trace_id", "idx", "parent_idx")
+def _(t):
+    return nesting.event_parents(t.events).select("trace_id", "idx", "parent_idx")
 
 
 @query("t20_module_parent", """
 SELECT s.trace_id, s.idx, m.module_idx FROM o_span s LEFT JOIN o_mod m ON s.trace_id = m.trace_id AND s.idx = m.idx
 """)
-def _(ev):
-    return nesting.event_parents(ev).select("trace_id", "idx", "module_idx")
+def _(t):
+    return t.parents.select("trace_id", "idx", "module_idx")
 
 
 @query("t08_main_thread_tree", "SELECT trace_id, idx, parent_idx FROM o_main_parent")
-def _(ev):
-    return nesting.main_thread_tree(ev).select("trace_id", "idx", "parent_idx")
+def _(t):
+    return nesting.main_thread_tree(t.events).select("trace_id", "idx", "parent_idx")
 
 
 @query("t11_merge_intervals", """
@@ -249,8 +262,8 @@ SELECT trace_id, pid, tid, min(s) AS start_ns, max(e) AS end_ns FROM (
       ORDER BY ts_ns, ts_ns + dur_ns, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
     FROM trace_event WHERE ph = 'X') a) b GROUP BY trace_id, pid, tid, island
 """)
-def _(ev):
-    spans = ev.filter("ph = 'X'").select("trace_id", "pid", "tid", F.col("ts_ns").alias("start_ns"),
+def _(t):
+    spans = t.events.filter("ph = 'X'").select("trace_id", "pid", "tid", F.col("ts_ns").alias("start_ns"),
                                          (F.col("ts_ns") + F.col("dur_ns")).alias("end_ns"))
     return intervals.merge_intervals(spans, ["trace_id", "pid", "tid"], "start_ns", "end_ns")
 
@@ -261,8 +274,8 @@ SELECT trace_id, pid, tid, CAST(sum(greatest(0, e - greatest(s, coalesce(reach,
       ORDER BY ts_ns, ts_ns + dur_ns, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
     FROM trace_event WHERE ph = 'X') a GROUP BY 1, 2, 3
 """)
-def _(ev):
-    spans = ev.filter("ph = 'X'").select("trace_id", "pid", "tid", F.col("ts_ns").alias("start_ns"),
+def _(t):
+    spans = t.events.filter("ph = 'X'").select("trace_id", "pid", "tid", F.col("ts_ns").alias("start_ns"),
                                          (F.col("ts_ns") + F.col("dur_ns")).alias("end_ns"))
     key = ["trace_id", "pid", "tid"]
     return intervals.covered_length(intervals.merge_intervals(spans, key, "start_ns", "end_ns"), key, "start_ns", "end_ns")
@@ -280,8 +293,8 @@ SELECT trace_id, CAST(sum(CASE WHEN h > 0 THEN nxt - t ELSE 0 END) AS BIGINT) AS
       FROM trace_event WHERE ph = 'X' AND cat <> 'gpu_user_annotation') a GROUP BY 1, 2) b
   WINDOW w AS (PARTITION BY trace_id ORDER BY t)) c WHERE nxt IS NOT NULL GROUP BY 1
 """)
-def _(ev):
-    spans = ev.filter("ph = 'X' AND cat <> 'gpu_user_annotation'").select(
+def _(t):
+    spans = t.events.filter("ph = 'X' AND cat <> 'gpu_user_annotation'").select(
         "trace_id", F.when(F.col("pid") == "0", "host").otherwise("device").alias("side"),
         F.col("ts_ns").alias("s"), (F.col("ts_ns") + F.col("dur_ns")).alias("e"))
     return intervals.union_overlaps(spans, ["trace_id"], "s", "e", "side", ["host", "device"], "device")
@@ -295,8 +308,8 @@ SELECT trace_id, idx, gap_ns, before_name, before_dur_ns, after_name, after_dur_
     lag(dur_ns) OVER w AS before_dur_ns, name AS after_name, dur_ns AS after_dur_ns
   FROM o_prim WINDOW w AS (PARTITION BY trace_id ORDER BY ts_ns, idx)) x WHERE gap_ns > 0
 """)
-def _(ev):
-    return device.kernel_gaps(ev)
+def _(t):
+    return device.kernel_gaps(t)
 
 
 @query("t14_top_gaps", """
@@ -305,8 +318,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY gap_n
     lag(dur_ns) OVER w AS before_dur_ns, name AS after_name, dur_ns AS after_dur_ns
   FROM o_prim WINDOW w AS (PARTITION BY trace_id ORDER BY ts_ns, idx)) x WHERE gap_ns > 0) y WHERE rank <= 15
 """)
-def _(ev):
-    return device.top_gaps(device.kernel_gaps(ev))
+def _(t):
+    return device.top_gaps(device.kernel_gaps(t))
 
 
 @query("t14_gap_per_step", """
@@ -314,8 +327,8 @@ SELECT trace_id, count(*) AS n_gaps, CAST(sum(gap_ns) AS DOUBLE) / any_value(n_s
   SELECT trace_id, ts_ns - lag(ts_ns + dur_ns) OVER (PARTITION BY trace_id ORDER BY ts_ns, idx) AS gap_ns FROM o_prim) x
 JOIN o_sum USING (trace_id) WHERE gap_ns > 0 GROUP BY 1
 """)
-def _(ev):
-    return device.gap_per_step(device.kernel_gaps(ev), trace_dims.step_summary(ev))
+def _(t):
+    return device.gap_per_step(device.kernel_gaps(t), t.summary)
 
 
 _TOP_KERNELS = """
@@ -327,8 +340,8 @@ JOIN o_sum USING (trace_id) WHERE rank <= 30
 
 
 @query("a04_top_kernels", _TOP_KERNELS)
-def _(ev):
-    return device.top_kernels(ev)
+def _(t):
+    return device.top_kernels(t)
 
 
 @query("a04_device_timeline", """
@@ -338,8 +351,8 @@ SELECT trace_id, kernel_ns, device_step_ns, kernel_ns / device_step_ns * 100 AS
 JOIN (SELECT trace_id, CAST(sum(dur_ns) AS DOUBLE) / count(*) AS device_step_ns, count(*) AS n_device_steps FROM o_dstep GROUP BY 1) b
 USING (trace_id)
 """)
-def _(ev):
-    return device.device_timeline(ev)
+def _(t):
+    return device.device_timeline(t)
 
 
 _HOST_MODULES = """
@@ -351,17 +364,16 @@ JOIN o_mod m ON m.trace_id = h.trace_id AND m.idx = h.idx GROUP BY 1, 2, 3
 
 
 @query("a05_kernel_host_modules", _HOST_MODULES)
-def _(ev):
-    return device.kernel_host_modules(ev)
+def _(t):
+    return device.kernel_host_modules(t)
 
 
 @query("a05_hot_kernel_modules", f"""
 SELECT k.trace_id, k.name, module, h.dur_ns, row_number() OVER (PARTITION BY k.trace_id, k.name ORDER BY h.dur_ns DESC NULLS LAST, module) AS module_rank
 FROM ({_TOP_KERNELS}) k LEFT JOIN ({_HOST_MODULES}) h ON k.trace_id = h.trace_id AND k.name = h.name
 """)
-def _(ev):
-    t = trace_dims.threads(ev)
-    return device.hot_kernel_modules(device.top_kernels(ev, t), device.kernel_host_modules(ev, t))
+def _(t):
+    return device.hot_kernel_modules(device.top_kernels(t), device.kernel_host_modules(t))
 
 
 _TOTALS = """
@@ -376,16 +388,16 @@ JOIN o_sum USING (trace_id) WHERE NOT (grain = 'cat' AND side = 'host')
 
 
 @query("a06_device_host_totals", _TOTALS)
-def _(ev):
-    return device.device_host_totals(ev)
+def _(t):
+    return device.device_host_totals(t)
 
 
 @query("a06_top_device_host_ops", f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, side ORDER BY total_ns DESC, key) AS rank
 FROM ({_TOTALS}) t WHERE grain = 'name') x WHERE rank <= 20
 """)
-def _(ev):
-    return device.top_device_host_ops(device.device_host_totals(ev))
+def _(t):
+    return device.top_device_host_ops(device.device_host_totals(t))
 
 
 _OVERLAP_OPS = """
@@ -414,8 +426,8 @@ FROM o_step s LEFT JOIN (
 
 
 @query("a08_overlap_by_step", _OVERLAP)
-def _(ev):
-    return device.overlap_by_step(ev)
+def _(t):
+    return device.overlap_by_step(t)
 
 
 _pct = lambda part, whole: f"CASE WHEN {whole} > 0 THEN {part} / {whole} * 100 ELSE 0.0 END"
@@ -431,9 +443,8 @@ SELECT *, {_pct('comm_overlap_ns', 'comm_ns')} AS comm_overlap_pct, {_pct('memcp
 JOIN (SELECT trace_id, count(*) FILTER (stream_kind = 'comm') AS n_comm_streams, count(*) FILTER (stream_kind = 'memcpy') AS n_memcpy_streams
       FROM o_thread GROUP BY 1) t USING (trace_id)
 """)
-def _(ev):
-    t = trace_dims.threads(ev)
-    return device.comm_compute_overlap(device.overlap_by_step(ev, t), t)
+def _(t):
+    return device.comm_compute_overlap(device.overlap_by_step(t), t.threads)
 
 
 @query("a08_top_comm_kernels", f"""
@@ -441,8 +452,8 @@ SELECT trace_id, name, CAST(ns AS DOUBLE) / n_steps AS dur_ns, rank FROM (
   SELECT trace_id, name, sum(b - a) AS ns, row_number() OVER (PARTITION BY trace_id ORDER BY sum(b - a) DESC, name) AS rank
   FROM ({_OVERLAP_OPS}) o WHERE kind = 'comm' GROUP BY 1, 2) x JOIN o_sum USING (trace_id) WHERE rank <= 15
 """)
-def _(ev):
-    return device.top_comm_kernels(ev)
+def _(t):
+    return device.top_comm_kernels(t)
 
 
 # ---------------------------------------------------------------- modules and threads
@@ -455,9 +466,8 @@ SELECT m.trace_id, m.name, parent, CAST(ns AS DOUBLE) / n_steps AS inclusive_ns,
   n_children, array_to_string(roles, ',') AS roles, CAST(depth AS BIGINT) AS depth
 FROM o_module m JOIN o_sum USING (trace_id) LEFT JOIN o_depth d ON d.trace_id = m.trace_id AND d.name = m.name
 """)
-def _(ev):
-    t, p = trace_dims.threads(ev), nesting.event_parents(ev)
-    out = modules.module_times(modules.module_calls(ev, t, p), trace_dims.step_summary(ev))
+def _(t):
+    out = modules.module_times(modules.module_calls(t), t.summary)
     return out.withColumn("roles", F.array_join("roles", ",")).drop("step_dur_ns")
 
 
@@ -465,8 +475,8 @@ def _(ev):
 SELECT trace_id, count(*) FILTER (role = 'main_thread') AS n_main_calls, count(*) FILTER (role = 'worker_thread') AS n_worker_calls
 FROM o_call GROUP BY 1
 """)
-def _(ev):
-    return modules.module_role_counts(modules.module_calls(ev, trace_dims.threads(ev), nesting.event_parents(ev)))
+def _(t):
+    return modules.module_role_counts(modules.module_calls(t))
 
 
 @query("a22_module_levels", f"""
@@ -478,9 +488,8 @@ SELECT trace_id, CAST(depth AS BIGINT) AS depth, row_number() OVER (PARTITION BY
   SELECT m.trace_id, m.name, roles, depth, n_calls, step_dur_ns, CAST(ns AS DOUBLE) / n_steps AS inclusive_ns, {_EXCL} AS exclusive_ns
   FROM o_module m JOIN o_sum USING (trace_id) JOIN o_depth d ON d.trace_id = m.trace_id AND d.name = m.name) x
 """)
-def _(ev):
-    t, p = trace_dims.threads(ev), nesting.event_parents(ev)
-    return modules.module_levels(modules.module_times(modules.module_calls(ev, t, p), trace_dims.step_summary(ev)))
+def _(t):
+    return modules.module_levels(modules.module_times(modules.module_calls(t), t.summary))
 
 
 @query("f12_thread_tag", """
@@ -490,9 +499,9 @@ SELECT trace_id, thread_tag, count(*) AS n FROM (
   FROM trace_event e JOIN o_thread t USING (trace_id, pid, tid) WHERE cat = 'python_function' AND role IS NOT NULL GROUP BY 1, 2) x
 GROUP BY 1, 2
 """)
-def _(ev):
-    t = trace_dims.threads(ev).filter("role is not null").select("trace_id", "pid", "tid", "role")
-    roles = ev.filter("cat = 'python_function'").join(t, ["trace_id", "pid", "tid"]).groupBy(
+def _(t):
+    known = t.threads.filter("role is not null").select("trace_id", "pid", "tid", "role")
+    roles = t.events.filter("cat = 'python_function'").join(known, ["trace_id", "pid", "tid"]).groupBy(
         "trace_id", "name").agg(F.collect_set("role").alias("roles"))
     return roles.groupBy("trace_id", labels.thread_tag(F.col("roles")).alias("thread_tag")).agg(
         F.count(F.lit(1)).alias("n"))
@@ -506,8 +515,8 @@ FROM o_thread t LEFT JOIN (SELECT trace_id, pid, tid, string_agg(m, '; ' ORDER B
         WHERE cat = 'python_function' AND name LIKE 'nn.Module:%') d GROUP BY 1, 2, 3) x USING (trace_id, pid, tid)
 WHERE role IN ('worker_thread', 'autograd_thread')
 """)
-def _(ev):
-    return modules.worker_threads(ev)
+def _(t):
+    return modules.worker_threads(t)
 
 
 @query("a07_worker_functions", """
@@ -518,8 +527,8 @@ SELECT trace_id, pid, tid, rank, name, dur_ns FROM (
     WHERE ph = 'X' AND e.dur_ns > 1000000) x
   WHERE r <= 10 AND cat = 'python_function' AND name NOT LIKE 'nn.Module:%' AND name NOT LIKE '%threading.py%') y WHERE rank <= 5
 """)
-def _(ev):
-    return modules.worker_functions(ev)
+def _(t):
+    return modules.worker_functions(t)
 
 
 @query("a09_thread_timelines", """
@@ -540,8 +549,8 @@ SELECT trace_id, pid, tid, lane_kind, rank, name, cat, ts_ns, dur_ns,
   WINDOW w AS (PARTITION BY e.trace_id, e.pid, e.tid, lane_kind ORDER BY e.dur_ns DESC, e.ts_ns, e.idx)) x
 LEFT JOIN o_parent p USING (trace_id, idx) WHERE rank <= k
 """)
-def _(ev):
-    return modules.thread_timelines(ev)
+def _(t):
+    return modules.thread_timelines(t)
 
 
 _STACKS = f"""
@@ -553,8 +562,8 @@ GROUP BY 1, 2 HAVING count(*) FILTER (len(e.stack_traces) > 0) > 0
 
 
 @query("a10_kernel_call_stacks", _STACKS, stacks=True)
-def _(ev):
-    return device.kernel_call_stacks(ev, device.top_kernels(ev))
+def _(t):
+    return device.kernel_call_stacks(t.events, device.top_kernels(t))
 
 
 @query("f13_framework_kernels", f"""
@@ -564,7 +573,7 @@ SELECT k.trace_id, k.name, dur_ns, k.n_calls, op_name, 'https://example.org/vend
 LEFT JOIN ({_STACKS}) s ON s.trace_id = k.trace_id AND s.name = k.name
 WHERE lower(k.name) LIKE '%vendor%' OR lower(coalesce(stack, '')) LIKE '%vendor%'
 """, stacks=True)
-def _(ev):
-    hot = device.top_kernels(ev)
-    return device.framework_kernels(hot, device.kernel_call_stacks(ev, hot), "vendor", ["vendor", "vendor_torch"],
+def _(t):
+    hot = device.top_kernels(t)
+    return device.framework_kernels(hot, device.kernel_call_stacks(t.events, hot), "vendor", ["vendor", "vendor_torch"],
                                     "https://example.org/vendor")
