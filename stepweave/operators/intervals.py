@@ -126,3 +126,20 @@ def join_overlapping(
                *[c for c in right.columns if c not in keys]]
     return left_in.filter(touches).select(*columns).unionByName(
         right_in.filter(F.col(r_start) > F.col(l_start)).select(*columns))
+
+
+def last_mark_at(
+    points: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, mark: str, out: str,
+    rows: int | None = None,
+) -> DataFrame:
+    """As-of join: add ``out``, the largest ``mark`` that is <= ``at`` under the same keys.
+
+    Points and marks are sorted together and a running maximum carries the mark forward,
+    so no pair of a point and a mark is ever built.
+    """
+    keys = list(keys)
+    times = marks.groupBy(*keys, F.col(mark).alias("_t")).agg(F.lit(0).alias("_point"))
+    both = points.withColumns({"_t": F.col(at), "_point": F.lit(1)}).unionByName(times, allowMissingColumns=True)
+    both = both.withColumn("_mark", F.when(F.col("_point") == 0, F.col("_t")))
+    c = running(chunked(both, keys, "_t", rows), ["_t", "_point"], {out: "_mark"}, "max")
+    return c.frame.filter("_point = 1").drop("_t", "_point", "_mark", "chunk")

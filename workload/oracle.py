@@ -132,6 +132,158 @@ UNION ALL
 SELECT m.trace_id, m.name, d.depth + 1 FROM o_depth d JOIN o_module m ON m.trace_id = d.trace_id AND m.parent = d.name
 """
 
+# ---- stacks: frames straight from the line items, never from the text
+CTES["o_frame"] = """
+SELECT e.trace_id, e.idx, e.name, e.dur_ns, e.ts_ns, f.path, f.file, f.line, f.func, dense_rank() OVER (PARTITION BY e.trace_id, e.idx ORDER BY trace_no) - 1 AS trace_no,
+  row_number() OVER (PARTITION BY e.trace_id, e.idx, trace_no ORDER BY f.frame_no) - 1 AS frame_no, f.file <> 'f9.py' AS is_own
+FROM trace_event e JOIN frame f ON f.kernel_idx = e.idx WHERE e.cat = 'kernel' AND e.stack_traces IS NOT NULL
+"""
+CTES["o_stacked"] = """
+SELECT trace_id, idx, max(trace_no) + 1 AS n_stacks, bool_or(func = 'backward_step') AS is_bwd, bool_or(is_own) AS has_chains
+FROM o_frame GROUP BY 1, 2
+"""
+CTES["o_loc"] = """
+SELECT c.file, c.line, c.class, c.class_start, (SELECT arg_min(m.method, m.ord) FROM source_span m WHERE m.file = c.file AND m.class = c.class
+  AND m.method IS NOT NULL AND c.line BETWEEN m.start_line AND m.end_line) AS method FROM (
+  SELECT l.file, l.line, arg_min(s.class, s.ord) AS class, arg_min(s.start_line, s.ord) AS class_start
+  FROM (SELECT DISTINCT file, line FROM frame) l JOIN source_span s ON s.file = l.file AND s.method IS NULL
+    AND l.line BETWEEN s.start_line AND s.end_line GROUP BY 1, 2) c
+"""
+CTES["o_key"] = """
+SELECT trace_id, idx, trace_no, frame_no, class, coalesce(from_file, '<root>') AS site_file, coalesce(from_line, class_start) AS site_line,
+  coalesce(list({'file': coalesce(from_file, '<root>'), 'line': coalesce(from_line, class_start)}) OVER (PARTITION BY trace_id, idx, trace_no
+    ORDER BY frame_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS ancestors FROM (
+  SELECT f.trace_id, f.idx, f.trace_no, f.frame_no, l.class, l.class_start,
+    last_value(l.class IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen,
+    lag(f.file) OVER w AS from_file, lag(f.line) OVER w AS from_line
+  FROM o_frame f LEFT JOIN o_loc l ON l.file = f.file AND l.line = f.line WHERE is_own
+  WINDOW w AS (PARTITION BY f.trace_id, f.idx, f.trace_no ORDER BY f.frame_no)) x
+WHERE class IS NOT NULL AND (seen IS NULL OR seen <> class)
+"""
+CTES["o_leaf"] = """
+SELECT trace_id, idx, trace_no, arg_max({'class': class, 'site_file': site_file, 'site_line': site_line, 'ancestors': ancestors}, frame_no) AS leaf
+FROM o_key GROUP BY 1, 2, 3
+"""
+# ---- flows
+CTES["o_flow"] = """
+SELECT * FROM (SELECT trace_id, flow_id, arg_max(ts_ns, idx) FILTER (ph = 's') AS fwd_ts, arg_max(tid, idx) FILTER (ph = 's') AS fwd_tid,
+  arg_max(ts_ns, idx) FILTER (ph = 'f') AS bwd_ts, arg_max(tid, idx) FILTER (ph = 'f') AS bwd_tid, min(idx) AS first_idx
+FROM trace_event WHERE cat = 'fwdbwd' AND flow_id IS NOT NULL GROUP BY 1, 2) x WHERE fwd_ts IS NOT NULL AND bwd_ts IS NOT NULL
+"""
+CTES["o_op"] = """
+SELECT trace_id, tid, idx, ts_ns AS a, ts_ns + dur_ns AS b, dur_ns FROM trace_event WHERE cat = 'cpu_op' AND dur_ns IS NOT NULL
+"""
+CTES["o_flow_op"] = """
+SELECT f.*, fo.a AS fwd_start, fo.b AS fwd_end, bo.idx AS bwd_op, bo.a AS bwd_start, bo.b AS bwd_end FROM o_flow f
+LEFT JOIN (SELECT f.trace_id, f.flow_id, arg_min(o, (o.dur_ns, o.a, o.idx)) AS o FROM o_flow f JOIN o_op o ON o.trace_id = f.trace_id AND o.tid = f.fwd_tid
+  AND f.fwd_ts BETWEEN o.a AND o.b GROUP BY 1, 2) x ON x.trace_id = f.trace_id AND x.flow_id = f.flow_id
+LEFT JOIN (SELECT f.trace_id, f.flow_id, arg_min(o, (o.dur_ns, o.a, o.idx)) AS o FROM o_flow f JOIN o_op o ON o.trace_id = f.trace_id AND o.tid = f.bwd_tid
+  AND f.bwd_ts BETWEEN o.a AND o.b GROUP BY 1, 2) y ON y.trace_id = f.trace_id AND y.flow_id = f.flow_id,
+LATERAL (SELECT x.o.a AS a, x.o.b AS b) fo, LATERAL (SELECT y.o.idx AS idx, y.o.a AS a, y.o.b AS b) bo
+"""
+CTES["o_kernel"] = """
+SELECT e.trace_id, e.idx, e.tid, e.ts_ns, e.dur_ns, e.external_id, s.idx IS NOT NULL AS has_stack, coalesce(s.is_bwd, false) AS bwd_stack,
+  coalesce(s.has_chains, false) AS has_chains, e.tid IN (SELECT bwd_tid FROM o_flow f WHERE f.trace_id = e.trace_id) OR coalesce(s.is_bwd, false) AS is_bwd
+FROM trace_event e LEFT JOIN o_stacked s ON s.trace_id = e.trace_id AND s.idx = e.idx WHERE cat = 'kernel' AND e.dur_ns > 0
+"""
+CTES["o_scope"] = """
+SELECT trace_id, idx, ts_ns, s.flow_id AS flow_id, s.fwd_tid AS fwd_tid, s.fwd_start AS fwd_start, s.fwd_end AS fwd_end FROM (
+  SELECT k.trace_id, k.idx, k.ts_ns, arg_max(f, (f.bwd_ts, f.first_idx)) AS s FROM o_kernel k JOIN o_flow_op f
+    ON f.trace_id = k.trace_id AND f.bwd_tid = k.tid AND f.bwd_ts <= k.ts_ns AND k.ts_ns BETWEEN f.bwd_start AND f.bwd_end GROUP BY ALL) x
+WHERE s.fwd_start IS NOT NULL
+"""
+CTES["o_lent"] = """
+SELECT k.trace_id, k.idx, arg_min(d.idx, (abs(d.ts_ns - k.ts_ns), d.ts_ns, d.idx)) AS donor_idx
+FROM o_kernel k JOIN o_scope s ON s.trace_id = k.trace_id AND s.idx = k.idx
+JOIN o_kernel d ON d.trace_id = k.trace_id AND d.tid = s.fwd_tid AND NOT d.is_bwd AND d.has_chains AND d.ts_ns BETWEEN s.fwd_start AND s.fwd_end
+WHERE NOT k.has_stack AND k.is_bwd GROUP BY 1, 2
+"""
+CTES["o_ext_span"] = """
+SELECT trace_id, pid, tid, idx, name, external_id, ts_ns, ts_ns + dur_ns AS e_ns, cat = 'python_function' AND name LIKE 'nn.Module:%' AS is_mod,
+  min(idx) OVER (PARTITION BY trace_id, pid, tid) AS thread_first,
+  row_number() OVER (PARTITION BY trace_id, pid, tid ORDER BY ts_ns, -dur_ns, CASE WHEN cat = 'python_function' THEN 0 ELSE 1 END, idx) AS pos
+FROM trace_event WHERE ph = 'X' AND dur_ns IS NOT NULL AND cat <> 'kernel'
+"""
+CTES["o_ext"] = """
+SELECT trace_id, external_id, arg_min(module, (thread_first, pos)) AS module FROM (
+  SELECT a.trace_id, a.external_id, a.thread_first, a.pos, arg_max(m.name, m.pos) AS module
+  FROM o_ext_span a JOIN o_ext_span m ON m.trace_id = a.trace_id AND m.pid = a.pid AND m.tid = a.tid AND m.is_mod
+    AND (m.pos = a.pos OR (m.pos < a.pos AND m.e_ns > a.ts_ns)) WHERE a.external_id IS NOT NULL GROUP BY 1, 2, 3, 4) x GROUP BY 1, 2
+"""
+CTES["o_kmod"] = """
+SELECT k.trace_id, k.idx, coalesce(x.module, m.module) AS module,
+  CASE WHEN x.module IS NOT NULL THEN 'external_id' WHEN m.module IS NOT NULL THEN 'parent' END AS via
+FROM o_kernel k LEFT JOIN o_ext x ON x.trace_id = k.trace_id AND x.external_id = k.external_id
+LEFT JOIN o_mod m ON m.trace_id = k.trace_id AND m.idx = k.idx
+"""
+# ---- phases
+CTES["o_pstep"] = """
+SELECT p.trace_id, row_number() OVER (PARTITION BY p.trace_id ORDER BY p.ts_ns, -p.dur_ns, p.idx) - 1 AS step_no, p.name AS step_name,
+  p.ts_ns AS step_start, p.e_ns AS step_end, c.body FROM o_main_span p
+JOIN (SELECT s.trace_id, m.parent_idx, arg_max(s.idx, (s.dur_ns, -s.ts_ns, -s.idx)) AS body FROM o_main_parent m
+      JOIN o_main_span s ON s.trace_id = m.trace_id AND s.idx = m.idx WHERE m.parent_idx IS NOT NULL GROUP BY 1, 2) c
+  ON c.trace_id = p.trace_id AND c.parent_idx = p.idx
+WHERE p.name LIKE 'ProfilerStep%' AND p.cat = 'user_annotation'
+"""
+CTES["o_second"] = """
+SELECT p.trace_id, p.step_no, s.idx, s.name, s.ts_ns, s.e_ns FROM o_pstep p JOIN o_main_parent m ON m.trace_id = p.trace_id AND m.parent_idx = p.body
+JOIN o_main_span s ON s.trace_id = m.trace_id AND s.idx = m.idx
+"""
+CTES["o_phase"] = """
+SELECT trace_id, step_no, 'optimize' AS phase, ts_ns AS phase_start, e_ns AS phase_end, name AS label FROM o_second
+WHERE name NOT LIKE '%forward_backward%' AND lower(name) LIKE '%optimize%'
+UNION ALL
+SELECT * FROM (SELECT x.trace_id, x.step_no, CASE WHEN lower(s.name) LIKE '%optimize%' THEN NULL
+    WHEN regexp_matches(lower(s.name), '(^|[^a-z])backward([^a-z]|$)') THEN 'backward'
+    WHEN regexp_matches(lower(s.name), '(^|[^a-z])forward([^a-z]|$)') THEN 'forward' END AS phase, s.ts_ns, s.e_ns, s.name
+  FROM o_second x JOIN o_main_parent m ON m.trace_id = x.trace_id AND m.parent_idx = x.idx
+  JOIN o_main_span s ON s.trace_id = m.trace_id AND s.idx = m.idx WHERE x.name LIKE '%forward_backward%') y WHERE phase IS NOT NULL
+"""
+CTES["o_kphase"] = """
+SELECT trace_id, idx, CASE WHEN greatest(f, b, o) <= 0 THEN 'other' WHEN f >= b AND f >= o THEN 'forward' WHEN b >= o THEN 'backward' ELSE 'optimize' END AS phase FROM (
+  SELECT k.trace_id, k.idx,
+    coalesce(sum(greatest(0, least(k.ts_ns + k.dur_ns, p.phase_end) - greatest(k.ts_ns, p.phase_start))) FILTER (p.phase = 'forward'), 0) AS f,
+    coalesce(sum(greatest(0, least(k.ts_ns + k.dur_ns, p.phase_end) - greatest(k.ts_ns, p.phase_start))) FILTER (p.phase = 'backward'), 0) AS b,
+    coalesce(sum(greatest(0, least(k.ts_ns + k.dur_ns, p.phase_end) - greatest(k.ts_ns, p.phase_start))) FILTER (p.phase = 'optimize'), 0) AS o
+  FROM o_kernel k LEFT JOIN (SELECT k.trace_id, k.idx, min(step_no) AS step_no FROM o_kernel k JOIN o_pstep s ON s.trace_id = k.trace_id
+      AND k.ts_ns + k.dur_ns >= s.step_start AND k.ts_ns <= s.step_end GROUP BY 1, 2) h ON h.trace_id = k.trace_id AND h.idx = k.idx
+  LEFT JOIN o_phase p ON p.trace_id = k.trace_id AND p.step_no = h.step_no GROUP BY 1, 2) x
+"""
+# ---- attribution
+CTES["o_attr"] = """
+SELECT k.trace_id, k.idx, k.dur_ns, k.bwd_stack AS is_bwd, v.leaf.class AS class, v.leaf.site_file AS site_file, v.leaf.site_line AS site_line, v.leaf.ancestors AS ancestors, v.n_hits,
+  sum(v.n_hits) OVER (PARTITION BY k.trace_id, k.idx) AS n_total, 'stack' AS rung
+FROM o_kernel k JOIN (SELECT trace_id, idx, leaf, count(*) AS n_hits FROM o_leaf GROUP BY 1, 2, 3) v ON v.trace_id = k.trace_id AND v.idx = k.idx
+UNION ALL
+SELECT trace_id, idx, dur_ns, bwd_stack, cls, CASE WHEN cls IS NOT NULL THEN '<wrapped>' END, CASE WHEN cls IS NOT NULL THEN
+    coalesce(CAST(nullif(regexp_extract(module, 'callsite: ([0-9]+)', 1), '') AS BIGINT), -CAST(regexp_extract(module, '_([0-9]+)', 1) AS BIGINT)) END,
+  CASE WHEN cls IS NOT NULL THEN [] END, 1, 1, CASE WHEN cls IS NOT NULL THEN 'wrapped' ELSE 'none' END FROM (
+  SELECT k.*, m.module, nullif(regexp_replace(regexp_replace(regexp_replace(replace(m.module, 'nn.Module: ', ''), ', callsite: [0-9]+', ''), '_[0-9]+$', ''), '^FSDP', ''), '') AS cls
+  FROM o_kernel k LEFT JOIN o_kmod m ON m.trace_id = k.trace_id AND m.idx = k.idx
+  WHERE NOT EXISTS (SELECT 1 FROM o_leaf l WHERE l.trace_id = k.trace_id AND l.idx = k.idx)) w
+"""
+CTES["o_self"] = """
+SELECT a.trace_id, class, site_file, site_line, ancestors,
+  coalesce(sum(CAST(dur_ns AS DOUBLE) * n_hits / n_total) FILTER (phase = 'forward'), 0) / any_value(n) AS f,
+  coalesce(sum(CAST(dur_ns AS DOUBLE) * n_hits / n_total) FILTER (phase = 'backward'), 0) / any_value(n) AS b,
+  coalesce(sum(CAST(dur_ns AS DOUBLE) * n_hits / n_total) FILTER (phase = 'optimize'), 0) / any_value(n) AS o,
+  coalesce(sum(CAST(dur_ns AS DOUBLE) * n_hits / n_total) FILTER (phase = 'other'), 0) / any_value(n) AS x
+FROM o_attr a JOIN o_kphase p ON p.trace_id = a.trace_id AND p.idx = a.idx
+JOIN (SELECT trace_id, count(*) AS n FROM o_pstep GROUP BY 1) s ON s.trace_id = a.trace_id WHERE class IS NOT NULL GROUP BY 1, 2, 3, 4, 5
+"""
+CTES["o_climb(trace_id, class, site_file, site_line, ancestors, f, b, o, x)"] = """
+SELECT * FROM o_self
+UNION ALL
+SELECT c.trace_id, l.class, c.ancestors[len(c.ancestors)].file, c.ancestors[len(c.ancestors)].line, c.ancestors[1:len(c.ancestors) - 1], c.f, c.b, c.o, c.x
+FROM o_climb c JOIN o_loc l ON l.file = c.site_file AND l.line = c.site_line WHERE len(c.ancestors) > 0
+"""
+CTES["o_inst"] = """
+SELECT i.*, coalesce(s.f, 0) AS self_f, coalesce(s.b, 0) AS self_b, coalesce(s.o, 0) AS self_o, coalesce(s.x, 0) AS self_x,
+  s.class IS NULL AS synthesized, NOT (len(i.ancestors) > 0 AND EXISTS (SELECT 1 FROM o_loc l WHERE l.file = i.site_file AND l.line = i.site_line)) AS is_orphan
+FROM (SELECT trace_id, class, site_file, site_line, ancestors, sum(f) AS f, sum(b) AS b, sum(o) AS o, sum(x) AS x FROM o_climb GROUP BY 1, 2, 3, 4, 5) i
+LEFT JOIN o_self s ON s.trace_id = i.trace_id AND s.class = i.class AND s.site_file = i.site_file AND s.site_line = i.site_line AND s.ancestors = i.ancestors
+"""
+
 
 def _short(name: str) -> str:
     return name.split("(")[0]
@@ -154,4 +306,6 @@ def with_ctes(sql: str, stacks: bool = False) -> str:
     words = text.replace("(", " ").replace(")", " ").replace(",", " ").split()
     base = duckdb_ctes([v for v in VIEWS if v in words], stacks)
     parts = [f"{n} AS ({b})" for n, b in base] + [f"{k} AS ({CTES[k].strip()})" for k in names]
+    if sql.strip().startswith("WITH "):
+        sql = f"SELECT * FROM ({sql.strip()}) q"
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + sql.strip()

@@ -61,10 +61,10 @@ VIEWS["trace_base"] = """
 SELECT concat('t', CAST((u {div} 2) % 4 AS {str})) AS trace_id, event_id AS idx, u, k,
   CAST(u % 2 AS {str}) AS pid,
   CASE WHEN u % 2 = 0 AND (u {div} 8) % 5 = 0 THEN 'main' ELSE CAST(u AS {str}) END AS tid,
-  CASE WHEN u % 2 = 0 AND et = 'signup' THEN 's' WHEN u % 2 = 0 AND et = 'error' THEN 'f' ELSE 'X' END AS ph,
+  CASE WHEN u % 2 = 0 AND et = 'error' AND (u {div} 8) % 3 = 1 THEN 'f' WHEN u % 2 = 0 AND et IN ('signup', 'error') THEN 's' ELSE 'X' END AS ph,
   CASE WHEN u % 2 = 0 THEN
          CASE WHEN et = 'purchase' THEN 'python_function' WHEN et IN ('signup', 'error') THEN 'fwdbwd'
-              WHEN et = 'view' AND k % 4 = 0 THEN 'kernel' WHEN et = 'click' AND k % 3 = 0 THEN 'python_function'
+              WHEN et = 'view' AND k % 2 = 0 THEN 'kernel' WHEN et = 'click' AND k % 3 = 0 THEN 'python_function'
               ELSE 'cpu_op' END
        WHEN u % 10 = 3 THEN 'gpu_memcpy'
        WHEN et = 'purchase' THEN 'gpu_memcpy' WHEN et = 'error' THEN 'gpu_memset' ELSE 'kernel' END AS cat,
@@ -72,7 +72,7 @@ SELECT concat('t', CAST((u {div} 2) % 4 AS {str})) AS trace_id, event_id AS idx,
          CASE k % 7 WHEN 0 THEN 'SyncRunner' WHEN 1 THEN 'DenseStage' WHEN 2 THEN 'FSDPEncoder' WHEN 3 THEN 'LinearHead'
                     WHEN 4 THEN 'SparseLookup' WHEN 5 THEN 'TailModule' ELSE 'Plain' END,
          '_', CAST(k % 3 AS {str}), CASE WHEN k % 5 = 0 THEN concat(', callsite: ', CAST(k AS {str})) ELSE '' END)
-       WHEN u % 2 = 0 AND et = 'view' AND k % 4 = 0 THEN concat('host_kernel_', CAST(k % 5 AS {str}))
+       WHEN u % 2 = 0 AND et = 'view' AND k % 2 = 0 THEN concat('host_kernel_', CAST(k % 5 AS {str}))
        WHEN u % 2 = 0 AND et = 'click' AND k % 30 = 0 THEN 'threading.py(12): run'
        WHEN u % 2 = 0 AND et = 'click' AND k % 3 = 0 THEN concat('data.py(', CAST(k AS {str}), '): fetch')
        WHEN u % 2 = 0 THEN concat('aten::op_', CAST(k % 25 AS {str}))
@@ -81,7 +81,8 @@ SELECT concat('t', CAST((u {div} 2) % 4 AS {str})) AS trace_id, event_id AS idx,
        ELSE concat('kernel_', CAST(k % 25 AS {str})) END AS name,
   ts_us * 1000 AS ts_ns,
   CASE WHEN u % 2 = 0 AND et IN ('signup', 'error') THEN NULL
-       WHEN u % 2 = 0 AND (u {div} 8) % 5 = 0 THEN cents * 20000000 ELSE cents * 2000000000 END AS dur_ns
+       WHEN u % 2 = 0 AND (u {div} 8) % 5 = 0 THEN cents * 20000000
+       WHEN u % 2 = 0 AND k % 5 = 3 AND et <> 'purchase' THEN cents * 40000000000 ELSE cents * 2000000000 END AS dur_ns
 FROM (SELECT event_id, user_id AS u, event_type AS et, {ts_us} AS ts_us,
              CAST(round(value * 100) AS BIGINT) AS cents, {k} AS k FROM events) e
 """
@@ -118,7 +119,7 @@ SELECT trace_id, ts_ns {div} 86400000000000 AS d FROM trace_base GROUP BY 1, 2
 
 VIEWS["trace_event"] = """
 SELECT b.trace_id, b.idx, b.ph, b.cat, b.name, b.pid, b.tid, b.ts_ns, b.dur_ns,
-  CASE WHEN b.cat = 'fwdbwd' THEN CAST(b.idx {div} 20 AS {str}) END AS flow_id,
+  CASE WHEN b.cat = 'fwdbwd' THEN CAST(b.idx {div} 40 AS {str}) END AS flow_id,
   CASE WHEN b.ph = 'X' THEN b.idx {div} 20 END AS external_id,
   CASE WHEN b.name LIKE 'nn.Module:%' THEN b.idx {div} 10 END AS py_id,
   CASE WHEN b.name LIKE 'nn.Module:%' AND b.trace_id <> 't3' THEN b.idx {div} 10 - 1 END AS py_parent_id,
