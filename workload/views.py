@@ -174,6 +174,35 @@ SELECT a.graph_id, a.node_id AS src_id, b.node_id AS dst_id
 FROM graph_node a JOIN graph_node b ON a.graph_id = b.graph_id AND b.node_id = a.node_id + 2
 """
 
+# What each node is, by quantity; some names are empty on purpose.
+VIEWS["graph_attr"] = """
+SELECT graph_id, node_id,
+  CASE qty % 9 WHEN 0 THEN 'input' WHEN 1 THEN 'forward_arg' WHEN 2 THEN 'param' WHEN 3 THEN 'const' WHEN 4 THEN 'output'
+    WHEN 5 THEN 'return_val' WHEN 6 THEN 'module' WHEN 7 THEN 'functional' ELSE 'container' END AS attr_kind,
+  CASE WHEN qty % 11 = 0 THEN '' ELSE concat('a', CAST(partkey % 50 AS {str})) END AS attr_name,
+  CASE WHEN qty % 13 = 0 THEN '' ELSE concat('K', CAST(line % 5 AS {str})) END AS class_name,
+  CASE WHEN qty % 5 = 0 THEN '' ELSE 'feed' END AS kind, partkey % 4 AS arg_index,
+  CASE WHEN qty % 4 = 0 THEN '' ELSE concat('p', CAST(partkey % 9 AS {str})) END AS param_name, 'zeros' AS op_name,
+  CASE WHEN qty % 7 = 0 THEN '' ELSE concat('head', CAST(partkey % 3 AS {str})) END AS head_name, partkey % 3 AS ret_index,
+  CASE WHEN qty % 2 = 0 THEN NULL ELSE concat('r', CAST(partkey % 6 AS {str})) END AS ret_key, 'ModuleList' AS container_kind,
+  qty % 2 = 0 AS is_native
+FROM graph_node
+"""
+
+# One tree of all customers under nations under regions.
+VIEWS["tree"] = """
+SELECT 'g0' AS graph_id, concat('r', CAST(r_regionkey AS {str})) AS node_id, CAST(NULL AS {str}) AS parent_id, CAST(r_regionkey AS BIGINT) AS ord,
+  CAST(r_regionkey AS {str}) AS key, lower(r_name) AS attr_name, CAST(0 AS BIGINT) AS cents FROM region
+UNION ALL SELECT 'g0', concat('n', CAST(n_nationkey AS {str})), concat('r', CAST(n_regionkey AS {str})), CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS {str}), lower(n_name), 0 FROM nation
+UNION ALL SELECT 'g0', concat('c', CAST(c_custkey AS {str})), concat('n', CAST(c_nationkey AS {str})), c_custkey, CAST(c_custkey AS {str}), lower(c_name), CAST(round(c_acctbal * 100) AS BIGINT) FROM customer
+"""
+
+# Data moves from each customer to the next one.
+VIEWS["tree_edge"] = """
+SELECT 'g0' AS graph_id, concat('c', CAST(a.c_custkey AS {str})) AS src_id, concat('c', CAST(b.c_custkey AS {str})) AS dst_id
+FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1
+"""
+
 
 def _needs(name: str, stacks: bool) -> list[str]:
     text = VIEWS[name]
