@@ -6,10 +6,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.graph.closure import ancestors
+from stepweave.operators.chunks import chunked, running
 from stepweave.session import materialize
 
 # Module classes that only hold other modules.
@@ -47,11 +48,14 @@ def missing_containers(attrs: DataFrame, nodes: DataFrame, closure: DataFrame |
         "graph_id", F.col("ancestor_id").alias("attr_id")).distinct()
     depth = closure.groupBy("graph_id", F.col("node_id").alias("attr_id")).agg(F.count(F.lit(1)).alias("_depth"))
     top_id = nodes.groupBy("graph_id").agg(F.max("node_id").alias("_top"))
-    order = Window.partitionBy("graph_id").orderBy(F.col("_depth").desc(), "attr_id")
-    return (
+    rows = (
         empty.join(alive, ["graph_id", "attr_id"], "left_semi").join(depth, ["graph_id", "attr_id"], "left")
         .withColumn("_depth", F.coalesce("_depth", F.lit(0))).join(top_id, "graph_id")
-        .select("graph_id", (F.col("_top") + F.row_number().over(order)).alias("node_id"), "attr_id", "attr_name",
+        .withColumns({"_minus_depth": -F.col("_depth"), "_one": F.lit(1)})
+    )
+    numbered = running(chunked(rows, ["graph_id"], "_minus_depth"), ["_minus_depth", "attr_id"], {"_place": "_one"}, "sum").frame
+    return (
+        numbered.select("graph_id", (F.col("_top") + F.col("_place")).alias("node_id"), "attr_id", "attr_name",
                 F.col("class_name").alias("container_kind"), (F.col("_depth") + 1).alias("path_depth"))
     )
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.operators.chunks import chunked, running
 from stepweave.session import materialize
 
 
@@ -21,7 +22,7 @@ def degrees(edges: DataFrame) -> DataFrame:
         F.count_if(F.col("side") == "in").alias("n_in"), F.count_if(F.col("side") == "out").alias("n_out"))
 
 
-def edge_bundles(edges: DataFrame) -> DataFrame:
+def edge_bundles(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Index and size of each edge among its parallels, fan-out and fan-in, and the draw offset.
 
     Fans are counted by aggregation: a hub would otherwise be one window of its own.
@@ -29,12 +30,13 @@ def edge_bundles(edges: DataFrame) -> DataFrame:
     fan_out = edges.groupBy("graph_id", "src_id").agg(F.count(F.lit(1)).alias("source_fanout"))
     fan_in = edges.groupBy("graph_id", "dst_id").agg(F.count(F.lit(1)).alias("target_fanin"))
     total = edges.groupBy("graph_id", "src_id", "dst_id").agg(F.count(F.lit(1)).alias("bundle_total"))
-    w = Window.partitionBy("graph_id", "src_id", "dst_id").orderBy("edge_ord")
     spread = F.greatest("source_fanout", "target_fanin", "bundle_total")
     base = F.when(F.col("bundle_total") <= 1, F.lit(0.0)).otherwise(
         F.col("bundle_index") - (F.col("bundle_total") - 1) / 2)
+    one = chunked(edges.withColumn("_one", F.lit(1)), ["graph_id", "src_id", "dst_id"], "edge_ord", rows)
+    numbered = running(one, ["edge_ord"], {"bundle_index": "_one"}, "sum").frame
     return (
-        edges.withColumn("bundle_index", (F.row_number().over(w) - 1).cast("bigint"))
+        numbered.withColumn("bundle_index", F.col("bundle_index") - 1).drop("_one", "chunk")
         .join(total, ["graph_id", "src_id", "dst_id"]).join(fan_out, ["graph_id", "src_id"]).join(fan_in, ["graph_id", "dst_id"])
         .withColumn("bundle_offset", base * F.least(F.lit(18.0), F.lit(7.0) + spread * F.lit(1.2)))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,14 +64,15 @@ class FlatGraphs:
             this = materialize(level.withColumn("d", F.from_json("text", LEVEL)))
             if this.isEmpty():
                 break
-            parsed.append(this)
+            parsed.append(this.drop("text"))
             inner = this.select("graph_id", "depth", F.explode("d.nodes").alias("n")).filter("n.inner_dag is not null")
             level = inner.select("graph_id", F.col("n.node_id").alias("owner_id"), (F.col("depth") + 1).alias("depth"),
                                  F.col("n.children_nodes").alias("children"), F.col("n.inner_dag").alias("text"))
-        self.levels = reduce(DataFrame.unionByName, parsed, level.withColumn("d", F.from_json("text", LEVEL)).limit(0))
+        self.levels = reduce(DataFrame.unionByName, parsed, level.withColumn("d", F.from_json("text", LEVEL)).drop("text").limit(0))
 
     # -------------------------------------------------------- rows of the levels
 
+    @cached_property
     def io_entries(self) -> DataFrame:
         parts = []
         for place, (section, kind) in enumerate(IO_SECTIONS.items()):
@@ -83,25 +84,26 @@ class FlatGraphs:
                 F.col("n.label").alias("label"), F.col("n.attr_name").alias("attr_name"),
                 F.col("n.class_name").alias("class_name"), F.col("n.call_loc").alias("call_loc"),
                 F.col("children").isNotNull().alias("in_container")))
-        return reduce(DataFrame.unionByName, parts)
+        return materialize(reduce(DataFrame.unionByName, parts))
 
+    @cached_property
     def node_entries(self) -> DataFrame:
         """Nodes of all levels; in a container only the listed children are kept, in list order."""
         rows = self.levels.select("graph_id", "owner_id", "depth", "children", F.posexplode("d.nodes").alias("pos", "n"))
         place = F.when(F.col("children").isNull(), F.col("pos").cast("bigint")).otherwise(
             F.array_position("children", F.col("n.node_id")) - 1)
-        return rows.select(
+        return materialize(rows.select(
             "graph_id", "owner_id", "depth", place.alias("ord"), F.col("n.node_id").alias("node_id"),
             *[F.col(f"n.{c}").alias(c) for c in (
                 "label", "attr_name", "class_name", "attr_type", "call_loc", "def_loc", "class_def_loc", "is_native",
                 "is_synthetic", "synthetic_type")],
             F.col("n.children_nodes").isNotNull().alias("is_container"), F.col("n.inner_dag").isNotNull().alias("is_group"),
-        ).filter("ord >= 0")
+        ).filter("ord >= 0"))
 
     # -------------------------------------------------------- output tables
 
     def groups(self) -> DataFrame:
-        g = self.node_entries().filter("is_group")
+        g = self.node_entries.filter("is_group")
         kind = F.when(F.col("is_container"), "container_group").otherwise("group")
         return g.select("graph_id", F.col("node_id").alias("group_id"), F.col("owner_id").alias("parent_id"), "depth", "ord",
                         "label", "class_name", "attr_name", kind.alias("node_type"),
@@ -110,18 +112,18 @@ class FlatGraphs:
 
     def leaves(self) -> DataFrame:
         """Operators, modules and IO nodes; ports are not leaves, nor is the IO inside containers."""
-        n = self.node_entries().filter("not is_group").select(
+        n = self.node_entries.filter("not is_group").select(
             "graph_id", "node_id", F.col("owner_id").alias("parent_id"), "depth",
             (F.col("ord") + len(IO_SECTIONS) * 1_000_000).alias("ord"), "label", F.col("attr_type").alias("node_type"),
             "attr_name", "class_name", "call_loc")
-        io = self.io_entries().filter(~F.col("io_subtype").isin("forward_arg", "return_val") & ~F.col("in_container")).select(
+        io = self.io_entries.filter(~F.col("io_subtype").isin("forward_arg", "return_val") & ~F.col("in_container")).select(
             "graph_id", "node_id", F.col("owner_id").alias("parent_id"), "depth", "ord", "label",
             F.col("io_subtype").alias("node_type"), "attr_name", "class_name", "call_loc")
         return n.unionByName(io)
 
     def ports(self) -> DataFrame:
         """Arguments and return values of each group, numbered in order per side."""
-        io = self.io_entries().filter(F.col("owner_id").isNotNull() & F.col("section").isin("input_nodes", "output_nodes")
+        io = self.io_entries.filter(F.col("owner_id").isNotNull() & F.col("section").isin("input_nodes", "output_nodes")
                                       & F.col("io_subtype").isin("forward_arg", "return_val"))
         side = F.when(F.col("io_subtype") == "forward_arg", "in").otherwise("out")
         w = Window.partitionBy("graph_id", "group_id", "side").orderBy("ord")
@@ -149,22 +151,22 @@ class FlatGraphs:
                            F.col("e.dst_id").alias("dst_id"), F.col("e.is_containment").alias("is_containment"),
                            F.col("e.flows").alias("flows"), (F.coalesce(F.size("e.flows"), F.lit(0)) > 0).alias("has_flows"))
 
+    @cached_property
     def endpoints(self) -> DataFrame:
         part = lambda df, key: df.select("graph_id", F.col(key).alias("node_id"), "attr_name", "class_name", "call_loc")
-        return part(self.groups(), "group_id").unionByName(part(self.leaves(), "node_id")).unionByName(part(self.ports(), "node_id"))
+        return materialize(part(self.groups(), "group_id").unionByName(part(self.leaves(), "node_id")).unionByName(part(self.ports(), "node_id")))
 
     def serialized_ids(self) -> DataFrame:
-        walked = self.levels.filter("children is null").select("graph_id", F.col("owner_id"))
         nodes = self.levels.filter("children is null").select("graph_id", F.explode("d.nodes.node_id").alias("node_id"))
-        return nodes.unionByName(self.io_entries().filter("not in_container").select("graph_id", "node_id"))
+        return nodes.unionByName(self.io_entries.filter("not in_container").select("graph_id", "node_id"))
 
     def edges(self) -> tuple[DataFrame, DataFrame]:
         """(routed edges, violations)."""
-        return route_edges(self.raw_edges(), self.endpoints(), self.serialized_ids())
+        return route_edges(self.raw_edges(), self.endpoints, self.serialized_ids())
 
     def io_groups(self) -> DataFrame:
         """Collapsed group per kind of top-level input and output."""
-        io = self.io_entries().filter("owner_id is null")
+        io = self.io_entries.filter("owner_id is null")
         kind = F.create_map(*[F.lit(x) for kv in IO_SECTIONS.items() for x in kv])[F.col("section")]
         label = F.create_map(*[F.lit(x) for kv in IO_LABELS.items() for x in kv])
         sums = io.groupBy("graph_id", kind.alias("io_subtype")).agg(F.count(F.lit(1)).alias("n_members"))
@@ -174,7 +176,7 @@ class FlatGraphs:
 
     def io_members(self) -> DataFrame:
         kind = F.create_map(*[F.lit(x) for kv in IO_SECTIONS.items() for x in kv])[F.col("section")]
-        return self.io_entries().filter("owner_id is null").select(
+        return self.io_entries.filter("owner_id is null").select(
             "graph_id", F.concat(F.lit("io_group:"), kind).alias("group_id"), "node_id", "ord")
 
     def header(self) -> DataFrame:
@@ -196,14 +198,14 @@ class FlatGraphs:
         none = F.lit(None)
         for field in REQUIRED:
             add(self.levels.filter(F.col(f"d.{field}").isNull()), f"missing field: {field}", F.col("owner_id"))
-        ids = self.endpoints()
+        ids = self.endpoints
         add(ids.groupBy("graph_id", "node_id").count().filter("count > 1"), "duplicate node id", F.col("node_id"))
         m = self.members().groupBy("graph_id", "child_id").agg(F.count_distinct("parent_id").alias("n"))
         add(m.filter("n > 1"), "child of two groups", F.col("child_id"))
-        n = self.node_entries().filter("not is_group and coalesce(attr_type, '') not in ('module', 'functional')")
+        n = self.node_entries.filter("not is_group and coalesce(attr_type, '') not in ('module', 'functional')")
         add(n, "unsupported attr_type", F.col("node_id"))
         section_kinds = F.create_map(*[F.lit(x) for kv in IO_SECTIONS.items() for x in kv])[F.col("section")]
-        odd = self.io_entries().filter(F.col("owner_id").isNotNull() & ~F.col("io_subtype").isin("forward_arg", "return_val")
+        odd = self.io_entries.filter(F.col("owner_id").isNotNull() & ~F.col("io_subtype").isin("forward_arg", "return_val")
                                        & F.col("section").isin("input_nodes", "output_nodes") & (F.col("io_subtype") != section_kinds))
         add(odd, "unsupported io_subtype", F.col("node_id"))
         top = self.io_members().groupBy("graph_id", "node_id").count().filter("count > 1")

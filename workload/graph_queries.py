@@ -562,17 +562,20 @@ def _(g):
 
 # ---------------------------------------------------------------- edges for display
 
+# All orders in one graph per line status: many parallel edges between few nodes.
 @query("g25_edge_bundles", """
 SELECT *, CASE WHEN bundle_total <= 1 THEN 0.0 ELSE bundle_index - (bundle_total - 1) / 2 END
     * least(18.0::DOUBLE, 7.0::DOUBLE + greatest(source_fanout, target_fanin, bundle_total) * 1.2::DOUBLE) AS bundle_offset FROM (
-  SELECT CAST(graph_id % 50 AS VARCHAR) AS graph_id, src_id, dst_id, edge_ord, count(*) OVER (PARTITION BY graph_id % 50, src_id, dst_id) AS bundle_total,
-    row_number() OVER (PARTITION BY graph_id % 50, src_id, dst_id ORDER BY edge_ord) - 1 AS bundle_index,
-    count(*) OVER (PARTITION BY graph_id % 50, src_id) AS source_fanout, count(*) OVER (PARTITION BY graph_id % 50, dst_id) AS target_fanin
-  FROM (SELECT CAST(graph_id AS BIGINT) AS graph_id, src_id, dst_id, CAST(graph_id AS BIGINT) * 100 + src_id * 10 + dst_id AS edge_ord FROM graph_edge) e) x
+  SELECT graph_id, src_id, dst_id, edge_ord, count(*) OVER (PARTITION BY graph_id, src_id, dst_id) AS bundle_total,
+    row_number() OVER (PARTITION BY graph_id, src_id, dst_id ORDER BY edge_ord) - 1 AS bundle_index,
+    count(*) OVER (PARTITION BY graph_id, src_id) AS source_fanout, count(*) OVER (PARTITION BY graph_id, dst_id) AS target_fanin
+  FROM (SELECT n.container AS graph_id, src_id, dst_id, CAST(e.graph_id AS BIGINT) AS edge_ord FROM graph_edge e
+        JOIN graph_node n ON n.graph_id = e.graph_id AND n.node_id = e.src_id) e) x
 """)
 def _(g):
-    wide = g.edge.select((F.col("graph_id").cast("bigint") % 50).cast("string").alias("graph_id"), "src_id", "dst_id",
-                         (F.col("graph_id").cast("bigint") * 100 + F.col("src_id") * 10 + F.col("dst_id")).alias("edge_ord"))
+    status = g.node.select("graph_id", F.col("node_id").alias("src_id"), "container")
+    wide = g.edge.join(status, ["graph_id", "src_id"]).select(
+        F.col("container").alias("graph_id"), "src_id", "dst_id", F.col("graph_id").cast("bigint").alias("edge_ord"))
     return edges.edge_bundles(wide)
 
 
@@ -649,10 +652,10 @@ def _(g):
 
 
 @query("a21_top_timed", """
-SELECT graph_id, id, pct, rank FROM (SELECT CAST(graph_id AS BIGINT) % 20 AS graph_id, graph_id || ':' || node_id AS id, CAST(qty AS DOUBLE) AS pct,
-  row_number() OVER (PARTITION BY CAST(graph_id AS BIGINT) % 20 ORDER BY qty DESC, graph_id || ':' || node_id) AS rank FROM graph_node WHERE helper <> 'N') x WHERE rank <= 5
+SELECT graph_id, id, pct, rank FROM (SELECT container AS graph_id, graph_id || ':' || node_id AS id, CAST(qty AS DOUBLE) AS pct,
+  row_number() OVER (PARTITION BY container ORDER BY qty DESC, graph_id || ':' || node_id) AS rank FROM graph_node WHERE helper <> 'N') x WHERE rank <= 5
 """)
 def _(g):
-    items = g.node.select((F.col("graph_id").cast("bigint") % 20).alias("graph_id"), F.concat_ws(":", "graph_id", "node_id").alias("id"),
+    items = g.node.select(F.col("container").alias("graph_id"), F.concat_ws(":", "graph_id", "node_id").alias("id"),
                           F.col("qty").cast("double").alias("pct"), (F.col("helper") != "N").alias("has_timing"))
-    return rollup.top_timed(items)
+    return rollup.top_timed(items).drop("has_timing")

@@ -17,6 +17,7 @@ from workload.views import spark_view
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+SELECTS: dict[str, str] = {}  # the same, without the shared texts in front
 
 
 _LANDED: dict[tuple[str, str], TraceTables] = {}
@@ -34,7 +35,7 @@ def query(name: str, sql: str | None = None, stacks: bool = False):
     def add(fn: Callable[[TraceTables], DataFrame]):
         QUERIES[name] = lambda spark, sf: fn(trace_tables(spark, sf))
         if sql:
-            ORACLES[name] = with_ctes(sql, stacks)
+            ORACLES[name], SELECTS[name] = with_ctes(sql, stacks), sql
         return fn
     return add
 
