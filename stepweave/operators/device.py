@@ -11,7 +11,7 @@ from stepweave.functions.labels import namespace_op, percent
 from stepweave.operators.chunks import chunked, previous_row
 from stepweave.operators.intervals import join_overlapping, union_overlaps
 from stepweave.operators.nesting import is_module_event
-from stepweave.operators.trace_dims import clipped_in_steps
+from stepweave.operators.trace_dims import clipped_in_steps, step_at_start
 from stepweave.plans.tables import TraceTables
 from stepweave.schema import DEVICE_CATS, THREAD_KEY
 
@@ -73,14 +73,19 @@ def top_kernels(t: TraceTables, k: int = 30) -> DataFrame:
 
 
 def kernel_gaps(t: TraceTables, rows: int | None = None) -> DataFrame:
-    """Idle time before each operation of the primary stream (end of the row just before it)."""
+    """Idle time before each operation of the primary stream (end of the row just before it).
+
+    Gaps are not cut to steps; ``within_step`` tells those that lie inside one host step.
+    """
     ops = primary_stream_ops(t).select(
         *THREAD_KEY, "idx", "name", "ts_ns", "dur_ns")
     c = chunked(ops, THREAD_KEY, "ts_ns", rows)
     frame = previous_row(c, ["ts_ns", "idx"], ["ts_ns", "dur_ns", "name"], "before").frame
     gap = F.col("ts_ns") - F.col("before.ts_ns") - F.col("before.dur_ns")
-    return frame.withColumn("gap_ns", gap).filter("gap_ns > 0").select(
-        "trace_id", "idx", "gap_ns", F.col("before.name").alias("before_name"),
+    gaps = step_at_start(frame.withColumn("gap_ns", gap).filter("gap_ns > 0"), t.steps)
+    within = F.coalesce(F.col("ts_ns") - F.col("gap_ns") >= F.col("step_start"), F.lit(False))
+    return gaps.select(
+        "trace_id", "idx", "gap_ns", within.alias("within_step"), F.col("before.name").alias("before_name"),
         F.col("before.dur_ns").alias("before_dur_ns"), F.col("name").alias("after_name"),
         F.col("dur_ns").alias("after_dur_ns"))
 

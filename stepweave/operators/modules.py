@@ -53,6 +53,18 @@ def module_times(calls: DataFrame, summary: DataFrame) -> DataFrame:
     return name_depths(out)
 
 
+def event_exclusive(calls: DataFrame) -> DataFrame:
+    """Exclusive time per call: what its direct child calls leave over.
+
+    Unlike the figure by name, a child counts only against the call it ran in.
+    """
+    below = calls.filter("module_idx is not null").groupBy("trace_id", F.col("module_idx").alias("idx")).agg(
+        F.sum("clipped_ns").alias("_below"))
+    return calls.join(below, ["trace_id", "idx"], "left").select(
+        "trace_id", "idx", "name", F.col("clipped_ns").alias("inclusive_ns"),
+        F.greatest(_zero(), F.col("clipped_ns") - F.coalesce("_below", _zero())).alias("exclusive_ns"))
+
+
 def name_depths(table: DataFrame) -> DataFrame:
     """Add ``depth`` along ``parent`` (ROOT children are 0); names on a cycle get NULL.
 

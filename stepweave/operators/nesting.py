@@ -161,22 +161,30 @@ def event_parents(events: DataFrame, rows: int | None = None) -> DataFrame:
     return enclosing_events(spans, rows=rows).withColumnRenamed("tag_idx", "module_idx")
 
 
-def main_thread_tree(events: DataFrame, rows: int | None = None) -> DataFrame:
-    """Parents on the thread with the most step annotations (touching events are siblings)."""
+def main_thread_tree(
+    events: DataFrame, rows: int | None = None, thread_key: Sequence[str] = THREAD_KEY
+) -> DataFrame:
+    """Parents on the thread with the most step annotations (touching events are siblings).
+
+    With ``thread_key=("trace_id", "tid")`` threads of equal tid in several processes are one.
+    """
+    key = [k for k in thread_key if k != "trace_id"]
     steps = events.filter(
         F.col("name").startswith("ProfilerStep") & (F.col("ph") == "X") & (F.col("cat") == "user_annotation"))
     main = (
-        steps.groupBy("trace_id", "pid", "tid").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
+        steps.groupBy(*thread_key).agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
         .groupBy("trace_id")
-        .agg(F.max_by(F.struct("pid", "tid"), F.struct("n", -F.col("first"))).alias("m"))
-        .select("trace_id", "m.pid", "m.tid")
+        .agg(F.max_by(F.struct(*key), F.struct("n", -F.col("first"))).alias("m"))
+        .select("trace_id", "m.*")
     )
     spans = events.filter((F.col("ph") == "X") & F.col("dur_ns").isNotNull()).join(
-        main, list(THREAD_KEY), "left_semi")
-    return enclosing_events(spans, closed=False, order=OUTER_FIRST, rows=rows).drop("tag_idx")
+        main, list(thread_key), "left_semi")
+    return enclosing_events(spans, closed=False, order=OUTER_FIRST, keys=thread_key, rows=rows).drop("tag_idx")
 
 
-def external_id_modules(events: DataFrame, rows: int | None = None) -> DataFrame:
+def external_id_modules(
+    events: DataFrame, rows: int | None = None, thread_key: Sequence[str] = THREAD_KEY
+) -> DataFrame:
     """External id -> name of the innermost open module; the first one seen wins.
 
     "First" means: threads in order of first appearance, then start time, longer first,
@@ -185,10 +193,10 @@ def external_id_modules(events: DataFrame, rows: int | None = None) -> DataFrame
     spans = events.filter((F.col("ph") == "X") & F.col("dur_ns").isNotNull() & (F.col("cat") != "kernel"))
     python_first = F.when(F.col("cat") == "python_function", 0).otherwise(1)
     inner = enclosing_events(
-        spans, closed=False, order=OUTER_FIRST, push=is_module_event(), own_first=True,
+        spans, closed=False, order=OUTER_FIRST, keys=thread_key, push=is_module_event(), own_first=True,
         rank=python_first, rows=rows,
     ).select("trace_id", "idx", F.col("parent_idx").alias("module_idx"))
-    first_seen = spans.groupBy(*THREAD_KEY).agg(F.min("idx").alias("_thread_first"))
+    first_seen = spans.groupBy(*thread_key).agg(F.min("idx").alias("_thread_first"))
     modules = spans.filter(is_module_event()).select(
         "trace_id", F.col("idx").alias("module_idx"), F.col("name").alias("module"))
     tagged = spans.filter(F.col("external_id").isNotNull())
@@ -196,6 +204,6 @@ def external_id_modules(events: DataFrame, rows: int | None = None) -> DataFrame
     return (
         tagged.join(inner.filter("module_idx is not null"), ["trace_id", "idx"])
         .join(modules, ["trace_id", "module_idx"])
-        .join(first_seen, list(THREAD_KEY))
+        .join(first_seen, list(thread_key))
         .groupBy("trace_id", "external_id").agg(F.min_by("module", seen).alias("module"))
     )

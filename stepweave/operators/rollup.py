@@ -126,9 +126,8 @@ def instance_times(
 
     Instances whose parent cannot be found are orphans; their inclusive time is added to the primary
     root of the trace: the smallest instance of a root class entered from ``<root>``, else the
-    smallest instance of any root class.
+    smallest instance of any root class.  ``selfs`` is read several times: materialize it first.
     """
-    selfs = materialize(selfs)
     inclusive = _rises(selfs, spans, rollup).groupBy("trace_id", *KEY).agg(
         *[F.sum(f"self_{p}").alias(f"inclusive_{p}") for p in ALL_PHASES])
     table = inclusive.join(selfs, ["trace_id", *KEY], "left").withColumns({

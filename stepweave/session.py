@@ -8,19 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+    """Folder for the intermediate tables of this application.
 
-    Only a single-machine session without that setting gets a scratch folder of its own.
+    It lies below ``spark.checkpoint.dir`` of the session, in one subfolder per application that
+    can go when the application has ended.  Only a single-machine session without that setting
+    gets a scratch folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-stepweave-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        if sc.applicationId not in _SCRATCH:
+            _SCRATCH[sc.applicationId] = tempfile.mkdtemp(prefix="spark-stepweave-")
+        base = _SCRATCH[sc.applicationId]
+    return f"{base}/stepweave-{sc.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -30,7 +36,7 @@ def materialize(df: DataFrame) -> DataFrame:
     the history of the table.  It also tells Catalyst the true size: a small table is
     broadcast in later joins and a large one is not, without any hint.
     """
-    path = f"{shared_folder(df.sparkSession)}/stepweave-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

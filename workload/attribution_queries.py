@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.operators import device, flows, nesting, phases, rollup, stacks
+from stepweave.plans.instances import InstanceTiming
 from stepweave.session import materialize
 from workload.oracle import with_ctes
 from workload.trace_queries import _HOST_MODULES, _TOP_KERNELS, trace_tables
@@ -138,17 +139,21 @@ def _(t, spans):
     return phases.step_phases(t.events)[0]
 
 
-def _phase_tables(t):
-    steps, parts = phases.step_phases(t.events, materialize(nesting.main_thread_tree(t.events)))
-    return materialize(steps), materialize(parts)
+_TIMING: dict[int, InstanceTiming] = {}
+
+
+def _timing(t, spans) -> InstanceTiming:
+    if id(t) not in _TIMING:
+        _TIMING[id(t)] = InstanceTiming(t, _sources(spans), spans)
+    return _TIMING[id(t)]
 
 
 @query("t10_kernel_phase", "SELECT trace_id, idx, phase FROM o_kphase")
 def _(t, spans):
-    steps, parts = _phase_tables(t)
+    timing = _timing(t, spans)
     kernels = t.events.filter("cat = 'kernel' and dur_ns > 0").select(
         "trace_id", "idx", F.col("ts_ns").alias("start_ns"), (F.col("ts_ns") + F.col("dur_ns")).alias("end_ns"))
-    return phases.phase_of_spans(kernels, steps, parts)
+    return phases.phase_of_spans(kernels, timing.steps, timing.phases)
 
 
 @query("t16_flow_pairs", "SELECT * FROM o_flow")
@@ -199,16 +204,12 @@ def _(t, spans):
         "ancestors", sites_text(F.col("ancestors")))
 
 
-def _attribution(t, spans):
-    return rollup.kernel_attribution(t, _sources(spans), spans)
-
-
 @query("a16_attribution", f"""
 SELECT trace_id, idx, dur_ns, is_bwd, class, site_file, site_line, {_SITES} AS ancestors, CAST(n_hits AS BIGINT) AS n_hits,
   CAST(n_total AS BIGINT) AS n_total, rung FROM o_attr
 """)
 def _(t, spans):
-    return _attribution(t, spans).withColumn("ancestors", sites_text(F.col("ancestors"))).drop("ts_ns")
+    return rollup.kernel_attribution(t, _sources(spans), spans).withColumn("ancestors", sites_text(F.col("ancestors"))).drop("ts_ns")
 
 
 _COUNTERS = """
@@ -223,13 +224,7 @@ SELECT trace_id, count(*) AS total_kernels, count(*) FILTER (rung = 'stack' AND
 
 @query("a16_counters", _COUNTERS)
 def _(t, spans):
-    return rollup.attribution_counters(t, materialize(_attribution(t, spans)))
-
-
-def _instances(t, spans, roots=(), mode="transitive"):
-    steps, parts = _phase_tables(t)
-    selfs = rollup.self_times(materialize(_attribution(t, spans)), steps, parts)
-    return rollup.instance_times(selfs, spans, roots, mode), steps
+    return rollup.attribution_counters(t, _timing(t, spans).attribution)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -245,8 +240,12 @@ _INST_COLUMNS = f"""trace_id, class, site_file, site_line, {_SITES} AS ancestors
 
 @query("a17_instance_times", f"SELECT {_INST_COLUMNS} FROM o_inst")
 def _(t, spans):
-    times, _ = _instances(t, spans)
-    return _rounded(times.withColumn("ancestors", sites_text(F.col("ancestors"))))
+    return _rounded(_timing(t, spans).times().withColumn("ancestors", sites_text(F.col("ancestors"))))
+
+
+@query("a17_instance_times_one_level", f"SELECT {_INST_COLUMNS} FROM o_inst1")
+def _(t, spans):
+    return _rounded(_timing(t, spans).times(mode="one_level").withColumn("ancestors", sites_text(F.col("ancestors"))))
 
 
 # The root that takes the orphans: smallest instance of a root class, entered from <root> if there is one.
@@ -264,8 +263,7 @@ ON r.trace_id = i.trace_id AND r.k = (i.class, i.site_file, i.site_line, i.ances
 
 @query("a17_instance_times_rooted", f"SELECT {_INST_COLUMNS} FROM ({_ROOTED}) i")
 def _(t, spans):
-    times, _ = _instances(t, spans, ROOTS)
-    return _rounded(times.withColumn("ancestors", sites_text(F.col("ancestors"))))
+    return _rounded(_timing(t, spans).times(ROOTS).withColumn("ancestors", sites_text(F.col("ancestors"))))
 
 
 _PANEL = f"""
@@ -283,8 +281,7 @@ SELECT trace_id, class, instance_name, site_file, site_line, {_SITES} AS ancesto
 FROM ({_PANEL}) p
 """)
 def _(t, spans):
-    times, _ = _instances(t, spans, ROOTS)
-    return _rounded(rollup.timing_panel(times).withColumn("ancestors", sites_text(F.col("ancestors"))))
+    return _rounded(_timing(t, spans).panel(ROOTS).withColumn("ancestors", sites_text(F.col("ancestors"))))
 
 
 @query("a18_class_times", f"""
@@ -292,8 +289,7 @@ SELECT trace_id, class, CAST(round(sum(f + b + o + x)) AS BIGINT) AS inclusive_n
   CAST(round(sum(b)) AS BIGINT) AS backward_ns, count(*) AS n_instances FROM ({_PANEL}) p GROUP BY 1, 2
 """)
 def _(t, spans):
-    times, _ = _instances(t, spans, ROOTS)
-    return _rounded(rollup.class_times(rollup.timing_panel(times)))
+    return _rounded(_timing(t, spans).class_times(ROOTS))
 
 
 @query("a19_instance_summary", f"""
@@ -303,6 +299,4 @@ FROM ({_COUNTERS}) c JOIN (SELECT trace_id, count(*) AS n FROM o_pstep GROUP BY
 JOIN (SELECT trace_id, sum(f + b + o + x) AS own FROM o_self GROUP BY 1) o ON o.trace_id = c.trace_id
 """)
 def _(t, spans):
-    times, steps = _instances(t, spans)
-    counters = rollup.attribution_counters(t, materialize(_attribution(t, spans)))
-    return _rounded(rollup.instance_summary(counters, steps, times))
+    return _rounded(_timing(t, spans).summary())

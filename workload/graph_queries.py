@@ -292,7 +292,9 @@ def _(g):
     return grouping.surviving_nodes(fates.withColumn("fate", F.coalesce("fate", F.lit("stays"))))
 
 
-@query("g07_normalized_containers")
+@query("g07_normalized_containers", f"""
+SELECT graph_id, container_id, node_id FROM ({_MEMBERS}) m UNION SELECT graph_id, container_id, node_id FROM ({_FATES}) f WHERE fate = 'absorbed'
+""")
 def _(g):
     return g.normalized().containers()
 
@@ -510,9 +512,12 @@ def _(g):
     return g.flat().leaves().select("graph_id", "node_id", "parent_id", "depth", "label", "node_type")
 
 
-@query("g20_call_order")
+@query("g20_call_order", f"""
+SELECT graph_id, CAST(parent_id AS BIGINT) AS parent_id, CAST(group_id AS BIGINT) AS node_id, 'group' AS type FROM ({_GROUPS}) g
+UNION ALL SELECT graph_id, parent_id, node_id, 'node' FROM ({_LEAVES}) l
+""")
 def _(g):
-    return g.flat().call_order()
+    return g.flat().call_order().drop("ord")
 
 
 @query("g21_ports", """

@@ -284,6 +284,23 @@ FROM (SELECT trace_id, class, site_file, site_line, ancestors, sum(f) AS f, sum(
 LEFT JOIN o_self s ON s.trace_id = i.trace_id AND s.class = i.class AND s.site_file = i.site_file AND s.site_line = i.site_line AND s.ancestors = i.ancestors
 """
 
+# An instance without kernels of its own passes nothing on.
+CTES["o_climb1(trace_id, class, site_file, site_line, ancestors, f, b, o, x, is_real)"] = """
+SELECT *, true FROM o_self
+UNION ALL
+SELECT p.*, EXISTS (SELECT 1 FROM o_self s WHERE s.trace_id = p.trace_id AND s.class = p.class AND s.site_file = p.site_file AND s.site_line = p.site_line
+    AND s.ancestors = p.ancestors) FROM (
+  SELECT c.trace_id, l.class, c.ancestors[len(c.ancestors)].file AS site_file, c.ancestors[len(c.ancestors)].line AS site_line,
+    c.ancestors[1:len(c.ancestors) - 1] AS ancestors, c.f, c.b, c.o, c.x
+  FROM o_climb1 c JOIN o_loc l ON l.file = c.site_file AND l.line = c.site_line WHERE len(c.ancestors) > 0 AND c.is_real) p
+"""
+CTES["o_inst1"] = """
+SELECT i.*, coalesce(s.f, 0) AS self_f, coalesce(s.b, 0) AS self_b, coalesce(s.o, 0) AS self_o, coalesce(s.x, 0) AS self_x, s.class IS NULL AS synthesized,
+  s.class IS NULL OR NOT (len(i.ancestors) > 0 AND EXISTS (SELECT 1 FROM o_loc l WHERE l.file = i.site_file AND l.line = i.site_line)) AS is_orphan
+FROM (SELECT trace_id, class, site_file, site_line, ancestors, sum(f) AS f, sum(b) AS b, sum(o) AS o, sum(x) AS x FROM o_climb1 GROUP BY 1, 2, 3, 4, 5) i
+LEFT JOIN o_self s ON s.trace_id = i.trace_id AND s.class = i.class AND s.site_file = i.site_file AND s.site_line = i.site_line AND s.ancestors = i.ancestors
+"""
+
 
 def _short(name: str) -> str:
     return name.split("(")[0]

@@ -177,6 +177,6 @@ def _(c):
     return report_rows(tq.trace_tables(c.spark, c.sf))
 
 
-@query("s05_result_module", None)
+@query("s05_result_module", f"SELECT m.*, step_dur_ns FROM ({_sql('a03_modules')}) m JOIN o_sum USING (trace_id)")
 def _(c):
     return analysis_tables(tq.trace_tables(c.spark, c.sf))["module"].withColumn("roles", F.array_join("roles", ","))

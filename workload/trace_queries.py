@@ -304,8 +304,9 @@ def _(t):
 # ---------------------------------------------------------------- device
 
 @query("t14_gaps", """
-SELECT trace_id, idx, gap_ns, before_name, before_dur_ns, after_name, after_dur_ns FROM (
-  SELECT trace_id, idx, ts_ns - lag(ts_ns + dur_ns) OVER w AS gap_ns, lag(name) OVER w AS before_name,
+SELECT trace_id, idx, gap_ns, before_name, before_dur_ns, after_name, after_dur_ns,
+  coalesce((SELECT bool_or(x.ts_ns - x.gap_ns >= s.ts_ns) FROM o_step s WHERE s.trace_id = x.trace_id AND s.ts_ns <= x.ts_ns AND x.ts_ns < s.end_ns), false) AS within_step FROM (
+  SELECT trace_id, idx, ts_ns, ts_ns - lag(ts_ns + dur_ns) OVER w AS gap_ns, lag(name) OVER w AS before_name,
     lag(dur_ns) OVER w AS before_dur_ns, name AS after_name, dur_ns AS after_dur_ns
   FROM o_prim WINDOW w AS (PARTITION BY trace_id ORDER BY ts_ns, idx)) x WHERE gap_ns > 0
 """)
@@ -314,8 +315,9 @@ def _(t):
 
 
 @query("t14_top_gaps", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY gap_ns DESC, idx) AS rank FROM (
-  SELECT trace_id, idx, ts_ns - lag(ts_ns + dur_ns) OVER w AS gap_ns, lag(name) OVER w AS before_name,
+SELECT * FROM (SELECT trace_id, idx, gap_ns, before_name, before_dur_ns, after_name, after_dur_ns,
+  coalesce((SELECT bool_or(x.ts_ns - x.gap_ns >= s.ts_ns) FROM o_step s WHERE s.trace_id = x.trace_id AND s.ts_ns <= x.ts_ns AND x.ts_ns < s.end_ns), false) AS within_step, row_number() OVER (PARTITION BY trace_id ORDER BY gap_ns DESC, idx) AS rank FROM (
+  SELECT trace_id, idx, ts_ns, ts_ns - lag(ts_ns + dur_ns) OVER w AS gap_ns, lag(name) OVER w AS before_name,
     lag(dur_ns) OVER w AS before_dur_ns, name AS after_name, dur_ns AS after_dur_ns
   FROM o_prim WINDOW w AS (PARTITION BY trace_id ORDER BY ts_ns, idx)) x WHERE gap_ns > 0) y WHERE rank <= 15
 """)
@@ -472,6 +474,15 @@ def _(t):
     return out.withColumn("roles", F.array_join("roles", ",")).drop("step_dur_ns")
 
 
+@query("a03_event_exclusive", """
+SELECT c.trace_id, c.idx, c.name, c.clipped AS inclusive_ns, greatest(0, c.clipped - coalesce(b.below, 0)) AS exclusive_ns FROM o_call c
+LEFT JOIN (SELECT m.trace_id, m.module_idx, CAST(sum(k.clipped) AS BIGINT) AS below FROM o_call k JOIN o_mod m ON m.trace_id = k.trace_id AND m.idx = k.idx
+  GROUP BY 1, 2) b ON b.trace_id = c.trace_id AND b.module_idx = c.idx
+""")
+def _(t):
+    return modules.event_exclusive(modules.module_calls(t))
+
+
 @query("a03_role_counts", """
 SELECT trace_id, count(*) FILTER (role = 'main_thread') AS n_main_calls, count(*) FILTER (role = 'worker_thread') AS n_worker_calls
 FROM o_call GROUP BY 1
