@@ -119,7 +119,7 @@ def call_site_runs(scoped: DataFrame, rows: int | None = None) -> DataFrame:
     base = scoped.select(*key, "node_id", "ord", F.col("call_loc")["line"].alias("line"), site.alias("_site"))
     c = previous_row(chunked(base, key, "ord", rows), ["ord"], ["_site"], "_before")
     same = F.col("_site").isNotNull() & F.coalesce(F.col("_before")["_site"] == F.col("_site"), F.lit(False))
-    c = Chunked(c.frame.withColumn("_start", F.when(~same, F.col("ord"))), c.keys, c.starts)
+    c = Chunked(c.frame.withColumn("_start", F.when(~same, F.col("ord"))), c.keys, c.split)
     runs = running(c, ["ord"], {"_run": "_start"}, "max").frame
     sizes = scoped.groupBy(*key).agg(F.count(F.lit(1)).alias("_scope"))
     grouped = runs.filter("_site is not null").groupBy(*key, "_run").agg(

@@ -23,20 +23,20 @@ MAX_CHUNKS = 256
 
 @dataclass
 class Chunked:
-    """``frame`` has a ``chunk`` column; ``starts`` lists where the later chunks begin."""
+    """``frame`` has a ``chunk`` column; ``split`` tells whether any key has more than one chunk."""
 
     frame: DataFrame
     keys: list[str]
-    starts: DataFrame | None  # keys, chunk, chunk_start; None when no key is hot
+    split: bool
 
-    @property
-    def split(self) -> bool:
-        return self.starts is not None
 
-
-def chunked(df: DataFrame, keys: Sequence[str], at: str, rows: int | None = None) -> Chunked:
+def chunked(
+    df: DataFrame, keys: Sequence[str], at: str, rows: int | None = None, reach: str | None = None
+) -> Chunked:
     """Give every row a chunk number by the value of ``at``; rows with equal ``at`` share it.
 
+    With ``reach``, another column on the same axis, ``reach_chunk`` is the chunk that value falls in.
+
     Only keys with more than ``rows`` rows are split, at approximate quantiles, so a
     burst or an outlier in time does not unbalance the chunks.  The split points are
     written out: approximate quantiles may differ between two evaluations, and all
@@ -46,7 +46,8 @@ def chunked(df: DataFrame, keys: Sequence[str], at: str, rows: int | None = None
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows)
     if sizes.isEmpty():
-        return Chunked(df.withColumn("chunk", F.lit(0)), keys, None)
+        whole = {"chunk": F.lit(0), **({"reach_chunk": F.lit(0)} if reach else {})}
+        return Chunked(df.withColumns(whole), keys, False)
 
     hot = materialize(sizes)
     fractions = F.array(*[F.lit(i / MAX_CHUNKS) for i in range(1, MAX_CHUNKS)])
@@ -63,14 +64,9 @@ def chunked(df: DataFrame, keys: Sequence[str], at: str, rows: int | None = None
             f" i -> element_at(_q, cast(i * {MAX_CHUNKS} div greatest(_m, 2) as int))))"))
         .select(*keys, "_splits")
     )
-    frame = (
-        df.join(splits, keys, "left")
-        .withColumn("chunk", F.expr(f"coalesce(size(filter(_splits, s -> s <= {at})), 0)"))
-        .drop("_splits")
-    )
-    starts = splits.select(*keys, F.posexplode("_splits").alias("_pos", "chunk_start")).select(
-        *keys, (F.col("_pos") + 1).alias("chunk"), "chunk_start")
-    return Chunked(frame, keys, starts)
+    number = lambda column: F.expr(f"coalesce(size(filter(_splits, s -> s <= {column})), 0)")
+    columns = {"chunk": number(at), **({"reach_chunk": number(reach)} if reach else {})}
+    return Chunked(df.join(splits, keys, "left").withColumns(columns).drop("_splits"), keys, True)
 
 
 def _window(c: Chunked, order: Sequence[Column]):
@@ -94,7 +90,7 @@ def previous_row(c: Chunked, order: Sequence[str], fields: Sequence[str], out: s
             frame.join(carry, [*c.keys, "chunk"], "left")
             .withColumn(out, F.coalesce(out, "_carry")).drop("_carry")
         )
-    return Chunked(frame, c.keys, c.starts)
+    return Chunked(frame, c.keys, c.split)
 
 
 def running(
@@ -124,4 +120,4 @@ def running(
             else:
                 both = F.greatest(local, past)
             frame = frame.withColumn(out, both).drop(f"_c_{out}")
-    return Chunked(frame, c.keys, c.starts)
+    return Chunked(frame, c.keys, c.split)

@@ -37,7 +37,7 @@ def merge_intervals(
     c = chunked(distinct, keys, start, rows)
     c = running(c, [start], {"_reach": end}, "max", before=True)
     opens = F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))
-    c = Chunked(c.frame.withColumn("_open", F.when(opens, F.col(start))), c.keys, c.starts)
+    c = Chunked(c.frame.withColumn("_open", F.when(opens, F.col(start))), c.keys, c.split)
     c = running(c, [start], {"_island": "_open"}, "max")
     return c.frame.groupBy(*keys, F.col("_island").alias(start)).agg(F.max(end).alias(end))
 

@@ -32,14 +32,9 @@ def _with_carried(c: Chunked) -> DataFrame:
     own = c.frame.withColumn("_carried", F.lit(False))
     if not c.split:
         return own
-    reaching = (
-        c.frame.filter("_push").join(
-            c.starts.withColumnRenamed("chunk", "_later"), c.keys)
-        .filter((F.col("_later") > F.col("chunk")) & (F.col("_end") >= F.col("chunk_start")))
-        .withColumn("chunk", F.col("_later"))
-        .drop("_later", "chunk_start")
-        .withColumn("_carried", F.lit(True))
-    )
+    later = F.explode(F.sequence(F.col("chunk") + 1, F.col("reach_chunk")))
+    reaching = c.frame.filter(F.col("_push") & (F.col("reach_chunk") > F.col("chunk"))).withColumns(
+        {"chunk": later, "_carried": F.lit(True)})
     return own.unionByName(reaching)
 
 
@@ -117,11 +112,12 @@ def enclosing_events(
     )
     if rank is not None:
         order = [*[o for o in order if o != "idx"], "_rank", "idx"]
-    c = chunked(base, keys, "ts_ns", rows)
+    c = chunked(base, keys, "ts_ns", rows, reach="_end")
     data = _with_carried(c)
     group = [*keys, "chunk"]
     data = data.repartition(*group).sortWithinPartitions(
-        *group, F.col("_carried").desc(), *order)
+        *group, F.col("_carried").desc(), *order
+    ).select(*group, "idx", "ts_ns", "_end", "_push", "_tag", "_carried")
     types = dict(base.dtypes)
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "idx bigint", "parent_idx bigint",
                         "tag_idx bigint", "_anchor bigint"])

@@ -88,7 +88,7 @@ def pack_lanes(calls: DataFrame, rows: int | None = None) -> DataFrame:
     order = ["ts_ns", "_minus_dur", "idx"]
     c = running(chunked(spaced, LANE, "ts_ns", rows), order, {"_reach": "_end"}, "max", before=True)
     opens = F.col("_reach").isNull() | (F.col("ts_ns") - F.col("_reach") >= F.col("gap_ns"))
-    c = Chunked(c.frame.withColumn("_open", F.when(opens, F.col("ts_ns"))), c.keys, c.starts)
+    c = Chunked(c.frame.withColumn("_open", F.when(opens, F.col("ts_ns"))), c.keys, c.split)
     islands = running(c, order, {"island": "_open"}, "max").frame.select(
         *LANE, "island", *order, "dur_ns", "gap_ns")
     types = dict(calls.dtypes)
