@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from stepweave.session import materialize
 
-ROWS_PER_CHUNK = 1_000_000
-MAX_CHUNKS = 256
+ROWS_PER_CHUNK = 250_000
+MAX_CHUNKS = 2048
+_STRIDE = 32  # split points are searched in two steps: every 32nd, then the ones between
 
 
 @dataclass
@@ -50,7 +51,7 @@ def chunked(
         return Chunked(df.withColumns(whole), keys, False)
 
     hot = materialize(sizes)
-    fractions = F.array(*[F.lit(i / MAX_CHUNKS) for i in range(1, MAX_CHUNKS)])
+    fractions = F.lit([i / MAX_CHUNKS for i in range(1, MAX_CHUNKS)])
     quantiles = (
         df.select(*keys, at).join(hot, keys)
         .groupBy(*keys)
@@ -62,11 +63,15 @@ def chunked(
         .withColumn("_splits", F.expr(
             f"array_distinct(transform(sequence(1, greatest(_m - 1, 1)),"
             f" i -> element_at(_q, cast(i * {MAX_CHUNKS} div greatest(_m, 2) as int))))"))
-        .select(*keys, "_splits")
+        .withColumn("_coarse", F.expr(
+            f"transform(filter(sequence(0, size(_splits) div {_STRIDE}), i -> i > 0), i -> _splits[i * {_STRIDE} - 1])"))
+        .select(*keys, "_splits", "_coarse")
     )
-    number = lambda column: F.expr(f"coalesce(size(filter(_splits, s -> s <= {column})), 0)")
-    columns = {"chunk": number(at), **({"reach_chunk": number(reach)} if reach else {})}
-    return Chunked(df.join(splits, keys, "left").withColumns(columns).drop("_splits"), keys, True)
+    frame = df.join(splits, keys, "left")
+    for name, column in {"chunk": at, **({"reach_chunk": reach} if reach else {})}.items():
+        frame = frame.withColumn("_base", F.expr(f"size(filter(_coarse, s -> s <= {column})) * {_STRIDE}")).withColumn(
+            name, F.expr(f"coalesce(_base + size(filter(slice(_splits, _base + 1, {_STRIDE - 1}), s -> s <= {column})), 0)"))
+    return Chunked(frame.drop("_splits", "_coarse", "_base"), keys, True)
 
 
 def _window(c: Chunked, order: Sequence[Column]):
