@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from stepweave.operators import intervals
 from stepweave.operators.chunks import chunked, previous_row, running

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from stepweave.operators import swimlane
 from stepweave.operators.trace_dims import choose_step

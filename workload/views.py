@@ -6,8 +6,6 @@ differ.  Every view is a mapping of whole tables: no rows are left out.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 
 DIALECT = {
