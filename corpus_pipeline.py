@@ -3,24 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stepweave.llm import exact_dedup, mixing
+from stepweave.llm import exact_dedup, language_id, minhash, mixing
 from stepweave.llm.common import read
 from stepweave.session import materialize
 
 
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, or not one letter) go."""
+    columns = docs.columns
+    return language_id.identified(docs).where(F.col("_lang") != language_id.UNDETERMINED).select(columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays."""
     return exact_dedup.exact_dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 80 % of common five-word runs one stays."""
+    return minhash.near_dedup(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated or left out so that sources come near their target share of words."""
     return mixing.mix(docs)
 
 
 STAGES = [
+    ("language_id", keep_languages),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
     ("source_mix", mix_sources),
 ]
 

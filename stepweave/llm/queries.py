@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import exact_dedup, mixing
+from stepweave.llm import exact_dedup, language_id, minhash, mixing
 from stepweave.llm.common import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -35,6 +35,32 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = minhash.near_groups(read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
+    return rows.select(F.col("_id").alias("doc_id"), F.col("_n_shingles").alias("n_shingles"), F.col("_component_id").alias("component_id"),
+                       F.col("_id").eqNullSafe(F.col("_component_id")).alias("kept"))
+
+
+OP4_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD_SQL}') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both_n >= 85 * (na.n + nb.n - both_n)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, to_id) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.to_id),
+c AS (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = language_id.identified(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.dedup_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(F.col("_id").alias("doc_id"), F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"),
@@ -50,9 +76,12 @@ SELECT doc_id, keep_id, group_size::BIGINT AS group_size, k = 1 AS kept, sha256(
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
 }
 ORACLES = {
     "op2_source_mix": OP2_SQL,
+    "op4_near_dedup": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
