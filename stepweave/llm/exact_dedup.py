@@ -46,6 +46,7 @@ def stream_state(facts_path: str, facts: DataFrame, checkpoint: str, bytes_per_b
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "300")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # else 4 MB for each partition's store
     spark.conf.set("spark.sql.shuffle.partitions", facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stream = spark.readStream.schema(facts.schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(facts_path)
     state = stream.groupBy("digest").agg(F.min(_preference()).alias("keep"), F.count("*").alias("n"))
