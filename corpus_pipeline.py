@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import exact_dedup, language_id, minhash, mixing
+from stepweave.llm import exact_dedup, language_id, minhash, mixing, packing
 from stepweave.llm.common import read
 from stepweave.session import materialize
 
@@ -31,11 +31,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences of permitted lengths."""
+    return packing.packed(docs).withColumnRenamed("id", "doc_id")
+
+
 STAGES = [
     ("language_id", keep_languages),
     ("exact_dedup", drop_copies),
     ("near_dedup", drop_near_copies),
     ("source_mix", mix_sources),
+    ("packing", pack_sequences),
 ]
 
 #: Language ID and packing have no SQL form; the stages are tested against brute force.

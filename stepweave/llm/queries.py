@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import exact_dedup, language_id, minhash, mixing
+from stepweave.llm import exact_dedup, language_id, minhash, mixing, packing
 from stepweave.llm.common import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.planned(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return plan.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
@@ -75,6 +79,7 @@ SELECT doc_id, keep_id, group_size::BIGINT AS group_size, k = 1 AS kept, sha256(
 """
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mix": op2_source_mix,
     "op4_near_dedup": op4_near_dedup,
     "op6_language_id": op6_language_id,
