@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import exact_dedup, language_id, minhash, mixing, packing
+from stepweave.llm import exact_dedup, gif, language_id, minhash, mixing, packing, url_filter
 from stepweave.llm.common import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -60,6 +60,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+def op5_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_features(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = language_id.identified(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
@@ -78,15 +82,35 @@ g AS (SELECT doc_id, norm, first_value(doc_id) OVER w AS keep_id, row_number() O
 SELECT doc_id, keep_id, group_size::BIGINT AS group_size, k = 1 AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = url_filter.judged(read(spark, sf_dir, "pages").select("page_id", "url"))
+    return pages.select("page_id", *[F.col(f"_{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r(h, p, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+m AS (SELECT page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict
+  FROM p JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p) GROUP BY page_id)
+SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHEN host = '' THEN 'block'
+  WHEN regexp_full_match(host || path, '([^/]*\.)?ads\.[^/]*/.*|.*/cgi-bin/.*|.*/wp-login\.php|.*\.exe|.*\.zip', 's') THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN m USING (page_id)
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mix": op2_source_mix,
     "op4_near_dedup": op4_near_dedup,
+    "op5_gif_media": op5_gif_media,
     "op6_language_id": op6_language_id,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_url_filter": op9_url_filter,
 }
 ORACLES = {
     "op2_source_mix": OP2_SQL,
     "op4_near_dedup": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op9_url_filter": OP9_SQL,
 }
