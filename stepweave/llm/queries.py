@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import exact_dedup, gif, language_id, minhash, mixing, packing, url_filter
+from stepweave.llm import exact_dedup, gif, language_id, minhash, mixing, packing, token_count, url_filter, warc
 from stepweave.llm.common import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -69,6 +69,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_count.counted(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.col("_n_tokens").alias("n_tokens"), F.col("_score").alias("score"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.dedup_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select(F.col("_id").alias("doc_id"), F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"),
@@ -99,18 +104,34 @@ SELECT page_id, host, path, rule, CASE WHEN verdict IS NOT NULL THEN verdict WHE
 FROM p LEFT JOIN m USING (page_id)
 """
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archived(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select(warc.page_of(F.col("id")).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+                          warc.page_of(F.col("refers")).alias("refers_to"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, '')))::BIGINT AS n FROM pages),
+g AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) END AS top FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN top <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top <> page_id THEN top END AS refers_to FROM g
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mix": op2_source_mix,
     "op4_near_dedup": op4_near_dedup,
     "op5_gif_media": op5_gif_media,
     "op6_language_id": op6_language_id,
+    "op7_token_count": op7_token_count,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_warc": op10_warc,
 }
 ORACLES = {
     "op2_source_mix": OP2_SQL,
     "op4_near_dedup": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "op10_warc": OP10_SQL,
 }
