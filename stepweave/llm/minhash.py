@@ -7,11 +7,14 @@ and the estimate is concentrated as if the coordinates were independent.
 
 Rows with the same shingle set are one node.  Nodes that share a band meet in a bucket.  A bucket never emits all its
 pairs: its members are first compared with its most central member, and only members that are still in different
-components afterwards are compared with each other.  Every comparison takes the full sets.
+components afterwards, and that an exact bound does not tell apart, are compared with each other.  Every comparison takes
+the full sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -25,8 +28,6 @@ from stepweave.session import materialize
 #: 32 bands of 5: two sets of similarity 0.8 share no band with probability 3e-6, of 0.85 with 7e-9.
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-#: Rounds in which the members of a bucket meet its most central member only.
-CENTRE_ROUNDS = 3
 
 _U = np.uint64
 
@@ -92,16 +93,16 @@ def _sets(width: int):
     return F.pandas_udf(lambda texts: pd.Series([shingles(t, width).tobytes() for t in texts]), T.BinaryType())
 
 
-def _similar(percent: int):
-    def similar(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(left, right):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= percent * (len(a) + len(b) - both))
-        return pd.Series(out, dtype=bool)
+@F.pandas_udf(T.LongType())
+def _common(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Size of the intersection of two full sets."""
+    return pd.Series([len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in zip(left, right)], dtype="int64")
+
 
-    return F.pandas_udf(similar, T.BooleanType())
+def _names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for node, names in zip(batch["node"], batch["names"]):
+            yield pd.DataFrame({"node": node, "name": np.frombuffer(names, np.int64)})
 
 
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -127,56 +128,51 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         label = materialize(label.join(step, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
 
-def _pairs(x, y):
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
 def linked_nodes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node, comp`` for the nodes of ``buckets`` (bucket, node, n) that have a link.
 
     ``sets``: node, names.  Buckets have two members or more.
-    """
-    spark = buckets.sparkSession
-    similar = _similar(percent)
-    in_reach = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"  # no set of another size can be similar enough
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    Each member is compared with the most central one of its bucket, which gives most links.  A pair in different
+    components afterwards is compared only if it can be a link at all: what two sets share lies either in the centre's
+    set, and then in both their intersections with it, or outside, and then neither among the names
+    that only one set of the open buckets has.  The bound is exact, so no link is lost, and a group of many
+    far-off copies of one text does not become a square of comparisons.
+    """
+    def compared(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("node").alias("a"), F.col("names").alias("names_a"))
         right = sets.select(F.col("node").alias("b"), F.col("names").alias("names_b"))
-        return pairs.join(left, "a").join(right, "b").where(similar("names_a", "names_b")).select("a", "b")
+        return materialize(pairs.join(left, "a").join(right, "b").select(*pairs.columns, _common("names_a", "names_b").alias("common")))
 
+    similar = f"100 * common >= {percent} * (na + nb - common)"
     size = materialize(buckets.groupBy("bucket").agg(F.count("*").alias("size")))
     central = materialize(buckets.join(size, "bucket").groupBy("node").agg(F.sum("size").alias("weight")))
-    members = materialize(buckets.join(central, "node"))
-    label = spark.createDataFrame([], "node long, comp long")
-    done = spark.createDataFrame([], "a long, b long")
-
-    def still_open() -> DataFrame:
-        """Members of the buckets that hold several components."""
-        now = materialize(members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-        several = materialize(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"))
-        return materialize(now.join(several, "bucket", "left_semi"))
-
-    rest = members.withColumn("comp", F.col("node"))
-    met = spark.createDataFrame([], "bucket long, comp long")
-    for _ in range(CENTRE_ROUNDS):
-        centre = materialize(rest.join(met, ["bucket", "comp"], "left_anti").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("node"), "comp", "n")).alias("c")).select(
-            "bucket", (-F.col("c.col2")).alias("node2"), F.col("c.comp").alias("comp2"), F.col("c.n").alias("n2")))
-        pairs = rest.join(centre, "bucket").where(f"comp != comp2 and {in_reach}").select(*_pairs("node", "node2")).distinct()
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"))
-        done = done.unionByName(pairs)
-        found = materialize(confirmed(pairs))
-        label = components(found, label)
-        rest = still_open()
-        met = met.unionByName(centre.select("bucket", F.col("comp2").alias("comp")))
-        follow = label.select(F.col("node").alias("comp"), F.col("comp").alias("now"))
-        met = materialize(met.join(follow, "comp", "left").select("bucket", F.coalesce("now", "comp").alias("comp")).distinct())
-    kinds = materialize(rest.select("bucket", "comp").distinct())
-    apart = kinds.join(kinds.select("bucket", F.col("comp").alias("comp2")), "bucket").where("comp < comp2")
-    other = rest.select("bucket", F.col("comp").alias("comp2"), F.col("node").alias("node2"), F.col("n").alias("n2"))
-    pairs = apart.join(rest, ["bucket", "comp"]).join(other, ["bucket", "comp2"]).where(in_reach).select(*_pairs("node", "node2")).distinct()
-    pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"))
-    return components(materialize(confirmed(pairs)), label)
+    weighed = materialize(buckets.join(central, "node"))
+    best = F.max(F.struct("weight", (-F.col("node")).alias("less"), "n")).alias("c")
+    centre = materialize(weighed.groupBy("bucket").agg(best).select("bucket", (-F.col("c.less")).alias("centre"), F.col("c.n").alias("nc")))
+    members = materialize(buckets.join(centre, "bucket"))
+    pairs = materialize(members.where("node != centre").select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("centre").alias("b"), F.col("nc").alias("nb")).distinct())
+    met = compared(pairs)
+    label = components(met.where(similar).select("a", "b"))
+
+    now = materialize(members.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    several = materialize(now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"))
+    rest = materialize(now.join(several, "bucket"))
+    names = sets.join(materialize(rest.select("node").distinct()), "node").mapInPandas(_names, "node long, name long")
+    single = names.groupBy("name").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
+    alone = materialize(single.groupBy("node").agg(F.count("*").alias("alone")))
+    with_centre = met.select(F.col("a").alias("node"), F.col("b").alias("centre"), "common")
+    known = rest.join(with_centre, ["node", "centre"], "left").join(alone, "node", "left")
+    known = known.withColumn("inner", F.coalesce("common", "n")).withColumn("outer", F.expr("CASE WHEN node = centre THEN 0 ELSE n - common - coalesce(alone, 0) END"))
+    known = materialize(known.where(f"100 * (inner + outer) >= {percent} * n").select("bucket", "node", "n", "comp", "inner", "outer"))
+    where = materialize(known.groupBy("node").agg(F.collect_list("bucket").alias("buckets")))  # one per band at most
+    known = materialize(known.join(where, "node"))
+    x, y = known.alias("x"), known.alias("y")
+    shared = "least(x.inner, y.inner) + least(x.outer, y.outer)"
+    possible = (f"x.bucket = y.bucket AND x.node < y.node AND x.comp != y.comp AND 100 * ({shared}) >= {percent} * (x.n + y.n - ({shared}))"
+                " AND 100 * least(x.n, y.n) >= {0} * greatest(x.n, y.n) AND x.bucket = array_min(array_intersect(x.buckets, y.buckets))".format(percent))
+    further = materialize(x.join(y, F.expr(possible)).select(F.col("x.node").alias("a"), F.col("x.n").alias("na"), F.col("y.node").alias("b"), F.col("y.n").alias("nb")))
+    return components(compared(further).where(similar).select("a", "b"), label)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
