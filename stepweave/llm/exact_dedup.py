@@ -82,7 +82,8 @@ def _placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
         F.col("_digest").alias("digest"), F.col("_at").alias("at"), F.col("_keep_at").alias("keep_at"), F.col(id_col).alias("id"),
         F.coalesce(F.char_length(text_col), F.lit(0)).alias("n_chars"), norm.alias("norm")))
     first = same.where("at = keep_at").select("digest", F.col("norm").alias("first"))
-    mixed = materialize(same.join(first, "digest").where("norm != first").select("digest").distinct())
+    differing = materialize(same.join(first, "digest").where("norm != first").select("digest"))
+    mixed = materialize(differing.distinct())
     if not mixed.isEmpty():  # digests that stand for several texts
         again = same.join(mixed, "digest", "left_semi")
         by_text = again.groupBy("digest", "norm").agg(F.min(_preference()).alias("keep"), F.count("*").alias("n"))
