@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import cache
+from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
@@ -121,12 +121,10 @@ def counted(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> Data
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
 
-    @cache
-    def counts() -> Counts:
-        return Counts(shared.value)
-
-    def count(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([counts().of(t or "") for t in texts], columns=["score", "n"])
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        counts = Counts(shared.value)
+        for texts in batches:
+            yield pd.DataFrame([counts.of(t or "") for t in texts], columns=["score", "n"])
 
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n", T.LongType())])
     return docs.withColumn("_t", F.pandas_udf(count, kind)(F.col(text_col))).withColumn("_n_tokens", F.col("_t.n")).withColumn("_score", F.col("_t.score")).drop("_t")
