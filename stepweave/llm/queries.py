@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import exact_dedup, gif, language_id, minhash, mixing, packing, token_count, url_filter, warc
+from stepweave.llm import exact_dedup, gif, language_id, minhash, mixing, packing, substring_dedup, token_count, url_filter, warc
 from stepweave.llm.common import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,12 @@ FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.span_report(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(F.col("_id").alias("doc_id"), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
+                       F.size("_starts").cast("long").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = minhash.near_groups(read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
     return rows.select(F.col("_id").alias("doc_id"), F.col("_n_shingles").alias("n_shingles"), F.col("_component_id").alias("component_id"),
@@ -120,6 +126,7 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN top
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mix": op2_source_mix,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_gif_media": op5_gif_media,
     "op6_language_id": op6_language_id,
