@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepweave.functions.labels import is_backward_stack, runtime_module
@@ -68,17 +68,33 @@ def attribution_counters(t: TraceTables, attribution: DataFrame) -> DataFrame:
         count("coalesce(_n, false)", "bwd_via_flow_narrowed"), F.sum("dur_ns").alias("total_kernel_ns"))
 
 
+def _whole(over: str, by: str) -> Column:
+    """Whole part of the quotient of two whole numbers of any size."""
+    wide = lambda c: f"cast({c} as decimal(38,0))"
+    return F.expr(f"cast(({wide(over)} - {wide(over)} % {wide(by)}) / cast({by} as decimal(19,0)) as decimal(38,0))")
+
+
+def in_ns(df: DataFrame) -> DataFrame:
+    """Exact times (whole billionths of a ns, as the functions here add them up) as ns."""
+    ns = lambda c: F.expr(f"cast(({c} - {c} % 1000000000) / 1000000000 as double) + cast({c} % 1000000000 as double) / 1e9")
+    return df.select(*[ns(c).alias(c) if d == "decimal(38,0)" else F.col(c) for c, d in df.dtypes])
+
+
 def self_times(attribution: DataFrame, steps: DataFrame, phases: DataFrame) -> DataFrame:
-    """Time per instance and phase from its own kernels, per step."""
+    """Time per instance and phase from its own kernels, per step, in whole billionths of a ns.
+
+    Each share is cut to a whole number once; all sums that follow are exact and do not depend on row order.
+    """
     keyed = attribution.filter("class is not null")
     spans = keyed.select("trace_id", "idx", F.col("ts_ns").alias("start_ns"),
                          (F.col("ts_ns") + F.col("dur_ns")).alias("end_ns")).distinct()
-    share = F.col("dur_ns") * F.col("n_hits") / F.col("n_total")
+    rest = "(dur_ns % n_total) * n_hits"
+    share = F.expr(f"cast((dur_ns div n_total) * n_hits + {rest} div n_total as decimal(28,0)) * cast(1000000000 as decimal(10,0))"
+                   f" + ({rest} % n_total) * 1000000000 div n_total").cast("decimal(38,0)")
     n = steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_n"))
     sums = keyed.join(phase_of_spans(spans, steps, phases), ["trace_id", "idx"]).groupBy("trace_id", *KEY).agg(
-        *[F.coalesce(F.sum(F.when(F.col("phase") == p, share)), F.lit(0.0)).alias(p) for p in ALL_PHASES])
-    return sums.join(n, "trace_id", "left").select(
-        "trace_id", *KEY, *[(F.col(p) / F.coalesce("_n", F.lit(1))).alias(f"self_{p}") for p in ALL_PHASES])
+        *[F.coalesce(F.sum(F.when(F.col("phase") == p, share)), F.lit(0)).cast("decimal(38,0)").alias(p) for p in ALL_PHASES])
+    return sums.join(n, "trace_id", "left").select("trace_id", *KEY, *[_whole(p, "coalesce(_n, 1)").alias(f"self_{p}") for p in ALL_PHASES])
 
 
 def _rises(selfs: DataFrame, spans: DataFrame, rollup: str) -> DataFrame:
@@ -131,7 +147,7 @@ def instance_times(
     inclusive = _rises(selfs, spans, rollup).groupBy("trace_id", *KEY).agg(
         *[F.sum(f"self_{p}").alias(f"inclusive_{p}") for p in ALL_PHASES])
     table = inclusive.join(selfs, ["trace_id", *KEY], "left").withColumns({
-        **{f"self_{p}": F.coalesce(f"self_{p}", F.lit(0.0)) for p in ALL_PHASES},
+        **{f"self_{p}": F.coalesce(f"self_{p}", F.lit(0)) for p in ALL_PHASES},
         "synthesized": F.col("self_other").isNull()})
     sites = table.filter((F.size("ancestors") > 0) & (F.col("site_file") != "<wrapped>"))
     found = locate_lines(sites.select(F.col("site_file").alias("file"), F.col("site_line").alias("line")), spans).select(
@@ -152,9 +168,9 @@ def instance_times(
     extra = table.filter("is_orphan and not is_primary_root").groupBy("trace_id").agg(
         *[F.sum(f"inclusive_{p}").alias(f"_x_{p}") for p in ALL_PHASES])
     add = lambda p: F.col(f"inclusive_{p}") + F.when(
-        F.col("is_primary_root"), F.coalesce(f"_x_{p}", F.lit(0.0))).otherwise(F.lit(0.0))
+        F.col("is_primary_root"), F.coalesce(f"_x_{p}", F.lit(0))).otherwise(F.lit(0))
     return table.join(extra, "trace_id", "left").withColumns(
-        {f"inclusive_{p}": add(p) for p in ALL_PHASES}
+        {f"inclusive_{p}": add(p).cast(dict(table.dtypes)[f"inclusive_{p}"]) for p in ALL_PHASES}
     ).select("trace_id", *KEY, *_time_columns(), "synthesized", "is_orphan")
 
 
@@ -167,7 +183,7 @@ def timing_panel(times: DataFrame) -> DataFrame:
     shown = (F.col("site_file") != "<wrapped>") & (F.col("site_line") > 0)
     base = F.element_at(F.split("site_file", "/"), -1)
     name = F.when(shown, F.concat("class", F.lit("@"), base, F.lit(":"), F.col("site_line").cast("string"))).otherwise(F.col("class"))
-    total = lambda kind: sum((F.col(f"{kind}_{p}") for p in ALL_PHASES[1:]), F.col(f"{kind}_{ALL_PHASES[0]}"))
+    total = lambda kind: sum((F.col(f"{kind}_{p}") for p in ALL_PHASES[1:]), F.col(f"{kind}_{ALL_PHASES[0]}")).cast(dict(times.dtypes)[f"{kind}_other"])
     out = times.select(
         "trace_id", "class", name.alias("instance_name"), "site_file",
         F.when(F.col("site_line") > 0, F.col("site_line")).alias("site_line"), "ancestors",
@@ -187,14 +203,14 @@ def class_times(panel: DataFrame) -> DataFrame:
 
 
 def instance_summary(counters: DataFrame, steps: DataFrame, times: DataFrame) -> DataFrame:
-    """Kernel time per step and the part no instance accounts for."""
+    """Kernel time per step and the part no instance accounts for, in whole billionths of a ns."""
     n = steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_n"))
     own = times.groupBy("trace_id").agg(
-        F.sum(F.col("self_forward") + F.col("self_backward") + F.col("self_optimize") + F.col("self_other")).alias("attributed_ns"))
-    per_step = F.col("total_kernel_ns") / F.coalesce("_n", F.lit(1))
-    return counters.join(n, "trace_id", "left").join(own, "trace_id", "left").select(
-        "trace_id", per_step.alias("step_kernel_ns"), F.coalesce("attributed_ns", F.lit(0.0)).alias("attributed_ns"),
-        F.greatest(F.lit(0.0), per_step - F.coalesce("attributed_ns", F.lit(0.0))).alias("unattributed_ns"))
+        F.sum(F.col("self_forward") + F.col("self_backward") + F.col("self_optimize") + F.col("self_other")).cast("decimal(38,0)").alias("_own"))
+    per_step = _whole("cast(total_kernel_ns as decimal(28,0)) * cast(1000000000 as decimal(10,0))", "coalesce(_n, 1)")
+    exact = counters.join(n, "trace_id", "left").join(own, "trace_id", "left").select(
+        "trace_id", per_step.alias("step_kernel_ns"), F.coalesce("_own", F.lit(0)).cast("decimal(38,0)").alias("attributed_ns"))
+    return exact.withColumn("unattributed_ns", F.greatest(F.lit(0), F.col("step_kernel_ns") - F.col("attributed_ns")).cast("decimal(38,0)"))
 
 
 def _number(name: str):

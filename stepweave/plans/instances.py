@@ -44,14 +44,20 @@ class InstanceTiming:
     def self_times(self) -> DataFrame:
         return materialize(rollup.self_times(self.attribution, self.steps, self.phases))
 
-    def times(self, roots: Sequence[str] = (), mode: str = "transitive") -> DataFrame:
+    def _times(self, roots: Sequence[str] = (), mode: str = "transitive") -> DataFrame:
         return rollup.instance_times(self.self_times, self.spans, roots, mode)
 
+    def _panel(self, roots: Sequence[str] = ()) -> DataFrame:
+        return rollup.timing_panel(self._times(roots))
+
+    def times(self, roots: Sequence[str] = (), mode: str = "transitive") -> DataFrame:
+        return rollup.in_ns(self._times(roots, mode))
+
     def panel(self, roots: Sequence[str] = ()) -> DataFrame:
-        return rollup.timing_panel(self.times(roots))
+        return rollup.in_ns(self._panel(roots))
 
     def class_times(self, roots: Sequence[str] = ()) -> DataFrame:
-        return rollup.class_times(self.panel(roots))
+        return rollup.in_ns(rollup.class_times(self._panel(roots)))
 
     def summary(self) -> DataFrame:
-        return rollup.instance_summary(self.counters, self.steps, self.times())
+        return rollup.in_ns(rollup.instance_summary(self.counters, self.steps, self._times()))

@@ -227,25 +227,24 @@ def _(t, spans):
     return rollup.attribution_counters(t, _timing(t, spans).attribution)
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    """Fractions of ns depend on the order of a sum of doubles; whole ns do not."""
-    return df.select(*[F.round(c).cast("bigint").alias(c) if d == "double" else F.col(c) for c, d in df.dtypes])
+def _ns(exact: str) -> str:
+    """Billionths of a ns as ns, in DuckDB."""
+    return f"CAST(CAST({exact} AS HUGEINT) // 1000000000 AS DOUBLE) + CAST(CAST({exact} AS HUGEINT) % 1000000000 AS DOUBLE) / 1e9"
 
 
 _INST_COLUMNS = f"""trace_id, class, site_file, site_line, {_SITES} AS ancestors,
-  CAST(round(self_f) AS BIGINT) AS self_forward, CAST(round(self_b) AS BIGINT) AS self_backward, CAST(round(self_o) AS BIGINT) AS self_optimize,
-  CAST(round(self_x) AS BIGINT) AS self_other, CAST(round(f) AS BIGINT) AS inclusive_forward, CAST(round(b) AS BIGINT) AS inclusive_backward,
-  CAST(round(o) AS BIGINT) AS inclusive_optimize, CAST(round(x) AS BIGINT) AS inclusive_other, synthesized, is_orphan"""
+  {_ns('self_f')} AS self_forward, {_ns('self_b')} AS self_backward, {_ns('self_o')} AS self_optimize, {_ns('self_x')} AS self_other,
+  {_ns('f')} AS inclusive_forward, {_ns('b')} AS inclusive_backward, {_ns('o')} AS inclusive_optimize, {_ns('x')} AS inclusive_other, synthesized, is_orphan"""
 
 
 @query("a17_instance_times", f"SELECT {_INST_COLUMNS} FROM o_inst")
 def _(t, spans):
-    return _rounded(_timing(t, spans).times().withColumn("ancestors", sites_text(F.col("ancestors"))))
+    return _timing(t, spans).times().withColumn("ancestors", sites_text(F.col("ancestors")))
 
 
 @query("a17_instance_times_one_level", f"SELECT {_INST_COLUMNS} FROM o_inst1")
 def _(t, spans):
-    return _rounded(_timing(t, spans).times(mode="one_level").withColumn("ancestors", sites_text(F.col("ancestors"))))
+    return _timing(t, spans).times(mode="one_level").withColumn("ancestors", sites_text(F.col("ancestors")))
 
 
 # The root that takes the orphans: smallest instance of a root class, entered from <root> if there is one.
@@ -263,7 +262,7 @@ ON r.trace_id = i.trace_id AND r.k = (i.class, i.site_file, i.site_line, i.ances
 
 @query("a17_instance_times_rooted", f"SELECT {_INST_COLUMNS} FROM ({_ROOTED}) i")
 def _(t, spans):
-    return _rounded(_timing(t, spans).times(ROOTS).withColumn("ancestors", sites_text(F.col("ancestors"))))
+    return _timing(t, spans).times(ROOTS).withColumn("ancestors", sites_text(F.col("ancestors")))
 
 
 _PANEL = f"""
@@ -273,30 +272,31 @@ SELECT trace_id, class, CASE WHEN site_file <> '<wrapped>' AND site_line > 0 THE
 
 
 @query("a18_timing_panel", f"""
-SELECT trace_id, class, instance_name, site_file, site_line, {_SITES} AS ancestors, CAST(round(self_f) AS BIGINT) AS forward_ns,
-  CAST(round(self_b) AS BIGINT) AS backward_ns, CAST(round(self_o) AS BIGINT) AS optimize_ns, CAST(round(self_x) AS BIGINT) AS other_ns,
-  CAST(round(self_f + self_b + self_o + self_x) AS BIGINT) AS self_ns, CAST(round(f) AS BIGINT) AS inclusive_forward_ns,
-  CAST(round(b) AS BIGINT) AS inclusive_backward_ns, CAST(round(f + b + o + x) AS BIGINT) AS inclusive_ns,
+SELECT trace_id, class, instance_name, site_file, site_line, {_SITES} AS ancestors, {_ns('self_f')} AS forward_ns,
+  {_ns('self_b')} AS backward_ns, {_ns('self_o')} AS optimize_ns, {_ns('self_x')} AS other_ns,
+  {_ns('self_f + self_b + self_o + self_x')} AS self_ns, {_ns('f')} AS inclusive_forward_ns,
+  {_ns('b')} AS inclusive_backward_ns, {_ns('f + b + o + x')} AS inclusive_ns,
   row_number() OVER (PARTITION BY trace_id, class ORDER BY site_file, coalesce(site_line, 0), instance_name, raw_line, ancestors) AS ord
 FROM ({_PANEL}) p
 """)
 def _(t, spans):
-    return _rounded(_timing(t, spans).panel(ROOTS).withColumn("ancestors", sites_text(F.col("ancestors"))))
+    return _timing(t, spans).panel(ROOTS).withColumn("ancestors", sites_text(F.col("ancestors")))
 
 
 @query("a18_class_times", f"""
-SELECT trace_id, class, CAST(round(sum(f + b + o + x)) AS BIGINT) AS inclusive_ns, CAST(round(sum(f)) AS BIGINT) AS forward_ns,
-  CAST(round(sum(b)) AS BIGINT) AS backward_ns, count(*) AS n_instances FROM ({_PANEL}) p GROUP BY 1, 2
+SELECT trace_id, class, {_ns('sum(f + b + o + x)')} AS inclusive_ns, {_ns('sum(f)')} AS forward_ns,
+  {_ns('sum(b)')} AS backward_ns, count(*) AS n_instances FROM ({_PANEL}) p GROUP BY 1, 2
 """)
 def _(t, spans):
-    return _rounded(_timing(t, spans).class_times(ROOTS))
+    return _timing(t, spans).class_times(ROOTS)
 
 
 @query("a19_instance_summary", f"""
-SELECT c.trace_id, CAST(round(total_kernel_ns / n) AS BIGINT) AS step_kernel_ns, CAST(round(own) AS BIGINT) AS attributed_ns,
-  CAST(round(greatest(0, total_kernel_ns / n - own)) AS BIGINT) AS unattributed_ns
-FROM ({_COUNTERS}) c JOIN (SELECT trace_id, count(*) AS n FROM o_pstep GROUP BY 1) s ON s.trace_id = c.trace_id
+SELECT c.trace_id, {_ns('step')} AS step_kernel_ns, {_ns('own')} AS attributed_ns,
+  {_ns('greatest(0, step - own)')} AS unattributed_ns
+FROM (SELECT c.trace_id, CAST(total_kernel_ns AS HUGEINT) * 1000000000 // n AS step FROM ({_COUNTERS}) c
+  JOIN (SELECT trace_id, count(*) AS n FROM o_pstep GROUP BY 1) s ON s.trace_id = c.trace_id) c
 JOIN (SELECT trace_id, sum(f + b + o + x) AS own FROM o_self GROUP BY 1) o ON o.trace_id = c.trace_id
 """)
 def _(t, spans):
-    return _rounded(_timing(t, spans).summary())
+    return _timing(t, spans).summary()

@@ -262,12 +262,13 @@ SELECT trace_id, idx, dur_ns, bwd_stack, cls, CASE WHEN cls IS NOT NULL THEN '<w
   FROM o_kernel k LEFT JOIN o_kmod m ON m.trace_id = k.trace_id AND m.idx = k.idx
   WHERE NOT EXISTS (SELECT 1 FROM o_leaf l WHERE l.trace_id = k.trace_id AND l.idx = k.idx)) w
 """
+# Times in whole billionths of a ns.
 CTES["o_self"] = """
 SELECT a.trace_id, class, site_file, site_line, ancestors,
-  coalesce(sum(CAST(dur_ns AS DOUBLE) * n_hits / n_total) FILTER (phase = 'forward'), 0) / any_value(n) AS f,
-  coalesce(sum(CAST(dur_ns AS DOUBLE) * n_hits / n_total) FILTER (phase = 'backward'), 0) / any_value(n) AS b,
-  coalesce(sum(CAST(dur_ns AS DOUBLE) * n_hits / n_total) FILTER (phase = 'optimize'), 0) / any_value(n) AS o,
-  coalesce(sum(CAST(dur_ns AS DOUBLE) * n_hits / n_total) FILTER (phase = 'other'), 0) / any_value(n) AS x
+  CAST(coalesce(sum(CAST(dur_ns AS HUGEINT) * n_hits * 1000000000 // n_total) FILTER (phase = 'forward'), 0) AS HUGEINT) // any_value(n) AS f,
+  CAST(coalesce(sum(CAST(dur_ns AS HUGEINT) * n_hits * 1000000000 // n_total) FILTER (phase = 'backward'), 0) AS HUGEINT) // any_value(n) AS b,
+  CAST(coalesce(sum(CAST(dur_ns AS HUGEINT) * n_hits * 1000000000 // n_total) FILTER (phase = 'optimize'), 0) AS HUGEINT) // any_value(n) AS o,
+  CAST(coalesce(sum(CAST(dur_ns AS HUGEINT) * n_hits * 1000000000 // n_total) FILTER (phase = 'other'), 0) AS HUGEINT) // any_value(n) AS x
 FROM o_attr a JOIN o_kphase p ON p.trace_id = a.trace_id AND p.idx = a.idx
 JOIN (SELECT trace_id, count(*) AS n FROM o_pstep GROUP BY 1) s ON s.trace_id = a.trace_id WHERE class IS NOT NULL GROUP BY 1, 2, 3, 4, 5
 """
