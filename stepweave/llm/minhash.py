@@ -191,7 +191,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = materialize(banded.groupBy("bucket").count().where("count > 1").select("bucket"))
     buckets = materialize(banded.join(shared, "bucket"))
     wanted = materialize(node.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("first.at").alias("_at")))
-    sets = materialize(at.select("_at", text_col).join(wanted, "_at").select("node", _sets(width)(F.col(text_col)).alias("names")))
+    # one plan for all sizes: which texts are wanted grows with the input
+    sets = materialize(at.select("_at", text_col).join(wanted.hint("merge"), "_at").select("node", _sets(width)(F.col(text_col)).alias("names")))
     label = linked_nodes(buckets, sets, percent)
 
     placed = node.select("key", "node", "first").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
