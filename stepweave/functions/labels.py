@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,12 +75,13 @@ def runtime_module(name: Column) -> Column:
 
 def module_label(name: Column) -> Column:
     """Module name without prefix and callsite; NULL when the event is not a module."""
-    rest = F.trim(F.substring(name, len(MODULE_PREFIX) + 1, 1_000_000))
+    rest = F.trim(name.substr(F.lit(len(MODULE_PREFIX) + 1), F.length(name)))
     return F.when(name.startswith(MODULE_PREFIX), F.trim(F.split(rest, r",\s*callsite", 2)[0]))
 
 
-def _any_of(words: Sequence[str]) -> str:
-    return "(?i)(" + "|".join(words) + ")"
+def _has_any(text: Column, words: Sequence[str]) -> Column:
+    """Plain search without regard to case."""
+    return reduce(Column.__or__, [F.lower(text).contains(w.lower()) for w in words], F.lit(False))
 
 
 def is_wrapper(
@@ -88,7 +90,7 @@ def is_wrapper(
     business: Sequence[str] = BUSINESS_KEYWORDS,
 ) -> Column:
     base = F.regexp_replace(label, r"_\d+$", "")
-    return ~base.rlike(_any_of(business)) & (base.rlike(_any_of(wrappers)) | base.endswith("Module"))
+    return ~_has_any(base, business) & (_has_any(base, wrappers) | base.endswith("Module"))
 
 
 def duration_text(us: Column, digits: Sequence[int] = REPORT_DIGITS) -> Column:

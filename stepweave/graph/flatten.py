@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,11 @@ IO_LABELS = {"input": "Input", "param": "Param", "const": "Const", "output": "Re
 REQUIRED = ("nodes", "edges", *IO_SECTIONS)
 
 
+def _in_section(place: int, pos: Column) -> Column:
+    """Order by section, then by position; a position in an array has less than 32 bits."""
+    return F.lit(place << 32).cast("bigint") + pos.cast("bigint")
+
+
 class FlatGraphs:
     """Flat tables of a corpus of serialized graphs.
 
@@ -79,7 +84,7 @@ class FlatGraphs:
             rows = self.levels.select("graph_id", "owner_id", "depth", "children", F.posexplode(f"d.{section}").alias("pos", "n"))
             parts.append(rows.select(
                 "graph_id", "owner_id", "depth", F.lit(section).alias("section"),
-                (F.lit(place * 1_000_000) + F.col("pos")).cast("bigint").alias("ord"),
+                _in_section(place, F.col("pos")).alias("ord"),
                 F.coalesce("n.io_subtype", F.lit(kind)).alias("io_subtype"), F.col("n.node_id").alias("node_id"),
                 F.col("n.label").alias("label"), F.col("n.attr_name").alias("attr_name"),
                 F.col("n.class_name").alias("class_name"), F.col("n.call_loc").alias("call_loc"),
@@ -114,7 +119,7 @@ class FlatGraphs:
         """Operators, modules and IO nodes; ports are not leaves, nor is the IO inside containers."""
         n = self.node_entries.filter("not is_group").select(
             "graph_id", "node_id", F.col("owner_id").alias("parent_id"), "depth",
-            (F.col("ord") + len(IO_SECTIONS) * 1_000_000).alias("ord"), "label", F.col("attr_type").alias("node_type"),
+            _in_section(len(IO_SECTIONS), F.col("ord")).alias("ord"), "label", F.col("attr_type").alias("node_type"),
             "attr_name", "class_name", "call_loc")
         io = self.io_entries.filter(~F.col("io_subtype").isin("forward_arg", "return_val") & ~F.col("in_container")).select(
             "graph_id", "node_id", F.col("owner_id").alias("parent_id"), "depth", "ord", "label",
@@ -133,7 +138,7 @@ class FlatGraphs:
     def call_order(self) -> DataFrame:
         """Children of each group (NULL: top level) in order."""
         g = self.groups().select("graph_id", "parent_id", F.col("group_id").alias("node_id"),
-                                 (F.col("ord") + len(IO_SECTIONS) * 1_000_000).alias("ord"), F.lit("group").alias("type"))
+                                 _in_section(len(IO_SECTIONS), F.col("ord")).alias("ord"), F.lit("group").alias("type"))
         return g.unionByName(self.leaves().select("graph_id", "parent_id", "node_id", "ord", F.lit("node").alias("type")))
 
     def members(self) -> DataFrame:

@@ -20,22 +20,26 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Connected components as ``(graph_id, node_id, component)``, named by the smallest id.
 
-    Each round takes the smallest label among the neighbours and then follows that label
-    one step further, so labels travel in jumps and few rounds are needed.
+    Each round hangs every component below its smallest neighbour, follows that one step further, and goes on with
+    the links that still join different components.  Graphs that are done drop out, and the node table is
+    read once, at the end.
     """
-    links = materialize(links)
-    labels = materialize(nodes.select("graph_id", "node_id", F.col("node_id").alias("component")))
-    while True:
-        near = links.join(
-            labels.select("graph_id", F.col("node_id").alias("peer_id"), F.col("component").alias("_seen")),
-            ["graph_id", "peer_id"]).groupBy("graph_id", "node_id").agg(F.min("_seen").alias("_seen"))
-        lower = materialize(labels.join(near, ["graph_id", "node_id"], "left").select(
-            "graph_id", "node_id", F.col("component").alias("_old"), F.least("component", "_seen").alias("component")))
-        if lower.filter("component <> _old").isEmpty():
-            return labels
-        jump = lower.select("graph_id", F.col("node_id").alias("component"), F.col("component").alias("_next"))
-        labels = materialize(lower.join(jump, ["graph_id", "component"], "left").select(
-            "graph_id", "node_id", F.least("component", "_next").alias("component")))
+    open_ = materialize(links.select("graph_id", F.col("node_id").alias("a"), F.col("peer_id").alias("b")).filter("a <> b").distinct())
+    steps = []
+    while not open_.isEmpty():
+        near = materialize(open_.groupBy("graph_id", "a").agg(F.min("b").alias("to")).filter("to < a"))
+        hop = near.select("graph_id", F.col("a").alias("to"), F.col("to").alias("_next"))
+        step = materialize(near.join(hop, ["graph_id", "to"], "left").select("graph_id", "a", F.coalesce("_next", "to").alias("to")))
+        steps.append(step)
+        for end in ("a", "b"):
+            open_ = open_.join(step.select("graph_id", F.col("a").alias(end), F.col("to").alias("_to")), ["graph_id", end], "left").withColumn(
+                end, F.coalesce("_to", end)).drop("_to")
+        open_ = materialize(open_.select("graph_id", "a", "b").filter("a <> b").distinct())
+    labels = nodes.select("graph_id", "node_id", F.col("node_id").alias("component"))
+    for step in steps:
+        labels = labels.join(step.withColumnRenamed("a", "component"), ["graph_id", "component"], "left").select(
+            "graph_id", "node_id", F.coalesce("to", "component").alias("component"))
+    return materialize(labels)
 
 
 def innermost_containers(closure: DataFrame) -> DataFrame:

@@ -134,13 +134,13 @@ SELECT trace_id, CAST(-1 - min(u) % 2 AS BIGINT), 'M', NULL, 'process_labels', p
   NULL, CASE pid WHEN '0' THEN 'CPU' ELSE 'GPU 0' END, NULL
 FROM trace_base GROUP BY trace_id, pid
 UNION ALL
-SELECT trace_id, 1000000000 + d * 10 + j, 'X', cat, CASE WHEN j = 0 THEN concat('ProfilerStep#', CAST(d AS {str})) ELSE name END,
+SELECT trace_id, 1152921504606846976 + d * 10 + j, 'X', cat, CASE WHEN j = 0 THEN concat('ProfilerStep#', CAST(d AS {str})) ELSE name END,
   '0', 'main', d * 86400000000000 + from_h * 3600000000000,
   CASE WHEN j = 0 THEN 86400000000000 - (d % 3) * 3600000000000 ELSE for_h * 3600000000000 END,
   NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM trace_days {phases}
 UNION ALL
-SELECT trace_id, 2000000000 + (d % 1000) * 1000000 + u, 'X', 'gpu_user_annotation', concat('ProfilerStep#', CAST(d AS {str})),
+SELECT trace_id, 2305843009213693952 + d * 1099511627776 + u, 'X', 'gpu_user_annotation', concat('ProfilerStep#', CAST(d AS {str})),
   pid, tid, d * 86400000000000 + 600000000000, 85200000000000, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
 FROM (SELECT DISTINCT trace_id, pid, tid, u, ts_ns {div} 86400000000000 AS d FROM trace_base WHERE pid = '1') g
 """
