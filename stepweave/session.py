@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 
 _SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that tasks can import it wherever they run.
+
+    The archive lies in Spark's own folder of the driver, which serves it and removes it at the end.
+    """
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if sc.applicationId in _SHIPPED or not os.path.isdir(root):  # no folder: the package already is in an archive
+        return
+    _SHIPPED.add(sc.applicationId)
+    parent, package = os.path.split(root)
+    archive = os.path.join(tempfile.mkdtemp(dir=SparkFiles.getRootDirectory()), f"{package}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    z.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), parent))
+    sc.addPyFile(archive)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,6 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     can go when the application has ended.  Only a single-machine session without that setting
     gets a scratch folder of its own.
     """
+    ship_code(spark)
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
