@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stepweave.session import materialize, shared_folder
+from stepweave.session import materialize, shared_folder, ship_code
 
 #: White space of the word rule, as a Java and as a Python character class.
 SPACE = r"\x20\x09-\x0D"
@@ -21,6 +21,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
