@@ -145,5 +145,5 @@ def test_spans_are_those_of_all_strings(make_docs, block_bytes, bucket):
 def test_spans_odd_rows(odd_docs, no_docs):
     out = substring_dedup.cleaned(odd_docs)
     assert set(out.columns) == {*odd_docs.columns, "_kept"} and out.count() == odd_docs.count()
-    assert bytes(out.where("doc_id = 6").first()["_kept"]) == b""
+    assert bytes(out.where("doc_id = 5").first()["_kept"]) == b"" and bytes(out.where("doc_id = 6").first()["_kept"]) == b"end"
     assert substring_dedup.cleaned(no_docs).count() == 0
