@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.plans.report import analysis_tables, report_rows
 from stepweave.sources import code
-from stepweave.session import materialize
+from stepweave.sources.traces import read_traces, write_tables
+from stepweave.session import materialize, shared_folder
 from workload import trace_queries as tq
 from workload.graph_queries import Graphs
 from workload.oracle import with_ctes
@@ -180,3 +184,40 @@ def _(c):
 @query("s05_result_module", f"SELECT m.*, step_dur_ns FROM ({_sql('a03_modules')}) m JOIN o_sum USING (trace_id)")
 def _(c):
     return analysis_tables(tq.trace_tables(c.spark, c.sf))["module"].withColumn("roles", F.array_join("roles", ","))
+
+
+@query("s05_result_tables", f"""
+SELECT 'step' AS name, trace_id, count(*) AS n FROM ({_sql('t01_steps')}) GROUP BY 2
+UNION ALL SELECT 'step_split', trace_id, count(*) FROM ({_sql('a02_step_decomposition')}) GROUP BY 2
+UNION ALL SELECT 'module', trace_id, count(*) FROM ({_sql('a03_modules')}) GROUP BY 2
+UNION ALL SELECT 'top_kernel', trace_id, count(*) FROM ({_sql('a04_top_kernels')}) GROUP BY 2
+UNION ALL SELECT 'trace', trace_id, 1 FROM o_sum
+""")
+def _(c):
+    """All five tables, written and read back."""
+    path = f"{shared_folder(c.spark)}/{uuid.uuid4().hex}"
+    tables = analysis_tables(tq.trace_tables(c.spark, c.sf))
+    write_tables(tables, path)
+    count = lambda name: c.spark.read.parquet(f"{path}/{name}").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "trace_id", "n")
+    return reduce(DataFrame.unionByName, [count(name) for name in tables])
+
+
+@query("s01_read_traces", """
+SELECT trace_id, ts_ns // 86400000000000 AS day, row_number() OVER (PARTITION BY trace_id, ts_ns // 86400000000000 ORDER BY idx) - 1 AS idx, ph, cat, name, pid, tid,
+  ts_ns, dur_ns, flow_id, external_id, py_id, py_parent_id, call_from, arg_name, arg_labels FROM trace_event
+""")
+def _(c):
+    """Events as trace files, one per trace and day, read back."""
+    us = lambda ns: (F.col(ns).cast("decimal(23,3)") / 1000).cast("decimal(20,3)")
+    args = F.struct(F.col("external_id").alias("External id"), F.col("py_id").alias("Python id"), F.col("py_parent_id").alias("Python parent id"),
+                    F.col("call_from").alias("CallFrom"), F.col("arg_name").alias("name"), F.col("arg_labels").alias("labels"))
+    event = F.struct("idx", "ph", "cat", "name", "pid", "tid", F.col("flow_id").alias("id"), us("ts_ns").alias("ts"), us("dur_ns").alias("dur"), args.alias("args"))
+    file = F.concat_ws("_", F.col("trace_id"), F.expr("ts_ns div 86400000000000").cast("string"))
+    files = tq.trace_tables(c.spark, c.sf).events.groupBy(file.alias("file")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(event)).alias("traceEvents"))).alias("value"))
+    path = f"{shared_folder(c.spark)}/{uuid.uuid4().hex}"
+    files.repartition("file").write.partitionBy("file").text(path)
+    name = F.regexp_extract("trace_id", r"file=([^/]+)_(\d+)/", 1)
+    day = F.regexp_extract("trace_id", r"file=([^/]+)_(\d+)/", 2).cast("bigint")
+    return read_traces(c.spark, f"{path}/*/").select(
+        name.alias("trace_id"), day.alias("day"), "idx", "ph", "cat", "name", "pid", "tid", "ts_ns", "dur_ns", "flow_id", "external_id", "py_id", "py_parent_id",
+        "call_from", "arg_name", "arg_labels")
