@@ -113,8 +113,9 @@ def longest_path_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph_id, node_id, rank, in_cycle)``: longest path from a node without predecessors.
 
     Every round takes off the nodes whose predecessors are all ranked, in all graphs at once;
-    what is left shrinks each time.  Nodes on or behind a cycle are never taken off: they get the
-    largest known predecessor rank plus one, or else their list position.
+    what is left shrinks each time.  Nodes on a cycle, or between cycles, are never taken off: they get
+    the largest known predecessor rank plus one, or else their list position.  Nodes behind them rank after all their
+    predecessors.  ``in_cycle`` marks both.
     """
     edges = materialize(edges.select("graph_id", "src_id", "dst_id").filter("src_id <> dst_id").distinct())
     waits = edges.groupBy("graph_id", F.col("dst_id").alias("node_id")).agg(F.count(F.lit(1)).alias("_waits"))
@@ -135,11 +136,36 @@ def longest_path_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         rank += 1
     none = left.select("graph_id", "node_id", F.lit(0).cast("bigint").alias("rank")).limit(0)
     done = reduce(DataFrame.unionByName, ranked, none)
-    preds = edges.join(done.select("graph_id", F.col("node_id").alias("src_id"), "rank"), ["graph_id", "src_id"]).groupBy(
-        "graph_id", F.col("dst_id").alias("node_id")).agg((F.max("rank") + 1).alias("_after"))
-    stuck = left.join(preds, ["graph_id", "node_id"], "left").select(
+    done = done.withColumn("in_cycle", F.lit(False))
+    return done if left.isEmpty() else _ranks_past_cycles(left, edges, done)
+
+
+def _ranks_past_cycles(stuck: DataFrame, edges: DataFrame, done: DataFrame) -> DataFrame:
+    """Ranks of the nodes on or behind a cycle, added to ``done``."""
+    key = ["graph_id", "node_id"]
+    onward = edges.select("graph_id", F.col("src_id").alias("node_id"), F.col("dst_id").alias("to_id"))
+    core = stuck
+    while True:  # take off what leads to nothing in the core
+        inside = core.select("graph_id", F.col("node_id").alias("to_id"))
+        less = materialize(core.join(onward.join(inside, ["graph_id", "to_id"], "left_semi"), key, "left_semi"))
+        if core.join(less, key, "left_anti").isEmpty():
+            break
+        core = less
+
+    def after(known: DataFrame) -> DataFrame:
+        return edges.join(known.select("graph_id", F.col("node_id").alias("src_id"), "rank"), ["graph_id", "src_id"]).groupBy(
+            "graph_id", F.col("dst_id").alias("node_id")).agg((F.max("rank") + 1).alias("_after"))
+
+    ranked = lambda rows, known: rows.join(after(known), key, "left").select(
         "graph_id", "node_id", F.coalesce("_after", "ord").alias("rank"), F.lit(True).alias("in_cycle"))
-    return done.withColumn("in_cycle", F.lit(False)).unionByName(stuck)
+    known = materialize(done.unionByName(ranked(core, done)))
+    rest = materialize(stuck.join(core, key, "left_anti"))
+    while not rest.isEmpty():
+        waiting = onward.join(rest.select(*key), key, "left_semi").select("graph_id", F.col("to_id").alias("node_id")).distinct()
+        ready = rest.join(waiting, key, "left_anti")
+        known = materialize(known.unionByName(ranked(ready, known)))
+        rest = materialize(rest.join(waiting, key, "left_semi"))
+    return known
 
 
 # ---------------------------------------------------------------- focus

@@ -144,10 +144,10 @@ def device_host_totals(t: TraceTables) -> DataFrame:
     sets = fine.groupingSets(
         [["trace_id", "side"], ["trace_id", "side", "cat"], ["trace_id", "side", "name"]],
         "trace_id", "side", "cat", "name",
-    ).agg(F.sum("dur_ns").alias("_ns"))
-    grain = F.when(F.col("name").isNotNull(), "name").when(F.col("cat").isNotNull(), "cat").otherwise("total")
+    ).agg(F.sum("dur_ns").alias("_ns"), F.grouping("name").alias("_all_names"), F.grouping("cat").alias("_all_cats"))
+    grain = F.when(F.col("_all_names") == 0, "name").when(F.col("_all_cats") == 0, "cat").otherwise("total")
     return sets.join(t.summary.select("trace_id", "n_steps"), "trace_id").select(
-        "trace_id", "side", grain.alias("grain"), F.coalesce("name", "cat").alias("key"),
+        "trace_id", "side", grain.alias("grain"), F.when(F.col("_all_names") == 0, F.col("name")).otherwise(F.col("cat")).alias("key"),
         F.col("_ns").alias("total_ns"), _per_step(F.col("_ns"), F.col("n_steps")).alias("dur_ns")
     ).filter(~((F.col("grain") == "cat") & (F.col("side") == "host")))
 

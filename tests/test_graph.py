@@ -43,6 +43,13 @@ def test_ranks_with_a_cycle(spark):
     assert ranks(spark, [(0, 1), (1, 2), (2, 1), (3, 4), (4, 3)], 5) == {0: (0, False), 1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True)}
 
 
+def test_ranks_behind_a_cycle(spark):
+    got = ranks(spark, [(0, 1), (1, 2), (2, 1), (2, 3), (3, 4), (0, 4)], 5)
+    assert got == {0: (0, False), 1: (1, True), 2: (2, True), 3: (3, True), 4: (4, True)}
+    late = ranks(spark, [(4, 5), (5, 4), (5, 0), (0, 1)], 6)  # the list position of what is behind does not matter
+    assert late[0][0] == late[5][0] + 1 and late[1][0] == late[0][0] + 1
+
+
 def test_components_of_a_long_path(spark):
     pairs = [(i, i + 1) for i in range(20)] + [(30, 31)]
     nodes = spark.createDataFrame([(G, n) for n in {x for p in pairs for x in p} | {50}], "graph_id string, node_id long")
