@@ -48,17 +48,36 @@ def _(t):
     return swimlane.in_step(swimlane.module_events(t.events, include_all=True), choose_step(t.steps))
 
 
-@query("t22_lane_gaps", f"""
+def _gaps(calls: str) -> str:
+    return f"""
 SELECT trace_id, pid, tid, greatest(20000.0, least(dur_ns * 0.1::DOUBLE, 500000.0)) AS gap_ns FROM (
   SELECT trace_id, pid, tid, dur_ns, row_number() OVER (PARTITION BY trace_id, pid, tid ORDER BY dur_ns) AS r,
-    count(*) OVER (PARTITION BY trace_id, pid, tid) AS n FROM ({_CALLS}) c) x WHERE r = n // 2 + 1
-""")
+    count(*) OVER (PARTITION BY trace_id, pid, tid) AS n FROM ({calls}) c) x WHERE r = n // 2 + 1
+"""
+
+
+@query("t22_lane_gaps", _gaps(_CALLS))
 def _(t):
     return swimlane.lane_gaps(swimlane.module_events(t.events, include_all=True))
 
 
-# Greedy packing reads better as a loop than as SQL: checked against one in the tests.
-@query("t22_lane_rows")
+# First fit: a walk along each lane that carries the ends of its tracks.
+def _packed(calls: str) -> str:
+    return f"""
+SELECT trace_id, pid, tid, idx, CAST(sub_row AS BIGINT) AS sub_row FROM (
+  WITH RECURSIVE o AS MATERIALIZED (SELECT c.trace_id, c.pid, c.tid, c.idx, c.ts_ns, c.ts_ns + c.dur_ns AS fin, g.gap_ns,
+      row_number() OVER (PARTITION BY c.trace_id, c.pid, c.tid ORDER BY c.ts_ns, -c.dur_ns, c.idx) AS pos
+    FROM ({calls}) c JOIN ({_gaps(calls)}) g ON g.trace_id = c.trace_id AND g.pid = c.pid AND g.tid = c.tid),
+  walk AS (SELECT trace_id, pid, tid, pos, idx, 0::BIGINT AS sub_row, [fin] AS ends FROM o WHERE pos = 1
+    UNION ALL
+    SELECT trace_id, pid, tid, pos, idx, r, CASE WHEN r = len(ends) THEN list_append(ends, fin) ELSE list_concat(list_concat(ends[:r], [fin]), ends[r + 2:]) END FROM (
+      SELECT o.*, w.ends, coalesce(nullif(list_position(list_transform(w.ends, lambda e: o.ts_ns - e >= o.gap_ns), true), 0) - 1, len(w.ends))::BIGINT AS r
+      FROM walk w JOIN o ON o.trace_id = w.trace_id AND o.pid = w.pid AND o.tid = w.tid AND o.pos = w.pos + 1) x)
+  SELECT * FROM walk) w
+"""
+
+
+@query("t22_lane_rows", _packed(_CALLS))
 def _(t):
     return swimlane.pack_lanes(swimlane.module_events(t.events, include_all=True))
 
@@ -114,11 +133,27 @@ def _(t):
     return swimlane.top_call_edges(swimlane.call_edges(swimlane.module_events(t.events, include_all=True)))
 
 
-@query("s07_lane_events")
+_HOT = f"""
+SELECT trace_id, name FROM (SELECT trace_id, name, row_number() OVER (PARTITION BY trace_id ORDER BY sum(dur_ns) DESC, name) AS rank
+  FROM ({_IN_STEP}) c GROUP BY 1, 2) x WHERE rank <= 8
+"""
+
+
+@query("s07_lane_events", f"""
+SELECT c.trace_id, c.pid, c.tid, c.idx, c.name, c.ts_ns - s.ts_ns AS rel_ns, c.dur_ns, p.sub_row, h.name IS NOT NULL AS hot, e.call_from FROM ({_IN_STEP}) c
+JOIN ({_packed(_IN_STEP)}) p ON p.trace_id = c.trace_id AND p.pid = c.pid AND p.tid = c.tid AND p.idx = c.idx
+JOIN ({_STEP}) s ON s.trace_id = c.trace_id LEFT JOIN ({_HOT}) h ON h.trace_id = c.trace_id AND h.name = c.name
+JOIN trace_event e ON e.trace_id = c.trace_id AND e.idx = c.idx
+""")
 def _(t):
     return swimlane.Swimlane(t, include_all=True).lane_events()
 
 
-@query("s07_lanes")
+@query("s07_lanes", f"""
+SELECT p.trace_id, p.pid, p.tid, concat(CASE WHEN p.tid = p.pid THEN '[MAIN] ' ELSE '' END, 'thread ', p.tid) AS label,
+  coalesce(n.thread_name, concat('pid=', p.pid, ' tid=', p.tid)) AS thread_name, coalesce(l.label, '') AS process_label, n_calls, n_sub_rows
+FROM (SELECT trace_id, pid, tid, count(*) AS n_calls, max(sub_row) + 1 AS n_sub_rows FROM ({_packed(_IN_STEP)}) q GROUP BY 1, 2, 3) p
+LEFT JOIN o_name n ON n.trace_id = p.trace_id AND n.pid = p.pid AND n.tid = p.tid LEFT JOIN o_label l ON l.trace_id = p.trace_id AND l.pid = p.pid
+""")
 def _(t):
     return swimlane.Swimlane(t, include_all=True).lanes()
