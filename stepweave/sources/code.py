@@ -205,7 +205,7 @@ def root_classes(subs: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def module_tree(subs: DataFrame, modules: DataFrame, roots: DataFrame) -> DataFrame:
-    """Submodules below each root class with dotted path and depth.
+    """Submodules below each root class with dotted path and depth; ``root`` is the class the path starts from.
 
     One round per level for all code bases; a class is not opened again below itself.
     """
@@ -220,7 +220,7 @@ def module_tree(subs: DataFrame, modules: DataFrame, roots: DataFrame) -> DataFr
         rows = materialize(rows.select(
             "code_id", path.alias("attr_path"), F.when(F.col("child_class") != "", F.col("child_class")).otherwise(F.col("container_type")).alias("class"),
             (F.col("_depth") + 1).alias("depth"), "is_container", "container_type", F.col("class").alias("parent_class"), "path", "line", "is_dynamic",
-            "_above", F.coalesce("_opens", F.lit(False)).alias("_opens")))
+            F.col("_above")[0].alias("root"), "_above", F.coalesce("_opens", F.lit(False)).alias("_opens")))
         if rows.isEmpty():
             break
         parts.append(rows.drop("_above", "_opens"))
@@ -229,6 +229,29 @@ def module_tree(subs: DataFrame, modules: DataFrame, roots: DataFrame) -> DataFr
     return reduce(DataFrame.unionByName, parts, rows.drop("_above", "_opens").limit(0))
 
 
+def tree_roots(subs: DataFrame, modules: DataFrame) -> DataFrame:
+    """Module classes that no other module class contains."""
+    inside = subs.join(modules.select("code_id", "class"), ["code_id", "class"], "left_semi").filter("child_class <> class")
+    return modules.join(inside.select("code_id", F.col("child_class").alias("class")), ["code_id", "class"], "left_anti").select("code_id", "class")
+
+
+def module_forest(subs: DataFrame, modules: DataFrame) -> DataFrame:
+    """The trees below all of :func:`tree_roots` (see :func:`module_tree`).
+
+    Classes that contain each other in a circle may lie below no root; the first of them by name in each code base
+    then is one, until every module class is a root or in a tree.
+    """
+    left, roots, parts = modules.select("code_id", "class"), materialize(tree_roots(subs, modules)), []
+    while True:
+        tree = module_tree(subs, modules, roots)
+        parts.append(tree)
+        met = roots.unionByName(tree.select("code_id", "class"))
+        left = materialize(left.join(met, ["code_id", "class"], "left_anti"))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        roots = materialize(left.groupBy("code_id").agg(F.min("class").alias("class")))
+
+
 def calibrated_edges(edges: DataFrame, calls: DataFrame) -> DataFrame:
     """Static edges checked against a recorded call sequence.
 

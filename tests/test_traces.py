@@ -10,6 +10,7 @@ from stepweave.functions import labels
 from stepweave.operators import device, modules, phases, swimlane, trace_dims
 from stepweave.plans.tables import TraceTables
 from stepweave.sources import code, traces
+from workload import source_queries
 
 
 def meta(name, pid, tid="0", **args):
@@ -105,6 +106,29 @@ class Child(Root):
     assert sorted(r.attr_path for r in tree.collect()) == ["<dynamic>", "a", "many", "many[*]", "many[*]"]
 
 
+def test_module_forest(spark):
+    # R and S are roots (S contains itself); C > D > C lies below none of them, object is no module
+    modules = spark.createDataFrame([("x", c) for c in "RACDS"], "code_id string, class string")
+    links = [("R", "A"), ("A", "ReLU"), ("C", "D"), ("D", "C"), ("S", "S"), ("S", "A"), ("object", "R")]
+    rows = [("x", c, f"{c}.py", f"to_{d}", d, "", False, 1, False, i) for i, (c, d) in enumerate(links)]
+    subs = spark.createDataFrame(rows, "code_id string, class string, path string, attr string, child_class string, container_type string, "
+                                 "is_container boolean, line long, is_dynamic boolean, ord long")
+    assert {r["class"] for r in code.tree_roots(subs, modules).collect()} == {"R", "S"}
+    got = sorted((r.root, r.attr_path, r.depth) for r in code.module_forest(subs, modules).collect())
+    assert got == [("C", "to_D", 1), ("C", "to_D.to_C", 2), ("R", "to_A", 1), ("R", "to_A.to_ReLU", 2),
+                   ("S", "to_A", 1), ("S", "to_A.to_ReLU", 2), ("S", "to_S", 1)]
+
+
+def test_forest_query_opens_every_module_class(spark):
+    from oracle_check import compare, connect
+
+    sf = "/root/testdata/sf0.001"
+    assert not (problem := compare(spark, connect(sf), "d07_module_forest", sf)), problem
+    c = source_queries.Code(spark, sf)
+    opened = source_queries.QUERIES["d07_module_forest"](spark, sf).select("parent_class").distinct()
+    assert opened.count() == c.modules.count()  # the tree below P3 opens a part of them
+
+
 def test_phase_words(spark):
     words = {"Optimizer.step#Adam": "optimize", "run_backward": "backward", "backwards": None, "Forward 1": "forward", "feedforward": None}
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", labels.phase_of_label(F.col("w")).alias("p"))

@@ -137,6 +137,22 @@ def _(c):
     return code.module_tree(c.subs, c.modules, roots).select("attr_path", "class", "depth", "parent_class", "line")
 
 
+@query("d07_module_forest", f"""
+WITH RECURSIVE mods AS ({_MODULE}), subs AS ({_SUBS}),
+roots AS (SELECT class FROM mods WHERE class NOT IN (SELECT s.child_class FROM subs s JOIN mods m ON m.class = s.class WHERE s.child_class <> s.class)),
+tree(root, attr_path, class, depth, parent_class, line, above) AS (
+  SELECT s.class, s.attr, CASE WHEN s.child_class <> '' THEN s.child_class ELSE s.container_type END, 1, s.class, s.line, [s.class]
+  FROM subs s JOIN roots r ON r.class = s.class
+  UNION ALL SELECT t.root, concat(t.attr_path, '.', s.attr), CASE WHEN s.child_class <> '' THEN s.child_class ELSE s.container_type END, t.depth + 1, s.class,
+    s.line, list_append(t.above, s.class)
+  FROM tree t JOIN mods m ON m.class = t.class AND NOT list_contains(t.above, t.class) JOIN subs s ON s.class = t.class)
+SELECT root, attr_path, class, CAST(depth AS BIGINT) AS depth, parent_class, line FROM tree
+""")
+def _(c):
+    """The whole part table: the trees below every class that no other module contains."""
+    return code.module_forest(c.subs, c.modules).select("root", "attr_path", "class", "depth", "parent_class", "line")
+
+
 @query("d08_calibrated_edges", """
 SELECT e.graph_id, e.src_id, e.dst_id, CASE WHEN a.helper = 'A' OR b.helper = 'A' THEN 'static_only' WHEN a.partkey % 3 = b.line % 3 THEN 'dynamic_confirmed'
   WHEN a.line % 3 = b.line % 3 THEN 'parallel' ELSE 'suspect' END AS status
