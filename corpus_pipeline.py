@@ -11,9 +11,15 @@ from stepweave.session import materialize
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or not one letter) go."""
+    """Documents without a language (no text, or not one letter) go.
+
+    If no training row has a language (none labelled, or all of them held out), there is no model; every document with a letter stays.
+    """
     columns = docs.columns
-    return language_id.identified(docs).where(F.col("_lang") != language_id.UNDETERMINED).select(columns)
+    model = language_id.fit(docs)
+    if model is None:
+        return docs.where(language_id.has_letter(F.col("text")))
+    return language_id.predicted(docs, model).where(F.col("_lang") != language_id.UNDETERMINED).select(columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

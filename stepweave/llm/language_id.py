@@ -156,6 +156,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return build(counts) if len(counts) else None
 
 
+def has_letter(text: Column) -> Column:
+    """False for null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``_lang`` and ``_score``, the probability of the language given that it is one of those learned.
 
@@ -174,8 +179,7 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
         return pd.DataFrame({"lang": [m.languages[b] for b in best], "score": 1.0 / np.exp2(-np.minimum(lead, 1000)).sum(axis=1)})
 
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("_guess", F.pandas_udf(guess, kind)(F.col(text_col))).withColumn("_letters", has_letter)
+    out = docs.withColumn("_guess", F.pandas_udf(guess, kind)(F.col(text_col))).withColumn("_letters", has_letter(F.col(text_col)))
     return (out.withColumn("_lang", F.when(F.col("_letters"), F.col("_guess.lang")).otherwise(UNDETERMINED))
             .withColumn("_score", F.when(F.col("_letters"), F.col("_guess.score")).otherwise(0.0)).drop("_guess", "_letters"))
 

@@ -6,6 +6,7 @@ import re
 import shutil
 import subprocess
 import sys
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -71,6 +72,16 @@ def test_clean_documents_stay(spark):
     assert kept.count() == docs.where(r"text rlike '\\p{L}'").count()
 
 
+def test_documents_stay_without_labels(spark, make_docs):
+    texts = ["alpha beta", "élan vital", None, "", "12 34", "你好"]
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1][:len(texts)]
+    for lang in (None, "en"):  # none labelled; all labelled rows held out
+        docs = make_docs([(i, t, lang, "a") for i, t in zip(held, texts)])
+        kept = corpus_pipeline.keep_languages(spark, docs, "/none")
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.collect()) == [held[0], held[1], held[5]]
+
+
 def test_the_rest_works_without_the_subpackage(tmp_path):
     for name in ("__spark_entry__.py", "stepweave", "workload"):
         at = os.path.join(ROOT, name)
