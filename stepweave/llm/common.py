@@ -30,17 +30,36 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Plan nodes that make at most one row of each row of a file.
+PLAIN_NODES = {"LogicalRelation", "Project", "Filter", "SubqueryAlias"}
+
+
+def _is_plain_scan(rows: DataFrame) -> bool:
+    """Whether each row is a row of a file of its own, with no other row made of it.
+
+    Joins, generators, samples, unions and the like may repeat a row and its ``_metadata``, and so do paths that are read twice.
+    """
+    node = rows._jdf.queryExecution().analyzed()
+    while node.getClass().getSimpleName() in PLAIN_NODES and not node.children().isEmpty():
+        node = node.children().head()
+    if node.getClass().getSimpleName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return len(node.relation().location().inputFiles()) == len(rows._jdf.inputFiles())  # the latter are distinct
+
+
 def with_locator(rows: DataFrame, name: str = "_at") -> DataFrame:
     """``rows`` with a struct that says where each row lies: file and row number in it.
 
-    Rows that do not come from Parquet files are written to the shared folder first.  The locator tells
+    Rows that are not a plain scan of Parquet files are written to the shared folder first.  The locator tells
     repeated rows apart, and is the same when a lost task runs again.
     """
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    try:
-        return rows.withColumn(name, at)
-    except AnalysisException:
-        return materialize(rows).withColumn(name, at)
+    if _is_plain_scan(rows):
+        try:
+            return rows.withColumn(name, at)
+        except AnalysisException:  # files of another format
+            pass
+    return materialize(rows).withColumn(name, at)
 
 
 def uniform(*key: Column, seed: str) -> Column:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stepweave.llm import exact_dedup, minhash, substring_dedup
+from stepweave.llm.common import with_locator
 
 
 def norm(text):
@@ -27,6 +28,18 @@ def test_exact_odd_rows(odd_docs, no_docs):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
 
+def test_rows_repeated_in_the_plan_count_as_copies(spark, make_docs, tmp_path):
+    path = str(tmp_path / "docs")
+    make_docs([(i, f"text {i % 3} " + "one two three four five", "en", "a") for i in range(9)]).write.parquet(path)
+    docs = spark.read.parquet(path)
+    twice = docs.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).drop("k")
+    for rows in (docs.select("doc_id", "text").where("doc_id >= 0"), twice, twice.select("doc_id", "text"), spark.read.parquet(path, path)):
+        placed = with_locator(rows)
+        assert placed.select("_at").distinct().count() == placed.count() == rows.count()
+        assert exact_dedup.exact_dedup(rows).count() == 3
+    assert minhash.near_dedup(twice).count() == minhash.near_dedup(docs).count()
+
+
 def test_exact_survives_digest_collisions(make_docs):
     docs = make_docs([(i, f"{i % 7} {'x' * (i % 3)}") for i in range(60)])
     weak = lambda text: F.substring(F.sha2(text.cast("binary"), 256), 1, 0)  # noqa: E731  one digest for all
