@@ -75,3 +75,28 @@ def ranked(rows: DataFrame, by: list[Column], name: str) -> DataFrame:
     starts = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_p").orderBy(*by)) - 1
     return part.withColumn("_k", place).join(starts, "_p").withColumn(name, F.col("_k") + F.col("_start")).drop("_p", "_k", "_start")
+
+
+def boxed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` in one struct ``row``, so that none of them can clash with a column of an operator."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``row, at``: the columns of ``docs`` in a struct, and where the row lies (see :func:`with_locator`)."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")
+    if _is_plain_scan(docs) and "_metadata" not in docs.columns:
+        try:
+            return docs.select(boxed(docs), at)
+        except AnalysisException:  # files of another format
+            pass
+    return materialize(docs.select(boxed(docs))).select("row", at)
+
+
+def unboxed(rows: DataFrame, *names: str) -> DataFrame:
+    """The columns in ``row`` followed by the columns ``names``; raises if ``row`` has one of them."""
+    taken = {n.lower() for n in rows.schema["row"].dataType.names}
+    clash = sorted(n for n in names if n.lower() in taken)
+    if clash:
+        raise ValueError(f"the input already has the columns that the result adds: {', '.join(clash)}")
+    return rows.select("row.*", *names)

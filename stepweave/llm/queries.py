@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm import exact_dedup, gif, language_id, minhash, mixing, packing, substring_dedup, token_count, url_filter, warc
+from stepweave.llm import conversation_repair, embedding_dedup, exact_dedup, gif, importance, language_id, minhash, mixing, packing, substring_dedup, token_count
+from stepweave.llm import url_filter, warc
 from stepweave.llm.common import read
 
 WORD_SQL = r"[^\x20\x09-\x0D]+"
@@ -123,6 +124,59 @@ SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN top
   CASE WHEN top <> page_id THEN top END AS refers_to FROM g
 """
 
+
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark").select("text")
+    return importance.importance_report(docs, target).select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 of the text ``{0}``, byte by byte over the row of ``crc`` (t: list of 256).
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), (2 * i + 1)::INTEGER, 2))::BIGINT)),
+  lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"""
+CRC_TABLE_SQL = """crc AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+OP11_SQL = rf"""
+WITH {CRC_TABLE_SQL},
+d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+fd AS (SELECT k, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+fb AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+n AS (SELECT k, f, count(*) AS n FROM fd GROUP BY ALL),
+h AS MATERIALIZED (SELECT f, {CRC_SQL.format('f')} % 10000 AS bucket FROM (SELECT f FROM fd UNION SELECT f FROM fb), crc),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM n JOIN h USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM fb JOIN h USING (f) GROUP BY bucket),
+a AS (SELECT coalesce((SELECT sum(s) FROM s), 0)::DOUBLE AS total_s, coalesce((SELECT sum(t) FROM t), 0)::DOUBLE AS total_t),
+g AS MATERIALIZED (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (total_s + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (total_t + 10000))))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM h) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), a),
+v AS (SELECT k, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM n JOIN h USING (f) JOIN g USING (bucket) GROUP BY k),
+x AS (SELECT k, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE)
+  / 4294967296.0::DOUBLE)))::BIGINT AS score, coalesce(weight, 0) AS weight FROM d LEFT JOIN v USING (k)),
+r AS (SELECT k, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * 25 // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (k)
+"""
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(conversation_repair.named(read(spark, sf_dir, "conversations")))
+    report, _ = conversation_repair.repair(rows, keep=False)
+    return report.withColumnRenamed("conv", "conv_id")
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embedding_dedup.near_groups(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS k FROM embeddings),
+u AS MATERIALIZED (SELECT * FROM v WHERE len(e) > 0 AND list_count(e) = len(e) AND len(list_filter(e, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM u a JOIN u b ON a.k <> b.k AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(k, to_k) AS (SELECT k, k FROM v UNION SELECT r.k, l.b FROM r JOIN l ON l.a = r.to_k),
+c AS (SELECT r.k, min(v.vec_id) AS component_id FROM r JOIN v ON v.k = r.to_k GROUP BY r.k),
+n AS (SELECT a AS k, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (k) LEFT JOIN n USING (k)
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_source_mix": op2_source_mix,
@@ -134,6 +188,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_warc": op10_warc,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 ORACLES = {
     "op2_source_mix": OP2_SQL,
@@ -141,4 +198,6 @@ ORACLES = {
     "op8_exact_dedup": OP8_SQL,
     "op9_url_filter": OP9_SQL,
     "op10_warc": OP10_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op13_embedding_near_dedup": OP13_SQL,
 }
