@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,32 +80,84 @@ def unsupported_containers(attrs: DataFrame) -> DataFrame:
 class NormalizedGraph:
     """All scopes of all graphs after container membership, absorption and grouping.
 
-    ``scoped`` lists the nodes of each scope with ``ord`` and grouping columns, plus
-    ``groupable``: false inside containers and native modules.
+    ``scoped`` lists the nodes of each scope (``graph_id, scope_id, node_id``) with ``ord`` and grouping columns, plus
+    ``groupable``: false inside native modules.  A node stands in one scope.
+
+    A container belongs to the scope of the nodes below it and joins its list, behind the nodes; its members leave
+    the list.  Floating nodes are absorbed scope by scope: a node of another scope, or in no container of this scope, keeps
+    its neighbours where they are.  Then each container is a scope of its own, outer ones first: what it holds besides
+    containers may move on into those.  A round per level of nesting serves all scopes of all graphs.
     """
 
     def __init__(self, attrs: DataFrame, nodes: DataFrame, edges: DataFrame, scoped: DataFrame):
         from stepweave.graph import grouping
 
-        self.attrs, self.edges = attrs, edges
+        self.edges, scope = edges, ["graph_id", "scope_id"]
         closure = attr_closure(attrs)
         self.made = materialize(missing_containers(attrs, nodes, closure))
         self.members = materialize(container_members(attrs, nodes, self.made))
-        inside = ancestors(self.members.select(
-            "graph_id", F.col("container_id").alias("parent_id"), F.col("node_id").alias("child_id")))
-        free = scoped.join(self.members.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti")
-        self.fates = materialize(grouping.floating_components(free, edges, inside))
-        self.absorbed = self.fates.filter("fate = 'absorbed'").select("graph_id", "container_id", "node_id")
-        self.direct = materialize(free.join(self.absorbed, ["graph_id", "node_id"], "left_anti"))
+        boxes = attrs.filter("is_container").select("graph_id", "attr_id")
+        box = nodes.select("graph_id", "attr_id", "node_id").unionByName(self.made.select("graph_id", "attr_id", "node_id")).join(boxes, ["graph_id", "attr_id"], "left_semi")
+        box = materialize(box)
+        ids = lambda attr, node: box.select("graph_id", F.col("attr_id").alias(attr), F.col("node_id").alias(node))
+        # containers around containers, as nodes
+        around = materialize(closure.select("graph_id", F.col("node_id").alias("_in"), F.col("ancestor_id").alias("_out"), "dist").join(ids("_in", "inner_id"), ["graph_id", "_in"])
+                             .join(ids("_out", "outer_id"), ["graph_id", "_out"]).select("graph_id", "inner_id", "outer_id", "dist"))
+        direct = self.members.select("graph_id", "node_id", "container_id")
+
+        # the containers of a scope: those around its nodes, those around these, and those it lists anyway
+        near = scoped.select(*scope, "node_id", "ord").join(direct, ["graph_id", "node_id"]).groupBy(*scope, F.col("container_id").alias("inner_id")).agg(F.min("ord").alias("_first"))
+        far = near.join(around, ["graph_id", "inner_id"]).groupBy(*scope, F.col("outer_id").alias("node_id")).agg(F.min(F.struct("_first", "dist")).alias("_place"))
+        near = near.select(*scope, F.col("inner_id").alias("node_id"), F.struct("_first", F.lit(0).cast("bigint").alias("dist")).alias("_place"))
+        joined = near.unionByName(far).groupBy(*scope, "node_id").agg(F.min("_place").alias("_place")).join(scoped.select(*scope, "node_id"), [*scope, "node_id"], "left_anti")
+        listed = scoped.join(box.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi").select(*scope, "node_id")
+        held = materialize(joined.select(*scope, "node_id").unionByName(listed))  # containers per scope
+        inside = held.withColumnRenamed("node_id", "container_id")
+        homes = direct.join(inside, ["graph_id", "container_id"]).select(*scope, "node_id", "container_id")
+        free = materialize(scoped.join(homes, [*scope, "node_id"], "left_anti").join(listed, [*scope, "node_id"], "left_anti"))
+
+        fates = materialize(grouping.scope_fates(free, edges, homes))
+        moved = fates.filter("fate = 'absorbed'")
+        self.direct = materialize(self._lists(scoped, free.join(moved, [*scope, "node_id"], "left_anti"), joined, listed, homes))
+        content = materialize(direct.unionByName(moved.select("graph_id", "node_id", "container_id")).distinct())
+        parts = [fates]
+        depth = around.groupBy("graph_id", F.col("inner_id").alias("container_id")).agg(F.max("dist").alias("depth"))
+        outer = around.select("graph_id", F.col("outer_id").alias("container_id")).distinct()  # those that hold containers
+        level = materialize(outer.join(depth, ["graph_id", "container_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0).cast("bigint"))))
+        for d in [r["depth"] for r in level.select("depth").distinct().orderBy("depth").collect()]:  # one row per level of nesting
+            now = level.filter(F.col("depth") == d).select("graph_id", "container_id")
+            name = F.concat(F.lit("container:"), F.col("container_id").cast("string")).alias("scope_id")
+            loose = content.join(now, ["graph_id", "container_id"], "left_semi").join(box.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti")
+            below = now.withColumnRenamed("container_id", "outer_id").join(around, ["graph_id", "outer_id"])
+            home = content.join(below.withColumnRenamed("inner_id", "container_id"), ["graph_id", "container_id"]).select(
+                "graph_id", F.concat(F.lit("container:"), F.col("outer_id").cast("string")).alias("scope_id"), "node_id", "container_id")
+            fates = materialize(grouping.scope_fates(loose.select("graph_id", name, "node_id"), edges, home))
+            parts.append(fates)
+            moved = fates.filter("fate = 'absorbed'").select("graph_id", "node_id", F.col("container_id").alias("_to"))
+            content = materialize(content.join(moved, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("_to", "container_id").alias("container_id")))
+        self.fates = reduce(DataFrame.unionByName, parts)
+        self.content = content
+
+    @staticmethod
+    def _lists(scoped: DataFrame, free: DataFrame, joined: DataFrame, listed: DataFrame, homes: DataFrame) -> DataFrame:
+        """Direct nodes of each scope: what is in no container, and the outermost containers behind it."""
+        scope = ["graph_id", "scope_id"]
+        last = scoped.groupBy(*scope).agg(F.max("ord").alias("_last"), F.bool_and("groupable").alias("groupable"))
+        outermost = joined.join(homes.select(*scope, "node_id"), [*scope, "node_id"], "left_anti").join(last, scope)
+        numbered = running(chunked(outermost.withColumns({"_f": F.col("_place._first"), "_d": F.col("_place.dist"), "_one": F.lit(1)}), scope, "_f"), ["_f", "_d", "node_id"], {"_n": "_one"}, "sum").frame
+        added = numbered.select(*scope, "node_id", (F.col("_last") + F.col("_n")).alias("ord"), F.lit("container").alias("attr_kind"), F.lit(True).alias("is_native"), "groupable")
+        kept = scoped.join(listed, [*scope, "node_id"], "left_semi").join(homes.select(*scope, "node_id"), [*scope, "node_id"], "left_anti")
+        return free.unionByName(kept).unionByName(added, allowMissingColumns=True)
 
     def containers(self) -> DataFrame:
-        """Final members of every container, in id order."""
-        return self.members.select("graph_id", "container_id", "node_id").unionByName(self.absorbed).distinct()
+        """Final members of every container; sort them by id."""
+        return self.content.select("graph_id", "container_id", "node_id")
 
     def groups(self) -> tuple[DataFrame, DataFrame]:
         """(helper groups, call-site runs) of the scopes that may be grouped.
 
-        Runs are looked for in what the helper groups leave over.
+        Runs are looked for in what the helper groups leave over, in scope order: by data-flow level where plain and
+        other nodes mix, else as listed.
         """
         from stepweave.graph import grouping
 
@@ -112,7 +166,9 @@ class NormalizedGraph:
         name = grouping.helper_frame(F.col("call_loc")["frames"])["function_name"]
         rest = open_scopes.withColumn("group_name", name).join(
             helpers.select("graph_id", "scope_id", "group_name"), ["graph_id", "scope_id", "group_name"], "left_anti")
-        places = rest.drop("group_name").unionByName(
-            helpers.select("graph_id", "scope_id", F.col("first_id").alias("node_id"), "ord",
-                           F.lit("module").alias("attr_kind"), F.lit(False).alias("is_native")), allowMissingColumns=True)
-        return helpers, grouping.call_site_runs(places)
+        places = materialize(rest.drop("group_name").unionByName(
+            helpers.select("graph_id", "scope_id", (-F.col("first_id") - 1).alias("node_id"), "ord",  # a new node, without edges
+                           F.lit("module").alias("attr_kind"), F.lit(False).alias("is_native")), allowMissingColumns=True))
+        ordered = grouping.scope_order(places, self.edges).withColumns({"_list": F.col("ord"), "_one": F.lit(1)}).drop("ord")
+        placed = running(chunked(ordered, ["graph_id", "scope_id"], "level"), ["level", "_list"], {"ord": "_one"}, "sum").frame
+        return helpers, grouping.call_site_runs(placed)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,28 +21,74 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", F.explode(ends).alias("e")).select("graph_id", "e.*").distinct()
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Connected components as ``(graph_id, node_id, component)``, named by the smallest id.
+def _smallest_reached(keys: list[str]):
+    """Within a batch of links ``(*keys, a, b)``: the smallest node that each one reaches."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for links in batches:
+            n = len(links)
+            graph = links.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            codes, ids = pd.factorize(np.concatenate([links["a"].to_numpy(), links["b"].to_numpy()]), sort=True)
+            names, first, place = np.unique(np.concatenate([graph, graph]) * np.int64(len(ids) + 1) + codes, return_index=True, return_inverse=True)
+            a, b = place[:n], place[n:]  # within a graph, places rise with ids
+            root = np.arange(len(names))
+            while True:
+                low = np.minimum(root[a], root[b])
+                if (root[a] == low).all() and (root[b] == low).all():
+                    break
+                for end in (a, b):
+                    np.minimum.at(root, root[end], low)
+                    np.minimum.at(root, end, low)
+                root = root[root]
+            name = ids[codes[first]]
+            out = links[keys].iloc[first % n].reset_index(drop=True).assign(a=name, b=name[root])
+            yield out[out["a"] != out["b"]]
+
+    return run
+
+
+def contracted(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Links ``(*keys, a, b)`` replaced by stars: per batch, each node with the smallest node it reaches there.
+
+    Graphs lie together and most fit in a batch, so that nothing of them is left to do; a large one loses all links but
+    one per node and batch.
+    """
+    near = links.select(*keys, "a", "b").repartition(*keys).sortWithinPartitions(*keys)
+    kinds = ", ".join(f"{c} {t}" for c, t in near.dtypes)
+    return near.mapInPandas(_smallest_reached(keys), kinds)
+
+
+def components(nodes: DataFrame, links: DataFrame, keys: tuple[str, ...] = ("graph_id",)) -> DataFrame:
+    """Connected components as ``(*keys, node_id, component)``, named by the smallest id.
 
-    Each round hangs every component below its smallest neighbour, follows that one step further, and goes on with
-    the links that still join different components.  Graphs that are done drop out, and the node table is
-    read once, at the end.
+    Links are contracted within batches first.  After that each round hangs every component below its smallest
+    neighbour, follows that one step further, and goes on with the links that still join different components.
+    Graphs that are done drop out, and the node table is read once, at the end.
     """
-    open_ = materialize(links.select("graph_id", F.col("node_id").alias("a"), F.col("peer_id").alias("b")).filter("a <> b").distinct())
-    steps = []
-    while not open_.isEmpty():
-        near = materialize(open_.groupBy("graph_id", "a").agg(F.min("b").alias("to")).filter("to < a"))
-        hop = near.select("graph_id", F.col("a").alias("to"), F.col("to").alias("_next"))
-        step = materialize(near.join(hop, ["graph_id", "to"], "left").select("graph_id", "a", F.coalesce("_next", "to").alias("to")))
-        steps.append(step)
-        for end in ("a", "b"):
-            open_ = open_.join(step.select("graph_id", F.col("a").alias(end), F.col("to").alias("_to")), ["graph_id", end], "left").withColumn(
-                end, F.coalesce("_to", end)).drop("_to")
-        open_ = materialize(open_.select("graph_id", "a", "b").filter("a <> b").distinct())
-    labels = nodes.select("graph_id", "node_id", F.col("node_id").alias("component"))
+    keys = list(keys)
+    star = materialize(contracted(links.select(*keys, F.col("node_id").alias("a"), F.col("peer_id").alias("b")).filter("a < b"), keys))
+    # what one batch settled is settled, unless a node has another root, or its root is below a root of its own
+    up = star.groupBy(*keys, "a").agg(F.min("b").alias("to"), F.max("b").alias("_other"))
+    below = up.select(*keys, F.col("a").alias("to"), F.lit(True).alias("_goes_on"))
+    up = materialize(up.join(below, [*keys, "to"], "left"))
+    torn = materialize(up.filter("to <> _other or _goes_on").select(*keys).distinct())
+    steps = [up.select(*keys, "a", "to")]
+    if not torn.isEmpty():
+        ends = [star.join(torn, keys, "left_semi").select(*keys, "a", "b"), star.join(torn, keys, "left_semi").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))]
+        open_ = materialize(ends[0].unionByName(ends[1]).distinct())
+        steps = [up.join(torn, keys, "left_anti").select(*keys, "a", "to")]
+        while not open_.isEmpty():
+            near = materialize(open_.groupBy(*keys, "a").agg(F.min("b").alias("to")).filter("to < a"))
+            hop = near.select(*keys, F.col("a").alias("to"), F.col("to").alias("_next"))
+            step = materialize(near.join(hop, [*keys, "to"], "left").select(*keys, "a", F.coalesce("_next", "to").alias("to")))
+            steps.append(step)
+            for end in ("a", "b"):
+                open_ = open_.join(step.select(*keys, F.col("a").alias(end), F.col("to").alias("_to")), [*keys, end], "left").withColumn(
+                    end, F.coalesce("_to", end)).drop("_to")
+            open_ = materialize(open_.select(*keys, "a", "b").filter("a <> b").distinct())
+    labels = nodes.select(*keys, "node_id", F.col("node_id").alias("component"))
     for step in steps:
-        labels = labels.join(step.withColumnRenamed("a", "component"), ["graph_id", "component"], "left").select(
-            "graph_id", "node_id", F.coalesce("to", "component").alias("component"))
+        labels = labels.join(step.withColumnRenamed("a", "component"), [*keys, "component"], "left").select(
+            *keys, "node_id", F.coalesce("to", "component").alias("component"))
     return materialize(labels)
 
 
@@ -50,30 +100,34 @@ def innermost_containers(closure: DataFrame) -> DataFrame:
 
 
 def floating_components(floating: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
-    """Floating nodes with their component and the fate of it.
+    """:func:`scope_fates` of graphs that are one scope each; ``closure`` has the containers around each node."""
+    homes = innermost_containers(closure).withColumn("scope_id", F.lit(""))
+    return scope_fates(floating.select("graph_id", F.lit("").alias("scope_id"), "node_id"), edges, homes).drop("scope_id")
+
+
+def scope_fates(floating: DataFrame, edges: DataFrame, homes: DataFrame) -> DataFrame:
+    """Floating nodes ``(graph_id, scope_id, node_id)`` with their component in the scope and the fate of it.
+
+    ``homes``: the innermost container of the scope around a node, ``(graph_id, scope_id, node_id, container_id)``.
 
-    A floating node cannot move into a container when it touches a node that is neither
-    floating nor inside a container, and then none of the nodes it is connected to can
-    either: the whole component is ``dropped``.  Otherwise a component whose outside
-    neighbours all sit in one innermost container is ``absorbed`` by it; one without
-    outside neighbours, or between several containers, ``stays``.
+    A floating node cannot move into a container when it touches a node that is neither floating in its scope nor
+    inside a container of its scope, and then none of the nodes it is connected to can either: the whole component is
+    ``dropped``.  Otherwise a component whose outside neighbours all sit in one innermost container is ``absorbed`` by
+    it; one without outside neighbours, or between several containers, ``stays``.
     """
-    floating = materialize(floating.select("graph_id", "node_id").distinct())
-    touching = materialize(both_ways(edges).join(floating, ["graph_id", "node_id"], "left_semi"))
-    peers = floating.withColumnRenamed("node_id", "peer_id")
-    inside = touching.join(peers, ["graph_id", "peer_id"], "left_semi")
-    outside = touching.join(peers, ["graph_id", "peer_id"], "left_anti")
-    labels = components(floating, inside)
-    homes = innermost_containers(closure).select("graph_id", F.col("node_id").alias("peer_id"), "container_id")
-    targets = outside.join(homes, ["graph_id", "peer_id"], "left").join(labels, ["graph_id", "node_id"]).groupBy(
-        "graph_id", "component").agg(
-        F.bool_or(F.col("container_id").isNull()).alias("_loose"),
-        F.min("container_id").alias("_a"), F.max("container_id").alias("_b"))
+    scope = ["graph_id", "scope_id"]
+    floating = materialize(floating.select(*scope, "node_id").distinct())
+    touching = floating.join(both_ways(edges), ["graph_id", "node_id"])
+    peers = floating.select(*scope, F.col("node_id").alias("peer_id"), F.lit(True).alias("_floats"))
+    home = homes.select(*scope, F.col("node_id").alias("peer_id"), "container_id")
+    met = materialize(touching.join(peers, [*scope, "peer_id"], "left").join(home, [*scope, "peer_id"], "left"))
+    labels = components(floating, met.filter("_floats"), scope)
+    targets = met.filter("_floats is null").join(labels, [*scope, "node_id"]).groupBy(*scope, "component").agg(
+        F.bool_or(F.col("container_id").isNull()).alias("_loose"), F.min("container_id").alias("_a"), F.max("container_id").alias("_b"))
     one = F.col("_a") == F.col("_b")
     fate = F.when(F.col("_loose"), "dropped").when(one, "absorbed").otherwise("stays")
-    return labels.join(targets, ["graph_id", "component"], "left").select(
-        "graph_id", "node_id", "component", fate.alias("fate"),
-        F.when(~F.col("_loose") & one, F.col("_a")).alias("container_id"))
+    return labels.join(targets, [*scope, "component"], "left").select(
+        *scope, "node_id", "component", fate.alias("fate"), F.when(~F.col("_loose") & one, F.col("_a")).alias("container_id"))
 
 
 def surviving_nodes(fates: DataFrame) -> DataFrame:

@@ -150,3 +150,73 @@ def test_flattening_rules(spark):
     rules = {(r.graph_id, r.rule, r.node_id) for r in flat.violations().collect()}
     assert {(G, "edge end not in node index", 50), (G, "unsupported attr_type", 4), ("h", "missing field: edges", None), ("h", "no root groups", None)} <= rules
     assert not any(n == 60 for _, _, n in rules)
+
+
+def test_components_across_batches(spark):
+    r = random.Random(4)
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100 + r.randrange(40), 100 + r.randrange(40)) for _ in range(30)] + [(300, 200), (300, 250), (260, 250)]
+    nodes = sorted({x for p in pairs for x in p})
+    want = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, "3")  # links of a graph fall into many batches
+    try:
+        frame = spark.createDataFrame([(G, n) for n in nodes], "graph_id string, node_id long")
+        got = {x.node_id: x.component for x in grouping.components(frame, grouping.both_ways(links(spark, pairs))).collect()}
+    finally:
+        spark.conf.unset(batch)
+    assert got == want
+
+
+LOC = "struct<file:string,line:bigint,col:bigint,frames:array<struct<file:string,line:bigint,function_name:string>>>"
+
+
+def normalized(spark, scopes, held, boxes, pairs):
+    """scopes: {scope: nodes}; held: {node: container attribute}; boxes: {container attribute: its own}."""
+    attrs = [(G, f"m{n}", held.get(n), str(n), "m", "Linear", False) for ns in scopes.values() for n in ns]
+    attrs += [(G, b, up, b, b, "ModuleList", True) for b, up in boxes.items()]
+    nodes = [(G, n, f"m{n}") for ns in scopes.values() for n in ns]
+    scoped = [(G, s, n, i, "functional", True, None, True) for s, ns in scopes.items() for i, n in enumerate(ns)]
+    return containers.NormalizedGraph(
+        spark.createDataFrame(attrs, "graph_id string, attr_id string, parent_attr_id string, key string, attr_name string, class_name string, is_container boolean"),
+        spark.createDataFrame(nodes, "graph_id string, node_id long, attr_id string"), links(spark, pairs),
+        spark.createDataFrame(scoped, f"graph_id string, scope_id string, node_id long, ord long, attr_kind string, is_native boolean, call_loc {LOC}, groupable boolean"))
+
+
+def test_nodes_of_another_scope_stay(spark):
+    g = normalized(spark, {"top": [1, 2, 3], "other": [9, 4]}, {1: "c", 2: "c", 4: "d"}, {"c": None, "d": None}, [(9, 1), (3, 2), (4, 3)])
+    made = {r.attr_id: r.node_id for r in g.made.collect()}
+    assert {r.node_id: (r.scope_id, r.fate) for r in g.fates.collect()} == {9: ("other", "dropped"), 3: ("top", "dropped")}
+    lists = {}
+    for r in g.direct.orderBy("ord").collect():
+        lists.setdefault(r.scope_id, []).append(r.node_id)
+    assert lists == {"top": [3, made["c"]], "other": [9, made["d"]]}
+    alone = normalized(spark, {"top": [1, 2, 3], "other": [9, 4]}, {1: "c", 2: "c", 4: "d"}, {"c": None, "d": None}, [(9, 4), (3, 2)])
+    assert {(r.container_id, r.node_id) for r in alone.containers().collect()} == {(made["c"], n) for n in (1, 2, 3)} | {(made["d"], n) for n in (4, 9)}
+
+
+def test_members_of_a_container_move_into_the_ones_inside(spark):
+    # root holds box and node 5; box holds inner; 5 touches box's node 2 only, 6 floats between 5 and nothing else
+    g = normalized(spark, {"top": [1, 2, 5, 6]}, {1: "inner", 2: "box", 5: "root"}, {"inner": "box", "box": "root", "root": None}, [(5, 2), (6, 5), (2, 1)])
+    made = {r.attr_id: r.node_id for r in g.made.collect()}
+    fates = {(r.scope_id, r.node_id): (r.fate, r.container_id) for r in g.fates.collect()}
+    assert fates[("top", 6)] == ("absorbed", made["root"])
+    assert fates[(f"container:{made['root']}", 5)] == fates[(f"container:{made['root']}", 6)] == ("absorbed", made["box"])
+    # in the box, 5, 6 and 2 touch nothing outside of it but its inner container
+    assert {(r.container_id, r.node_id) for r in g.containers().collect()} == {
+        (made["inner"], 1), (made["inner"], 2), (made["inner"], 5), (made["inner"], 6), (made["box"], made["inner"]), (made["root"], made["box"])}
+
+
+def test_a_container_with_a_node_of_its_own(spark):
+    g = normalized(spark, {"top": [1, 2, 7]}, {1: "m7"}, {}, [(2, 1)])
+    assert g.containers().count() == 0  # m7 is no container
+    attrs = [(G, "m1", "m7", "0", "m", "Linear", False), (G, "m2", None, None, "m", "Linear", False), (G, "m7", None, None, "m", "Sequential", True)]
+    h = containers.NormalizedGraph(
+        spark.createDataFrame(attrs, "graph_id string, attr_id string, parent_attr_id string, key string, attr_name string, class_name string, is_container boolean"),
+        spark.createDataFrame([(G, n, f"m{n}") for n in (1, 2, 7)], "graph_id string, node_id long, attr_id string"), links(spark, [(2, 1)]),
+        spark.createDataFrame([(G, "top", n, n, "functional", True, None, True) for n in (1, 2, 7)],
+                              f"graph_id string, scope_id string, node_id long, ord long, attr_kind string, is_native boolean, call_loc {LOC}, groupable boolean"))
+    assert sorted((r.container_id, r.node_id) for r in h.containers().collect()) == [(7, 1), (7, 2)]
+    assert [r.node_id for r in h.direct.collect()] == [7]

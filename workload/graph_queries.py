@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stepweave.graph import closure, containers, edges, flatten, grouping, records
 from stepweave.operators import rollup
+from stepweave.operators.chunks import chunked, running
 from stepweave.session import materialize
 from workload.oracle import with_ctes
 from workload.views import spark_view
@@ -143,10 +144,34 @@ class Graphs:
     def attr_nodes(self) -> DataFrame:
         return self.node.select("graph_id", "node_id", F.concat(F.lit("m"), F.col("node_id").cast("string")).alias("attr_id"))
 
+    @property
+    def nested(self) -> DataFrame:
+        return self.view("norm_node")
+
+    @property
+    def nested_attrs(self) -> DataFrame:
+        """Two boxes per scope inside a root; some hold nothing."""
+        named = lambda kind, *more: F.concat(F.lit(kind), "scope_id", *more)
+        parent = F.when(F.col("home") == "box", named("c", F.col("box"))).when(F.col("home") == "root", named("root"))
+        own = self.nested.select(
+            "graph_id", F.concat(F.lit("m"), F.col("node_id").cast("string")).alias("attr_id"), parent.alias("parent_attr_id"), F.col("node_id").cast("string").alias("key"),
+            F.lit("m").alias("attr_name"), F.lit("Linear").alias("class_name"), F.lit(False).alias("is_container"))
+        none = F.lit(None).cast("string")
+        box = lambda i: F.struct(named("c", F.lit(f"b{i}")).alias("attr_id"), named("root").alias("parent_attr_id"), F.lit(str(i)).alias("key"), F.lit("ModuleList").alias("class_name"))
+        root = F.struct(named("root").alias("attr_id"), none.alias("parent_attr_id"), none.alias("key"), F.lit("Sequential").alias("class_name"))
+        boxes = self.nested.select("graph_id").distinct().withColumn("scope_id", F.explode(F.array(*[F.lit(x) for x in ("top", "mid", "low")])))
+        boxes = boxes.select("graph_id", F.explode(F.array(box(0), box(1), root)).alias("c")).select(
+            "graph_id", "c.attr_id", "c.parent_attr_id", "c.key", F.col("c.attr_id").alias("attr_name"), "c.class_name", F.lit(True).alias("is_container"))
+        return own.unionByName(boxes)
+
     def normalized(self) -> containers.NormalizedGraph:
-        scoped = self.scoped.withColumn("scope_id", F.lit("top")).withColumn("groupable", F.lit(True))
-        return self._once("normalized", lambda: containers.NormalizedGraph(
-            materialize(self.attrs), self.attr_nodes, self.edge, materialize(scoped)))
+        frame = lambda func: F.struct(F.col("file"), F.col("line"), func.alias("function_name"))
+        frames = F.when(F.col("func") == "forward", F.array(frame(F.lit("forward")))).otherwise(F.array(frame(F.lit("forward")), frame(F.col("func"))))
+        loc = F.struct("file", "line", F.lit(0).cast("bigint").alias("col"), frames.alias("frames"))
+        scoped = self.nested.select("graph_id", "scope_id", "node_id", F.col("node_id").alias("ord"), "attr_kind", "is_native", loc.alias("call_loc"),
+                                    (F.col("scope_id") != "low").alias("groupable"))
+        nodes = self.nested.select("graph_id", "node_id", F.concat(F.lit("m"), F.col("node_id").cast("string")).alias("attr_id"))
+        return self._once("normalized", lambda: containers.NormalizedGraph(materialize(self.nested_attrs), nodes, self.edge, materialize(scoped)))
 
 
 def query(name: str, sql: str | None = None):
@@ -192,9 +217,6 @@ SELECT t.graph_id, t.node_id, coalesce(n, 0) AS depth, row_number() OVER (ORDER
 LEFT JOIN (SELECT node_id, count(*) AS n FROM ({_TREE_UP}) u GROUP BY 1) d ON d.node_id = t.node_id
 """)
 def _(g):
-    from pyspark.sql import Window
-    from stepweave.operators.chunks import chunked, running
-
     rows = closure.bottom_up(g.view("tree").select("graph_id", "node_id", "ord"), g.tree_closure())
     flat = rows.select("graph_id", "node_id", "depth", F.col("visit.level").alias("_level"), "ord", F.lit(1).alias("_one"))
     return running(chunked(flat, ["graph_id"], "_level"), ["_level", "ord", "node_id"], {"place": "_one"}, "sum").frame.select(
@@ -247,30 +269,11 @@ def _(g):
     return containers.container_members(attrs, g.attr_nodes, materialize(containers.missing_containers(attrs, g.attr_nodes)))
 
 
-# Components of floating nodes: here node numbers of helper-N nodes at most two apart are connected.
-_FATE = """
-SELECT f.graph_id, f.node_id, min(f.node_id) OVER (PARTITION BY f.graph_id, f.run) AS component,
-  bool_or(f.outside > 0) OVER (PARTITION BY f.graph_id, f.run) AS touches, f.lo, f.hi FROM (
-  SELECT x.*, sum(CASE WHEN gap IS NULL OR gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY graph_id ORDER BY node_id) AS run FROM (
-    SELECT n.graph_id, n.node_id, n.node_id - lag(n.node_id) OVER (PARTITION BY n.graph_id ORDER BY n.node_id) AS gap, coalesce(p.outside, 0) AS outside, p.lo, p.hi
-    FROM graph_node n LEFT JOIN (
-      SELECT e.graph_id, e.node_id, count(*) FILTER (m.helper <> 'N') AS outside, min(m.container) FILTER (m.helper <> 'N') AS lo, max(m.container) FILTER (m.helper <> 'N') AS hi
-      FROM (SELECT graph_id, src_id AS node_id, dst_id AS peer FROM graph_edge UNION ALL SELECT graph_id, dst_id, src_id FROM graph_edge) e
-      JOIN graph_node m ON m.graph_id = e.graph_id AND m.node_id = e.peer GROUP BY 1, 2) p ON p.graph_id = n.graph_id AND p.node_id = n.node_id
-    WHERE n.helper = 'N') x) f
-"""
-_FATES = f"""
-SELECT f.graph_id, f.node_id, f.component, CASE WHEN lo IS NULL THEN 'stays' WHEN lo = hi THEN 'absorbed' ELSE 'stays' END AS fate, m.node_id AS container_id
-FROM (SELECT graph_id, node_id, component, min(lo) OVER w AS lo, max(hi) OVER w AS hi FROM ({_FATE}) a WINDOW w AS (PARTITION BY graph_id, component)) f
-LEFT JOIN ({_MADE}) m ON m.graph_id = f.graph_id AND f.lo = f.hi AND m.attr_id = concat('c', f.lo)
-"""
-
-
 def _fates(g):
     return g.normalized().fates
 
 
-@query("g09_absorption", _FATES)
+@query("g09_absorption", "SELECT * FROM n_fate0 UNION ALL SELECT * FROM n_fate1")
 def _(g):
     return _fates(g).withColumn("fate", F.coalesce("fate", F.lit("stays")))
 
@@ -292,14 +295,22 @@ def _(g):
     return grouping.surviving_nodes(fates.withColumn("fate", F.coalesce("fate", F.lit("stays"))))
 
 
-@query("g07_normalized_containers", f"""
-SELECT graph_id, container_id, node_id FROM ({_MEMBERS}) m UNION SELECT graph_id, container_id, node_id FROM ({_FATES}) f WHERE fate = 'absorbed'
-""")
+@query("g07_normalized_containers", "SELECT graph_id, container_id, node_id FROM n_content")
 def _(g):
     return g.normalized().containers()
 
 
-@query("g07_normalized_groups")
+@query("g07_scope_lists", "SELECT graph_id, scope_id, node_id, row_number() OVER (PARTITION BY graph_id, scope_id ORDER BY ord) AS place, attr_kind, scope_id <> 'low' AS groupable FROM n_direct")
+def _(g):
+    direct = g.normalized().direct.withColumn("_one", F.lit(1))
+    placed = running(chunked(direct, ["graph_id", "scope_id"], "ord"), ["ord"], {"place": "_one"}, "sum").frame
+    return placed.select("graph_id", "scope_id", "node_id", "place", "attr_kind", "groupable")
+
+
+@query("g07_normalized_groups", """
+SELECT graph_id, scope_id, group_name, first_id, ord, n_members, 'function_group' AS synthetic_type FROM n_helper
+UNION ALL SELECT graph_id, scope_id, group_name, first_id, ord, n_members, 'callloc_group' FROM n_run
+""")
 def _(g):
     helpers, runs = g.normalized().groups()
     columns = ["graph_id", "scope_id", "group_name", "first_id", "ord", "n_members"]

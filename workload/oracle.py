@@ -302,6 +302,93 @@ FROM (SELECT trace_id, class, site_file, site_line, ancestors, sum(f) AS f, sum(
 LEFT JOIN o_self s ON s.trace_id = i.trace_id AND s.class = i.class AND s.site_file = i.site_file AND s.site_line = i.site_line AND s.ancestors = i.ancestors
 """
 
+# Nested scopes: containers made, who is in which, and what happens to floating nodes, first in the scopes, then in their root containers.
+CTES["n_made"] = """
+SELECT *, 101 + row_number() OVER (PARTITION BY graph_id ORDER BY depth DESC, attr_id) AS node_id FROM (
+  SELECT DISTINCT graph_id, scope_id, concat('c', scope_id, box) AS attr_id, 1 AS depth FROM norm_node WHERE home = 'box'
+  UNION ALL SELECT DISTINCT graph_id, scope_id, concat('root', scope_id), 0 FROM norm_node WHERE home <> 'none') b
+"""
+CTES["n_node"] = """
+SELECT n.*, m.node_id AS container_id FROM norm_node n LEFT JOIN n_made m ON m.graph_id = n.graph_id
+  AND m.attr_id = CASE home WHEN 'box' THEN concat('c', n.scope_id, box) WHEN 'root' THEN concat('root', n.scope_id) END
+"""
+CTES["n_nb"] = """
+SELECT graph_id, src_id AS a, dst_id AS b FROM graph_edge UNION ALL SELECT graph_id, dst_id, src_id FROM graph_edge
+"""
+_FATE = """
+SELECT c.graph_id, c.scope_id, c.node_id, c.component, CASE WHEN t.loose THEN 'dropped' WHEN t.lo = t.hi THEN 'absorbed' ELSE 'stays' END AS fate,
+  CASE WHEN NOT t.loose AND t.lo = t.hi THEN t.lo END AS container_id FROM n_comp{0} c LEFT JOIN (
+  SELECT x.graph_id, x.scope_id, y.component, bool_or(target IS NULL) AS loose, min(target) AS lo, max(target) AS hi FROM n_touch{0} x
+  JOIN n_comp{0} y ON y.graph_id = x.graph_id AND y.scope_id = x.scope_id AND y.node_id = x.node_id WHERE NOT link GROUP BY 1, 2, 3) t
+  ON t.graph_id = c.graph_id AND t.scope_id = c.scope_id AND t.component = c.component
+"""
+_REACH = """
+SELECT graph_id, scope_id, node_id, node_id FROM n_float{0}
+UNION SELECT r.graph_id, r.scope_id, r.node_id, t.peer FROM n_reach{0} r JOIN n_touch{0} t ON t.graph_id = r.graph_id AND t.scope_id = r.scope_id AND t.node_id = r.to_id AND t.link
+"""
+_COMP = "SELECT graph_id, scope_id, node_id, min(to_id) AS component FROM n_reach{0} GROUP BY 1, 2, 3"
+CTES["n_float0"] = "SELECT graph_id, scope_id, node_id FROM n_node WHERE home = 'none'"
+CTES["n_touch0"] = """
+SELECT f.graph_id, f.scope_id, f.node_id, p.node_id AS peer, p.scope_id = f.scope_id AND p.home = 'none' AS link, CASE WHEN p.scope_id = f.scope_id THEN p.container_id END AS target
+FROM n_float0 f JOIN n_nb ON n_nb.graph_id = f.graph_id AND n_nb.a = f.node_id JOIN n_node p ON p.graph_id = f.graph_id AND p.node_id = n_nb.b
+"""
+CTES["n_reach0(graph_id, scope_id, node_id, to_id)"] = _REACH.format(0)
+CTES["n_comp0"] = _COMP.format(0)
+CTES["n_fate0"] = _FATE.format(0)
+CTES["n_box"] = """
+SELECT b.graph_id, b.node_id AS box_id, r.node_id AS root_id FROM n_made b JOIN n_made r ON r.graph_id = b.graph_id AND r.scope_id = b.scope_id AND r.depth = 0 WHERE b.depth = 1
+"""
+CTES["n_held"] = """
+SELECT n.graph_id, n.node_id, coalesce(f.container_id, n.container_id) AS container_id FROM n_node n LEFT JOIN n_fate0 f ON f.graph_id = n.graph_id AND f.node_id = n.node_id
+"""
+CTES["n_float1"] = """
+SELECT DISTINCT h.graph_id, concat('container:', CAST(h.container_id AS VARCHAR)) AS scope_id, h.node_id, h.container_id FROM n_held h JOIN n_box x ON x.graph_id = h.graph_id AND x.root_id = h.container_id
+"""
+CTES["n_touch1"] = """
+SELECT f.graph_id, f.scope_id, f.node_id, p.node_id AS peer, coalesce(p.container_id = f.container_id, false) AS link, x.box_id AS target
+FROM n_float1 f JOIN n_nb ON n_nb.graph_id = f.graph_id AND n_nb.a = f.node_id JOIN n_held p ON p.graph_id = f.graph_id AND p.node_id = n_nb.b
+LEFT JOIN n_box x ON x.graph_id = f.graph_id AND x.root_id = f.container_id AND x.box_id = p.container_id
+"""
+CTES["n_reach1(graph_id, scope_id, node_id, to_id)"] = _REACH.format(1)
+CTES["n_comp1"] = _COMP.format(1)
+CTES["n_fate1"] = _FATE.format(1)
+CTES["n_content"] = """
+SELECT h.graph_id, coalesce(f.container_id, h.container_id) AS container_id, h.node_id FROM n_held h LEFT JOIN n_fate1 f ON f.graph_id = h.graph_id AND f.node_id = h.node_id
+WHERE h.container_id IS NOT NULL UNION ALL SELECT graph_id, root_id, box_id FROM n_box
+"""
+# Direct nodes: what is free and was not absorbed, and behind it the root container of the scope.
+CTES["n_direct"] = """
+SELECT n.graph_id, n.scope_id, n.node_id, n.node_id AS ord, n.attr_kind, n.is_native, n.file, n.line, n.func FROM n_node n
+JOIN n_fate0 f ON f.graph_id = n.graph_id AND f.node_id = n.node_id WHERE f.container_id IS NULL
+UNION ALL SELECT graph_id, scope_id, node_id, 1000, 'container', true, NULL, NULL, NULL FROM n_made WHERE depth = 0
+"""
+CTES["n_helper"] = """
+SELECT graph_id, scope_id, func AS group_name, min(node_id) AS first_id, min(ord) AS ord, count(*) AS n_members FROM n_direct
+WHERE scope_id <> 'low' AND func LIKE 'help_%' GROUP BY 1, 2, 3 HAVING bool_and(attr_kind = 'functional' OR is_native)
+"""
+CTES["n_place"] = """
+SELECT d.* FROM n_direct d LEFT JOIN n_helper h ON h.graph_id = d.graph_id AND h.scope_id = d.scope_id AND h.group_name = d.func WHERE d.scope_id <> 'low' AND h.group_name IS NULL
+UNION ALL SELECT graph_id, scope_id, -first_id - 1, ord, 'module', false, NULL, NULL, NULL FROM n_helper
+"""
+CTES["n_walk(graph_id, node_id, rank)"] = """
+SELECT graph_id, node_id, 0 FROM n_place UNION SELECT w.graph_id, b.node_id, w.rank + 1 FROM n_walk w JOIN graph_edge e ON e.graph_id = w.graph_id AND e.src_id = w.node_id
+JOIN n_place a ON a.graph_id = e.graph_id AND a.node_id = e.src_id JOIN n_place b ON b.graph_id = e.graph_id AND b.node_id = e.dst_id AND a.scope_id = b.scope_id
+"""
+CTES["n_order"] = """
+SELECT p.*, row_number() OVER (PARTITION BY p.graph_id, p.scope_id ORDER BY CASE WHEN mixed THEN r.rank ELSE 0 END, p.ord) AS place FROM n_place p
+JOIN (SELECT graph_id, node_id, max(rank) AS rank FROM n_walk GROUP BY 1, 2) r ON r.graph_id = p.graph_id AND r.node_id = p.node_id
+JOIN (SELECT graph_id, scope_id, bool_or(attr_kind = 'functional' OR is_native) AND bool_or(attr_kind <> 'functional' AND NOT is_native) AS mixed FROM n_place GROUP BY 1, 2) m
+  ON m.graph_id = p.graph_id AND m.scope_id = p.scope_id
+"""
+CTES["n_run"] = """
+SELECT graph_id, scope_id, concat(any_value(func), ':', min(line), '~', max(line)) AS group_name, arg_min(node_id, place) AS first_id, min(place) AS ord, count(*) AS n_members FROM (
+  SELECT *, sum(CASE WHEN site IS NULL OR before IS NULL OR site <> before THEN 1 ELSE 0 END) OVER (PARTITION BY graph_id, scope_id ORDER BY place) AS run,
+    count(*) OVER (PARTITION BY graph_id, scope_id) AS scope_size FROM (
+    SELECT *, lag(site) OVER (PARTITION BY graph_id, scope_id ORDER BY place) AS before FROM (
+      SELECT *, CASE WHEN func IS NOT NULL AND (attr_kind = 'functional' OR is_native) THEN concat(file, '|', func) END AS site FROM n_order) a) b) c
+WHERE site IS NOT NULL GROUP BY graph_id, scope_id, run HAVING count(*) >= 2 AND count(*) < any_value(scope_size)
+"""
+
 
 def _short(name: str) -> str:
     return name.split("(")[0]

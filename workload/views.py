@@ -172,6 +172,18 @@ SELECT a.graph_id, a.node_id AS src_id, b.node_id AS dst_id
 FROM graph_node a JOIN graph_node b ON a.graph_id = b.graph_id AND b.node_id = a.node_id + 2
 """
 
+# The nodes of a graph in three nested scopes: `top`, `mid` inside its module 100, `low` inside the native module 101 of `mid`.
+# Nodes are free, in one of two boxes of their scope, or directly in the root container around these.
+VIEWS["norm_node"] = """
+SELECT graph_id, node_id, CASE WHEN qty % 3 <> 0 THEN 'top' WHEN partkey % 2 = 0 THEN 'mid' ELSE 'low' END AS scope_id,
+  CASE helper WHEN 'N' THEN 'none' WHEN 'A' THEN 'root' ELSE 'box' END AS home, concat('b', CAST(line % 2 AS {str})) AS box,
+  CASE WHEN qty % 4 = 0 THEN 'module' ELSE 'functional' END AS attr_kind, qty % 8 = 0 AS is_native, file, line,
+  CASE WHEN qty % 5 < 2 THEN 'forward' ELSE concat('help_', CAST(qty % 2 AS {str})) END AS func
+FROM graph_node
+UNION ALL SELECT DISTINCT graph_id, CAST(100 AS BIGINT), 'top', 'none', 'b0', 'module', false, 'm.py', CAST(1 AS BIGINT), 'forward' FROM graph_node
+UNION ALL SELECT DISTINCT graph_id, CAST(101 AS BIGINT), 'mid', 'none', 'b0', 'module', true, 'm.py', CAST(2 AS BIGINT), 'forward' FROM graph_node
+"""
+
 # What each node is, by quantity; some names are empty on purpose.
 VIEWS["graph_attr"] = """
 SELECT graph_id, node_id,
