@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import scratch, with_locator
+from stepweave.llm.common import located, scratch, unboxed
 from stepweave.session import materialize
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -59,7 +59,7 @@ def stream_state(facts_path: str, facts: DataFrame, checkpoint: str, bytes_per_b
 
 def _placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256_hex,
             bytes_per_batch: int = BYTES_PER_BATCH) -> tuple[DataFrame, DataFrame]:
-    """A row per document with its group, and ``docs`` with the locator ``_at``.
+    """A row per document with its group, and ``row`` (the columns of ``docs``) with the locator ``at``.
 
     Texts are equal when they are identical without white space.  Of equal texts the row with the most code points
     in the original stays, then the one with the smallest id (null last), then the first in the input, so that of
@@ -67,20 +67,18 @@ def _placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     ``digest`` maps a normalised text to a string; it may collide.
     """
     spark = docs.sparkSession
-    at = with_locator(docs, "_at")
-    norm = normalised(F.col(text_col))
-    keyed = at.withColumn("_digest", digest(norm))
+    base = located(docs)
+    key, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
+    norm = normalised(text)
+    keyed = base.select("at", key.alias("id"), F.coalesce(F.char_length(text), F.lit(0)).alias("n_chars"), norm.alias("norm"), digest(norm).alias("digest"))
     land = scratch(spark)
-    keyed.select(F.col("_digest").alias("digest"), F.col(id_col).alias("id"), F.coalesce(F.char_length(text_col), F.lit(0)).alias("n_chars"),
-                 F.col("_at").alias("at")).write.parquet(land)
+    keyed.select("digest", "id", "n_chars", "at").write.parquet(land)
     facts = spark.read.parquet(land)
     groups = materialize(stream_state(land, facts, scratch(spark), bytes_per_batch))
     placed = facts.join(groups, "digest").select("digest", "id", "at", F.col("keep.id").alias("keep_id"), F.col("keep.at").alias("keep_at"), "n")
 
-    hits = groups.where("n > 1").select(F.col("digest").alias("_digest"), F.col("keep.at").alias("_keep_at"))
-    same = materialize(keyed.join(hits, "_digest").select(
-        F.col("_digest").alias("digest"), F.col("_at").alias("at"), F.col("_keep_at").alias("keep_at"), F.col(id_col).alias("id"),
-        F.coalesce(F.char_length(text_col), F.lit(0)).alias("n_chars"), norm.alias("norm")))
+    hits = groups.where("n > 1").select("digest", F.col("keep.at").alias("keep_at"))
+    same = materialize(keyed.join(hits, "digest").select("digest", "at", "keep_at", "id", "n_chars", "norm"))
     first = same.where("at = keep_at").select("digest", F.col("norm").alias("first"))
     differing = materialize(same.join(first, "digest").where("norm != first").select("digest"))
     mixed = materialize(differing.distinct())
@@ -92,7 +90,7 @@ def _placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
         placed = placed.join(mixed, "digest", "left_anti").unionByName(split)
     keep = placed.select(F.col("at").alias("_at"), F.col("id").alias("_id"), F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep_id"),
                          F.col("n").alias("_group_size"), (F.col("at") == F.col("keep_at")).alias("_kept"))
-    return keep, at
+    return keep, base
 
 
 def dedup_report(docs: DataFrame, **how) -> DataFrame:
@@ -102,6 +100,6 @@ def dedup_report(docs: DataFrame, **how) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay (see :func:`dedup_report`), with the columns of ``docs``."""
-    placed, at = _placed(docs, **how)
-    return at.join(placed.where("_kept").select("_at"), "_at", "left_semi").drop("_at")
+    """The rows of ``docs`` that stay (see :func:`dedup_report`), with the columns of ``docs``, whatever their names."""
+    placed, base = _placed(docs, **how)
+    return unboxed(base.join(placed.where("_kept").select(F.col("_at").alias("at")), "at", "left_semi"))

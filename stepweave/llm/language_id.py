@@ -20,11 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepweave.llm.common import uniform
+from stepweave.llm.common import boxed, unboxed, uniform
 
 ORDER = 3
-#: Expected number of sampled rows per language; all rows if there are fewer.
+#: Expected number of sampled texts per language; all of them if there are fewer.
 SAMPLE_ROWS = 1500
+#: Bytes that the table of code lengths, a copy of which every worker holds, may take at most.
+MODEL_BYTES = 1 << 30
 #: Positions of a text that are scored at a time.
 STEP = 1 << 20
 UNDETERMINED = "und"
@@ -142,16 +144,23 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of a hashed sample of about ``sample_rows`` training rows per language; None without any.
 
-    The model is no larger than the sample allows: contexts of its bytes times distinct bytes times languages.
+    The sample is drawn from the distinct pairs of id and text, by the hash of both: ids may repeat or be null, and rows
+    repeated whole count once, so no language with a text is left without a sample.  The model is no larger than the
+    sample allows: contexts of its bytes times distinct bytes times languages.  Its size is checked before it is made
+    (``MODEL_BYTES``); the counts that come to the driver are one per language and run of up to four bytes of the sample.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().collect()  # a row per language
+    rows = rows.withColumn("u", uniform(F.col("id"), F.xxhash64("text"), seed="ppm"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("u").alias("kinds")).collect()  # a row per language
     if not sizes:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_rows / r["count"]))]), F.col("lang"))
-    sample = rows.where(uniform(F.col("id"), seed="ppm") < share).select("lang", "text")
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], sample_rows / r["kinds"] if r["kinds"] > 1.2 * sample_rows else 1.0)]), F.col("lang"))
+    sample = rows.where(F.col("u") < share).groupBy("lang", "u").agg(F.min("text").alias("text")).select("lang", "text")
     grams = sample.mapInPandas(_count, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
+    size = grams.agg(F.count_distinct("k", "gram"), F.count_distinct(F.when(F.col("k") == 0, F.col("gram")))).first()
+    if size[0] * (size[1] + 1) * len(sizes) * 4 > MODEL_BYTES:
+        raise ValueError(f"the model would exceed {MODEL_BYTES} bytes; take fewer sample_rows")
     counts = grams.toPandas()
     return build(counts) if len(counts) else None
 
@@ -161,14 +170,10 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score``, the probability of the language given that it is one of those learned.
-
-    Texts that are null or have no letter get ``und`` and 0, and so does everything without a model.  Ties go to the
-    language first in order.
-    """
+def guessed(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``row`` (the columns of ``docs``), ``lang`` and ``score`` (see :func:`predicted`)."""
     if model is None or not model.languages:
-        return docs.withColumn("_lang", F.lit(UNDETERMINED)).withColumn("_score", F.lit(0.0))
+        return docs.select(boxed(docs), F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def guess(texts: pd.Series) -> pd.DataFrame:
@@ -179,9 +184,18 @@ def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> D
         return pd.DataFrame({"lang": [m.languages[b] for b in best], "score": 1.0 / np.exp2(-np.minimum(lead, 1000)).sum(axis=1)})
 
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = docs.withColumn("_guess", F.pandas_udf(guess, kind)(F.col(text_col))).withColumn("_letters", has_letter(F.col(text_col)))
-    return (out.withColumn("_lang", F.when(F.col("_letters"), F.col("_guess.lang")).otherwise(UNDETERMINED))
-            .withColumn("_score", F.when(F.col("_letters"), F.col("_guess.score")).otherwise(0.0)).drop("_guess", "_letters"))
+    out = docs.select(boxed(docs), F.pandas_udf(guess, kind)(F.col(text_col)).alias("guess"), has_letter(F.col(text_col)).alias("letters"))
+    return out.select("row", F.when(F.col("letters"), F.col("guess.lang")).otherwise(UNDETERMINED).alias("lang"),
+                      F.when(F.col("letters"), F.col("guess.score")).otherwise(0.0).alias("score"))
+
+
+def predicted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``_lang`` and ``_score``, the probability of the language given that it is one of those learned.
+
+    Texts that are null or have no letter get ``und`` and 0, and so does everything without a model.  Ties go to the
+    language first in order.  Raises if ``docs`` has such columns; others may have any names.
+    """
+    return unboxed(guessed(docs, model, text_col).select("row", F.col("lang").alias("_lang"), F.col("score").alias("_score")), "_lang", "_score")
 
 
 def identified(docs: DataFrame, **how) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stepweave.llm.common import with_locator
+from stepweave.llm.common import located, unboxed
 from stepweave.session import materialize
 
 #: 32 bands of 5: two sets of similarity 0.8 share no band with probability 3e-6, of 0.85 with 7e-9.
@@ -176,14 +176,15 @@ def linked_nodes(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """A row per document ``_at, _id, _n_shingles, _component_id, _kept``, and ``docs`` with its locator ``_at``.
+    """A row per document ``_at, _id, _n_shingles, _component_id, _kept``, and ``row`` (the columns of ``docs``) with its locator ``at``.
 
     ``_component_id`` is the smallest id that links of ``percent`` per cent similarity or more reach, itself included.
     Of each component the row with that id stays (null ids last, then the first in the input).  Texts that are null or
     have no word have an empty set: they link with nothing, stay, and are components of their own.
     """
-    at = with_locator(docs)
-    sig = materialize(at.select("_at", F.col(id_col).alias("_id"), _signatures(width)(F.col(text_col)).alias("s")).select("_at", "_id", "s.*"))
+    base = located(docs)
+    key, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
+    sig = materialize(base.select(F.col("at").alias("_at"), key.alias("_id"), _signatures(width)(text).alias("s")).select("_at", "_id", "s.*"))
     own = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_at").alias("at"))
     node = sig.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(own).alias("first"))
     node = materialize(node.withColumn("node", F.monotonically_increasing_id()))
@@ -192,7 +193,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = materialize(banded.join(shared, "bucket"))
     wanted = materialize(node.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("first.at").alias("_at")))
     # one plan for all sizes: which texts are wanted grows with the input
-    sets = materialize(at.select("_at", text_col).join(wanted.hint("merge"), "_at").select("node", _sets(width)(F.col(text_col)).alias("names")))
+    sets = materialize(base.select(F.col("at").alias("_at"), text.alias("text")).join(wanted.hint("merge"), "_at").select("node", _sets(width)("text").alias("names")))
     label = linked_nodes(buckets, sets, percent)
 
     placed = node.select("key", "node", "first").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -202,10 +203,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = sig.where("n > 0").join(group, "key").select("_at", "_id", F.col("n").alias("_n_shingles"), F.col("least.id").alias("_component_id"),
                                                         (F.col("_at") == F.col("least.at")).alias("_kept"))
     empty = sig.where("n = 0").select("_at", "_id", F.lit(0).cast("long").alias("_n_shingles"), F.col("_id").alias("_component_id"), F.lit(True).alias("_kept"))
-    return full.unionByName(empty), at
+    return full.unionByName(empty), base
 
 
 def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each near-duplicate group (see :func:`near_groups`)."""
-    groups, at = near_groups(docs, **how)
-    return at.join(groups.where("_kept").select("_at"), "_at", "left_semi").drop("_at")
+    """The rows of ``docs`` that stay: one of each near-duplicate group (see :func:`near_groups`); its columns may have any names."""
+    groups, base = near_groups(docs, **how)
+    return unboxed(base.join(groups.where("_kept").select(F.col("_at").alias("at")), "at", "left_semi"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import ranked, uniform, word_count
+from stepweave.llm.common import boxed, ranked, unboxed, uniform, word_count
 from stepweave.session import materialize
 
 SEED = "mix-1"
@@ -54,24 +54,29 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repeats: i
     return materialize(table.withColumn("target", target).withColumn("rate", rate).select("source_key", "source_size", "target", "rate"))
 
 
-def planned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+def _planned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
             weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: str = SEED, size: Column | None = None) -> DataFrame:
-    """``docs`` with ``_size, _source_size, _target, _rate, _copies``.
+    """``row`` (the columns of ``docs``) with ``_size, _source_size, _target, _rate, _copies``."""
+    sized = docs.select(boxed(docs), (word_count(F.col(text_col)) if size is None else size).alias("_size"))
+    key, source = F.col("row").getField(id_col), F.col("row").getField(source_col)
+    goal = targets(sized.select(source.alias("source"), F.col("_size").alias("size")), weights, max_repeats).select(
+        "source_key", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
+    whole = F.floor("_rate").cast("long")
+    extra = uniform(key, seed=seed) < F.col("_rate") - whole
+    return sized.withColumn("source_key", _named(source)).join(goal, "source_key").withColumn("_copies", whole + extra.cast("long"))
+
 
-    The hash takes seed and id: reruns agree, and rows that repeat an id get the same number of copies.  Null text has
-    size 0; null sources are one source; null ids hash as one id.  ``size`` replaces the number of words.
+def planned(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with ``_size, _source_size, _target, _rate, _copies``; raises if it has such columns.
+
+    ``how``: the names of the columns (``id_col``, ``text_col``, ``source_col``), ``weights``, ``max_repeats``, ``seed``, and ``size``, which replaces the
+    number of words.  The hash takes seed and id: reruns agree, and rows that repeat an id get the same number of
+    copies.  Null text has size 0; null sources are one source; null ids hash as one id; an empty table gives none.
     """
-    sized = docs.withColumn("_size", word_count(F.col(text_col)) if size is None else size)
-    narrow = sized.select(F.col(source_col).alias("source"), F.col("_size").alias("size"))
-    goal = targets(narrow, weights, max_repeats).select(
-        F.col("source_key").alias("_source_key"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rate").alias("_rate"))
-    whole = F.floor("_rate").cast("long")
-    extra = uniform(F.col(id_col), seed=seed) < F.col("_rate") - whole
-    return (sized.withColumn("_source_key", _named(F.col(source_col))).join(goal, "_source_key").drop("_source_key")
-            .withColumn("_copies", whole + extra.cast("long")))
+    return unboxed(_planned(docs, **how), "_size", "_source_size", "_target", "_rate", "_copies")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as its source's rate says (see :func:`planned`)."""
+    """The mixed corpus: each row of ``docs`` as often as its source's rate says (see :func:`planned`); its columns may have any names."""
     copies = F.sequence(F.lit(1).cast("long"), F.col("_copies"))
-    return planned(docs, **how).where("_copies > 0").withColumn("_copy", F.explode(copies)).select(*docs.columns)
+    return unboxed(_planned(docs, **how).where("_copies > 0").select("row", F.explode(copies)))

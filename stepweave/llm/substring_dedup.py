@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import scratch, with_locator
+from stepweave.llm.common import located, scratch, unboxed
 from stepweave.session import materialize
 
 LENGTH = 200
@@ -255,7 +255,7 @@ def _removed(length: int):
 
 
 def _cut_texts(docs: DataFrame, id_col: str, text_col: str, length: int, block_bytes: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """A row per document with what is known of its text, and ``docs`` with the locator ``_at``."""
+    """A row per document with what is known of its text, and ``row`` (the columns of ``docs``) with the locator ``at``."""
     if length < PERIOD:
         raise ValueError(f"length must be at least {PERIOD}")
     # shuffle files of a round go when the round ends, in a session of its own
@@ -263,15 +263,17 @@ def _cut_texts(docs: DataFrame, id_col: str, text_col: str, length: int, block_b
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.shuffle.partitions", docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * BLOCK_BYTES))
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    at = with_locator(docs)
+    base = located(docs)
+    text = F.coalesce(F.col("row").getField(text_col), F.lit("")).cast("binary")
+    at = base.select(F.col("at").alias("_at"), F.col("row").getField(id_col).alias("_id"), text.alias("text"))
+    text = F.col("text")
     path = scratch(spark)
-    at.select("_at", F.col(id_col).alias("_id"), F.octet_length(text).cast("long").alias("_n_bytes"), F.sha2(text, 256).alias("_sha")).write.parquet(path)
+    at.select("_at", "_id", F.octet_length(text).cast("long").alias("_n_bytes"), F.sha2(text, 256).alias("_sha")).write.parquet(path)
     facts = docs.sparkSession.read.parquet(path)
     whole = facts.where(f"_n_bytes >= {length}").groupBy("_sha").agg(F.count("*").alias("_copies"), F.min("_at").alias("_at"))
     whole = materialize(whole.withColumn("node", F.monotonically_increasing_id()))
     path = scratch(spark)
-    at.select("_at", text.alias("text")).join(whole.select("_at", "node"), "_at").select("node", "text").mapInPandas(
+    at.select("_at", "text").join(whole.select("_at", "node"), "_at").select("node", "text").mapInPandas(
         _blocks(block_bytes), "block long, nodes array<long>, sizes array<long>, data binary").write.parquet(path)
     blocks = spark.read.parquet(path)
 
@@ -292,7 +294,7 @@ def _cut_texts(docs: DataFrame, id_col: str, text_col: str, length: int, block_b
     return known.select(
         "_at", "_id", "_n_bytes", "_sha", F.when(twice, F.lit("").cast("binary")).otherwise(F.col("_cut")).alias("_cut"),
         F.when(twice, F.array(F.lit(0).cast("long"))).otherwise(F.coalesce("_starts", empty)).alias("_starts"),
-        F.when(twice, F.array("_n_bytes")).otherwise(F.coalesce("_ends", empty)).alias("_ends")), at
+        F.when(twice, F.array("_n_bytes")).otherwise(F.coalesce("_ends", empty)).alias("_ends")), base
 
 
 def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
@@ -310,7 +312,10 @@ def span_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
             block_bytes: int = BLOCK_BYTES, bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with ``_kept``, the bytes of each text that stay (see :func:`span_report`); they may split a character."""
-    known, at = _cut_texts(docs, id_col, text_col, length, block_bytes, bucket)
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return at.join(known.select("_at", "_cut"), "_at").withColumn("_kept", F.coalesce("_cut", text)).drop("_at", "_cut")
+    """``docs`` with ``_kept``, the bytes of each text that stay (see :func:`span_report`); they may split a character.
+
+    Raises if ``docs`` has a column ``_kept``; others may have any names.
+    """
+    known, base = _cut_texts(docs, id_col, text_col, length, block_bytes, bucket)
+    text = F.coalesce(F.col("row").getField(text_col), F.lit("")).cast("binary")
+    return unboxed(base.join(known.select(F.col("_at").alias("at"), "_cut"), "at").withColumn("_kept", F.coalesce("_cut", text)), "_kept")

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepweave.llm.common import boxed, unboxed
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -117,6 +119,7 @@ class Counts:
 def counted(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
     """``docs`` with ``_n_tokens`` and ``_score``, the score of the best segmentation.  Null and empty texts have no tokens.
 
+    Raises if ``docs`` has such columns; others may have any names.  A text is held in memory a few times over.
     ``model`` is read by the driver; its pieces go to the executors.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model))
@@ -127,4 +130,5 @@ def counted(docs: DataFrame, text_col: str = "text", model: str = MODEL) -> Data
             yield pd.DataFrame([counts.of(t or "") for t in texts], columns=["score", "n"])
 
     kind = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n", T.LongType())])
-    return docs.withColumn("_t", F.pandas_udf(count, kind)(F.col(text_col))).withColumn("_n_tokens", F.col("_t.n")).withColumn("_score", F.col("_t.score")).drop("_t")
+    out = docs.select(boxed(docs), F.pandas_udf(count, kind)(F.col(text_col)).alias("t"))
+    return unboxed(out.select("row", F.col("t.n").alias("_n_tokens"), F.col("t.score").alias("_score")), "_n_tokens", "_score")

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepweave.llm.common import boxed, unboxed
+
 #: Words of state held at a time; bounds the memory of a batch.
 STATE_WORDS = 1 << 21
 
@@ -153,7 +155,9 @@ def judged(pages: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RULES
     """``pages`` with ``_host``, ``_path``, ``_rule`` and ``_verdict``.
 
     The longest rule that fits decides (of equally long ones the first).  Where none fits, a URL without a host and one
-    that a glob of ``block`` matches whole are blocked, and all else is allowed.  Nulls and empty tables are fine.
+    that a glob of ``block`` matches whole are blocked, and all else is allowed.  Nulls and empty tables are fine.  A URL may
+    be as long as it likes: the automaton takes a byte of every URL of a batch at a time.  Raises if ``pages`` has a column of
+    the result; others may have any names.
     """
     ranked = sorted(rules, key=lambda r: -len(r.name))
     globs = [g for r in ranked for g in rule_tokens(r)] + [tokens(g) for g in block]
@@ -172,7 +176,8 @@ def judged(pages: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RULES
         return pd.DataFrame({"rule": rule, "allow": ok})
 
     kind = T.StructType([T.StructField("rule", T.StringType()), T.StructField("allow", T.BooleanType())])
-    out = pages.withColumn("_host", host(F.col(url_col))).withColumn("_path", path(F.col(url_col)))
-    out = out.withColumn("_judged", F.pandas_udf(verdict, kind)(F.concat("_host", "_path")))
-    allowed = F.col("_judged.allow") & (F.col("_judged.rule").isNotNull() | (F.col("_host") != ""))
-    return out.withColumn("_rule", F.col("_judged.rule")).withColumn("_verdict", F.when(allowed, "allow").otherwise("block")).drop("_judged")
+    out = pages.select(boxed(pages), host(F.col(url_col)).alias("_host"), path(F.col(url_col)).alias("_path"))
+    out = out.withColumn("judged", F.pandas_udf(verdict, kind)(F.concat("_host", "_path")))
+    allowed = F.col("judged.allow") & (F.col("judged.rule").isNotNull() | (F.col("_host") != ""))
+    out = out.withColumn("_rule", F.col("judged.rule")).withColumn("_verdict", F.when(allowed, "allow").otherwise("block"))
+    return unboxed(out, "_host", "_path", "_rule", "_verdict")

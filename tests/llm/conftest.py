@@ -25,3 +25,21 @@ def odd_docs(make_docs):
 @pytest.fixture(scope="session")
 def no_docs(make_docs):
     return make_docs([])
+
+
+#: Names that the operators give their own columns, in the tables between and in results.
+OWN_NAMES = ("row at id n norm digest keep_id keep_at n_chars first node key bands bucket names component least size source_key copies copy guess letters lang2 "
+             "t judged place u kinds share _at _id _size _copy _rate _target _source_size _source_key _copies _digest _keep_at _keep_id _kept _cut _guess _letters _t "
+             "_lang _score _host _path _rule _verdict _n_tokens _judged _n_shingles _component_id _group_size _sha _n_bytes _starts _ends _metadata2").split()
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(spark):
+    """Documents whose other columns have all names that the operators use themselves, each with values of its own."""
+    def make(leave=()):
+        names = [n for n in OWN_NAMES if n not in leave]
+        texts = ["alpha beta gamma delta epsilon zeta eta theta", "alpha beta gamma delta epsilon zeta eta theta", "Un texte tout autre, sans rien de commun", None, "", "x " * 300]
+        rows = [(i, t, ("en", "fr")[i % 2], ("a", "b")[i % 2], *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+        return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)), names
+
+    return make
