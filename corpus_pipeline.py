@@ -15,11 +15,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     If no training row has a language (none labelled, or all of them held out), there is no model; every document with a letter stays.
     """
-    columns = docs.columns
     model = language_id.fit(docs)
     if model is None:
         return docs.where(language_id.has_letter(F.col("text")))
-    return language_id.predicted(docs, model).where(F.col("_lang") != language_id.UNDETERMINED).select(columns)
+    return language_id.guessed(docs, model).where(F.col("lang") != language_id.UNDETERMINED).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
