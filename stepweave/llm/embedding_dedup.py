@@ -35,6 +35,8 @@ STEP, MISS = 2.0, 1e-3
 STRANGERS = 1 / 32
 #: Vectors per side of a block of comparisons, about.
 BLOCK = 256
+#: Blocks of up to so many vectors are compared many at a time.
+_FEW = 16
 #: What a bound has to be clear of, in radians; rounding stays far below.
 SLACK = 1e-7
 #: Whole numbers that components and directions are rounded to before hashing, so that any order of adding gives equal sums.
@@ -135,70 +137,107 @@ def _centre(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lead": rows["lead"].iloc[:1], "centre": [(x / n if n else x).tobytes()]})
 
 
+def _linked(node: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, item: np.ndarray | None = None, mate: int = 0) -> pd.DataFrame | None:
+    """``node, item, n_links, mate`` for rows linked by the pairs (a, b) of row numbers; without ``item``, ``mate`` is the least node reached."""
+    if not len(a):
+        return None
+    total = np.bincount(a, n[b], len(node)) + np.bincount(b, n[a], len(node))
+    some = np.flatnonzero(total)
+    comp = np.full(len(node), mate) if item is not None else node.copy()
+    while item is None:
+        low = np.minimum(comp[a], comp[b])
+        if (low == comp[a]).all() and (low == comp[b]).all():
+            break
+        np.minimum.at(comp, a, low)
+        np.minimum.at(comp, b, low)
+    return pd.DataFrame({"node": node[some], "item": (node if item is None else item)[some], "n_links": total[some].astype(np.int64), "mate": comp[some]})
+
+
 def _compared(cosine: float, k: int, tables: int):
-    """Compares blocks: rows come sorted by (g, h, i, j, side).  ``node, item, n_links, mate`` for all that has a link.
+    """Compares blocks: rows come sorted by (g, h, i, j, tab, side).  ``node, item, n_links, mate`` for all that has a link.
 
     Side 0 meets side 1, or itself if i = j and ``tab`` names a table.  Where ``tab`` is -1, ``g`` and ``h`` are the balls of the two sides.
+    What a pair shares in a table before ``tab``, it counted there.  The many blocks of a few vectors are taken together.
     """
-    def links(key: tuple, left: pd.DataFrame, right: pd.DataFrame | None) -> pd.DataFrame | None:
+    def earlier(x: np.ndarray, y: np.ndarray, tab: np.ndarray) -> np.ndarray:
+        return ((buckets(x, k, tables) == buckets(y, k, tables)) & (np.arange(tables) < tab[:, None])).any(axis=1)
+
+    def few(rows: pd.DataFrame, block: np.ndarray) -> Iterator[pd.DataFrame | None]:
+        for size in rows["unit"].str.len().unique():
+            at = np.flatnonzero((rows["unit"].str.len() == size).to_numpy())
+            x, of, tab = _matrix(rows["unit"].iloc[at]), block[at], rows["tab"].to_numpy()[at]
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            step = 1
+            while True:
+                a = np.flatnonzero(of[:-step] == of[step:]) if step < len(of) else np.empty(0, np.int64)
+                if not len(a):
+                    break
+                a = a[np.einsum("ij,ij->i", x[a], x[a + step]) >= cosine]
+                left.append(a)
+                right.append(a + step)
+                step += 1
+            a, b = np.concatenate(left), np.concatenate(right)
+            kept = [~earlier(x[a[i:i + 512]], x[b[i:i + 512]], tab[a[i:i + 512]]) for i in range(0, len(a), 512)]
+            kept = np.concatenate(kept) if kept else np.empty(0, bool)
+            yield _linked(rows["node"].to_numpy()[at], rows["n"].to_numpy()[at], a[kept], b[kept])
+
+    def many(key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
         g, h, i, j, tab = key
-        other = left if right is None else right
+        one = rows["side"].to_numpy() == 0
+        alone = tab >= 0 and i == j
+        if not alone and (one.all() or not one.any()):
+            return None
+        left, other = (rows, rows) if alone else (rows[one], rows[~one])
         x, y = _matrix(left["unit"]), _matrix(other["unit"])
         hit = x @ y.T >= cosine
-        if right is None:
-            hit = np.triu(hit, 1)
-        a, b = np.nonzero(hit)
+        a, b = np.nonzero(np.triu(hit, 1) if alone else hit)
         if tab > 0 and len(a):
-            names = [buckets(m, k, tables)[:, :tab] for m in (x, y)]  # of a block: what a pair shares earlier, it counted there
-            earlier = np.zeros(len(a), bool)
+            names, before = [buckets(m, k, tables)[:, :tab] for m in (x, y)], np.zeros(len(a), bool)
             for t in range(tab):
-                earlier |= names[0][a, t] == names[1][b, t]
-            a, b = a[~earlier], b[~earlier]
-        if not len(a):
-            return None
-        node, count = np.concatenate([left["node"].to_numpy(), other["node"].to_numpy()]), np.concatenate([left["n"].to_numpy(), other["n"].to_numpy()])
-        b = b + (0 if right is None else len(left))
-        total = np.bincount(a, count[b], len(node)) + np.bincount(b, count[a], len(node))
-        some = np.flatnonzero(total)
-        if tab < 0:
-            item = np.where(some < len(left), g, h)
-            mate = np.full(len(some), min(g, h))
-        else:
-            comp = node.copy()
-            while True:  # the least node that links of this block reach
-                low = np.minimum(comp[a], comp[b])
-                if (low == comp[a]).all() and (low == comp[b]).all():
-                    break
-                np.minimum.at(comp, a, low)
-                np.minimum.at(comp, b, low)
-            item, mate = node[some], comp[some]
-        return pd.DataFrame({"node": node[some], "item": item, "n_links": total[some].astype(np.int64), "mate": mate})
-
-    def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame | None:
-        one = rows["side"].to_numpy() == 0
-        if key[4] >= 0 and key[2] == key[3]:
-            return links(key, rows, None)
-        return links(key, rows[one], rows[~one]) if one.any() and not one.all() else None
+                before |= names[0][a, t] == names[1][b, t]
+            a, b = a[~before], b[~before]
+        if alone:
+            return _linked(rows["node"].to_numpy(), rows["n"].to_numpy(), a, b)
+        node, n = (np.concatenate([left[c].to_numpy(), other[c].to_numpy()]) for c in ("node", "n"))
+        item = None if tab >= 0 else np.where(np.arange(len(node)) < len(left), g, h)
+        return _linked(node, n, a, b + len(left), item, min(g, h))
+
+    def settle(rows: pd.DataFrame, start: np.ndarray) -> pd.DataFrame | None:
+        """Whole blocks that begin at ``start``."""
+        size = np.diff(np.append(start, len(rows)))
+        first = rows.iloc[start]
+        small = (size <= _FEW) & (first["tab"] >= 0).to_numpy() & (first["i"] == first["j"]).to_numpy()
+        member, block = np.repeat(small, size), np.repeat(np.arange(len(size)), size)
+        found = list(few(rows[member], block[member])) if small.any() else []
+        for at in np.flatnonzero(~small):
+            found.append(many(tuple(first.iloc[at][["g", "h", "i", "j", "tab"]].tolist()), rows.iloc[start[at]:start[at] + size[at]]))
+        found = [x for x in found if x is not None]
+        return pd.concat(found) if found else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        now = None
-        out: list[pd.DataFrame] = []
+        held: list[pd.DataFrame] = []  # the block that may go on
         for batch in batches:
-            for key, rows in batch.groupby(["g", "h", "i", "j", "tab"], sort=False):
-                if key != now and held:
-                    out.append(block(now, pd.concat(held) if len(held) > 1 else held[0]))
-                    held = []
-                now = key
-                held.append(rows)
-            found = [x for x in out if x is not None]
-            out = []
-            if found:
-                yield pd.concat(found)
+            if not len(batch):
+                continue
+            keys = batch[["g", "h", "i", "j", "tab"]].to_numpy()
+            new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+            if held and (keys[0] == held[-1][["g", "h", "i", "j", "tab"]].to_numpy()[-1]).all():
+                new[0] = False
+            start = np.flatnonzero(new)
+            if not len(start):
+                held.append(batch)
+                continue
+            rows = pd.concat([*held, batch.iloc[:start[-1]]])
+            before = len(rows) - start[-1]
+            whole = np.append(0, before + start[:-1]) if before else start[:-1]
+            out = settle(rows, np.unique(whole)) if len(rows) else None
+            held = [batch.iloc[start[-1]:]]
+            if out is not None:
+                yield out
         if held:
-            last = block(now, pd.concat(held))
-            if last is not None:
-                yield last
+            out = settle(pd.concat(held), np.array([0]))
+            if out is not None:
+                yield out
 
     return run
 

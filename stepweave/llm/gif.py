@@ -149,6 +149,14 @@ def encode(payload: bytes) -> bytes:
     return b"".join([*out, b";"])
 
 
+def _colours(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct colours and how often they occur; grey ones, the usual case, without a sort."""
+    grey = pixels & 255
+    if (pixels == grey * np.uint32(0x010101) + np.uint32(0xFF000000)).all():
+        return np.arange(256, dtype=np.uint32) * np.uint32(0x010101) + np.uint32(0xFF000000), np.bincount(grey, minlength=256)
+    return np.unique(pixels, return_counts=True)
+
+
 @dataclass
 class Frame:
     """A frame as shown: ``canvas`` is RGBA; the rectangle is where its own pixels lie."""
@@ -169,9 +177,10 @@ class Frame:
 
     def histogram(self) -> np.ndarray:
         """Counts per channel and bin of the shown opaque pixels of its rectangle."""
-        shown = self.own()
-        shown = shown[shown[..., 3] > 0]
-        return np.stack([np.bincount(shown[:, k] >> 5, minlength=BINS) for k in range(3)])
+        shown = np.ascontiguousarray(self.own()).view("<u4").ravel()
+        colours, count = _colours(shown)
+        opaque = colours >> 24 > 0
+        return np.stack([np.bincount((colours[opaque] >> 8 * k & 255) >> 5, count[opaque], BINS) for k in range(3)]).astype(np.int64)
 
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -282,30 +291,45 @@ def timed_frames(media: DataFrame, id_col: str = "id", media_col: str = "media")
     return rows.mapInPandas(read, FRAME_SCHEMA.format(kind=dict(rows.dtypes)["id"]))
 
 
+#: What is stored of a GIF: payload size and digests, and its timed frames with a column per colour histogram.
+_FRAME = "struct<frame: long, start_cs: long, delay_cs: long, x: long, y: long, width: long, height: long, disposal: long, transparent: boolean, red_hist: array<long>, green_hist: array<long>, blue_hist: array<long>>"
+_READ = f"payload_bytes long, payload_sha256 string, tail_crc32 long, frames array<{_FRAME}>"
+
+
 def read_back(media: DataFrame) -> DataFrame:
-    """``media`` (with a column media) and what its frames say: payload size, digests and a colour histogram.
+    """``media`` (with a column media) and what each GIF says: its timed frames, and size and digests of the payload.
 
-    The payload is the red channel of all frames in order.
+    The payload is the red channel of all frames in order.  A GIF is decoded once; frames pass one at a time, so memory holds
+    a GIF and one canvas.  Null media have no frames and an empty payload.
     """
     def read(gifs: pd.Series) -> pd.DataFrame:
         rows = []
         for data in gifs:
-            whole, size, tail, hist, n = hashlib.sha256(), 0, b"", np.zeros(BINS, np.int64), 0
-            for f in frames(data):
+            whole, size, tail, seen = hashlib.sha256(), 0, b"", []
+            for f in frames(data) if data is not None else ():
                 part = f.own()[..., 0].tobytes()
                 whole.update(part)
                 size += len(part)
                 tail = part[-WIDTH:]
-                hist += f.histogram()[0]
-                n += 1
-            feature = f"frames={n};hist=" + ",".join(map(str, hist))
-            rows.append((size, whole.hexdigest(), zlib.crc32(tail), len(data), hashlib.sha256(data).hexdigest(), feature))
-        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                red, green, blue = f.histogram().tolist()
+                seen.append((f.number, f.start_cs, f.delay_cs, f.x, f.y, f.width, f.height, f.disposal, f.transparent, red, green, blue))
+            rows.append((size, whole.hexdigest(), zlib.crc32(tail), seen))
+        return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "frames"])
 
-    kind = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.withColumn("_s", F.pandas_udf(read, kind)("media")).select("*", "_s.*").drop("_s")
+    return media.select(*[c for c in media.columns if c not in ("payload_bytes", "payload_sha256", "tail_crc32", "frames")], F.pandas_udf(read, _READ)("media").alias("s")).select("*", "s.*").drop("s")
 
 
 def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each text as a GIF in a table of the shared folder, read the table back and compute the features."""
-    return read_back(materialize(stored(docs, id_col, text_col))).drop("media")
+    """Store each text as a GIF in a table of the shared folder, store its timed frames, and compute the features from these.
+
+    ``id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature``; ``feature`` has frames, time and the three
+    histograms.  Null and empty texts are one row of zeros; rows repeated whole are stored each; an empty table gives no
+    rows.  A text is held in memory about ten times over (payload, code stream and canvas), so it has to be far smaller than a task.
+    """
+    media = materialize(stored(docs, id_col, text_col))
+    told = [F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")]
+    timed = materialize(read_back(media).select("id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *told, "frames"))
+    total = lambda c: F.array_join(F.expr(f"transform(sequence(0, {BINS - 1}), i -> aggregate(frames, 0L, (s, f) -> s + f.{c}[i]))"), ",")
+    time = F.expr("aggregate(frames, 0L, (s, f) -> s + f.delay_cs)")
+    feature = F.concat(F.lit("frames="), F.size("frames"), F.lit(";cs="), time, F.lit(";red="), total("red_hist"), F.lit(";green="), total("green_hist"), F.lit(";blue="), total("blue_hist"))
+    return timed.select("id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

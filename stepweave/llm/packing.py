@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.llm.common import word_count
+from stepweave.llm.common import WORD, word_count
 from stepweave.session import materialize
 
 #: Permitted sequence lengths in words.
@@ -108,3 +108,27 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     out = dealt.groupBy("shard").applyInPandas(_pack_shard(sizes), schema)
     none = F.lit(None).cast("long")
     return out.unionByName(pieces.where("n_words = 0").withColumn("bin_id", none).withColumn("bin_start", none).withColumn("bin_size", none))
+
+
+def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sequence[int] = SIZES, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+    """A row per training sequence: ``bin_id, bin_size, n_words, doc_ids, text``, with the texts of its pieces in the order of the bin.
+
+    A text is cut into words once; the words of a piece, and the pieces of a bin, are joined by one space, and ``doc_ids`` has
+    the id of each piece.  A bin holds ``max(sizes)`` words at most, so no group is unbounded.  A text without words, or null,
+    is a row of its own without a bin (``bin_id`` and ``bin_size`` null, no words, empty text).  Rows repeated whole
+    are cut once and placed as often as they occur.  An empty table gives no rows (see :func:`packed`).
+    """
+    top = max(sizes)
+    key = [F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), word_count(F.col(text_col)).alias("n")]
+    texts = docs.select(*key, F.col(text_col).alias("text")).where("n > 0").groupBy("no_id", "id", "text_key", "n").agg(F.min("text").alias("text"))
+    cut = F.expr(f"transform(sequence(0L, (n - 1) div {top}), p -> array_join(slice(words, cast(p * {top} + 1 as int), {top}), ' '))")
+    pieces = texts.withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"))).select("no_id", "id", "text_key", F.posexplode(cut).alias("piece", "text"))
+    pieces = pieces.withColumn("piece", F.col("piece").cast("long"))
+    placed = materialize(packed(docs, id_col, text_col, sizes, shard_pieces).withColumn("no_id", F.col("id").isNull()))
+    same = (F.col("a.no_id") == F.col("b.no_id")) & F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_key") == F.col("b.text_key")) & (F.col("a.piece") == F.col("b.piece"))
+    found = placed.where("n_words > 0").alias("a").join(pieces.alias("b"), same).select("a.id", "bin_id", "bin_start", "bin_size", "n_words", "b.text")
+    part = F.array_sort(F.collect_list(F.struct("bin_start", "id", "text")))
+    bins = found.groupBy("bin_id").agg(F.min("bin_size").alias("bin_size"), F.sum("n_words").alias("n_words"), part.alias("parts"))
+    bins = bins.select("bin_id", "bin_size", "n_words", F.col("parts.id").alias("doc_ids"), F.array_join(F.col("parts.text"), " ").alias("text"))
+    none = placed.where("n_words = 0").select("bin_id", "bin_size", "n_words", F.array("id").alias("doc_ids"), F.lit("").alias("text"))
+    return bins.unionByName(none)

@@ -13,7 +13,7 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return packing.sequences(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

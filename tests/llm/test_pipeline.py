@@ -21,7 +21,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(rows):
-    """``doc_id, piece, piece_start, n_words, bin_id, bin_start, bin_size`` of what the stages leave of (doc_id, text, source)."""
+    """(doc_id, words) of each piece of what the stages leave of (doc_id, text, source)."""
     docs = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
     best = {}
     for r in sorted(docs, key=lambda r: (-len(r[1]), r[0])):
@@ -37,23 +37,40 @@ def brute(rows):
     for key, text, source in docs:
         rate = goal[source] / of[source]
         u = int(hashlib.md5(f"mix-1:{key}".encode()).hexdigest()[:13], 16) / 2**52
-        for copy in range(int(rate) + (u < rate - int(rate))):
-            for k in range(max(1, -(-size[key] // 4096))):
-                pieces.append((key, copy + 1, k, k * 4096, min(4096, size[key] - k * 4096)))
+        words = WORD.findall(text)
+        for _ in range(int(rate) + (u < rate - int(rate))):
+            pieces += [(key, tuple(words[at:at + 4096])) for at in range(0, max(1, len(words)), 4096)]
     return pieces
 
 
+def pieces_of(sequences, pieces):
+    """Cuts sequences into the pieces that their ids name, each of the first kind that fits."""
+    by_id = defaultdict(set)
+    for key, words in pieces:
+        by_id[key].add(words)
+    out = []
+    for r in sequences:
+        words = r["text"].split(" ")
+        for key in r["doc_ids"]:
+            fits = max((p for p in by_id[key] if tuple(words[:len(p)]) == p), key=len)
+            out.append((key, fits))
+            words = words[len(fits):]
+        assert not words
+    return out
+
+
 def test_pipeline_against_plain_python(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source").collect()
-    got = corpus_pipeline.run(spark, folder).toPandas()
+    got = corpus_pipeline.run(spark, folder).collect()
     want = brute([tuple(r) for r in docs])
     assert len(want) < packing.SHARD_PIECES  # one shard
-    key = ["doc_id", "copy", "piece", "piece_start", "n_words"]
-    assert Counter(map(tuple, got[key].to_numpy().tolist())) == Counter(want)
-    lengths = np.sort(got.n_words.to_numpy())[::-1].copy()
+    assert Counter(pieces_of(got, want)) == Counter(want)  # word for word
+    lengths = np.sort([len(words) for _, words in want])[::-1].copy()
     bins, starts, final = packing.pack(lengths)
-    assert Counter(zip(got.bin_id, got.bin_start, got.n_words, got.bin_size)) == Counter(zip(bins, starts, lengths, final))
+    used = np.bincount(bins, weights=lengths).astype(int)
+    assert Counter((r["n_words"], r["bin_size"]) for r in got) == Counter(zip(used.tolist(), final[np.unique(bins, return_index=True)[1]].tolist()))
+    assert all(len(r["text"].split(" ")) == r["n_words"] for r in got)
 
 
 def test_stages_keep_the_columns(spark, odd_docs):
@@ -66,6 +83,11 @@ def test_stages_keep_the_columns(spark, odd_docs):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "/none").count() > 0
 
 
+def test_run_on_an_empty_table(spark, no_docs, tmp_path):
+    no_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_clean_documents_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     kept = corpus_pipeline.keep_languages(spark, docs, "/none")

@@ -96,6 +96,19 @@ def test_packed_rows(odd_docs, no_docs):
     assert packing.packed(no_docs).count() == 0
 
 
+def test_sequences_hold_all_words(odd_docs, no_docs):
+    rows = packing.sequences(odd_docs, sizes=(64, 512), shard_pieces=20).collect()
+    want = Counter(w for r in odd_docs.collect() for w in re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    assert Counter(w for r in rows for w in r["text"].split()) == want
+    full = [r for r in rows if r["n_words"]]
+    assert all(len(r["text"].split(" ")) == r["n_words"] <= r["bin_size"] and len(r["doc_ids"]) for r in full)
+    assert Counter((r["bin_id"], r["text"], *r["doc_ids"]) for r in rows if not r["n_words"]) == Counter((None, "", i) for i in (2, 3, 4, None))
+    packed = packing.packed(odd_docs, sizes=(64, 512), shard_pieces=20).where("n_words > 0")
+    ids = {r["bin_id"]: [x["id"] for x in sorted(r["p"])] for r in packed.groupBy("bin_id").agg(F.collect_list(F.struct("bin_start", "id")).alias("p")).collect()}
+    assert {r["bin_id"]: r["doc_ids"] for r in full} == ids
+    assert packing.sequences(no_docs).count() == 0
+
+
 def test_many_equal_rows_unfold(make_docs):
     out = packing.packed(make_docs([(1, "a b")] * 2500)).toPandas()
     assert sorted(out["copy"]) == list(range(1, 2501))
