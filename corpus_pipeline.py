@@ -22,23 +22,26 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+    """Of texts that are equal without white space one row stays: the longest original, then the smallest id.  Nulls count as empty."""
     return exact_dedup.exact_dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 80 % of common five-word runs one stays."""
+    """Of documents linked by 80 % of common five-word runs the one with the smallest id stays; texts without words are linked with nothing."""
     return minhash.near_dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows repeated or left out so that sources come near their target share of words."""
+    """Rows repeated or left out so that sources come near their target share of words; a null source is one of its own."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences of permitted lengths."""
-    return packing.packed(docs).withColumnRenamed("id", "doc_id")
+    """Training sequences of permitted lengths, with their text and the ids of the documents in them.
+
+    Documents without words, or null, are rows without a bin.
+    """
+    return packing.sequences(docs)
 
 
 STAGES = [
