@@ -40,7 +40,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     size = F.octet_length("payload").cast("long")
     keyed = rows.withColumn("n", size).withColumn("key", F.when(size >= least_shared, F.sha2(F.col("payload").cast("binary"), 256)))
     first = materialize(keyed.where("key IS NOT NULL").groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
-    told = keyed.join(first, "key", "left").withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.col("first").isNotNull()))
+    # payloads that are never shared have no key: they stay where they are, and do not meet in one task
+    alone = keyed.where("key IS NULL").withColumn("first", F.lit(None).cast(first.schema["first"].dataType))
+    told = keyed.where("key IS NOT NULL").join(first, "key", "left").unionByName(alone).withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.col("first").isNotNull()))
 
     def line(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(name + ": "), value, F.lit("\r\n")), F.lit(""))
