@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ def degrees(edges: DataFrame) -> DataFrame:
         F.count_if(F.col("side") == "in").alias("n_in"), F.count_if(F.col("side") == "out").alias("n_out"))
 
 
+# The widest offset, the offset of a single edge, and what each further parallel adds.
+WIDEST, NARROWEST, PER_EDGE = 18.0, 7.0, 1.2
+
+
 def edge_bundles(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """Index and size of each edge among its parallels, fan-out and fan-in, and the draw offset.
 
@@ -38,7 +45,7 @@ def edge_bundles(edges: DataFrame, rows: int | None = None) -> DataFrame:
     return (
         numbered.withColumn("bundle_index", F.col("bundle_index") - 1).drop("_one", "chunk")
         .join(total, ["graph_id", "src_id", "dst_id"]).join(fan_out, ["graph_id", "src_id"]).join(fan_in, ["graph_id", "dst_id"])
-        .withColumn("bundle_offset", base * F.least(F.lit(18.0), F.lit(7.0) + spread * F.lit(1.2)))
+        .withColumn("bundle_offset", base * F.least(F.lit(WIDEST), F.lit(NARROWEST) + spread * F.lit(PER_EDGE)))
     )
 
 
@@ -109,9 +116,86 @@ def lift_to_siblings(edges: DataFrame, members: DataFrame, closure: DataFrame) -
 
 # ---------------------------------------------------------------- ranks
 
+#: Rows (nodes and edges) of a graph that one task ranks in memory; larger graphs go in rounds over all of Spark.
+GRAPH_ROWS = 500_000
+
+
+def _levels(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Longest path to each of ``n`` nodes; -1 on and behind cycles."""
+    rank = np.full(n, -1, np.int64)
+    waits = np.bincount(dst, minlength=n)
+    by_src = np.argsort(src, kind="stable")
+    to, start = dst[by_src], np.searchsorted(src[by_src], np.arange(n + 1))
+    ready, level = np.flatnonzero(waits == 0), 0
+    while len(ready):
+        rank[ready] = level
+        size = start[ready + 1] - start[ready]
+        met = to[np.repeat(start[ready] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        np.subtract.at(waits, met, 1)
+        ready, level = np.unique(met[waits[met] == 0]), level + 1
+    return rank
+
+
+def _ranked_graphs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Ranks of whole graphs; rows come graph by graph, nodes with a NULL ``to_id``, edges with a NULL ``ord``.
+
+    All graphs that end in a batch are ranked together; ``rank`` is NULL for the nodes of a graph with a cycle.
+    """
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        is_node = rows["to_id"].isna().to_numpy()
+        nodes, edges = rows[is_node].reset_index(drop=True), rows[~is_node]
+        place = pd.Series(np.arange(len(nodes)), index=pd.MultiIndex.from_frame(nodes[["graph_id", "node_id"]]))
+        at = lambda c: place.reindex(pd.MultiIndex.from_arrays([edges["graph_id"], edges[c].astype(nodes["node_id"].dtype)])).to_numpy(dtype="float64", na_value=-1)
+        src, dst = (at(c).astype(np.int64) if len(edges) else np.empty(0, np.int64) for c in ("node_id", "to_id"))
+        known = (src >= 0) & (dst >= 0)
+        rank = _levels(len(nodes), src[known], dst[known])
+        cyclic = nodes["graph_id"].isin(nodes["graph_id"][rank < 0].unique())
+        return nodes[["graph_id", "node_id", "ord"]].assign(rank=pd.array(rank, dtype="Int64")).assign(rank=lambda d: d["rank"].mask(cyclic))
+
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        last = (batch["graph_id"] != batch["graph_id"].iloc[-1]).to_numpy() if len(batch) else np.empty(0, bool)
+        if not last.any():
+            if held and len(batch) and held[-1]["graph_id"].iloc[-1] != batch["graph_id"].iloc[0]:
+                yield solved(pd.concat(held))
+                held = []
+            if len(batch):
+                held.append(batch)
+            continue
+        yield solved(pd.concat([*held, batch[last]]))
+        held = [batch[~last]]
+    if held:
+        yield solved(pd.concat(held))
+
+
 def longest_path_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(graph_id, node_id, rank, in_cycle)``: longest path from a node without predecessors.
 
+    Graphs of up to ``GRAPH_ROWS`` rows without a cycle are ranked in memory, many to a task; the others take the way over rounds (see
+    :func:`ranks_in_rounds`), which has no bound.
+    """
+    nodes, edges = nodes.select("graph_id", "node_id", "ord"), edges.select("graph_id", "src_id", "dst_id").filter("src_id <> dst_id").distinct()
+    to = F.lit(None).cast(dict(edges.dtypes)["dst_id"]).alias("to_id")
+    rows = nodes.select("graph_id", "node_id", "ord", to).unionByName(
+        edges.select("graph_id", F.col("src_id").alias("node_id"), F.lit(None).cast(dict(nodes.dtypes)["ord"]).alias("ord"), F.col("dst_id").alias("to_id")))
+    rows = materialize(rows)
+    large = materialize(rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GRAPH_ROWS).select("graph_id"))
+    small = rows if large.isEmpty() else rows.join(large, "graph_id", "left_anti")
+    kinds = dict(rows.dtypes)
+    near = small.repartition("graph_id").sortWithinPartitions("graph_id")
+    known = materialize(near.mapInPandas(_ranked_graphs, f"graph_id {kinds['graph_id']}, node_id {kinds['node_id']}, ord {kinds['ord']}, rank long"))
+    done = known.filter("rank is not null").select("graph_id", "node_id", "rank", F.lit(False).alias("in_cycle"))
+    open_ = materialize(known.filter("rank is null").select("graph_id").distinct().unionByName(large))
+    if open_.isEmpty():
+        return done
+    left = rows.join(open_, "graph_id", "left_semi")
+    return done.unionByName(ranks_in_rounds(left.filter("to_id is null").select("graph_id", "node_id", "ord"),
+                                            left.filter("to_id is not null").select("graph_id", F.col("node_id").alias("src_id"), F.col("to_id").alias("dst_id"))))
+
+
+def ranks_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """As :func:`longest_path_ranks`, for graphs of any size.
+
     Every round takes off the nodes whose predecessors are all ranked, in all graphs at once;
     what is left shrinks each time.  Nodes on a cycle, or between cycles, are never taken off: they get
     the largest known predecessor rank plus one, or else their list position.  Nodes behind them rank after all their

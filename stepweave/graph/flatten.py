@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepweave.graph.closure import ancestors, cyclic_nodes
 from stepweave.graph.edges import route_edges
 from stepweave.schema import CALL_LOC
 from stepweave.session import materialize
@@ -196,6 +197,14 @@ class FlatGraphs:
             (zero("n_groups") + zero("n_leaves")).alias("n_modules"), zero("n_root_groups").alias("n_root_groups"),
             F.lit(False).alias("has_timing"))
 
+    def header_lists(self) -> DataFrame:
+        """The id lists of the header as rows: ``(graph_id, list, place, node_id, label)``; ``root_groups`` has the root labels."""
+        lists = F.create_map(*[F.lit(x) for s in IO_SECTIONS for x in (s, s.replace("_nodes", "_node_ids"))])
+        io = self.io_entries.filter("owner_id is null").select(
+            "graph_id", lists[F.col("section")].alias("list"), F.col("ord").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "node_id", "label")
+        roots = self.groups().filter("depth = 0").select("graph_id", F.lit("root_groups").alias("list"), F.col("ord").alias("place"), F.col("group_id").alias("node_id"), "label")
+        return io.unionByName(roots)
+
     def violations(self) -> DataFrame:
         """Every broken rule as a row ``(graph_id, rule, node_id)``."""
         out: list[DataFrame] = []
@@ -207,6 +216,8 @@ class FlatGraphs:
         add(ids.groupBy("graph_id", "node_id").count().filter("count > 1"), "duplicate node id", F.col("node_id"))
         m = self.members().groupBy("graph_id", "child_id").agg(F.count_distinct("parent_id").alias("n"))
         add(m.filter("n > 1"), "child of two groups", F.col("child_id"))
+        inner = self.groups().filter("parent_id is not null").select("graph_id", "parent_id", F.col("group_id").alias("child_id"))
+        add(cyclic_nodes(ancestors(inner)), "cycle in group tree", F.col("node_id"))
         n = self.node_entries.filter("not is_group and coalesce(attr_type, '') not in ('module', 'functional')")
         add(n, "unsupported attr_type", F.col("node_id"))
         section_kinds = F.create_map(*[F.lit(x) for kv in IO_SECTIONS.items() for x in kv])[F.col("section")]

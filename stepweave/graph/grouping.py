@@ -52,7 +52,9 @@ def contracted(links: DataFrame, keys: list[str]) -> DataFrame:
     Graphs lie together and most fit in a batch, so that nothing of them is left to do; a large one loses all links but
     one per node and batch.
     """
-    near = links.select(*keys, "a", "b").repartition(*keys).sortWithinPartitions(*keys)
+    numeric = dict(links.dtypes)["a"] in ("bigint", "int")
+    stretch = [F.expr("a div 65536")] if numeric else []  # a large graph goes to many tasks, by stretches of its ids
+    near = links.select(*keys, "a", "b").repartition(*keys, *stretch).sortWithinPartitions(*keys)
     kinds = ", ".join(f"{c} {t}" for c, t in near.dtypes)
     return near.mapInPandas(_smallest_reached(keys), kinds)
 

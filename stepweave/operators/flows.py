@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stepweave.functions.labels import is_backward_stack, runtime_module
 from stepweave.operators.chunks import chunked, previous_row
 from stepweave.operators.intervals import join_points_to_intervals, last_mark_at
-from stepweave.operators.nesting import external_id_modules, is_module_event
+from stepweave.operators.nesting import is_module_event
 from stepweave.operators.stacks import distinct_stacks, kernel_stacks, stack_frames, user_frames
 from stepweave.plans.tables import TraceTables
 from stepweave.session import materialize
@@ -102,7 +102,7 @@ def _kernels(events: DataFrame) -> DataFrame:
 
 def module_of_kernels(t: TraceTables, kernels: DataFrame) -> DataFrame:
     """Module by external id, else by the enclosing module; ``via`` tells which."""
-    by_id = external_id_modules(t.events).withColumnRenamed("module", "_by_id")
+    by_id = t.id_modules.withColumnRenamed("module", "_by_id")
     names = t.events.filter(is_module_event()).select(
         "trace_id", F.col("idx").alias("module_idx"), F.col("name").alias("_by_parent"))
     up = t.parents.select("trace_id", "idx", "module_idx").filter("module_idx is not null").join(
@@ -115,9 +115,9 @@ def module_of_kernels(t: TraceTables, kernels: DataFrame) -> DataFrame:
     )
 
 
-def kernels_with_chains(events: DataFrame, sources: DataFrame) -> DataFrame:
-    """Kernels with at least one stack that has a frame in the user's sources."""
-    own = user_frames(stack_frames(distinct_stacks(events)), sources).select("stack_key").distinct()
+def kernels_with_chains(events: DataFrame, sources: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Kernels with at least one stack that has a frame in the user's sources; ``frames``: those of all stacks, if known."""
+    own = user_frames(stack_frames(distinct_stacks(events)) if frames is None else frames, sources).select("stack_key").distinct()
     return kernel_stacks(events).join(own, "stack_key", "left_semi").select("trace_id", "idx").distinct()
 
 
@@ -128,9 +128,9 @@ def kernel_stack_costs(t: TraceTables, sources: DataFrame) -> DataFrame:
     kernel in the forward scope, module by external id, enclosing module, or none.
     """
     kernels = _kernels(t.events)
-    pairs = materialize(flow_pairs(t.events))
+    pairs = t.flow_pairs
     bwd_tids = pairs.select("trace_id", F.col("bwd_tid").alias("tid")).distinct().withColumn("_bwd_tid", F.lit(True))
-    chains = kernels_with_chains(t.events, sources).withColumn("_chains", F.lit(True))
+    chains = kernels_with_chains(t.events, sources, t.frames).withColumn("_chains", F.lit(True))
     facts = (
         kernels.select("trace_id", "idx", "tid", "ts_ns", "dur_ns", "external_id",
                        (F.size(F.coalesce("stack_traces", F.array().cast("array<string>"))) > 0).alias("has_stack"),

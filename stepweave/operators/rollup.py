@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 
 from stepweave.functions.labels import is_backward_stack, runtime_module
 from stepweave.operators.device import top
-from stepweave.operators.flows import _kernels, flow_pairs, forward_scope, module_of_kernels
+from stepweave.operators.flows import _kernels, forward_scope, module_of_kernels
 from stepweave.operators.phases import PHASES, phase_of_spans
-from stepweave.operators.stacks import (
-    distinct_stacks, instance_keys, kernel_stacks, leaf_instances, locate_lines, stack_frames, user_frames,
-)
+from stepweave.operators.stacks import instance_keys, kernel_stacks, leaf_instances, locate_lines, user_frames
 from stepweave.plans.tables import TraceTables
 from stepweave.session import materialize
 
@@ -29,7 +27,7 @@ def kernel_attribution(t: TraceTables, sources: DataFrame, spans: DataFrame) ->
     goes whole to the runtime module that launched it, or keeps one row with a NULL key.
     """
     kernels = _kernels(t.events)
-    leaves = leaf_instances(instance_keys(user_frames(stack_frames(distinct_stacks(t.events)), sources), spans))
+    leaves = leaf_instances(instance_keys(user_frames(t.frames, sources), spans))
     votes = materialize(kernel_stacks(t.events).join(leaves, "stack_key").groupBy("trace_id", "idx", *KEY).agg(
         F.count(F.lit(1)).alias("n_hits")))
     totals = votes.groupBy("trace_id", "idx").agg(F.sum("n_hits").alias("n_total"))
@@ -58,7 +56,7 @@ def attribution_counters(t: TraceTables, attribution: DataFrame) -> DataFrame:
         F.first("rung").alias("rung"), F.first("is_bwd").alias("is_bwd"), F.first("dur_ns").alias("dur_ns"))
     backward = t.events.select("trace_id", "idx", "tid", "ts_ns").join(
         per_kernel.filter("rung = 'stack' and is_bwd"), ["trace_id", "idx"], "left_semi")
-    narrowed = forward_scope(backward, flow_pairs(t.events), t.events).select("trace_id", "idx").withColumn("_n", F.lit(True))
+    narrowed = forward_scope(backward, t.flow_pairs, t.events).select("trace_id", "idx").withColumn("_n", F.lit(True))
     count = lambda cond, name: F.count_if(F.expr(cond)).alias(name)
     return per_kernel.join(narrowed, ["trace_id", "idx"], "left").groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("total_kernels"),

@@ -61,8 +61,8 @@ def locate_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
     return first.join(in_method, ["file", "class", "line"], "left")
 
 
-def source_hotspots(events: DataFrame, spans: DataFrame) -> DataFrame:
-    """Kernel time by source line, class and method, split into forward and backward.
+def source_hotspots(events: DataFrame, spans: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Kernel time by source line, class and method, split into forward and backward; ``frames``: those of all stacks, if known.
 
     A kernel with n stacks gives dur/n to each distinct key, once per kernel however many
     of its stacks name it.  Kernels with the same set of stacks are summed before any
@@ -75,7 +75,7 @@ def source_hotspots(events: DataFrame, spans: DataFrame) -> DataFrame:
         F.size("stack_traces").alias("n_stacks"),
         F.array_sort(F.array_distinct(F.transform("stack_traces", stack_key))).alias("stack_set"),
     ).groupBy("trace_id", "phase", "n_stacks", "stack_set").agg(F.sum("dur_ns").alias("dur_ns"))
-    frames = stack_frames(distinct_stacks(events)).select("stack_key", "file", "line").distinct()
+    frames = (stack_frames(distinct_stacks(events)) if frames is None else frames).select("stack_key", "file", "line").distinct()
     where = frames.join(locate_lines(frames, spans), ["file", "line"], "left")
     cls = F.concat_ws(":", "file", "class")
     key = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("key"))

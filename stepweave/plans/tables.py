@@ -13,7 +13,7 @@ from stepweave.session import materialize
 class TraceTables:
     """An event table and its threads, steps and parents.
 
-    ``threads``, ``steps``, ``summary`` and ``parents`` are written to the shared folder on
+    ``threads``, ``steps``, ``summary``, ``parents`` and so on are written to the shared folder on
     first use: the analyses join them again and again, and none should rescan the events
     to rebuild them.
     """
@@ -41,3 +41,21 @@ class TraceTables:
     @cached_property
     def parents(self) -> DataFrame:
         return materialize(nesting.event_parents(self.events))
+
+    @cached_property
+    def id_modules(self) -> DataFrame:
+        """Module per external id."""
+        return materialize(nesting.external_id_modules(self.events))
+
+    @cached_property
+    def flow_pairs(self) -> DataFrame:
+        from stepweave.operators.flows import flow_pairs
+
+        return materialize(flow_pairs(self.events))
+
+    @cached_property
+    def frames(self) -> DataFrame:
+        """Frames of each distinct stack text."""
+        from stepweave.operators import stacks
+
+        return materialize(stacks.stack_frames(stacks.distinct_stacks(self.events)))

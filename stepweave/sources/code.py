@@ -26,24 +26,31 @@ SOURCE_SCHEMA = "path string, basename string, content string"
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows = []
-            if path.endswith(".py"):
-                rows.append((path, content))
-            else:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
-                    for member in tar:
-                        if member.isfile() and member.name.endswith(".py"):
-                            rows.append((f"{path}!{member.name}", tar.extractfile(member).read()))
-            if rows:
-                yield pd.DataFrame([(p, p.split("/")[-1].split("!")[-1], c.decode("utf-8", "replace")) for p, c in rows],
-                                   columns=["path", "basename", "content"])
+            for name, data in _files_in(path, content):
+                yield pd.DataFrame({"path": [name], "basename": [name.split("!")[-1].split("/")[-1]], "content": [data.decode("utf-8", "replace")]})
+
+
+def _files_in(path: str, content: bytes) -> Iterator[tuple[str, bytes]]:
+    """The file itself, or the Python files of an archive, one after the other: memory holds the packed archive and one file."""
+    if path.endswith(".py"):
+        yield path, content
+        return
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz") as tar:
+        for member in tar:
+            if member.isfile() and member.name.endswith(".py"):
+                yield f"{path}!{member.name}", tar.extractfile(member).read()
+
+
+def unpack_sources(files: DataFrame) -> DataFrame:
+    """``path, basename, content`` of the Python files among ``files`` (path, content) and in their gzipped tar archives."""
+    return files.select("path", "content").mapInPandas(_unpack, SOURCE_SCHEMA)
 
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """Python files below a folder, and those inside ``.tar.gz`` / ``.tgz`` archives."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-        "pathGlobFilter", "*.{py,tgz,tar.gz}").load(path).select("path", "content")
-    return files.mapInPandas(_unpack, SOURCE_SCHEMA)
+        "pathGlobFilter", "*.{py,tgz,tar.gz}").load(path)
+    return unpack_sources(files)
 
 
 def by_basename(sources: DataFrame) -> DataFrame:

@@ -220,3 +220,21 @@ def test_a_container_with_a_node_of_its_own(spark):
                               f"graph_id string, scope_id string, node_id long, ord long, attr_kind string, is_native boolean, call_loc {LOC}, groupable boolean"))
     assert sorted((r.container_id, r.node_id) for r in h.containers().collect()) == [(7, 1), (7, 2)]
     assert [r.node_id for r in h.direct.collect()] == [7]
+
+
+def test_ranks_of_a_deep_chain_and_of_many_graphs(spark, monkeypatch):
+    n = 100_000
+    nodes = spark.range(n).selectExpr("'deep' as graph_id", "id as node_id", "id as ord").unionByName(
+        spark.range(3000).selectExpr("concat('g', id div 3) as graph_id", "id % 3 as node_id", "id % 3 as ord"))
+    pairs = spark.range(n - 1).selectExpr("'deep' as graph_id", "id as src_id", "id + 1 as dst_id").unionByName(
+        spark.range(3000).filter("id % 3 < 2").selectExpr("concat('g', id div 3) as graph_id", "id % 3 as src_id", "id % 3 + 1 as dst_id"))
+    loop = spark.createDataFrame([("g7", 2, 0)], "graph_id string, src_id long, dst_id long")
+    got = edges.longest_path_ranks(nodes, pairs.unionByName(loop))
+    assert got.filter("graph_id <> 'g7' and (rank <> node_id or in_cycle)").isEmpty() and got.count() == n + 3000
+    assert got.filter("graph_id = 'g7'").filter("in_cycle").count() == 3
+
+
+def test_large_graphs_rank_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(edges, "GRAPH_ROWS", 10)
+    test_ranks_of_a_random_dag(spark)
+    test_ranks_behind_a_cycle(spark)

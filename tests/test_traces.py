@@ -257,3 +257,15 @@ def test_two_traces_do_not_mix(make_events):
     want = {(r.name, r.dur_ns, r["rank"]) for r in device.top_kernels(one).collect()}
     for name in "tu":
         assert {(r.name, r.dur_ns, r["rank"]) for r in device.top_kernels(two).filter(F.col("trace_id") == name).collect()} == want
+
+
+def test_committed_runs_replace_traces_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "results")
+    table = lambda rows: spark.createDataFrame(rows, "trace_id string, v long")
+    rows = lambda name: sorted((r.trace_id, r.v) for r in traces.read_table(spark, path, name).collect())
+    traces.commit_tables({"a": table([("1", 1), ("1", 2), ("2", 3)]), "b": table([("1", 10), ("2", 20)])}, path)
+    assert rows("a") == [("1", 1), ("1", 2), ("2", 3)]
+    table([("1", 99)]).write.mode("append").partitionBy("trace_id").parquet(f"{path}/a/run=2")  # a run that broke off
+    assert rows("a") == [("1", 1), ("1", 2), ("2", 3)] and rows("b") == [("1", 10), ("2", 20)]
+    assert traces.commit_tables({"a": table([("1", 4)]), "b": table([("1", 40)])}, path) == 2
+    assert rows("a") == [("1", 4), ("2", 3)] and rows("b") == [("1", 40), ("2", 20)]

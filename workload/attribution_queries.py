@@ -50,7 +50,7 @@ _SITES = "array_to_string(list_transform(ancestors, lambda s: concat(s.file, ':'
 SELECT trace_id, idx, trace_no, frame_no, file, line, func FROM o_frame WHERE is_own
 """)
 def _(t, spans):
-    own = stacks.user_frames(stacks.stack_frames(stacks.distinct_stacks(t.events)), _sources(spans))
+    own = stacks.user_frames(t.frames, _sources(spans))
     return stacks.kernel_stacks(t.events).join(own, "stack_key").select(
         "trace_id", "idx", "trace_no", "frame_no", "file", "line", "func")
 
@@ -59,7 +59,7 @@ def _(t, spans):
 SELECT DISTINCT f.file, f.line, l.class, l.method, l.class_start FROM o_frame f JOIN o_loc l ON l.file = f.file AND l.line = f.line
 """)
 def _(t, spans):
-    return stacks.locate_lines(stacks.stack_frames(stacks.distinct_stacks(t.events)), spans)
+    return stacks.locate_lines(t.frames, spans)
 
 
 _HOT = """
@@ -74,7 +74,7 @@ GROUP BY 1, 2, 3
 
 @query("a11_source_hotspots", _HOT)
 def _(t, spans):
-    return stacks.source_hotspots(t.events, spans)
+    return stacks.source_hotspots(t.events, spans, t.frames)
 
 
 @query("a11_kernel_time", """
@@ -89,7 +89,7 @@ SELECT * FROM (SELECT *, fwd_ns + bwd_ns AS total_ns, row_number() OVER (PARTITI
 FROM ({_HOT}) h WHERE kind = 'class') x WHERE rank <= 20
 """)
 def _(t, spans):
-    return stacks.hot_sources(stacks.source_hotspots(t.events, spans), "class", 20)
+    return stacks.hot_sources(stacks.source_hotspots(t.events, spans, t.frames), "class", 20)
 
 
 @query("a11_hot_lines", f"""
@@ -101,7 +101,7 @@ WITH hot AS ({_HOT}) SELECT trace_id, class_key, rank, line, method, total_ns, f
         FROM hot WHERE kind = 'class') c WHERE r <= 5) b USING (trace_id, class_key)) d WHERE rank <= 10
 """)
 def _(t, spans):
-    return stacks.hot_lines_of_classes(materialize(stacks.source_hotspots(t.events, spans)), spans)
+    return stacks.hot_lines_of_classes(materialize(stacks.source_hotspots(t.events, spans, t.frames)), spans)
 
 
 _LEAF_CLASS = """
@@ -198,7 +198,7 @@ def _(t, spans):
 SELECT trace_id, idx, trace_no, frame_no, class, site_file, site_line, {_SITES} AS ancestors FROM o_key
 """)
 def _(t, spans):
-    own = stacks.user_frames(stacks.stack_frames(stacks.distinct_stacks(t.events)), _sources(spans))
+    own = stacks.user_frames(t.frames, _sources(spans))
     keys = stacks.instance_keys(own, spans)
     return stacks.kernel_stacks(t.events).join(keys, "stack_key").drop("stack_key").withColumn(
         "ancestors", sites_text(F.col("ancestors")))

@@ -467,7 +467,22 @@ def _(g):
                        F.col("steps")[0]["loc"]["file"].alias("step_file"))
 
 
-@query("g19_scope_records")
+_RECORD = """
+SELECT graph_id, node_id, CASE io_subtype WHEN 'input' THEN 'input_nodes' WHEN 'forward_arg' THEN 'input_nodes' WHEN 'param' THEN 'param_nodes' WHEN 'const' THEN 'const_nodes' ELSE 'output_nodes' END AS section,
+  concat('{"node_id":', node_id, ',"io_subtype":"', io_subtype, '","label":"', label, '","attr_name":"', attr_name, '","class_name":"', class_name, '"}') AS record FROM (%s) i
+UNION ALL
+SELECT graph_id, node_id, 'nodes', concat('{"node_id":', node_id, ',"attr_type":"', attr_kind, '"', CASE WHEN attr_name <> '' AND c <> '' THEN concat(',"label":"', attr_name, '(', c, ')"')
+    WHEN attr_name <> '' THEN concat(',"label":"', attr_name, '"') WHEN c <> '' THEN concat(',"label":"', c, '"') ELSE '' END,
+  ',"attr_name":"', attr_name, '","class_name":"', c, '"', CASE WHEN attr_kind <> 'container' THEN concat(',"is_native":', is_native) ELSE '' END, '}')
+FROM (SELECT *, CASE WHEN attr_kind = 'container' THEN container_kind ELSE class_name END AS c FROM graph_attr) a WHERE attr_kind IN ('container', 'module', 'functional')
+""" % _IO
+
+
+@query("g19_scope_records", f"""
+SELECT n.graph_id, n.container AS scope_id, r.section, n.node_id AS ord, r.record FROM graph_node n JOIN ({_RECORD}) r ON r.graph_id = n.graph_id AND r.node_id = n.node_id
+UNION ALL SELECT e.graph_id, a.container, 'edges', e.src_id, concat('{{"src_id":', e.src_id, ',"dst_id":', e.dst_id, '}}') FROM graph_edge e
+JOIN graph_node a ON a.graph_id = e.graph_id AND a.node_id = e.src_id JOIN graph_node b ON b.graph_id = e.graph_id AND b.node_id = e.dst_id AND b.container = a.container
+""")
 def _(g):
     attr = g.view("graph_attr")
     return records.scope_records(records.io_records(attr), records.module_records(attr.withColumn("display_name", F.lit(None).cast("string"))),
@@ -568,6 +583,65 @@ def _(g):
     return g.flat().violations()
 
 
+def _io(i, kind, name, cls="Tensor"):
+    return f'{{"node_id":{i},"io_subtype":"{kind}","label":"{name}","attr_name":"{name}","class_name":"{cls}"}}'
+
+
+def _node(i, kind="functional", attr="a", cls="K", inner=None):
+    return f'{{"node_id":{i},"label":"n{i}","attr_name":"{attr}","class_name":"{cls}","attr_type":"{kind}"' + (f',"inner_dag":{inner}' if inner else "") + "}"
+
+
+def _level(nodes=(), inputs=(), outputs=(), params=(), edges=()):
+    lists = {"input_nodes": inputs, "param_nodes": params, "const_nodes": (), "output_nodes": outputs, "nodes": nodes, "edges": edges}
+    return "{" + ",".join(f'"{k}":[{",".join(v)}]' for k, v in lists.items()) + "}"
+
+
+_PORTS = {"inputs": [_io(2002, "forward_arg", "arg_0")], "outputs": [_io(2003, "return_val", "ret_0")]}
+_TOP = {"inputs": [_io(2000, "input", "x")], "outputs": [_io(2001, "output", "y")]}
+_EDGE = '{"src_id":1,"dst_id":2}'
+
+
+def _whole(*inner, edges=(_EDGE,), **top):
+    return _level([_node(1000, "module", "model", "Net", _level([*inner], **_PORTS))], edges=edges, **{**_TOP, **top})
+
+
+# One graph for each integrity rule, and what it breaks.
+FAULTY = [
+    (_whole(_node(1), _node(2)).replace('"edges":[' + _EDGE + "]", '"links":[]'), [("missing field: edges", None)]),
+    (_whole(_node(1), _node(1), _node(2)), [("duplicate node id", 1)]),
+    (_level([_node(1000, "module", "m", "N", _level([_node(1), _node(5)])), _node(1001, "module", "m", "N", _level([_node(2), _node(5)]))], edges=[_EDGE], **_TOP),
+     [("child of two groups", 5), ("duplicate node id", 5)]),
+    (_whole(_node(1, "mystery"), _node(2)), [("unsupported attr_type", 1)]),
+    (_level([_node(1000, "module", "m", "N", _level([_node(1), _node(2)], inputs=[_io(2004, "output", "z")]))], edges=[_EDGE], **_TOP), [("unsupported io_subtype", 2004)]),
+    (_whole(_node(1), _node(2), params=[_io(2000, "param", "x")]), [("member of two io groups", 2000), ("duplicate node id", 2000)]),
+    (_whole(_node(1, attr=""), _node(2)), [("edge endpoint missing attr_name", 1)]),
+    (_whole(_node(1), _node(2, cls="")), [("edge endpoint missing class_name", 2)]),
+    (_level([_node(1), _node(2)], edges=[_EDGE], **_TOP), [("no root groups", None)]),
+    (_whole(_node(1), _node(2), edges=[_EDGE, '{"src_id":1,"dst_id":9999}']), [("edge end not in node index", 9999)]),
+    (_whole(_node(1), _node(2), _node(1001, "module", "m", "N", _level([_node(1000, "module", "m", "N", _level([_node(7)]))]))),
+     [("cycle in group tree", 1000), ("cycle in group tree", 1001), ("duplicate node id", 1000)]),
+    (_whole(_node(1), _node(2)), []),
+]
+_BROKEN = ", ".join(f"({k}, '{rule}', {'NULL' if node is None else node})" for k, (_, rules) in enumerate(FAULTY) for rule, node in rules)
+
+
+@query("g24_rules", f"""
+SELECT g.graph_id, v.rule, CAST(v.node_id AS BIGINT) AS node_id FROM (SELECT DISTINCT graph_id FROM graph_node) g
+JOIN (VALUES {_BROKEN}) v(k, rule, node_id) ON CAST(g.graph_id AS BIGINT) % {len(FAULTY)} = v.k
+""")
+def _(g):
+    text = F.array(*[F.lit(t) for t, _ in FAULTY])[(F.col("graph_id").cast("bigint") % len(FAULTY)).cast("int")]
+    return flatten.FlatGraphs(g.node.select("graph_id").distinct().withColumn("text", text)).violations()
+
+
+@query("g32_header_lists", """
+SELECT graph_id, list, CAST(0 AS BIGINT) AS place, CAST(node_id AS BIGINT) AS node_id, label FROM (SELECT DISTINCT graph_id FROM graph_node) g
+CROSS JOIN (VALUES ('input_node_ids', 2000, 'x'), ('output_node_ids', 2001, 'y'), ('root_groups', 1000, 'model(Net)')) v(list, node_id, label)
+""")
+def _(g):
+    return g.flat().header_lists()
+
+
 @query("g32_header", f"""
 SELECT g.graph_id, n_groups, n_leaves, n_groups + n_leaves AS n_modules, CAST(1 AS BIGINT) AS n_root_groups, false AS has_timing FROM
   (SELECT graph_id, count(*) AS n_groups FROM ({_GROUPS}) x GROUP BY 1) g JOIN (SELECT graph_id, count(*) AS n_leaves FROM ({_LEAVES}) y GROUP BY 1) l USING (graph_id)

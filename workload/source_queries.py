@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
 import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepweave.plans.report import analysis_tables, report_rows
 from stepweave.sources import code
-from stepweave.sources.traces import read_traces, write_tables
+from stepweave.sources.traces import commit_tables, read_large_traces, read_table
 from stepweave.session import materialize, shared_folder
 from workload import trace_queries as tq
 from workload.graph_queries import Graphs
@@ -48,6 +51,13 @@ class Code:
             _CACHE[key] = materialize(make())
         return _CACHE[key]
 
+    def kept(self, name: str, make):
+        """What ``make`` returns, once per session and scale."""
+        key = (self.spark.sparkContext.applicationId, self.sf, name)
+        if key not in _CACHE:
+            _CACHE[key] = make()
+        return _CACHE[key]
+
     @property
     def facts(self):
         return self._once("facts", lambda: code.source_facts(_texts(self.spark, self.sf)))
@@ -69,7 +79,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = lambda spark, sf: fn(Code(spark, sf))
         if sql:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql if sql.startswith("WITH RECURSIVE") else with_ctes(sql)
         return fn
     return add
 
@@ -202,6 +212,31 @@ def _(c):
     return analysis_tables(tq.trace_tables(c.spark, c.sf))["module"].withColumn("roles", F.array_join("roles", ","))
 
 
+def _committed(c):
+    """The result tables, committed twice: the second run replaces the first, which lacked a trace and had other values."""
+    def make():
+        path = f"{shared_folder(c.spark)}/{uuid.uuid4().hex}"
+        tables = {name: materialize(df) for name, df in analysis_tables(tq.trace_tables(c.spark, c.sf)).items()}
+        commit_tables({name: df.filter("trace_id <> 't1'").limit(50) for name, df in tables.items()}, path)
+        commit_tables(tables, path)
+        return path
+    return c.kept("committed", make)
+
+
+def _back(name):
+    return lambda c: read_table(c.spark, _committed(c), name)
+
+
+query("s05_step", _sql("t01_steps"))(_back("step"))
+query("s05_step_split", _sql("a02_step_decomposition"))(_back("step_split"))
+query("s05_top_kernel", _sql("a04_top_kernels"))(_back("top_kernel"))
+query("s05_module", f"SELECT m.*, step_dur_ns FROM ({_sql('a03_modules')}) m JOIN o_sum USING (trace_id)")(
+    lambda c: _back("module")(c).withColumn("roles", F.array_join("roles", ",")))
+query("s05_trace", with_ctes(f"""
+SELECT s.*, kind, e.* EXCLUDE (trace_id) FROM o_sum s JOIN ({_sql('f01_trace_kind')}) k USING (trace_id) JOIN ({_sql('f02_enhanced')}) e ON e.trace_id = s.trace_id
+""", stacks=True))(_back("trace"))
+
+
 @query("s05_result_tables", f"""
 SELECT 'step' AS name, trace_id, count(*) AS n FROM ({_sql('t01_steps')}) GROUP BY 2
 UNION ALL SELECT 'step_split', trace_id, count(*) FROM ({_sql('a02_step_decomposition')}) GROUP BY 2
@@ -210,30 +245,77 @@ UNION ALL SELECT 'top_kernel', trace_id, count(*) FROM ({_sql('a04_top_kernels')
 UNION ALL SELECT 'trace', trace_id, 1 FROM o_sum
 """)
 def _(c):
-    """All five tables, written and read back."""
-    path = f"{shared_folder(c.spark)}/{uuid.uuid4().hex}"
-    tables = analysis_tables(tq.trace_tables(c.spark, c.sf))
-    write_tables(tables, path)
-    count = lambda name: c.spark.read.parquet(f"{path}/{name}").groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "trace_id", "n")
-    return reduce(DataFrame.unionByName, [count(name) for name in tables])
+    """Rows of all five tables, read back; ``s05_step`` and so on compare their values."""
+    count = lambda name: _back(name)(c).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "trace_id", "n")
+    return reduce(DataFrame.unionByName, [count(name) for name in ("step", "step_split", "module", "top_kernel", "trace")])
+
+
+def _trace_files(c):
+    """Events as trace files, one per trace and day, with header and stacks: a line per event, so no file is gathered in one row."""
+    def make():
+        us = lambda ns: (F.col(ns).cast("decimal(23,3)") / 1000).cast("decimal(20,3)")
+        stack = F.when(F.col("stack_traces").isNotNull(), F.struct("stack_traces"))
+        args = F.struct(F.col("external_id").alias("External id"), F.col("py_id").alias("Python id"), F.col("py_parent_id").alias("Python parent id"),
+                        F.col("call_from").alias("CallFrom"), F.col("arg_name").alias("name"), F.col("arg_labels").alias("labels"), stack.alias("stack"))
+        event = F.struct("ph", "cat", "name", "pid", "tid", F.col("flow_id").alias("id"), us("ts_ns").alias("ts"), us("dur_ns").alias("dur"), args.alias("args"))
+        day = F.expr("ts_ns div 86400000000000")
+        rows = tq.trace_tables(c.spark, c.sf).events.withColumn("day", day).withColumn("file", F.concat_ws("_", "trace_id", day.cast("string")))
+        sums = materialize(rows.groupBy("file", "trace_id", "day").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first")))
+        rank = F.when(F.col("trace_id") != "t3", F.format_string('"distributedInfo":{"rank":%d,"world_size":8},', F.col("day") % 8)).otherwise("")
+        head = F.concat(F.lit("{"), rank, F.format_string('"deviceProperties":[{"name":"gpu-%s","numSms":%d}],"traceEvents":[', "trace_id", F.col("n") % 128))
+        low, high = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+        lines = rows.join(sums.select("file", "first"), "file").select("file", "idx", F.lit(1).alias("part"), F.concat(F.when(F.col("idx") == F.col("first"), "").otherwise(","), F.to_json(event)).alias("value"))
+        lines = lines.unionByName(sums.select("file", low.alias("idx"), F.lit(0).alias("part"), head.alias("value"))).unionByName(sums.select("file", high.alias("idx"), F.lit(2).alias("part"), F.lit("]}").alias("value")))
+        path = f"{shared_folder(c.spark)}/{uuid.uuid4().hex}"
+        lines.repartition("file").sortWithinPartitions("file", "part", "idx").select("value", "file").write.partitionBy("file").text(path)
+        events, headers = read_large_traces(c.spark, f"{path}/*/")
+        of = [F.regexp_extract("trace_id", r"file=([^/]+)_(-?\d+)/", 1).alias("trace_id"), F.regexp_extract("trace_id", r"file=([^/]+)_(-?\d+)/", 2).cast("bigint").alias("day")]
+        return materialize(events.select(*of, *[x for x in events.columns if x != "trace_id"])), materialize(headers.select(*of, *[x for x in headers.columns if x != "trace_id"]))
+    return c.kept("trace_files", make)
+
+
+@query("s01_read_traces", with_ctes("""
+SELECT trace_id, ts_ns // 86400000000000 AS day, row_number() OVER (PARTITION BY trace_id, ts_ns // 86400000000000 ORDER BY idx) - 1 AS idx, ph, cat, name, pid, tid,
+  ts_ns, dur_ns, flow_id, external_id, py_id, py_parent_id, call_from, arg_name, arg_labels, stack_traces FROM trace_event
+""", stacks=True))
+def _(c):
+    """Events of trace files, split by Spark wherever it likes, read back with their stacks."""
+    return _trace_files(c)[0]
 
 
-@query("s01_read_traces", """
-SELECT trace_id, ts_ns // 86400000000000 AS day, row_number() OVER (PARTITION BY trace_id, ts_ns // 86400000000000 ORDER BY idx) - 1 AS idx, ph, cat, name, pid, tid,
-  ts_ns, dur_ns, flow_id, external_id, py_id, py_parent_id, call_from, arg_name, arg_labels FROM trace_event
+@query("s02_trace_headers", """
+SELECT trace_id, ts_ns // 86400000000000 AS day, concat('gpu-', trace_id) AS device_name, count(*) % 128 AS num_sms,
+  CASE WHEN trace_id <> 't3' THEN CAST(ts_ns // 86400000000000 % 8 AS INTEGER) END AS rank, CASE WHEN trace_id <> 't3' THEN CAST(8 AS INTEGER) END AS world_size
+FROM trace_event GROUP BY 1, 2
+""")
+def _(c):
+    return _trace_files(c)[1]
+
+
+_CLASS_TEXT = """concat('class P', k, '(', {base}, '):', chr(10), '    def __init__(self):', chr(10), '        self.left = P', 2 * k, '(', size, ')', chr(10), '        self.items = nn.ModuleList()', chr(10),
+  '        if True:', chr(10), '            item = P', 2 * k + 1, '()', chr(10), '            self.items.append(item)', chr(10), '        self.sizes = list()', chr(10),
+  '        setattr(self, ''act'', nn.ReLU())', chr(10), '    def forward(self, x):', chr(10), '        return x')""".format(base=_BASE)
+
+
+def _packed(rows):
+    """A gzipped tar archive of one file per row; eight files of ten classes."""
+    data = io.BytesIO()
+    with tarfile.open(fileobj=data, mode="w:gz") as tar:
+        for path, text in zip(rows["path"], rows["content"]):
+            raw = text.encode()
+            member = tarfile.TarInfo(path)
+            member.size = len(raw)
+            tar.addfile(member, io.BytesIO(raw))
+    return pd.DataFrame({"path": [f"code/a{rows['pack'].iloc[0]}.tgz"], "content": [data.getvalue()]})
+
+
+@query("s03_source_files", f"""
+SELECT CASE WHEN f % 3 = 0 THEN printf('m/f%05d.py', f) ELSE printf('code/a%d.tgz!m/f%05d.py', f // 8, f) END AS path, printf('f%05d.py', f) AS basename, sha256(string_agg(t, chr(10) ORDER BY k)) AS content_sha256
+FROM (SELECT k, k // 10 AS f, {_CLASS_TEXT} AS t FROM (SELECT p_partkey AS k, p_size AS size FROM part) p) c GROUP BY f
 """)
 def _(c):
-    """Events as trace files, one per trace and day, read back."""
-    us = lambda ns: (F.col(ns).cast("decimal(23,3)") / 1000).cast("decimal(20,3)")
-    args = F.struct(F.col("external_id").alias("External id"), F.col("py_id").alias("Python id"), F.col("py_parent_id").alias("Python parent id"),
-                    F.col("call_from").alias("CallFrom"), F.col("arg_name").alias("name"), F.col("arg_labels").alias("labels"))
-    event = F.struct("idx", "ph", "cat", "name", "pid", "tid", F.col("flow_id").alias("id"), us("ts_ns").alias("ts"), us("dur_ns").alias("dur"), args.alias("args"))
-    file = F.concat_ws("_", F.col("trace_id"), F.expr("ts_ns div 86400000000000").cast("string"))
-    files = tq.trace_tables(c.spark, c.sf).events.groupBy(file.alias("file")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(event)).alias("traceEvents"))).alias("value"))
-    path = f"{shared_folder(c.spark)}/{uuid.uuid4().hex}"
-    files.repartition("file").write.partitionBy("file").text(path)
-    name = F.regexp_extract("trace_id", r"file=([^/]+)_(\d+)/", 1)
-    day = F.regexp_extract("trace_id", r"file=([^/]+)_(\d+)/", 2).cast("bigint")
-    return read_traces(c.spark, f"{path}/*/").select(
-        name.alias("trace_id"), day.alias("day"), "idx", "ph", "cat", "name", "pid", "tid", "ts_ns", "dur_ns", "flow_id", "external_id", "py_id", "py_parent_id",
-        "call_from", "arg_name", "arg_labels")
+    """Model code, two files of three in archives, unpacked again."""
+    texts = _texts(c.spark, c.sf).withColumn("f", F.regexp_extract("basename", r"(\d+)", 1).cast("long")).withColumn("pack", F.expr("f div 8"))
+    packs = texts.filter("f % 3 <> 0").select("pack", "path", "content").groupBy("pack").applyInPandas(_packed, "path string, content binary")
+    files = materialize(packs.unionByName(texts.filter("f % 3 = 0").select("path", F.col("content").cast("binary").alias("content"))))
+    return code.unpack_sources(files).select("path", "basename", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha256"))
