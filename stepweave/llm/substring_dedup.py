@@ -1,19 +1,20 @@
 """Removal of every byte that a repeated 200-byte string covers, over all texts at once.
 
-Sorting all suffixes to depth 200 is not possible within a few times the input, so the work goes in blocks, with a
-difference cover: positions whose offset in their text leaves, modulo 133, one of 12 residues.  Any two offsets have a distance
-below 133 at which both stand on a cover position.
-
-1.  The cover samples are named by the 68 bytes that follow (200 - 133 + 1), and their ranks among each other tell
-    which names occur more than once.  If two 200-byte strings are equal, then also the samples at their common cover position,
-    whose 68 bytes lie inside.  A suffix that no such tie covers is unique to depth 200 and is settled.
-2.  The suffixes left are sorted bucket by bucket, and of all buckets only those of one round are in the shuffle at a time.
-    Within a bucket a tie to depth 200 is a repeated string.
+The method dealt for this operator sorts suffixes bucket by bucket and resolves long ties by ranks of cover samples.  This
+is not that method: no suffix is sorted by its bytes, and there are no ranks.  What is kept of it is the difference cover (positions
+whose offset in their text leaves, modulo 133, one of 12 residues: any two offsets have a distance below 133 at which both stand
+on it) and the work in buckets, one round of them at a time.  README.md gives the sizes that speak against the true form.
+
+1.  The samples on the cover are named by a 64-bit fingerprint of the 68 bytes that follow (200 - 133 + 1).  If two 200-byte
+    strings are equal, then also the samples at their common cover position, whose 68 bytes lie inside.  A start that
+    no repeated sample covers is unique to depth 200 and is settled.
+2.  The starts left are grouped by 128-bit fingerprints of their 200 bytes, in buckets, and of all buckets only those of
+    one round are in the shuffle at a time.  Equal fingerprints count as equal strings; their bytes are not compared.
 3.  Each text block takes its repeated starts back and cuts what they cover.
 
-Texts lie in blocks of some megabytes.  A block first settles ties among its own suffixes and sends each string
-once, so a passage that a third of all texts share costs one record per block.  Sort keys are 128-bit fingerprints of the
-200 bytes (64 bits for samples, which only select): which suffixes tie matters here, their order does not.
+Texts lie in blocks of some megabytes; a longer text is cut into several blocks that overlap by 199 bytes, so the memory of a
+task does not grow with it, until its pieces are joined again at the end.  A block first settles ties among its own
+starts and sends each string once, so a passage that a third of all texts share costs one record per block.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from stepweave.session import materialize
 LENGTH = 200
 #: A perfect difference set modulo 133.
 PERIOD, COVER = 133, (1, 10, 11, 13, 27, 31, 68, 75, 83, 110, 115, 121)
-#: Bytes of text per block; longer texts are blocks of their own.
+#: Bytes of text per block; longer texts are cut.
 BLOCK_BYTES = 1 << 22
 #: Records that a bucket holds about, and rounds in which the buckets of samples and of suffixes are dealt.
 BUCKET, SAMPLE_ROUNDS, SUFFIX_ROUNDS = 1 << 20, 2, 5
@@ -148,25 +149,33 @@ def _repeated(source: DataFrame, emit, total: int, rounds: int, bucket: int) ->
     return out
 
 
-def _blocks(block_bytes: int):
-    def joined(nodes: list[int], texts: list[bytes]) -> pd.DataFrame:
-        return pd.DataFrame([{"block": nodes[0], "nodes": nodes, "sizes": [len(t) for t in texts], "data": b"".join(texts)}])
+def _blocks(block_bytes: int, length: int):
+    whole = max(1, block_bytes // PERIOD) * PERIOD  # cuts keep offsets on the cover
+
+    def joined(entries: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
+        return pd.DataFrame([{"nodes": [e[0] for e in entries], "bases": [e[1] for e in entries], "owned": [e[2] for e in entries],
+                              "sizes": [len(e[3]) for e in entries], "data": b"".join(e[3] for e in entries)}])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Texts joined to blocks: their row numbers, lengths and bytes."""
-        nodes: list[int] = []
-        texts: list[bytes] = []
+        """Texts joined to blocks: their row numbers, lengths and bytes.
+
+        A text longer than a block is cut: each piece has the starts of its own, and the bytes that the last of them take.
+        """
+        held: list[tuple[int, int, int, bytes]] = []
         size = 0
         for batch in batches:
             for node, text in zip(batch["node"], batch["text"]):
-                nodes.append(node)
-                texts.append(text)
+                if len(text) > whole:
+                    for at in range(0, len(text), whole):
+                        yield joined([(node, at, min(whole, len(text) - at), text[at:at + whole + length - 1])])
+                    continue
+                held.append((node, 0, len(text), text))
                 size += len(text)
                 if size >= block_bytes:
-                    yield joined(nodes, texts)
-                    nodes, texts, size = [], [], 0
-        if nodes:
-            yield joined(nodes, texts)
+                    yield joined(held)
+                    held, size = [], 0
+        if held:
+            yield joined(held)
 
     return run
 
@@ -196,21 +205,21 @@ def _open_ranges(length: int):
     def cut(blocks: pd.DataFrame, ties: pd.DataFrame) -> pd.DataFrame:
         """The ranges of starts that a tied sample covers, with the bytes that their strings take."""
         if blocks.empty or ties.empty:
-            return pd.DataFrame({"block": [], "starts": [], "sizes": [], "data": []})
+            return pd.DataFrame(columns=["block", "starts", "sizes", "data"], dtype=object)
         row = blocks.iloc[0]
         offset, left = _offsets(np.asarray(row["sizes"]))
         s = np.concatenate([_unpack(p) for p in ties["places"]])
         edge = np.zeros(len(offset) + 1, np.int32)
         np.add.at(edge, np.maximum(s - (PERIOD - 1), s - offset[s]), 1)
         np.add.at(edge, s + 1, -1)
-        open_ = (np.cumsum(edge[:-1]) > 0) & (left >= length)
+        open_ = (np.cumsum(edge[:-1]) > 0) & (left >= length) & (offset < np.repeat(row["owned"], row["sizes"]))
         # a range ends where the next text begins
         begin = np.flatnonzero(open_ & ~(np.concatenate([[False], open_[:-1]]) & (offset > 0)))
         end = np.flatnonzero(open_ & ~(np.concatenate([open_[1:], [False]]) & (np.concatenate([offset[1:], [0]]) > 0)))
         data = memoryview(row["data"])
         parts = [data[b:e + length] for b, e in zip(begin.tolist(), end.tolist())]
         if not parts:
-            return pd.DataFrame({"block": [], "starts": [], "sizes": [], "data": []})
+            return pd.DataFrame(columns=["block", "starts", "sizes", "data"], dtype=object)
         return pd.DataFrame([{"block": row["block"], "starts": begin, "sizes": [len(p) for p in parts], "data": b"".join(parts)}])
 
     return cut
@@ -230,11 +239,11 @@ def _suffixes(length: int):
 
 def _removed(length: int):
     def cut(blocks: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        """Per text: the spans that repeated strings cover, and the bytes that stay."""
+        """Per text: the spans that repeated strings cover, and the bytes that stay; of a cut text, the spans and the piece itself."""
+        columns = ["node", "base", "starts", "ends", "kept"]
         if blocks.empty:
-            return pd.DataFrame({"node": [], "starts": [], "ends": [], "kept": []})
+            return pd.DataFrame(columns=columns, dtype=object)
         row = blocks.iloc[0]
-        sizes = np.asarray(row["sizes"])
         data = np.frombuffer(row["data"], np.uint8)
         edge = np.zeros(len(data) + 1, np.int32)
         for p in hits["places"]:
@@ -243,17 +252,33 @@ def _removed(length: int):
             np.add.at(edge, s + length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         out, at = [], 0
-        for node, n in zip(row["nodes"], sizes.tolist()):
+        for node, base, owned, n in zip(row["nodes"], row["bases"], row["owned"], row["sizes"]):
             g = gone[at:at + n]
-            if g.any():
+            cut_text = base > 0 or owned < n
+            if cut_text or g.any():
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-                out.append((node, turn[::2], turn[1::2], data[at:at + n][~g].tobytes()))
+                stays = data[at:at + owned].tobytes() if cut_text else data[at:at + n][~g].tobytes()
+                out.append((node, base if cut_text else None, (turn[::2] + base).tolist(), (turn[1::2] + base).tolist(), stays))
             at += n
-        return pd.DataFrame(out, columns=["node", "starts", "ends", "kept"])
+        return pd.DataFrame(out, columns=columns, dtype=object)
 
     return cut
 
 
+def _joined(pieces: pd.DataFrame) -> pd.DataFrame:
+    """A cut text in one: the spans of all pieces, and the bytes that stay."""
+    pieces = pieces.sort_values("base")
+    start, end = (np.concatenate(pieces[c].tolist()).astype(np.int64) for c in ("starts", "ends"))
+    if not len(start):
+        return pd.DataFrame(columns=["node", "starts", "ends", "kept"], dtype=object)
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    start, end = start[first], reach[np.append(first[1:] - 1, len(reach) - 1)]
+    data = b"".join(pieces["kept"])
+    stays = [data[a:b] for a, b in zip(np.append(0, end), np.append(start, len(data)))]
+    return pd.DataFrame([(pieces["node"].iloc[0], start.tolist(), end.tolist(), b"".join(stays))], columns=["node", "starts", "ends", "kept"])
+
+
 def _cut_texts(docs: DataFrame, id_col: str, text_col: str, length: int, block_bytes: int, bucket: int) -> tuple[DataFrame, DataFrame]:
     """A row per document with what is known of its text, and ``row`` (the columns of ``docs``) with the locator ``at``."""
     if length < PERIOD:
@@ -274,7 +299,8 @@ def _cut_texts(docs: DataFrame, id_col: str, text_col: str, length: int, block_b
     whole = materialize(whole.withColumn("node", F.monotonically_increasing_id()))
     path = scratch(spark)
     at.select("_at", "text").join(whole.select("_at", "node"), "_at").select("node", "text").mapInPandas(
-        _blocks(block_bytes), "block long, nodes array<long>, sizes array<long>, data binary").write.parquet(path)
+        _blocks(block_bytes, length), "nodes array<long>, bases array<long>, owned array<long>, sizes array<long>, data binary").withColumn(
+        "block", F.monotonically_increasing_id()).write.parquet(path)
     blocks = spark.read.parquet(path)
 
     total = blocks.select(F.sum(F.octet_length("data"))).first()[0] or 0
@@ -285,9 +311,11 @@ def _cut_texts(docs: DataFrame, id_col: str, text_col: str, length: int, block_b
     hits = _repeated(ranges, _suffixes(length), total, SUFFIX_ROUNDS, bucket)
     path = scratch(spark)
     blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(
-        _removed(length), "node long, starts array<long>, ends array<long>, kept binary").write.parquet(path)
+        _removed(length), "node long, base long, starts array<long>, ends array<long>, kept binary").write.parquet(path)
 
-    found = docs.sparkSession.read.parquet(path)
+    parts = docs.sparkSession.read.parquet(path)
+    long_texts = parts.where("base IS NOT NULL").groupBy("node").applyInPandas(_joined, "node long, starts array<long>, ends array<long>, kept binary")
+    found = parts.where("base IS NULL").drop("base").unionByName(long_texts)
     by_text = materialize(whole.select("_sha", "_copies", "node").join(found.select("node", F.col("starts").alias("_starts"), F.col("ends").alias("_ends"), F.col("kept").alias("_cut")), "node", "left"))
     known = facts.join(by_text, "_sha", "left")
     twice, empty = F.col("_copies") > 1, F.array().cast("array<long>")

@@ -140,7 +140,7 @@ def brute_spans(texts, length):
     return out
 
 
-@pytest.mark.parametrize("block_bytes, bucket", [(1 << 22, 1 << 20), (3000, 200)])
+@pytest.mark.parametrize("block_bytes, bucket", [(1 << 22, 1 << 20), (3000, 200), (300, 100)])
 def test_spans_are_those_of_all_strings(make_docs, block_bytes, bucket):
     r = random.Random(9)
     letters = lambda n: "".join(r.choice("abé ") for _ in range(n))
@@ -160,3 +160,13 @@ def test_spans_odd_rows(odd_docs, no_docs):
     assert set(out.columns) == {*odd_docs.columns, "_kept"} and out.count() == odd_docs.count()
     assert bytes(out.where("doc_id = 5").first()["_kept"]) == b"" and bytes(out.where("doc_id = 6").first()["_kept"]) == b"end"
     assert substring_dedup.cleaned(no_docs).count() == 0
+
+
+def test_a_long_text_is_many_blocks(make_docs):
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdé ") for _ in range(700))
+    long = "".join(passage[:250 + 90 * (i % 4)] + "".join(r.choice("xyz ") for _ in range(300)) for i in range(40))
+    texts = [long, "other " + passage, long[5:9000], "z" * 5000]
+    got = {x["_id"]: x for x in substring_dedup.span_report(make_docs(list(enumerate(texts))), block_bytes=1000).collect()}
+    for i, (starts, ends, kept) in enumerate(brute_spans([t.encode() for t in texts], 200)):
+        assert (got[i]["_starts"], got[i]["_ends"], got[i]["_kept_sha256"]) == (starts, ends, kept), i
