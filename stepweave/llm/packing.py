@@ -119,14 +119,14 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     are cut once and placed as often as they occur.  An empty table gives no rows (see :func:`packed`).
     """
     top = max(sizes)
-    key = [F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), word_count(F.col(text_col)).alias("n")]
-    texts = docs.select(*key, F.col(text_col).alias("text")).where("n > 0").groupBy("no_id", "id", "text_key", "n").agg(F.min("text").alias("text"))
+    names = ["no_id", "id_key", "text_key", "piece"]  # grouped and joined by the same columns, so that a text is dealt out once
+    key = lambda c: [F.col(c).isNull().alias("no_id"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("id_key")]
+    texts = docs.select(*key(id_col), F.xxhash64(text_col).alias("text_key"), word_count(F.col(text_col)).alias("n"), F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})")).alias("words"))
     cut = F.expr(f"transform(sequence(0L, (n - 1) div {top}), p -> array_join(slice(words, cast(p * {top} + 1 as int), {top}), ' '))")
-    pieces = texts.withColumn("words", F.regexp_extract_all("text", F.lit(f"({WORD})"))).select("no_id", "id", "text_key", F.posexplode(cut).alias("piece", "text"))
-    pieces = pieces.withColumn("piece", F.col("piece").cast("long"))
-    placed = materialize(packed(docs, id_col, text_col, sizes, shard_pieces).withColumn("no_id", F.col("id").isNull()))
-    same = (F.col("a.no_id") == F.col("b.no_id")) & F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.text_key") == F.col("b.text_key")) & (F.col("a.piece") == F.col("b.piece"))
-    found = placed.where("n_words > 0").alias("a").join(pieces.alias("b"), same).select("a.id", "bin_id", "bin_start", "bin_size", "n_words", "b.text")
+    pieces = texts.where("n > 0").select(*names[:-1], F.posexplode(cut).alias("piece", "text")).withColumn("piece", F.col("piece").cast("long"))
+    pieces = pieces.groupBy(*names).agg(F.min("text").alias("text"))
+    placed = materialize(packed(docs, id_col, text_col, sizes, shard_pieces))
+    found = placed.where("n_words > 0").select("*", *key("id")).join(pieces, names).select("id", "bin_id", "bin_start", "bin_size", "n_words", "text")
     part = F.array_sort(F.collect_list(F.struct("bin_start", "id", "text")))
     bins = found.groupBy("bin_id").agg(F.min("bin_size").alias("bin_size"), F.sum("n_words").alias("n_words"), part.alias("parts"))
     bins = bins.select("bin_id", "bin_size", "n_words", F.col("parts.id").alias("doc_ids"), F.array_join(F.col("parts.text"), " ").alias("text"))
