@@ -108,6 +108,11 @@ def percent(part: Column, total: Column) -> Column:
     return F.when(total > 0, part.cast("double") / total.cast("double") * 100)
 
 
+def wide_sum(column: Column | str) -> Column:
+    """Exact sum of whole numbers as a decimal: long times of many events leave 64 bits."""
+    return F.sum((F.col(column) if isinstance(column, str) else column).cast("decimal(20,0)"))
+
+
 def thread_tag(roles: Column) -> Column:
     has = lambda r: F.array_contains(roles, r)
     return (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.functions.labels import namespace_op, percent
+from stepweave.functions.labels import namespace_op, percent, wide_sum
 from stepweave.operators.chunks import chunked, previous_row
 from stepweave.operators.intervals import join_overlapping, union_overlaps
 from stepweave.operators.nesting import is_module_event
@@ -44,7 +44,7 @@ def device_timeline(t: TraceTables) -> DataFrame:
     marks = t.device_steps
     ops = clipped_in_steps(primary_stream_ops(t), marks)
     active = ops.groupBy("trace_id").agg(
-        F.sum("clipped_ns").alias("_active"), F.count(F.lit(1)).alias("_n"))
+        wide_sum("clipped_ns").alias("_active"), F.count(F.lit(1)).alias("_n"))
     step = marks.groupBy("trace_id").agg(
         F.sum("dur_ns").alias("_d"), F.count(F.lit(1)).alias("n_device_steps"))
     out = active.join(t.summary, "trace_id").join(step, "trace_id", "left")
@@ -63,7 +63,7 @@ def top_kernels(t: TraceTables, k: int = 30) -> DataFrame:
         "trace_id", "idx", "name", "ts_ns", "dur_ns")
     ops = clipped_in_steps(ops, t.device_steps)
     by_name = ops.groupBy("trace_id", "name").agg(
-        F.sum("clipped_ns").alias("_ns"), F.count(F.lit(1)).alias("_n"))
+        wide_sum("clipped_ns").alias("_ns"), F.count(F.lit(1)).alias("_n"))
     n = F.greatest(F.col("n_steps"), F.lit(1))
     rows = by_name.join(t.summary, "trace_id").select(
         "trace_id", "name", _per_step(F.col("_ns"), F.col("n_steps")).alias("dur_ns"),
@@ -95,7 +95,7 @@ def top_gaps(gaps: DataFrame, k: int = 15) -> DataFrame:
 
 
 def gap_per_step(gaps: DataFrame, summary: DataFrame) -> DataFrame:
-    total = gaps.groupBy("trace_id").agg(F.sum("gap_ns").alias("_g"), F.count(F.lit(1)).alias("n_gaps"))
+    total = gaps.groupBy("trace_id").agg(wide_sum("gap_ns").alias("_g"), F.count(F.lit(1)).alias("n_gaps"))
     return total.join(summary, "trace_id").select(
         "trace_id", "n_gaps", _per_step(F.col("_g"), F.col("n_steps")).alias("gap_ns"))
 
@@ -111,7 +111,7 @@ def last_host_ops(events: DataFrame) -> DataFrame:
 def kernel_host_modules(
     t: TraceTables,
 ) -> DataFrame:
-    """Time of each primary-stream kernel by the module that launched it."""
+    """Time of each primary-stream kernel by the module that launched it, as a decimal."""
     modules = t.events.filter(is_module_event()).select(
         "trace_id", F.col("idx").alias("module_idx"),
         F.replace(F.col("name"), F.lit("nn.Module: "), F.lit("")).alias("module"))
@@ -123,9 +123,9 @@ def kernel_host_modules(
     )
     # Sum per external id first: the join then sees one row per (id, kernel name).
     kernels = primary_stream_ops(t).groupBy("trace_id", "external_id", "name").agg(
-        F.sum("dur_ns").alias("dur_ns"))
+        wide_sum("dur_ns").alias("dur_ns"))
     return kernels.join(launched, ["trace_id", "external_id"]).groupBy("trace_id", "name", "module").agg(
-        F.sum("dur_ns").alias("dur_ns"))
+        wide_sum("dur_ns").alias("dur_ns"))
 
 
 def hot_kernel_modules(top_table: DataFrame, host_modules: DataFrame) -> DataFrame:
@@ -136,11 +136,14 @@ def hot_kernel_modules(top_table: DataFrame, host_modules: DataFrame) -> DataFra
 
 
 def device_host_totals(t: TraceTables) -> DataFrame:
-    """Host and device time per step: in total, by category and by operation name."""
+    """Host and device time per step: in total, by category and by operation name.
+
+    ``total_ns`` is a decimal: all operations of a trace together may exceed 64 bits.
+    """
     ops = t.events.filter(F.col("cat").isin(*DEVICE_CATS, "cpu_op")).select(
         "trace_id", "cat", "name", F.coalesce("dur_ns", _zero()).alias("dur_ns"),
         F.when(F.col("cat") == "cpu_op", "host").otherwise("device").alias("side"))
-    fine = ops.groupBy("trace_id", "side", "cat", "name").agg(F.sum("dur_ns").alias("dur_ns"))
+    fine = ops.groupBy("trace_id", "side", "cat", "name").agg(wide_sum("dur_ns").alias("dur_ns"))
     sets = fine.groupingSets(
         [["trace_id", "side"], ["trace_id", "side", "cat"], ["trace_id", "side", "name"]],
         "trace_id", "side", "cat", "name",
@@ -224,7 +227,7 @@ def top_comm_kernels(t: TraceTables, k: int = 15) -> DataFrame:
     windows = overlap_windows(t)
     n = windows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_n"))
     ns = _ops_in_steps(t, windows).filter("stream_kind = 'comm'").groupBy("trace_id", "name").agg(
-        F.sum(F.col("op_end") - F.col("op_start")).alias("_ns"))
+        wide_sum(F.col("op_end") - F.col("op_start")).alias("_ns"))
     rows = ns.join(n, "trace_id").select(
         "trace_id", "name", "_ns", (F.col("_ns").cast("double") / F.col("_n")).alias("dur_ns"))
     return top(rows, ["trace_id"], [F.col("_ns").desc(), F.col("name")], k).drop("_ns")

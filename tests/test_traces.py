@@ -269,3 +269,20 @@ def test_committed_runs_replace_traces_as_a_whole(spark, tmp_path):
     assert rows("a") == [("1", 1), ("1", 2), ("2", 3)] and rows("b") == [("1", 10), ("2", 20)]
     assert traces.commit_tables({"a": table([("1", 4)]), "b": table([("1", 40)])}, path) == 2
     assert rows("a") == [("1", 4), ("2", 3)] and rows("b") == [("1", 40), ("2", 20)]
+
+
+def test_totals_beyond_64_bits(make_events):
+    from workload.trace_queries import QUERIES, _LANDED
+
+    big = 6 * 10**18
+    t = TraceTables(make_events([*LABELS, step(0, 100), kernel(0, big, "a"), kernel(1, big, "a"), kernel(2, 5, "b"), op(0, big, pid="0"), op(1, big, pid="0")]))
+    got = {(r.side, r.grain, r.key): (int(r.total_ns), r.dur_ns) for r in device.device_host_totals(t).collect()}
+    assert got["device", "total", None] == got["device", "cat", "kernel"] == (2 * big + 5, float(2 * big + 5))
+    assert got["device", "name", "b"] == (5, 5.0)
+    _LANDED[t.events.sparkSession.sparkContext.applicationId, "big"] = t
+    spark = t.events.sparkSession
+    rows = {(r.side, r.grain, r.key): (r.total_ns, r.dur_ns) for r in QUERIES["a06_device_host_totals"](spark, "big").collect()}
+    assert rows["device", "name", "a"] == (None, float(2 * big)) and rows["device", "name", "b"] == (5, 5.0)
+    first = {r["rank"]: r.key for r in QUERIES["a06_top_device_host_ops"](spark, "big").filter("side = 'device'").collect()}
+    assert first == {1: "a", 2: "b"}
+    assert {r.cat: r.pct for r in QUERIES["f11_percent"](spark, "big").collect()}["cpu_op"] == 100.0

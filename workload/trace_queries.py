@@ -40,6 +40,11 @@ def query(name: str, sql: str | None = None, stacks: bool = False):
     return add
 
 
+def _as_bigint(totals: DataFrame, column: str = "total_ns") -> DataFrame:
+    """``column`` in the SQL's type; NULL where the exact total does not fit, which the SQL cannot state either."""
+    return totals.withColumn(column, F.expr(f"try_cast({column} as bigint)"))
+
+
 # ---------------------------------------------------------------- dimensions and expressions
 
 @query("s02_thread_names", "SELECT trace_id, pid, tid, thread_name FROM o_name")
@@ -142,7 +147,7 @@ SELECT trace_id, cat, CASE WHEN host > 0 THEN CAST(ns AS DOUBLE) / CAST(host AS
 def _(t):
     dur = F.coalesce("dur_ns", F.lit(0).cast("bigint"))
     g = t.events.groupBy("trace_id", "cat").agg(
-        F.sum(dur).alias("ns"), F.sum(F.when(F.col("pid") == "0", dur).otherwise(0)).alias("host"))
+        labels.wide_sum(dur).alias("ns"), labels.wide_sum(F.when(F.col("pid") == "0", dur).otherwise(0)).alias("host"))
     return g.select("trace_id", "cat", labels.percent(F.col("ns"), F.col("host")).alias("pct"))
 
 
@@ -368,7 +373,7 @@ JOIN o_mod m ON m.trace_id = h.trace_id AND m.idx = h.idx GROUP BY 1, 2, 3
 
 @query("a05_kernel_host_modules", _HOST_MODULES)
 def _(t):
-    return device.kernel_host_modules(t)
+    return _as_bigint(device.kernel_host_modules(t), "dur_ns")
 
 
 @query("a05_hot_kernel_modules", f"""
@@ -376,7 +381,7 @@ SELECT k.trace_id, k.name, module, h.dur_ns, row_number() OVER (PARTITION BY k.t
 FROM ({_TOP_KERNELS}) k LEFT JOIN ({_HOST_MODULES}) h ON k.trace_id = h.trace_id AND k.name = h.name
 """)
 def _(t):
-    return device.hot_kernel_modules(device.top_kernels(t), device.kernel_host_modules(t))
+    return _as_bigint(device.hot_kernel_modules(device.top_kernels(t), device.kernel_host_modules(t)), "dur_ns")
 
 
 _TOTALS = """
@@ -392,7 +397,7 @@ JOIN o_sum USING (trace_id) WHERE NOT (grain = 'cat' AND side = 'host')
 
 @query("a06_device_host_totals", _TOTALS)
 def _(t):
-    return device.device_host_totals(t)
+    return _as_bigint(device.device_host_totals(t))
 
 
 @query("a06_top_device_host_ops", f"""
@@ -400,7 +405,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, side ORDER BY
 FROM ({_TOTALS}) t WHERE grain = 'name') x WHERE rank <= 20
 """)
 def _(t):
-    return device.top_device_host_ops(device.device_host_totals(t))
+    return _as_bigint(device.top_device_host_ops(device.device_host_totals(t)))
 
 
 _OVERLAP_OPS = """
