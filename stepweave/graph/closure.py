@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.session import materialize
+from stepweave.session import materialize, size_by_rows
 
 
 def ancestors(members: DataFrame) -> DataFrame:
@@ -17,6 +17,7 @@ def ancestors(members: DataFrame) -> DataFrame:
     Pairs that are known already are not added again, which ends the loop on cycles too;
     a node that is its own ancestor is part of one.
     """
+    size_by_rows(members)
     known = materialize(members.select(
         "graph_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id"),
         F.lit(1).cast("bigint").alias("dist")).distinct())

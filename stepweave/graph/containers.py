@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stepweave.graph.closure import ancestors
 from stepweave.operators.chunks import chunked, running
-from stepweave.session import materialize
+from stepweave.session import materialize, size_by_rows
 
 # Module classes that only hold other modules.
 NATIVE_CONTAINERS = ("ModuleList", "ModuleDict", "Sequential")
@@ -93,6 +93,7 @@ class NormalizedGraph:
         from stepweave.graph import grouping
 
         self.edges, scope = edges, ["graph_id", "scope_id"]
+        size_by_rows(attrs)
         closure = attr_closure(attrs)
         self.made = materialize(missing_containers(attrs, nodes, closure))
         self.members = materialize(container_members(attrs, nodes, self.made))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepweave.operators.chunks import chunked, running
-from stepweave.session import materialize
+from stepweave.session import materialize, size_by_rows
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -178,6 +178,7 @@ def longest_path_ranks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     to = F.lit(None).cast(dict(edges.dtypes)["dst_id"]).alias("to_id")
     rows = nodes.select("graph_id", "node_id", "ord", to).unionByName(
         edges.select("graph_id", F.col("src_id").alias("node_id"), F.lit(None).cast(dict(nodes.dtypes)["ord"]).alias("ord"), F.col("dst_id").alias("to_id")))
+    size_by_rows(rows)
     rows = materialize(rows)
     large = materialize(rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > GRAPH_ROWS).select("graph_id"))
     small = rows if large.isEmpty() else rows.join(large, "graph_id", "left_anti")

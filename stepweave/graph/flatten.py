@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from stepweave.graph.closure import ancestors, cyclic_nodes
 from stepweave.graph.edges import route_edges
 from stepweave.schema import CALL_LOC
-from stepweave.session import materialize
+from stepweave.session import materialize, size_by_rows
 
 _flow = T.StructType([
     T.StructField("shape", T.ArrayType(T.IntegerType())),
@@ -63,6 +63,7 @@ class FlatGraphs:
     """
 
     def __init__(self, texts: DataFrame):
+        size_by_rows(texts)
         level = texts.select("graph_id", F.lit(None).cast("bigint").alias("owner_id"), F.lit(0).cast("bigint").alias("depth"),
                              F.lit(None).cast("array<bigint>").alias("children"), "text")
         parsed: list[DataFrame] = []

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stepweave.graph.edges import longest_path_ranks
 from stepweave.operators.chunks import Chunked, chunked, previous_row, running
-from stepweave.session import materialize
+from stepweave.session import materialize, size_by_rows
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -67,6 +67,7 @@ def components(nodes: DataFrame, links: DataFrame, keys: tuple[str, ...] = ("gra
     Graphs that are done drop out, and the node table is read once, at the end.
     """
     keys = list(keys)
+    size_by_rows(nodes)
     star = materialize(contracted(links.select(*keys, F.col("node_id").alias("a"), F.col("peer_id").alias("b")).filter("a < b"), keys))
     # what one batch settled is settled, unless a node has another root, or its root is below a root of its own
     up = star.groupBy(*keys, "a").agg(F.min("b").alias("to"), F.max("b").alias("_other"))

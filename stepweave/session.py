@@ -54,12 +54,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base}/stepweave-{sc.applicationId}"
 
 
+#: Bytes in memory, hash table included, for one byte of a written graph table: ids repeat and are packed to a byte or two.
+UNPACKED = "100"
+
+
+def size_by_rows(df: DataFrame) -> None:
+    """Let the planner take written tables for what they are in memory, not for the few bytes that packed ids take on disk.
+
+    Else a table of millions of rows in a file of some MB is broadcast, by way of the driver.  A factor that the session has set stays.
+    Joins that turn out small are still changed to broadcasts while they run (AQE knows the unpacked sizes).
+    """
+    conf = df.sparkSession.conf
+    if float(conf.get("spark.sql.sources.fileCompressionFactor")) == 1.0:
+        conf.set("spark.sql.sources.fileCompressionFactor", UNPACKED)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
     This cuts the lineage on reliable storage, so a lost executor costs one task and not
-    the history of the table.  It also tells Catalyst the true size: a small table is
-    broadcast in later joins and a large one is not, without any hint.
+    the history of the table.  It also tells Catalyst the size on disk: a small table is
+    broadcast in later joins and a large one is not, without any hint (see :func:`size_by_rows` for packed ids).
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)

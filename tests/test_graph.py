@@ -238,3 +238,16 @@ def test_large_graphs_rank_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(edges, "GRAPH_ROWS", 10)
     test_ranks_of_a_random_dag(spark)
     test_ranks_behind_a_cycle(spark)
+
+
+def test_packed_tables_count_by_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    from stepweave.session import materialize
+
+    nodes = spark.range(200_000).select((F.col("id") % 3).cast("string").alias("graph_id"), F.lit(7).cast("bigint").alias("node_id"))
+    links = spark.createDataFrame([("0", 7, 8)], "graph_id string, node_id long, peer_id long")
+    grouping.components(nodes.limit(1), links)  # as any graph operator does at its start
+    table = materialize(nodes.coalesce(1))
+    known = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    assert known > 200_000 * 8  # a few thousand bytes on disk
