@@ -49,33 +49,37 @@ def edge_bundles(edges: DataFrame, rows: int | None = None) -> DataFrame:
     )
 
 
-def route_edges(edges: DataFrame, endpoints: DataFrame, serialized: DataFrame) -> tuple[DataFrame, DataFrame]:
+def route_edges(edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges between known end points, violations).
 
+    ``ids`` has one row per node id: ``is_point`` for end points, ``is_seen`` for what was at least serialized.
     Containment edges drop out.  An edge with an unknown end drops out when that end was at
     least serialized or the edge carries flows; otherwise it is a violation.  The first edge of
-    each pair stays and gets both end points attached.
+    each pair stays (see :func:`with_endpoints`).  Edges meet flags only: they pass the joins with a few bytes each.
     """
-    point = lambda side: endpoints.select(
-        "graph_id", F.col("node_id").alias(f"{side}_id"),
-        F.struct("attr_name", "class_name", "call_loc").alias(f"{side}_node"))
-    seen = lambda side: serialized.select(
-        "graph_id", F.col("node_id").alias(f"{side}_id")).distinct().withColumn(f"_{side}_seen", F.lit(True))
-    e = edges.filter(~F.coalesce("is_containment", F.lit(False)))
+    e = edges.filter(~F.coalesce("is_containment", F.lit(False))).select("graph_id", "src_id", "dst_id", "edge_ord", "has_flows")
     for side in ("src", "dst"):
-        e = e.join(point(side), ["graph_id", f"{side}_id"], "left").join(seen(side), ["graph_id", f"{side}_id"], "left")
+        flags = ids.select("graph_id", F.col("node_id").alias(f"{side}_id"), F.col("is_point").alias(f"_{side}_point"), F.col("is_seen").alias(f"_{side}_seen"))
+        e = e.join(flags, ["graph_id", f"{side}_id"], "left")
+    point = lambda side: F.coalesce(f"_{side}_point", F.lit(False))
     excused = lambda side: F.coalesce(f"_{side}_seen", F.lit(False)) | F.col("has_flows")
     bad = (
-        F.when(F.col("src_node").isNull(), F.when(~excused("src"), F.col("src_id")))
-        .when(F.col("dst_node").isNull() & ~excused("dst"), F.col("dst_id")))
+        F.when(~point("src"), F.when(~excused("src"), F.col("src_id")))
+        .when(~point("dst") & ~excused("dst"), F.col("dst_id")))
     violations = e.withColumn("node_id", bad).filter("node_id is not null").select(
         "graph_id", F.lit("edge end not in node index").alias("rule"), "node_id")
-    whole = e.filter("src_node is not null and dst_node is not null")
-    first = whole.groupBy("graph_id", "src_id", "dst_id").agg(
-        F.min("edge_ord").alias("edge_ord"), F.first("src_node").alias("src_node"), F.first("dst_node").alias("dst_node"))
+    first = e.filter(point("src") & point("dst")).groupBy("graph_id", "src_id", "dst_id").agg(F.min("edge_ord").alias("edge_ord"))
     return first, violations
 
 
+def with_endpoints(routed: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """Routed edges with one end point of each id attached, as ``src_node`` and ``dst_node``."""
+    one = endpoints.groupBy("graph_id", "node_id").agg(F.first(F.struct("attr_name", "class_name", "call_loc")).alias("_node"))
+    for side in ("src", "dst"):
+        routed = routed.join(one.select("graph_id", F.col("node_id").alias(f"{side}_id"), F.col("_node").alias(f"{side}_node")), ["graph_id", f"{side}_id"])
+    return routed
+
+
 # ---------------------------------------------------------------- lifting
 
 def collapsed_by_default(groups: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stepweave.graph.closure import ancestors, cyclic_nodes
-from stepweave.graph.edges import route_edges
+from stepweave.graph.edges import route_edges, with_endpoints
 from stepweave.schema import CALL_LOC
 from stepweave.session import materialize, size_by_rows
 
@@ -50,9 +50,17 @@ IO_LABELS = {"input": "Input", "param": "Param", "const": "Const", "output": "Re
 REQUIRED = ("nodes", "edges", *IO_SECTIONS)
 
 
-def _in_section(place: int, pos: Column) -> Column:
+def _in_section(place: int | Column, pos: Column) -> Column:
     """Order by section, then by position; a position in an array has less than 32 bits."""
-    return F.lit(place << 32).cast("bigint") + pos.cast("bigint")
+    return F.shiftleft((F.lit(place) if isinstance(place, int) else place).cast("bigint"), 32) + pos.cast("bigint")
+
+
+def _is_port() -> Column:
+    return F.col("owner_id").isNotNull() & F.col("section").isin("input_nodes", "output_nodes") & F.col("io_subtype").isin("forward_arg", "return_val")
+
+
+def _is_io_leaf() -> Column:
+    return ~F.col("io_subtype").isin("forward_arg", "return_val") & ~F.col("in_container")
 
 
 class FlatGraphs:
@@ -68,10 +76,10 @@ class FlatGraphs:
                              F.lit(None).cast("array<bigint>").alias("children"), "text")
         parsed: list[DataFrame] = []
         while True:
-            this = materialize(level.withColumn("d", F.from_json("text", LEVEL)))
+            this = materialize(level.withColumn("d", F.from_json("text", LEVEL)).drop("text"))  # text is not kept beside its parse
             if this.isEmpty():
                 break
-            parsed.append(this.drop("text"))
+            parsed.append(this)
             inner = this.select("graph_id", "depth", F.explode("d.nodes").alias("n")).filter("n.inner_dag is not null")
             level = inner.select("graph_id", F.col("n.node_id").alias("owner_id"), (F.col("depth") + 1).alias("depth"),
                                  F.col("n.children_nodes").alias("children"), F.col("n.inner_dag").alias("text"))
@@ -79,33 +87,45 @@ class FlatGraphs:
 
     # -------------------------------------------------------- rows of the levels
 
-    @cached_property
-    def io_entries(self) -> DataFrame:
-        parts = []
-        for place, (section, kind) in enumerate(IO_SECTIONS.items()):
-            rows = self.levels.select("graph_id", "owner_id", "depth", "children", F.posexplode(f"d.{section}").alias("pos", "n"))
-            parts.append(rows.select(
-                "graph_id", "owner_id", "depth", F.lit(section).alias("section"),
-                _in_section(place, F.col("pos")).alias("ord"),
-                F.coalesce("n.io_subtype", F.lit(kind)).alias("io_subtype"), F.col("n.node_id").alias("node_id"),
-                F.col("n.label").alias("label"), F.col("n.attr_name").alias("attr_name"),
-                F.col("n.class_name").alias("class_name"), F.col("n.call_loc").alias("call_loc"),
-                F.col("children").isNotNull().alias("in_container")))
-        return materialize(reduce(DataFrame.unionByName, parts))
+    #: Entries as written tables, for what reads them many times; one output alone reads the levels instead, and of these what it needs.
+    _written: tuple[DataFrame, DataFrame] | None = None
 
-    @cached_property
+    def write_entries(self) -> None:
+        if self._written is None:
+            self._written = materialize(self.io_entries), materialize(self.node_entries)
+
+    @property
+    def io_entries(self) -> DataFrame:
+        """IO of all levels, from one pass over them."""
+        if self._written:
+            return self._written[0]
+        lists = F.array(*[F.struct(F.lit(place).alias("place"), F.col(f"d.{section}").alias("list")) for place, section in enumerate(IO_SECTIONS)])
+        rows = self.levels.select("graph_id", "owner_id", "depth", "children", F.explode(lists).alias("s")).select(
+            "graph_id", "owner_id", "depth", "children", F.col("s.place").alias("place"), F.posexplode("s.list").alias("pos", "n"))
+        of_place = lambda names: F.get(F.array(*[F.lit(x) for x in names]), F.col("place"))
+        return rows.select(
+            "graph_id", "owner_id", "depth", of_place(IO_SECTIONS).alias("section"), _in_section(F.col("place"), F.col("pos")).alias("ord"),
+            F.coalesce("n.io_subtype", of_place(IO_SECTIONS.values())).alias("io_subtype"), F.col("n.node_id").alias("node_id"),
+            F.col("n.label").alias("label"), F.col("n.attr_name").alias("attr_name"),
+            F.col("n.class_name").alias("class_name"), F.col("n.call_loc").alias("call_loc"),
+            F.col("children").isNotNull().alias("in_container"))
+
+    @property
     def node_entries(self) -> DataFrame:
         """Nodes of all levels; in a container only the listed children are kept, in list order."""
+        if self._written:
+            return self._written[1]
         rows = self.levels.select("graph_id", "owner_id", "depth", "children", F.posexplode("d.nodes").alias("pos", "n"))
         place = F.when(F.col("children").isNull(), F.col("pos").cast("bigint")).otherwise(
             F.array_position("children", F.col("n.node_id")) - 1)
-        return materialize(rows.select(
+        return rows.select(
             "graph_id", "owner_id", "depth", place.alias("ord"), F.col("n.node_id").alias("node_id"),
             *[F.col(f"n.{c}").alias(c) for c in (
                 "label", "attr_name", "class_name", "attr_type", "call_loc", "def_loc", "class_def_loc", "is_native",
                 "is_synthetic", "synthetic_type")],
             F.col("n.children_nodes").isNotNull().alias("is_container"), F.col("n.inner_dag").isNotNull().alias("is_group"),
-        ).filter("ord >= 0"))
+            F.col("children").isNotNull().alias("in_container"),
+        ).filter("ord >= 0")
 
     # -------------------------------------------------------- output tables
 
@@ -123,15 +143,14 @@ class FlatGraphs:
             "graph_id", "node_id", F.col("owner_id").alias("parent_id"), "depth",
             _in_section(len(IO_SECTIONS), F.col("ord")).alias("ord"), "label", F.col("attr_type").alias("node_type"),
             "attr_name", "class_name", "call_loc")
-        io = self.io_entries.filter(~F.col("io_subtype").isin("forward_arg", "return_val") & ~F.col("in_container")).select(
+        io = self.io_entries.filter(_is_io_leaf()).select(
             "graph_id", "node_id", F.col("owner_id").alias("parent_id"), "depth", "ord", "label",
             F.col("io_subtype").alias("node_type"), "attr_name", "class_name", "call_loc")
         return n.unionByName(io)
 
     def ports(self) -> DataFrame:
         """Arguments and return values of each group, numbered in order per side."""
-        io = self.io_entries.filter(F.col("owner_id").isNotNull() & F.col("section").isin("input_nodes", "output_nodes")
-                                      & F.col("io_subtype").isin("forward_arg", "return_val"))
+        io = self.io_entries.filter(_is_port())
         side = F.when(F.col("io_subtype") == "forward_arg", "in").otherwise("out")
         w = Window.partitionBy("graph_id", "group_id", "side").orderBy("ord")
         return io.select("graph_id", F.col("owner_id").alias("group_id"), side.alias("side"), "ord", "node_id", "label",
@@ -163,13 +182,21 @@ class FlatGraphs:
         part = lambda df, key: df.select("graph_id", F.col(key).alias("node_id"), "attr_name", "class_name", "call_loc")
         return materialize(part(self.groups(), "group_id").unionByName(part(self.leaves(), "node_id")).unionByName(part(self.ports(), "node_id")))
 
-    def serialized_ids(self) -> DataFrame:
-        nodes = self.levels.filter("children is null").select("graph_id", F.explode("d.nodes.node_id").alias("node_id"))
-        return nodes.unionByName(self.io_entries.filter("not in_container").select("graph_id", "node_id"))
+    def known_ids(self) -> DataFrame:
+        """``(graph_id, node_id, is_point, is_seen)``: which ids are end points, and which are at least serialized."""
+        seen = (~F.col("in_container")).alias("is_seen")
+        ids = self.node_entries.select("graph_id", "node_id", F.lit(True).alias("is_point"), seen).unionByName(
+            self.io_entries.select("graph_id", "node_id", (_is_port() | _is_io_leaf()).alias("is_point"), seen))
+        return ids.groupBy("graph_id", "node_id").agg(F.bool_or("is_point").alias("is_point"), F.bool_or("is_seen").alias("is_seen"))
+
+    def routed(self) -> tuple[DataFrame, DataFrame]:
+        """(routed edges without their end points, violations)."""
+        return route_edges(self.raw_edges(), self.known_ids())
 
     def edges(self) -> tuple[DataFrame, DataFrame]:
         """(routed edges, violations)."""
-        return route_edges(self.raw_edges(), self.endpoints, self.serialized_ids())
+        first, violations = self.routed()
+        return with_endpoints(first, self.endpoints), violations
 
     def io_groups(self) -> DataFrame:
         """Collapsed group per kind of top-level input and output."""
@@ -208,6 +235,7 @@ class FlatGraphs:
 
     def violations(self) -> DataFrame:
         """Every broken rule as a row ``(graph_id, rule, node_id)``."""
+        self.write_entries()
         out: list[DataFrame] = []
         add = lambda df, rule, node: out.append(df.select("graph_id", F.lit(rule).alias("rule"), node.cast("bigint").alias("node_id")))
         none = F.lit(None)
@@ -230,4 +258,4 @@ class FlatGraphs:
         for column in ("attr_name", "class_name"):
             add(ids.filter(F.coalesce(column, F.lit("")) == ""), f"edge endpoint missing {column}", F.col("node_id"))
         add(self.header().filter("n_root_groups = 0"), "no root groups", none)
-        return reduce(DataFrame.unionByName, out).unionByName(self.edges()[1])
+        return reduce(DataFrame.unionByName, out).unionByName(self.routed()[1])

@@ -251,3 +251,43 @@ def test_packed_tables_count_by_their_rows(spark):
     table = materialize(nodes.coalesce(1))
     known = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert known > 100_000  # 4,365 bytes on disk
+
+
+def test_flattening_keeps_no_text_beside_its_parse_and_reads_levels_once(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    empty = {"input_nodes": [], "param_nodes": [], "const_nodes": [], "output_nodes": [], "nodes": [], "edges": []}
+    texts = spark.createDataFrame([(G, json.dumps({**empty, "param_nodes": [{"node_id": 1}, {"node_id": 2}], "output_nodes": [{"node_id": 3, "io_subtype": "odd"}]}))], "graph_id string, text string")
+    flat = flatten.FlatGraphs(texts)
+    assert "text" not in flat.levels.columns
+    rows = {(r.section, r.ord & 0xFFFFFFFF, r.node_id, r.io_subtype, r.ord >> 32) for r in flat.io_entries.collect()}
+    assert rows == {("param_nodes", 0, 1, "param", 1), ("param_nodes", 1, 2, "param", 1), ("output_nodes", 0, 3, "odd", 3)}
+    scans = flat.io_entries.select(F.count(F.lit(1)))._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode")
+    assert scans <= 2  # one level here and the empty start, not four lists of each
+
+
+def test_routed_edges_meet_flags_only(spark):
+    import json
+    empty = {"input_nodes": [], "param_nodes": [], "const_nodes": [], "output_nodes": [], "nodes": [], "edges": []}
+    leaf = lambda i: {"node_id": i, "attr_name": f"a{i}", "class_name": "K"}
+    top = {**empty, "nodes": [leaf(1), leaf(1), leaf(2)], "edges": [{"src_id": 1, "dst_id": 2}, {"src_id": 1, "dst_id": 2}, {"src_id": 1, "dst_id": 9}]}
+    flat = flatten.FlatGraphs(spark.createDataFrame([(G, json.dumps(top))], "graph_id string, text string"))
+    first, violations = flat.routed()
+    assert [(r.src_id, r.dst_id, r.edge_ord.pos) for r in first.collect()] == [(1, 2, 0)]
+    assert [r.node_id for r in violations.collect()] == [9]  # once, though node 1 is there twice
+    (whole,) = flat.edges()[0].collect()
+    assert (whole.src_node.attr_name, whole.dst_node.attr_name) == ("a1", "a2")
+
+
+def test_graph_views_take_one_shuffle(spark):
+    from workload.graph_queries import Graphs
+    from workload.views import spark_view
+
+    sf = "/root/testdata/sf0.001"
+    g = Graphs(spark, sf)
+    for mine, name in ((g.node, "graph_node"), (g.edge, "graph_edge")):
+        view = spark_view(spark, sf, name)
+        assert mine.columns == view.columns and mine.exceptAll(view).isEmpty() and view.exceptAll(mine).isEmpty()
+    assert g.texts()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
