@@ -10,3 +10,10 @@ def test_facts_of_a_batch_come_in_bounded_frames():
     files = pd.DataFrame({"code_id": "c", "path": [f"f{i}.py" for i in range(1500)], "basename": "b", "content": text})
     sizes = [len(f) for f in code._fact_batches(iter([files]))]
     assert sum(sizes) == 1500 * 20 and max(sizes) <= 5_000
+
+
+def test_stacks_are_dealt_once(spark):
+    from workload.views import spark_view
+
+    plan = spark_view(spark, "/root/testdata/sf0.001", "stack_text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # by order; lines, traces and stacks of a kernel follow in the task

@@ -264,6 +264,8 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str, stacks: bool = False
         for table in BASE_TABLES:
             if f"<{table}>" in text:
                 used[table] = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+                if view == "line_item_1":  # dealt once: lines, frames, stacks and their kernels all go by the order
+                    used[table] = used[table].repartition("l_orderkey")
         for other, frame in frames.items():
             if f"<{other}>" in text:
                 used[other] = frame
