@@ -34,9 +34,12 @@ def edge_bundles(edges: DataFrame, rows: int | None = None) -> DataFrame:
 
     Fans are counted by aggregation: a hub would otherwise be one window of its own.
     """
-    fan_out = edges.groupBy("graph_id", "src_id").agg(F.count(F.lit(1)).alias("source_fanout"))
-    fan_in = edges.groupBy("graph_id", "dst_id").agg(F.count(F.lit(1)).alias("target_fanin"))
-    total = edges.groupBy("graph_id", "src_id", "dst_id").agg(F.count(F.lit(1)).alias("bundle_total"))
+    edges = materialize(edges)  # read for the totals, the split points, the chunks and their sums
+    total = materialize(edges.groupBy("graph_id", "src_id", "dst_id").agg(F.count(F.lit(1)).alias("bundle_total")))
+    fan_out = total.groupBy("graph_id", "src_id").agg(F.sum("bundle_total").alias("source_fanout"))
+    fan_in = total.groupBy("graph_id", "dst_id").agg(F.sum("bundle_total").alias("target_fanin"))
+    # one row per pair, written so that its size is known: edges between few nodes are not dealt by these nodes again
+    pairs = materialize(total.join(fan_out, ["graph_id", "src_id"]).join(fan_in, ["graph_id", "dst_id"]))
     spread = F.greatest("source_fanout", "target_fanin", "bundle_total")
     base = F.when(F.col("bundle_total") <= 1, F.lit(0.0)).otherwise(
         F.col("bundle_index") - (F.col("bundle_total") - 1) / 2)
@@ -44,7 +47,7 @@ def edge_bundles(edges: DataFrame, rows: int | None = None) -> DataFrame:
     numbered = running(one, ["edge_ord"], {"bundle_index": "_one"}, "sum").frame
     return (
         numbered.withColumn("bundle_index", F.col("bundle_index") - 1).drop("_one", "chunk")
-        .join(total, ["graph_id", "src_id", "dst_id"]).join(fan_out, ["graph_id", "src_id"]).join(fan_in, ["graph_id", "dst_id"])
+        .join(pairs, ["graph_id", "src_id", "dst_id"])
         .withColumn("bundle_offset", base * F.least(F.lit(WIDEST), F.lit(NARROWEST) + spread * F.lit(PER_EDGE)))
     )
 
