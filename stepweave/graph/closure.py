@@ -4,20 +4,44 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.graph import whole
 from stepweave.session import materialize, size_by_rows
 
 
+def _closed(table: pa.Table) -> dict:
+    ids = whole.Ids(table, "node_id", "ancestor_id")
+    node, top, dist = ids.closed(ids.of["node_id"], ids.of["ancestor_id"])
+    return {"graph_id": ids.graph_of(node), "node_id": ids.name(node), "ancestor_id": ids.name(top), "dist": pa.array(dist)}
+
+
 def ancestors(members: DataFrame) -> DataFrame:
-    """``(graph_id, node_id, ancestor_id, dist)`` for every container above every node.
+    """``(graph_id, node_id, ancestor_id, dist)`` for every container above every node, with the shortest distance.
+
+    Small graphs are closed in the task they are dealt to, the others in rounds (see :func:`ancestors_in_rounds`).
+    A node that is its own ancestor is part of a cycle.
+    """
+    size_by_rows(members)
+    links = members.select("graph_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id"))
+    kinds = dict(links.dtypes)
+    if kinds["node_id"] != kinds["ancestor_id"]:
+        return ancestors_in_rounds(members)
+    done, left = whole.in_tasks({"links": links}, _closed, f"graph_id {kinds['graph_id']}, node_id {kinds['node_id']}, ancestor_id {kinds['ancestor_id']}, dist bigint")
+    loose = links.filter("graph_id is null").distinct().withColumn("dist", F.lit(1).cast("bigint"))
+    done = done.unionByName(loose)
+    return done if left.isEmpty() else done.unionByName(ancestors_in_rounds(members.join(left, "graph_id", "left_semi")))
+
+
+def ancestors_in_rounds(members: DataFrame) -> DataFrame:
+    """As :func:`ancestors`, for graphs of any size.
 
     Each round doubles the distance covered, so a tree of depth d takes log2(d) rounds.
     Pairs that are known already are not added again, which ends the loop on cycles too;
     a node that is its own ancestor is part of one.
     """
-    size_by_rows(members)
     known = materialize(members.select(
         "graph_id", F.col("child_id").alias("node_id"), F.col("parent_id").alias("ancestor_id"),
         F.lit(1).cast("bigint").alias("dist")).distinct())

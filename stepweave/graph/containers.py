@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.graph import whole
 from stepweave.graph.closure import ancestors
 from stepweave.operators.chunks import chunked, running
 from stepweave.session import materialize, size_by_rows
@@ -37,12 +41,67 @@ def attr_closure(attrs: DataFrame) -> DataFrame:
         "graph_id", F.col("parent_attr_id").alias("parent_id"), F.col("attr_id").alias("child_id")))
 
 
+def _made(table: pa.Table) -> dict:
+    ids = whole.Ids(table, "attr_id", "parent_attr_id")
+    attr, parent, is_node = ids.of["attr_id"], ids.of["parent_attr_id"], pc.equal(table["_table"], "nodes").to_numpy()
+    with_node = np.unique(attr[is_node])
+    held = ~is_node & ids.known(parent)
+    node, above, _ = ids.closed(attr[held], parent[held])
+    alive = above[np.isin(node, with_node) & ids.known(node)]
+    top_id = np.full(len(ids.graph_names), np.iinfo(np.int64).min)
+    numbered = is_node & table["node_id"].is_valid().to_numpy()
+    np.maximum.at(top_id, ids.graph[numbered], pc.fill_null(table["node_id"], 0).to_numpy()[numbered])
+    with_rows = np.bincount(ids.graph[is_node], minlength=len(top_id)) > 0
+    at = np.flatnonzero(pc.fill_null(table["is_container"], False).to_numpy() & ids.known(attr) & ~np.isin(attr, with_node) & np.isin(attr, alive) & with_rows[ids.graph])
+    inner, depth = np.unique(node, return_counts=True)
+    place = np.searchsorted(inner, attr[at])
+    found = np.append(inner, -1)[place] == attr[at]
+    depth = np.where(found, np.append(depth, 0)[place], 0)
+    rank = np.empty(len(ids.names), np.int64)
+    rank[pc.array_sort_indices(ids.names).to_numpy()] = np.arange(len(ids.names))
+    order = np.lexsort((rank[attr[at] % ids.width - 1], -depth, ids.graph[at]))
+    at, depth = at[order], depth[order]
+    graph = ids.graph[at]
+    new = top_id[graph] + np.arange(len(at)) - np.searchsorted(graph, graph) + 1
+    take = lambda c: table[c].take(pa.array(at)).combine_chunks()
+    return {"graph_id": take("graph_id"), "node_id": pa.array(new, mask=top_id[graph] == np.iinfo(np.int64).min), "attr_id": take("attr_id"),
+            "attr_name": take("attr_name"), "container_kind": take("class_name"), "path_depth": pa.array(depth.astype(np.int64) + 1)}
+
+
+def _members(table: pa.Table) -> dict:
+    ids = whole.Ids(table, "attr_id", "parent_attr_id")
+    attr, parent, is_attr = ids.of["attr_id"], ids.of["parent_attr_id"], pc.equal(table["_table"], "attrs").to_numpy()
+    held, every = np.flatnonzero(is_attr & ids.known(parent)), np.flatnonzero(~is_attr)
+    boxes = attr[pc.fill_null(table["is_container"], False).to_numpy()]
+    owner = every[np.isin(attr[every], boxes)]
+    h, e = ids.matches(attr[held], attr[every])
+    held, every = held[h], every[e]
+    h, o = ids.matches(parent[held], attr[owner])
+    take = lambda c, at: table[c].take(pa.array(at)).combine_chunks()
+    return {"graph_id": take("graph_id", held[h]), "container_id": take("node_id", owner[o]), "node_id": take("node_id", every[h]), "key": take("key", held[h])}
+
+
 def missing_containers(attrs: DataFrame, nodes: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """Containers without a node that still hold something, with the node ids they get.
 
     A container is alive when anything below it has a node.  New ids follow the largest id of
-    the graph, deeper containers first.
+    the graph, deeper containers first.  Small graphs are done in the task they are dealt to, the others by joins
+    (see :func:`missing_containers_by_joins`).
     """
+    kinds = dict(attrs.dtypes)
+    own = lambda c: F.when(F.col("is_container"), F.col(c)).alias(c)
+    rows = attrs.filter("is_container or parent_attr_id is not null").select("graph_id", "attr_id", "parent_attr_id", "is_container", own("attr_name"), own("class_name"))
+    done, left = whole.in_tasks(
+        {"attrs": rows, "nodes": nodes.select("graph_id", "attr_id", F.col("node_id").cast("bigint").alias("node_id"))}, _made,
+        f"graph_id {kinds['graph_id']}, node_id bigint, attr_id {kinds['attr_id']}, attr_name {kinds['attr_name']}, container_kind {kinds['class_name']}, path_depth bigint")
+    if left.isEmpty():
+        return done
+    part = lambda t: t.join(left, "graph_id", "left_semi")
+    return done.unionByName(missing_containers_by_joins(part(attrs), part(nodes), closure and part(closure)))
+
+
+def missing_containers_by_joins(attrs: DataFrame, nodes: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+    """As :func:`missing_containers`, for graphs of any size."""
     closure = attr_closure(attrs) if closure is None else closure
     with_node = nodes.select("graph_id", "attr_id").distinct()
     empty = attrs.filter("is_container").join(with_node, ["graph_id", "attr_id"], "left_anti")
@@ -63,7 +122,22 @@ def missing_containers(attrs: DataFrame, nodes: DataFrame, closure: DataFrame |
 
 
 def container_members(attrs: DataFrame, nodes: DataFrame, made: DataFrame) -> DataFrame:
-    """``(graph_id, container_id, node_id, key)``: direct members of each live container."""
+    """``(graph_id, container_id, node_id, key)``: direct members of each live container.
+
+    Small graphs are done in the task they are dealt to, the others by joins (see :func:`container_members_by_joins`).
+    """
+    kinds = dict(attrs.dtypes)
+    rows = attrs.filter("is_container or parent_attr_id is not null").select("graph_id", "attr_id", "parent_attr_id", "key", "is_container")
+    every = lambda t: t.select("graph_id", "attr_id", F.col("node_id").cast("bigint").alias("node_id"))
+    done, left = whole.in_tasks({"attrs": rows, "nodes": every(nodes), "made": every(made)}, _members,
+                                f"graph_id {kinds['graph_id']}, container_id bigint, node_id bigint, key {kinds['key']}")
+    if left.isEmpty():
+        return done
+    return done.unionByName(container_members_by_joins(*[t.join(left, "graph_id", "left_semi") for t in (attrs, nodes, made)]))
+
+
+def container_members_by_joins(attrs: DataFrame, nodes: DataFrame, made: DataFrame) -> DataFrame:
+    """As :func:`container_members`, for graphs of any size."""
     every = nodes.select("graph_id", "attr_id", "node_id").unionByName(made.select("graph_id", "attr_id", "node_id"))
     held = attrs.filter("parent_attr_id is not null").select("graph_id", "attr_id", "parent_attr_id", "key")
     owner = every.join(attrs.filter("is_container").select("graph_id", "attr_id"), ["graph_id", "attr_id"], "left_semi").select(
