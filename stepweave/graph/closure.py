@@ -30,8 +30,8 @@ def ancestors(members: DataFrame) -> DataFrame:
     if kinds["node_id"] != kinds["ancestor_id"]:
         return ancestors_in_rounds(members)
     done, left = whole.in_tasks({"links": links}, _closed, f"graph_id {kinds['graph_id']}, node_id {kinds['node_id']}, ancestor_id {kinds['ancestor_id']}, dist bigint")
-    loose = links.filter("graph_id is null").distinct().withColumn("dist", F.lit(1).cast("bigint"))
-    done = done.unionByName(loose)
+    loose = materialize(links.filter("graph_id is null").distinct().withColumn("dist", F.lit(1).cast("bigint")))
+    done = done if loose.isEmpty() else done.unionByName(loose)
     return done if left.isEmpty() else done.unionByName(ancestors_in_rounds(members.join(left, "graph_id", "left_semi")))
 
 

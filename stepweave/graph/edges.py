@@ -7,9 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepweave.graph import whole
 from stepweave.operators.chunks import chunked, running
 from stepweave.session import materialize, size_by_rows
 
@@ -262,12 +265,47 @@ def _ranks_past_cycles(stuck: DataFrame, edges: DataFrame, done: DataFrame) -> D
 
 # ---------------------------------------------------------------- focus
 
+def _focus_sets(table: pa.Table) -> dict:
+    ids = whole.Ids(table, "node_id", "src_id", "dst_id", "ancestor_id")
+    of = lambda name, *columns: [ids.of[c][(pc.equal(table["_table"], name)).to_numpy()] for c in columns]
+    (focus,), (src, dst), (low, high), (io,) = of("focus", "node_id"), of("edges", "src_id", "dst_id"), of("closure", "node_id", "ancestor_id"), of("io", "node_id")
+    f, inner = ids.matches(focus, high)
+    within, inside = np.concatenate([focus, focus[f]]), np.concatenate([focus, low[inner]])
+    w, end = ids.matches(inside, np.concatenate([src, dst]))
+    f, e = whole.distinct_pairs(within[w], end % max(len(src), 1))
+    src, dst = src[e], dst[e]
+    src_io, dst_io = (np.isin(x, io) & ids.known(x) for x in (src, dst))
+    either = src_io | dst_io
+    picked = lambda of_src, of_dst: (np.concatenate([f[of_src], f[of_dst]]), np.concatenate([src[of_src], dst[of_dst]]))
+    shown, climb = picked(~either | src_io, ~either | dst_io), picked(~src_io, ~either | src_io)
+    start, node = whole.distinct_pairs(np.concatenate([climb[0], focus]), np.concatenate([climb[1], focus]))
+    n, up = ids.matches(node, low)
+    at, node = whole.distinct_pairs(np.concatenate([shown[0], start[n], focus]), np.concatenate([shown[1], high[up], focus]))
+    return {"graph_id": ids.graph_of(at), "focus_id": ids.name(at), "node_id": ids.name(node)}
+
+
 def focus_sets(focus: DataFrame, edges: DataFrame, closure: DataFrame, io_nodes: DataFrame) -> DataFrame:
     """Nodes to highlight around each focused node: ``(graph_id, focus_id, node_id)``.
 
     Edges that touch the focused node, or anything inside it, bring in their ends and the
     groups around them; an input or output end brings in only the groups of its peer.
+    Small graphs are done in the task they are dealt to, the others by joins (see :func:`focus_sets_by_joins`).
     """
+    focus, edges, closure, io_nodes = (t.select("graph_id", *columns) for t, columns in (
+        (focus, ["node_id"]), (edges, ["src_id", "dst_id"]), (closure, ["node_id", "ancestor_id"]), (io_nodes, ["node_id"])))
+    kinds = dict(focus.dtypes)
+    if len({t for df in (focus, edges, closure, io_nodes) for c, t in df.dtypes if c != "graph_id"}) > 1:
+        return focus_sets_by_joins(focus, edges, closure, io_nodes)
+    done, left = whole.in_tasks({"focus": focus, "edges": edges, "closure": closure, "io": io_nodes}, _focus_sets,
+                                f"graph_id {kinds['graph_id']}, focus_id {kinds['node_id']}, node_id {kinds['node_id']}")
+    done = done.unionByName(focus.filter("graph_id is null").select("graph_id", F.col("node_id").alias("focus_id"), "node_id").distinct())
+    if left.isEmpty():
+        return done
+    return done.unionByName(focus_sets_by_joins(*[t.join(left, "graph_id", "left_semi") for t in (focus, edges, closure, io_nodes)]))
+
+
+def focus_sets_by_joins(focus: DataFrame, edges: DataFrame, closure: DataFrame, io_nodes: DataFrame) -> DataFrame:
+    """As :func:`focus_sets`, for graphs of any size."""
     io = io_nodes.select("graph_id", F.col("node_id").alias("_io")).distinct()
     within = focus.select("graph_id", F.col("node_id").alias("focus_id"), "node_id").unionByName(
         focus.withColumnRenamed("node_id", "focus_id").join(

@@ -140,6 +140,12 @@ class Ids:
 
 
 def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(a):
+        return a, b
+    size = int(b.max()) + 1
+    if (int(a.max()) + 1) * size < 2 ** 62:
+        pair = np.unique(a * size + b)
+        return pair // size, pair % size
     ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    pair = np.unique(place[:len(a)] * len(ids) + place[len(a):]) if len(a) else np.empty(0, np.int64)
-    return ids[pair // max(len(ids), 1)], ids[pair % max(len(ids), 1)]
+    pair = np.unique(place[:len(a)] * len(ids) + place[len(a):])
+    return ids[pair // len(ids)], ids[pair % len(ids)]

@@ -1,6 +1,6 @@
 """Small graphs are done in their task, with the results of the joins."""
 
-from stepweave.graph import closure, containers, whole
+from stepweave.graph import closure, containers, edges, whole
 
 
 def _rows(df):
@@ -30,6 +30,21 @@ def test_closure_in_task_is_that_of_the_rounds(spark, monkeypatch):
     assert _rows(closure.ancestors(members)) == _rows(closure.ancestors_in_rounds(members))
 
 
+def test_focus_sets_in_task_are_those_of_the_joins(spark, monkeypatch):
+    up = closure.ancestors(spark.createDataFrame(MEMBERS, "graph_id string, child_id string, parent_id string"))
+    links = spark.createDataFrame([("a", "n1", "n2"), ("a", "n2", "out"), ("a", "in", "n1"), ("b", "w", "v"), ("b", "v", "v"), ("c", "n1", None),
+                                   (None, "p", "q"), *[("d", f"k{i}", f"k{i + 3}") for i in range(20)], ("a", "n1", "n2")], "graph_id string, src_id string, dst_id string")
+    focus = spark.createDataFrame([("a", "n1"), ("a", "g"), ("a", "root"), ("b", "x"), ("b", "v"), ("b", "v"), ("c", "n1"), ("c", None), (None, "p"), ("e", "alone"), ("d", "k3"), ("d", "k20")],
+                                  "graph_id string, node_id string")
+    io = spark.createDataFrame([("a", "in"), ("a", "out"), ("b", "v"), ("d", "k7"), ("c", None)], "graph_id string, node_id string")
+    want = _rows(edges.focus_sets_by_joins(focus, links, up, io))
+    assert _rows(edges.focus_sets(focus, links, up, io)) == want
+    dealt = _exchanges(spark, monkeypatch, whole, lambda: edges.focus_sets(focus, links, up, io))
+    assert [d for d in dealt if "graph_id" in d] and not [d for d in dealt if "src_id" in d or "focus_id" in d]
+    monkeypatch.setattr(whole, "SMALL", 20)
+    assert _rows(edges.focus_sets(focus, links, up, io)) == want
+
+
 def _boxes(spark):
     attrs = [("a", "m1", "box", "0", "m", "L", False), ("a", "m2", "deep", "0", "m", "L", False), ("a", "deep", "box", "1", "deep", "S", True), ("a", "box", "root", "0", "box", "S", True),
              ("a", "root", None, None, "root", "S", True), ("a", "none", "root", "1", "none", "S", True), ("a", "own", "root", "2", "own", "S", True), ("a", "m3", "own", "0", "m", "L", False),
