@@ -97,7 +97,7 @@ def missing_containers(attrs: DataFrame, nodes: DataFrame, closure: DataFrame |
     if left.isEmpty():
         return done
     part = lambda t: t.join(left, "graph_id", "left_semi")
-    return done.unionByName(missing_containers_by_joins(part(attrs), part(nodes), closure and part(closure)))
+    return done.unionByName(materialize(missing_containers_by_joins(part(attrs), part(nodes), None if closure is None else part(closure))))
 
 
 def missing_containers_by_joins(attrs: DataFrame, nodes: DataFrame, closure: DataFrame | None = None) -> DataFrame:
