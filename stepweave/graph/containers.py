@@ -6,15 +6,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.graph import whole
+from stepweave.graph import scopes, whole
 from stepweave.graph.closure import ancestors
 from stepweave.operators.chunks import chunked, running
 from stepweave.session import materialize, size_by_rows
@@ -44,27 +44,12 @@ def attr_closure(attrs: DataFrame) -> DataFrame:
 def _made(table: pa.Table) -> dict:
     ids = whole.Ids(table, "attr_id", "parent_attr_id")
     attr, parent, is_node = ids.of["attr_id"], ids.of["parent_attr_id"], pc.equal(table["_table"], "nodes").to_numpy()
-    with_node = np.unique(attr[is_node])
     held = ~is_node & ids.known(parent)
     node, above, _ = ids.closed(attr[held], parent[held])
-    alive = above[np.isin(node, with_node) & ids.known(node)]
-    top_id = np.full(len(ids.graph_names), np.iinfo(np.int64).min)
-    numbered = is_node & table["node_id"].is_valid().to_numpy()
-    np.maximum.at(top_id, ids.graph[numbered], pc.fill_null(table["node_id"], 0).to_numpy()[numbered])
-    with_rows = np.bincount(ids.graph[is_node], minlength=len(top_id)) > 0
-    at = np.flatnonzero(pc.fill_null(table["is_container"], False).to_numpy() & ids.known(attr) & ~np.isin(attr, with_node) & np.isin(attr, alive) & with_rows[ids.graph])
-    inner, depth = np.unique(node, return_counts=True)
-    place = np.searchsorted(inner, attr[at])
-    found = np.append(inner, -1)[place] == attr[at]
-    depth = np.where(found, np.append(depth, 0)[place], 0)
-    rank = np.empty(len(ids.names), np.int64)
-    rank[pc.array_sort_indices(ids.names).to_numpy()] = np.arange(len(ids.names))
-    order = np.lexsort((rank[attr[at] % ids.width - 1], -depth, ids.graph[at]))
-    at, depth = at[order], depth[order]
-    graph = ids.graph[at]
-    new = top_id[graph] + np.arange(len(at)) - np.searchsorted(graph, graph) + 1
+    numbered, boxes = is_node & table["node_id"].is_valid().to_numpy(), pc.fill_null(table["is_container"], False).to_numpy()
+    at, depth, new, known = scopes.made_at(ids, attr, parent, is_node, numbered, pc.fill_null(table["node_id"], 0).to_numpy(), boxes, (node, above))
     take = lambda c: table[c].take(pa.array(at)).combine_chunks()
-    return {"graph_id": take("graph_id"), "node_id": pa.array(new, mask=top_id[graph] == np.iinfo(np.int64).min), "attr_id": take("attr_id"),
+    return {"graph_id": take("graph_id"), "node_id": pa.array(new, mask=~known), "attr_id": take("attr_id"),
             "attr_name": take("attr_name"), "container_kind": take("class_name"), "path_depth": pa.array(depth.astype(np.int64) + 1)}
 
 
@@ -157,6 +142,128 @@ class NormalizedGraph:
     ``scoped`` lists the nodes of each scope (``graph_id, scope_id, node_id``) with ``ord`` and grouping columns, plus
     ``groupable``: false inside native modules.  A node stands in one scope.
 
+    Small graphs are normalized in the task that they are dealt to (see ``scopes.Scopes``), one result at a time when it is first asked for. Large
+    ones, and those that lack an id, list something twice or contain each other in a circle, go by joins (see :class:`NormalizedByJoins`).
+    """
+
+    _IDS = ["graph_id", "node_id", "attr_id", "parent_attr_id", "scope_id", "ord", "to_id"]
+    _MORE = ["to_id_2", "box_ids", "box_parent_ids"]  # if there are such columns
+
+    def __init__(self, attrs: DataFrame, nodes: DataFrame, edges: DataFrame, scoped: DataFrame):
+        size_by_rows(attrs)
+        self.tables = {"attrs": attrs, "nodes": nodes, "edges": edges, "scoped": scoped}
+        is_ = lambda bit: F.lit(bit).alias("_is")
+        parts = [attrs.filter("is_container or parent_attr_id is not null").select("graph_id", "attr_id", "parent_attr_id", "is_container", is_(scopes.ATTR)),
+                 nodes.select("graph_id", "node_id", "attr_id", is_(scopes.NODE)), scoped.withColumn("_is", F.lit(scopes.PLACE)),
+                 edges.select("graph_id", F.col("src_id").alias("node_id"), F.col("dst_id").alias("to_id"), is_(scopes.EDGE))]
+        self._grouped, self._rest = {}, None
+        self._rows, self._dealt, self._large = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), False, None
+        whole_numbers = [t[c] for t, c in ((dict(nodes.dtypes), "node_id"), (dict(scoped.dtypes), "node_id"), (dict(scoped.dtypes), "ord"), (dict(edges.dtypes), "src_id"), (dict(edges.dtypes), "dst_id"))]
+        if {*whole_numbers} != {"bigint"} or dict(scoped.dtypes)["scope_id"] != "string" or len({dict(attrs.dtypes)[c] for c in ("attr_id", "parent_attr_id")}) > 1:
+            self._large = self._rows.select("graph_id").distinct()  # ids of other kinds: all by joins
+            self._rows = self._rows.limit(0)
+
+    @classmethod
+    def of_dealt(cls, rows: DataFrame) -> NormalizedGraph:
+        """Of rows that lie by graph already, each an attribute, a node, a place and an edge or two at once, as ``_is`` says (see ``scopes``).
+
+        Rows may list containers, which are attributes too. A graph's rows pass one task, which keeps up to ``whole.SMALL`` of them.
+        """
+        g = cls.__new__(cls)
+        size_by_rows(rows)
+        of = lambda bit: rows.filter(F.col("_is").bitwiseAND(bit) > 0)
+        none = [F.lit(None).cast("string").alias(c) for c in ("key", "attr_name", "class_name")]
+        attrs = of(scopes.ATTR).select("graph_id", "attr_id", "parent_attr_id", "is_container", *none)
+        if "box_ids" in rows.columns:
+            attrs = attrs.unionByName(rows.select("graph_id", F.inline(F.arrays_zip("box_ids", "box_parent_ids")).alias("attr_id", "parent_attr_id")).withColumn(
+                "is_container", F.lit(True)).select("graph_id", "attr_id", "parent_attr_id", "is_container", *none))
+        ends = F.array_compact(F.array(*[c for c in rows.columns if c in ("to_id", "to_id_2")]))
+        g.tables = {"attrs": attrs, "nodes": of(scopes.NODE).select("graph_id", "node_id", "attr_id"),
+                    "edges": of(scopes.EDGE).select("graph_id", F.col("node_id").alias("src_id"), F.explode(ends).alias("dst_id")),
+                    "scoped": of(scopes.PLACE).drop("attr_id", "parent_attr_id", "is_container", "to_id", "_is", *cls._MORE)}
+        g._grouped, g._rest = {}, None
+        g._rows, g._dealt, g._large = rows, True, None
+        return g
+
+    def _solved(self, result, schema: str, columns: list, facts: tuple = (), rows: DataFrame | None = None) -> tuple[DataFrame, NormalizedByJoins | None]:
+        """What ``result`` makes of the small graphs, and all results of the others; ``facts`` are bits with their conditions."""
+        rows, large = (self._rows if rows is None else rows), self._large
+        facts = (("is_container", scopes.BOX), ("groupable", scopes.GROUPABLE), ("groupable is null", scopes.UNCLEAR), *facts)
+        bits = reduce(Column.bitwiseOR, [F.when(F.expr(c) if isinstance(c, str) else c, bit).otherwise(0) for c, bit in facts], F.col("_is"))
+        rows = rows.select(*self._IDS, *[c for c in rows.columns if c in self._MORE], *columns, bits.alias("_is"))
+        if not self._dealt:
+            rows, more = whole.uncrowded(rows)
+            rows, large = rows.repartition("graph_id"), more if large is None else more.unionByName(large)
+        kind = dict(rows.dtypes)["graph_id"]
+        done, left = whole.solved(rows, scopes.runner(result, whole.SMALL), f"graph_id {kind}, {schema}", large)
+        if left.isEmpty():
+            return done, None
+        if self._rest is None or not (left.subtract(self._rest[0]).isEmpty() and self._rest[0].subtract(left).isEmpty()):
+            graph = left.withColumnRenamed("graph_id", "_graph")
+            part = lambda t: t.join(graph, F.col("graph_id").eqNullSafe(F.col("_graph")), "left_semi")
+            self._rest = left, NormalizedByJoins(*[materialize(part(self.tables[t])) for t in ("attrs", "nodes", "edges", "scoped")])
+        return done, self._rest[1]
+
+    @cached_property
+    def made(self) -> DataFrame:
+        """Containers without a node that hold something, with the node ids they get."""
+        return materialize(missing_containers(self.tables["attrs"], self.tables["nodes"]))
+
+    @cached_property
+    def fates(self) -> DataFrame:
+        """Floating nodes of every scope, containers included, and what becomes of them (see ``grouping.scope_fates``)."""
+        done, rest = self._solved(scopes.Scopes.fates, "scope_id string, node_id bigint, component bigint, fate string, container_id bigint", [])
+        return done if rest is None else done.unionByName(rest.fates)
+
+    @cached_property
+    def direct(self) -> DataFrame:
+        """Lists of the scopes: the columns of ``scoped``, and ``place``, the position in the list."""
+        kinds = dict(self.tables["scoped"].dtypes)
+        more = [c for c in kinds if c not in (*self._IDS, "groupable", "attr_kind", "is_native")]
+        listed = ["scope_id", "node_id", "ord", "groupable", "place", "attr_kind", "is_native", *more]
+        schema = ", ".join(f"`{c}` {kinds.get(c, 'bigint')}" for c in listed)
+        done, rest = self._solved(lambda s: s.lists(more), schema, ["attr_kind", "is_native", *more])
+        done = done.select(*kinds, "place")
+        return done if rest is None else done.unionByName(rest.direct)
+
+    def containers(self) -> DataFrame:
+        """Final members of every container; sort them by id."""
+        done, rest = self._content
+        return done if rest is None else done.unionByName(rest.containers())
+
+    @cached_property
+    def _content(self) -> tuple[DataFrame, NormalizedByJoins | None]:
+        return self._solved(scopes.Scopes.content, "container_id bigint, node_id bigint", [])
+
+    def _groups(self, located: bool) -> tuple[DataFrame, NormalizedByJoins | None]:
+        from stepweave.graph import grouping
+
+        if located not in self._grouped:
+            at, frames, plain = F.col("call_loc"), F.col("call_loc")["frames"], grouping.is_plain()
+            rows = self._rows.withColumn("_h", grouping.helper_frame(frames)).withColumn("_last", F.get(frames, F.size(frames) - 1))
+            columns = [F.col("_h.function_name").alias("_helper"), at["file"].alias("_site_file"), F.col("_last.function_name").alias("_site_func"), at["line"].alias("_line"),
+                       *([F.col("_h.file").alias("_helper_file"), F.col("_h.line").alias("_helper_line")] if located else [])]
+            schema = "scope_id string, is_run boolean, name string, n_members bigint, first_id bigint, ord bigint, last_ord bigint, low bigint, high bigint"
+            self._grouped[located] = self._solved(lambda s: s.groups(located), schema + ", file string, line bigint" * located, columns, (
+                (plain, scopes.PLAIN), (~plain, scopes.OTHER), (plain & (F.size(frames) > 0), scopes.USABLE)), rows)
+        return self._grouped[located]
+
+    def groups(self, located: bool = True) -> tuple[DataFrame, DataFrame]:
+        """(helper groups, call-site runs) of the scopes that may be grouped; helpers with file and line if ``located``.
+
+        Runs are looked for in what the helper groups leave over, in scope order: by data-flow level where plain and
+        other nodes mix, else as listed.
+        """
+        done, rest = self._groups(located)
+        site = ["file", "line"] if located else []
+        helpers = done.filter("not is_run").select("graph_id", "scope_id", F.col("name").alias("group_name"), "n_members", "first_id", *site, "ord")
+        runs = done.filter("is_run").select("graph_id", "scope_id", F.format_string("%s:%d~%d", "name", "low", "high").alias("group_name"), "first_id", "ord", "last_ord", "n_members")
+        return (helpers, runs) if rest is None else tuple(a.unionByName(b.select(*a.columns)) for a, b in zip((helpers, runs), rest.groups()))
+
+
+class NormalizedByJoins:
+    """As :class:`NormalizedGraph`, for graphs of any size and kind.
+
     A container belongs to the scope of the nodes below it and joins its list, behind the nodes; its members leave
     the list.  Floating nodes are absorbed scope by scope: a node of another scope, or in no container of this scope, keeps
     its neighbours where they are.  Then each container is a scope of its own, outer ones first: what it holds besides
@@ -193,7 +300,8 @@ class NormalizedGraph:
 
         fates = materialize(grouping.scope_fates(free, edges, homes))
         moved = fates.filter("fate = 'absorbed'")
-        self.direct = materialize(self._lists(scoped, free.join(moved, [*scope, "node_id"], "left_anti"), joined, listed, homes))
+        direct_ = self._lists(scoped, free.join(moved, [*scope, "node_id"], "left_anti"), joined, listed, homes).withColumn("_one", F.lit(1))
+        self.direct = materialize(running(chunked(direct_, scope, "ord"), ["ord"], {"place": "_one"}, "sum").frame.select(*scoped.columns, "place"))
         content = materialize(direct.unionByName(moved.select("graph_id", "node_id", "container_id")).distinct())
         parts = [fates]
         depth = around.groupBy("graph_id", F.col("inner_id").alias("container_id")).agg(F.max("dist").alias("depth"))

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepweave.session import materialize
+from stepweave.session import materialize, ship_code
 
 #: Rows of a graph, in all its tables, up to which it is worked on in a task: its closure has some 500,000 pairs at most.
 SMALL = 1_000
@@ -31,16 +31,26 @@ def in_tasks(tables: dict[str, DataFrame], solve: Callable[[pa.Table], dict], sc
     """
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
         t.filter("graph_id is not null").withColumn("_table", F.lit(name)) for name, t in tables.items()])
+    small, large = uncrowded(rows)
+    return solved(small.repartition("graph_id"), _run(solve, SMALL), schema, large)
+
+
+def uncrowded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to deal to tasks, graphs in crowded buckets, which are not)."""
     bucket = F.pmod(F.hash("graph_id"), F.lit(BUCKETS)).alias("_bucket")
     crowded = materialize(rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWDED).select("_bucket"))
-    small, large = rows, rows.select("graph_id").limit(0)
-    if not crowded.isEmpty():
-        small = rows.withColumn("_bucket", bucket).join(crowded, "_bucket", "left_anti").drop("_bucket")
-        large = rows.select("graph_id", bucket).join(crowded, "_bucket", "left_semi").select("graph_id")
-    near = small.repartition("graph_id").sortWithinPartitions("graph_id")
-    made = materialize(near.mapInArrow(_run(solve, SMALL), f"{schema}, _left boolean"))
-    left = materialize(made.filter("_left").select("graph_id").unionByName(large).distinct())
-    return made.filter("not _left").drop("_left"), left
+    if crowded.isEmpty():
+        return rows, rows.select("graph_id").limit(0)
+    small = rows.withColumn("_bucket", bucket).join(crowded, "_bucket", "left_anti").drop("_bucket")
+    return small, rows.select("graph_id", bucket).join(crowded, "_bucket", "left_semi").select("graph_id")
+
+
+def solved(dealt: DataFrame, run: Callable, schema: str, large: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``schema`` that ``run`` makes of rows dealt by graph, graphs that it leaves over and ``large`` ones)."""
+    ship_code(dealt.sparkSession)  # before the function is made
+    made = materialize(dealt.sortWithinPartitions("graph_id").mapInArrow(run, f"{schema}, _left boolean"))
+    left = made.filter("_left").select("graph_id")
+    return made.filter("not _left").drop("_left"), materialize((left if large is None else left.unionByName(large)).distinct())
 
 
 def _run(solve: Callable[[pa.Table], dict], most: int):
@@ -76,7 +86,8 @@ def _parted(table: pa.Table, graph: np.ndarray, names: pa.Array, most: int) -> t
 
 # ---------------------------------------------------------------- helpers of the solvers
 
-def _encoded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+def encoded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Number of each value (-1: NULL), and the values."""
     one = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
     one = one.dictionary_encode()
     return pc.fill_null(one.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64), one.dictionary
@@ -84,7 +95,7 @@ def _encoded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
 
 def graphs(table: pa.Table) -> tuple[np.ndarray, pa.Array]:
     """Number of each row's graph, rising with the rows, and the graphs' ids."""
-    return _encoded(table["graph_id"])
+    return encoded(table["graph_id"])
 
 
 class Ids:
@@ -92,7 +103,7 @@ class Ids:
 
     def __init__(self, table: pa.Table, *columns: str):
         self.graph, self.graph_names = graphs(table)
-        codes, self.names = _encoded(pa.chunked_array([chunk for c in columns for chunk in table[c].chunks], table[columns[0]].type))
+        codes, self.names = encoded(pa.chunked_array([chunk for c in columns for chunk in table[c].chunks], table[columns[0]].type))
         self.width = len(self.names) + 1
         self.of = {c: self.graph * self.width + codes[i * table.num_rows:(i + 1) * table.num_rows] + 1 for i, c in enumerate(columns)}
 
