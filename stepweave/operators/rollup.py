@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepweave.functions.labels import is_backward_stack, runtime_module
+from stepweave.functions.labels import is_backward_stack, runtime_module, wide_sum
 from stepweave.operators.device import top
 from stepweave.operators.flows import _kernels, forward_scope, module_of_kernels
 from stepweave.operators.phases import PHASES, phase_of_spans
@@ -51,7 +51,7 @@ def kernel_attribution(t: TraceTables, sources: DataFrame, spans: DataFrame) ->
 
 
 def attribution_counters(t: TraceTables, attribution: DataFrame) -> DataFrame:
-    """Per trace: kernels by how they were attributed, and total kernel time."""
+    """Per trace: kernels by how they were attributed, and total kernel time, as a decimal."""
     per_kernel = attribution.groupBy("trace_id", "idx").agg(
         F.first("rung").alias("rung"), F.first("is_bwd").alias("is_bwd"), F.first("dur_ns").alias("dur_ns"))
     backward = t.events.select("trace_id", "idx", "tid", "ts_ns").join(
@@ -63,7 +63,7 @@ def attribution_counters(t: TraceTables, attribution: DataFrame) -> DataFrame:
         count("rung = 'stack' and not is_bwd", "fwd_attributed"), count("rung = 'stack' and is_bwd", "bwd_attributed"),
         count("rung = 'wrapped'", "wrapped_fallback"),
         count("rung = 'none' and not is_bwd", "fwd_unattributed"), count("rung = 'none' and is_bwd", "bwd_unattributed"),
-        count("coalesce(_n, false)", "bwd_via_flow_narrowed"), F.sum("dur_ns").alias("total_kernel_ns"))
+        count("coalesce(_n, false)", "bwd_via_flow_narrowed"), wide_sum("dur_ns").alias("total_kernel_ns"))
 
 
 def _whole(over: str, by: str) -> Column:

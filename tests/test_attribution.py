@@ -133,3 +133,20 @@ def test_coverage_of_odd_values(spark):
     cov = {r.graph_id: (r.total_instances, r.timed_instances, r.coverage_rate) for r in rollup.timing_coverage(g).collect()}
     assert cov == {"g": (2, 1, 0.5), "h": (0, 0, 0.0)}
     assert [(r.class_name, r.instance_key) for r in rollup.untimed_groups(g).collect()] == [("A", "1")]
+
+
+def test_kernel_totals_beyond_64_bits(spark, make_events):
+    from decimal import Decimal
+
+    big = 6 * 10**18
+    t = TraceTables(make_events([kernel(0, big), kernel(1, big), kernel(2, 5)]))
+    key = "class string, site_file string, site_line long, ancestors array<struct<file:string,line:bigint>>"
+    attribution = spark.createDataFrame([("t", i, i, d, False, "Net", "net.py", 1, [], 1, 1, "wrapped") for i, d in enumerate((big, big, 5))],
+                                        f"trace_id string, idx long, ts_ns long, dur_ns long, is_bwd boolean, {key}, n_hits long, n_total long, rung string")
+    counters = rollup.attribution_counters(t, attribution)
+    assert [(r.total_kernels, int(r.total_kernel_ns)) for r in counters.collect()] == [(3, 2 * big + 5)]
+    none = "self_forward decimal(38,0), self_backward decimal(38,0), self_optimize decimal(38,0), self_other decimal(38,0)"
+    steps = spark.createDataFrame([("t",)], "trace_id string")
+    times = spark.createDataFrame([("t", Decimal(0), Decimal(0), Decimal(0), Decimal(10**9) * big)], f"trace_id string, {none}")
+    row = rollup.in_ns(rollup.instance_summary(counters, steps, times)).collect()[0]
+    assert (row.step_kernel_ns, row.attributed_ns, row.unattributed_ns) == (float(2 * big + 5), float(big), float(big + 5))

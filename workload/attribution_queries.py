@@ -9,7 +9,7 @@ from stepweave.operators import device, flows, nesting, phases, rollup, stacks
 from stepweave.plans.instances import InstanceTiming
 from stepweave.session import materialize
 from workload.oracle import with_ctes
-from workload.trace_queries import _HOST_MODULES, _TOP_KERNELS, trace_tables
+from workload.trace_queries import _HOST_MODULES, _TOP_KERNELS, _as_bigint, trace_tables
 from workload.views import spark_view
 
 QUERIES = {}
@@ -224,7 +224,7 @@ SELECT trace_id, count(*) AS total_kernels, count(*) FILTER (rung = 'stack' AND
 
 @query("a16_counters", _COUNTERS)
 def _(t, spans):
-    return rollup.attribution_counters(t, _timing(t, spans).attribution)
+    return _as_bigint(rollup.attribution_counters(t, _timing(t, spans).attribution), "total_kernel_ns")
 
 
 def _ns(exact: str) -> str:
