@@ -201,7 +201,7 @@ def class_times(panel: DataFrame) -> DataFrame:
 
 
 def instance_summary(counters: DataFrame, steps: DataFrame, times: DataFrame) -> DataFrame:
-    """Kernel time per step and the part no instance accounts for, in whole billionths of a ns."""
+    """Kernel time per step and the part no instance accounts for, in whole billionths of a ns; ``times`` has self times, rolled up or not."""
     n = steps.groupBy("trace_id").agg(F.count(F.lit(1)).alias("_n"))
     own = times.groupBy("trace_id").agg(
         F.sum(F.col("self_forward") + F.col("self_backward") + F.col("self_optimize") + F.col("self_other")).cast("decimal(38,0)").alias("_own"))

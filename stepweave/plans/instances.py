@@ -60,4 +60,4 @@ class InstanceTiming:
         return rollup.in_ns(rollup.class_times(self._panel(roots)))
 
     def summary(self) -> DataFrame:
-        return rollup.in_ns(rollup.instance_summary(self.counters, self.steps, self._times()))
+        return rollup.in_ns(rollup.instance_summary(self.counters, self.steps, self.self_times))  # the roll-up adds no self time
